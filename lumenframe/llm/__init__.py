@@ -4,14 +4,34 @@ from __future__ import annotations
 
 
 def queries():
+    from .decontaminate import op8_decontaminate
+    from .langid import op9_language_id
+    from .lines import op10_line_dedup
+    from .mixing import op2_mixing
     from .passages import op3_substring_dedup
+    from .quality import op1_quality_rules
+    from .simhash import op7_simhash
 
     return {
+        "op7_simhash": op7_simhash,
+        "op1_quality_rules": op1_quality_rules,
+        "op2_mixing": op2_mixing,
+        "op8_decontaminate": op8_decontaminate,
+        "op9_language_id": op9_language_id,
+        "op10_line_dedup": op10_line_dedup,
         "op3_substring_dedup": op3_substring_dedup,
     }
 
 
 def oracle_sql():
+    from .decontaminate import OP8_SQL
+    from .mixing import OP2_SQL
     from .passages import OP3_SQL
+    from .quality import OP1_SQL
 
-    return {"op3_substring_dedup": OP3_SQL}
+    return {
+        "op1_quality_rules": OP1_SQL,
+        "op2_mixing": OP2_SQL,
+        "op3_substring_dedup": OP3_SQL,
+        "op8_decontaminate": OP8_SQL,
+    }
