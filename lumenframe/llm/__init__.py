@@ -4,6 +4,7 @@ from __future__ import annotations
 
 
 def queries():
+    from .chat import op5_chat_format
     from .decontaminate import op8_decontaminate
     from .langid import op9_language_id
     from .lines import op10_line_dedup
@@ -16,6 +17,7 @@ def queries():
         "op7_simhash": op7_simhash,
         "op1_quality_rules": op1_quality_rules,
         "op2_mixing": op2_mixing,
+        "op5_chat_format": op5_chat_format,
         "op8_decontaminate": op8_decontaminate,
         "op9_language_id": op9_language_id,
         "op10_line_dedup": op10_line_dedup,
@@ -24,6 +26,7 @@ def queries():
 
 
 def oracle_sql():
+    from .chat import OP5_SQL
     from .decontaminate import OP8_SQL
     from .mixing import OP2_SQL
     from .passages import OP3_SQL
@@ -33,5 +36,6 @@ def oracle_sql():
         "op1_quality_rules": OP1_SQL,
         "op2_mixing": OP2_SQL,
         "op3_substring_dedup": OP3_SQL,
+        "op5_chat_format": OP5_SQL,
         "op8_decontaminate": OP8_SQL,
     }
