@@ -4,6 +4,7 @@ from __future__ import annotations
 
 
 def queries():
+    from .brown import op6_brown_lm
     from .chat import op5_chat_format
     from .decontaminate import op8_decontaminate
     from .langid import op9_language_id
@@ -18,6 +19,7 @@ def queries():
         "op1_quality_rules": op1_quality_rules,
         "op2_mixing": op2_mixing,
         "op5_chat_format": op5_chat_format,
+        "op6_brown_lm": op6_brown_lm,
         "op8_decontaminate": op8_decontaminate,
         "op9_language_id": op9_language_id,
         "op10_line_dedup": op10_line_dedup,

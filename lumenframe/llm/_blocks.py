@@ -92,11 +92,14 @@ def unpack(blob: bytes, dtypes: list) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def squeeze(codes: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(codes.astype(np.uint8).tobytes())
+    """Codes as bytes, their width first."""
+    wide = np.ascontiguousarray(codes)
+    return zstandard.ZstdCompressor(level=1).compress(bytes([wide.dtype.itemsize]) + wide.tobytes())
 
 
 def unsqueeze(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    return np.frombuffer(raw, f"u{raw[0]}", offset=1)
 
 
 def parts_of(df: DataFrame) -> int:
@@ -104,19 +107,10 @@ def parts_of(df: DataFrame) -> int:
     return 1 << (int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
 
 
-def ask(
-    blocks: DataFrame,
-    emit: Callable[..., tuple[np.ndarray, list[np.ndarray]]],
-    decide: Callable[..., np.ndarray],
-    dtypes: list[str],
-    answers: list[str] = (),
-    name: str = "codes",
-) -> DataFrame:
-    """(block_id, ``name``): the codes of the keys of each block.
+def send_keys(blocks: DataFrame, emit: Callable[..., tuple[np.ndarray, list[np.ndarray]]], answers: list[str] = ()) -> DataFrame:
+    """(part, block_id, blob): the distinct keys of each block, dealt by their leading bits.
 
-    emit(table, *codes of the named ``answers`` columns) gives the block's distinct keys, sorted, with
-    columns of ``dtypes``; decide(keys, columns, owner) sees one part of the key space (owner: ordinal of
-    the block of each entry) and gives a code under 256 for each entry.
+    emit(table, *codes of the named ``answers`` columns) gives a block's distinct keys, sorted, and columns beside them.
     """
     parts = parts_of(blocks)
     shift = np.uint64(64 - parts.bit_length() + 1)
@@ -136,22 +130,35 @@ def ask(
                     blobs = [pack(keys[cuts[p] : cuts[p + 1]], [c[cuts[p] : cuts[p + 1]] for c in columns]) for p in some]
                     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array(blobs, pa.binary())], names=["part", "block_id", "blob"])
 
-    def answer(table: pa.Table) -> pa.Table:
-        got = [unpack(b.as_py(), dtypes) for b in table["blob"]]
-        keys = np.concatenate([k for k, _ in got])
-        columns = [np.concatenate([c[j] for _, c in got]) for j in range(len(dtypes))]
-        sizes = [len(k) for k, _ in got]
-        owner = np.repeat(np.arange(len(got)), sizes)
-        codes = decide(keys, columns, owner)
+    return blocks.select("block_id", "payload", *answers).mapInArrow(send, "part int, block_id long, blob binary")
+
+
+def part_of_keys(group: pa.Table, dtypes: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[int]]:
+    """The keys and columns of one part, block after block, and how many each block sent."""
+    got = [unpack(b.as_py(), dtypes) for b in group["blob"]]
+    columns = [np.concatenate([c[j] for _, c in got]) for j in range(len(dtypes))]
+    return np.concatenate([k for k, _ in got]), columns, [len(k) for k, _ in got]
+
+
+def answer_keys(sent: DataFrame, decide: Callable[..., np.ndarray], dtypes: list[str], name: str = "codes") -> DataFrame:
+    """(block_id, ``name``): a code for each key that a block sent; decide(keys, columns) sees one part of the key space."""
+
+    def answer(group: pa.Table) -> pa.Table:
+        keys, columns, sizes = part_of_keys(group, dtypes)
+        codes = decide(keys, columns)
         cuts = np.cumsum([0, *sizes])
-        return pa.table({"block_id": table["block_id"], "part": table["part"], "blob": pa.array([squeeze(codes[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())})
+        return pa.table({"block_id": group["block_id"], "part": group["part"], "blob": pa.array([squeeze(codes[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())})
 
-    sent = blocks.select("block_id", "payload", *answers).mapInArrow(send, "part int, block_id long, blob binary")
     replies = sent.groupBy("part").applyInArrow(answer, "block_id long, part int, blob binary")
     own = replies.groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("part", "blob"))).alias(name))
     return stash(own.select("block_id", F.col(f"{name}.blob").alias(name)))
 
 
+def ask(blocks: DataFrame, emit: Callable, decide: Callable, dtypes: list[str], answers: list[str] = (), name: str = "codes") -> DataFrame:
+    """What each block learns about its keys: answer_keys of send_keys."""
+    return answer_keys(send_keys(blocks, emit, answers), decide, dtypes, name)
+
+
 def codes_of(blobs: list[bytes] | None) -> np.ndarray:
     """The codes of a block's entries, in the order in which it sent them."""
     return np.concatenate([unsqueeze(b) for b in blobs]) if blobs else np.zeros(0, np.uint8)

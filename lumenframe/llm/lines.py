@@ -84,7 +84,7 @@ def _end_entries(t: pa.Table):
     return keys[first], twice.astype(np.uint8), group, long, lines
 
 
-def _shared_ends(keys, columns, owner):
+def _shared_ends(keys, columns):
     _, group = distinct(keys)
     n = int(group.max()) + 1 if len(group) else 0
     twice = (np.bincount(group, minlength=n) > 1) | (np.bincount(group[columns[0] > 0], minlength=n) > 0)
@@ -111,7 +111,7 @@ def _variant_entries(t: pa.Table, shared: np.ndarray):
     return keys, places, line, first[order], rank[group], lines
 
 
-def _earlier(keys, columns, owner):
+def _earlier(keys, columns):
     """1: an earlier line within one word edit.
 
     Equal keys: without the word at their places, the lines are equal. Then two lines without words of the same place

@@ -25,7 +25,7 @@ def _anchor_entries(words: Words, block: int):
     return keys[first], flags.astype(np.uint8), starts, group
 
 
-def _anchors_met(keys, columns, owner):
+def _anchors_met(keys, columns):
     """1: a reference block that some other window equals."""
     _, group = distinct(keys)
     n = int(group.max()) + 1 if len(group) else 0
@@ -49,7 +49,7 @@ def _window_entries(words: Words, ids: np.ndarray, anchors: np.ndarray, window:
     return keys, doc, place, starts, first, group
 
 
-def _earliest(keys, columns, owner):
+def _earliest(keys, columns):
     """1: no equal window starts earlier in any block."""
     doc, place = columns
     first, group = distinct(keys, doc, place)
