@@ -165,8 +165,9 @@ def codes_of(blobs: list[bytes] | None) -> np.ndarray:
 
 
 def with_answers(blocks: DataFrame, *answers: DataFrame) -> DataFrame:
+    """Answers grow with the blocks: always by a shuffled join, never by a broadcast that small tables would get."""
     for a in answers:
-        blocks = blocks.join(a, "block_id", "left")
+        blocks = blocks.join(a.hint("merge"), "block_id", "left")
     return blocks
 
 
