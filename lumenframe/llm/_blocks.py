@@ -26,7 +26,7 @@ BLOCK_SCHEMA = "block_id long, payload binary"
 
 def _to_ipc(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as w:
         w.write_table(table)
     return sink.getvalue().to_pybytes()
 
