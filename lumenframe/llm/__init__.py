@@ -7,6 +7,7 @@ def queries():
     from .brown import op6_brown_lm
     from .chat import op5_chat_format
     from .decontaminate import op8_decontaminate
+    from .exact_bytes import op4_suffix_dedup
     from .langid import op9_language_id
     from .lines import op10_line_dedup
     from .mixing import op2_mixing
@@ -18,6 +19,7 @@ def queries():
         "op7_simhash": op7_simhash,
         "op1_quality_rules": op1_quality_rules,
         "op2_mixing": op2_mixing,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_chat_format": op5_chat_format,
         "op6_brown_lm": op6_brown_lm,
         "op8_decontaminate": op8_decontaminate,
