@@ -63,9 +63,9 @@ def _cut(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBat
         yield row(held)
 
 
-def to_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = BLOCK_BYTES) -> DataFrame:
-    """(block_id, payload): the ids and whole texts of ``docs``, in the shared folder."""
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+def to_blocks(docs: DataFrame, carry: tuple = (), limit: int = BLOCK_BYTES) -> DataFrame:
+    """(block_id, payload): the ids and whole texts of ``docs``, and columns to ``carry``, in the shared folder."""
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     return stash(narrow.mapInArrow(lambda it: _cut(it, limit), BLOCK_SCHEMA))
 
 

@@ -40,3 +40,14 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, spread: str, salts:
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(F.col(spread)), F.lit(salts)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [key, "_salt"], how).drop("_salt")
+
+
+def aside(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, _others): all other columns of docs as one struct, so that their names can't clash."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*others).alias("_others"))
+
+
+def restored(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that were put aside, with the present text."""
+    return df.select(*[F.col("text") if c == "text" else F.col("_others").getField(c).alias(c) for c in columns])

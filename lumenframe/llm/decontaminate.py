@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import stash, table
+from ._shared import aside, restored, stash, table
 from ._text import ALNUM_WORD, Words, grams, within
 
 WINDOW = 10
@@ -134,7 +134,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     """
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.count("*"), F.coalesce(F.sum(F.size(F.split("text", r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"))), F.lit(0))).first()
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c for c in carry if c != "text"])
     if size[0] <= most_items and size[1] <= MOST_BROADCAST_WORDS:
         return _by_broadcast(narrow, items, window, k, carry)
     return _by_join(narrow, items, window, k, carry)
@@ -201,7 +201,7 @@ def _by_join(docs: DataFrame, items: DataFrame, window: int, k: int, carry: tupl
                 out.append(pa.RecordBatch.from_arrays([*columns, *[b.column(c).slice(i, 1) for c in carry]], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *carry]))
             yield from out
 
-    return rows.join(own, "_row", "left").select("doc_id", "text", "items", *carry).mapInArrow(run, SCHEMA + _fields(docs, carry))
+    return rows.join(own, "_row", "left").select("doc_id", "text", "items", *[c for c in carry if c != "text"]).mapInArrow(run, SCHEMA + _fields(docs, carry))
 
 
 def _lengths(window: int):
@@ -215,10 +215,8 @@ def _lengths(window: int):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without the rows that hold a benchmark window."""
-    carry = tuple(c for c in docs.columns if c not in ("doc_id",))
-    marked = docs.withColumnRenamed("text", "_text").withColumn("text", F.col("_text"))
-    carry = tuple("_text" if c == "text" else c for c in carry)
-    return contamination(marked, benchmark, window, carry=carry).where("not contaminated").select(*[F.col("_text").alias("text") if c == "text" else f"`{c}`" for c in docs.columns])
+    clean = contamination(aside(docs), benchmark, window, carry=("text", "_others")).where("not contaminated")
+    return restored(clean, docs.columns)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import aside, restored, table
 from ._text import string_bytes
 
 HIDDEN = 8
@@ -213,13 +213,13 @@ def predict(docs: DataFrame, model: ByteGRU | None, carry: tuple = ()) -> DataFr
             has = np.asarray(b.column("_letter").to_numpy(zero_copy_only=False), dtype=bool)
             names, scores = np.full(b.num_rows, UNKNOWN, dtype=object), np.zeros(b.num_rows)
             if net is not None and has.any():
-                p = net.pooled(*string_bytes(b.column("_text").filter(pa.array(has))))
+                p = net.pooled(*string_bytes(b.column("text").filter(pa.array(has))))
                 names[has] = np.array(net.labels, dtype=object)[p.argmax(axis=1)]
                 scores[has] = np.round(np.clip(p.max(axis=1), 0, 1), 6)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carry], pa.array(names, pa.string()), pa.array(scores)], names=[*carry, "lang_pred", "score"])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for c in carry for f in [docs.schema[c]])
-    narrow = docs.select(*carry, F.col("text").alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
+    narrow = docs.select(*carry, *([] if "text" in carry else ["text"]), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
     return narrow.mapInArrow(run, schema + "lang_pred string, score double")
 
 
@@ -237,8 +237,8 @@ def identify(docs: DataFrame, carry: tuple = ("doc_id",)) -> DataFrame:
 
 def reject_unknown_language(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """docs without rows whose language is unknown or whose score is below ``least``."""
-    kept = identify(docs.withColumn("_copy", F.col("text")), tuple("_copy" if c == "text" else c for c in docs.columns)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return kept.select(*[F.col("_copy").alias("text") if c == "text" else f"`{c}`" for c in docs.columns])
+    kept = identify(aside(docs).withColumn("lang", F.col("_others.lang")), ("text", "_others")).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return restored(kept, docs.columns)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._blocks import ask, distinct, finish, ids_of, to_blocks, with_answers
-from ._shared import table
+from ._shared import aside, restored, table
 from ._text import BASE, STEP, U64, Words, mix, powers
 
 #: Lines of fewer words never go.
@@ -148,7 +149,7 @@ def _doomed(t: pa.Table, shared: np.ndarray, earlier: np.ndarray) -> tuple[Lines
     return lines, gone
 
 
-def dedup_lines(docs: DataFrame, with_text: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, with_text: bool = True, carry: tuple = ()) -> DataFrame:
     """Remove every line for which an earlier one (smaller doc_id, then line) is equal or, from EDIT_WORDS words on, one word edit away.
 
     Lines end at \\n; words are [^\\x20\\x09-\\x0D]+; a word edit replaces, inserts or deletes one word. Lines under
@@ -158,9 +159,10 @@ def dedup_lines(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
     One row per row of docs: doc_id, n_lines, n_removed (lines), kept_sha256 and, with_text, text (lines left, joined
     by \\n) and n_words (words left). Null text: no lines, sha of the empty string, text null. Null doc_id: later than
-    all others. Rows with the same doc_id: lines with equal numbers are not earlier than each other.
+    all others. Rows with the same doc_id: lines with equal numbers are not earlier than each other. Of other columns
+    only those in ``carry`` are read, and kept.
     """
-    blocks = to_blocks(docs)
+    blocks = to_blocks(docs, carry)
     ends = ask(blocks, lambda t: (lambda e: (e[0], [e[1]]))(_end_entries(t)), _shared_ends, ["u1"], name="ends")
 
     def variants(t: pa.Table, shared: np.ndarray):
@@ -187,11 +189,20 @@ def dedup_lines(docs: DataFrame, with_text: bool = True) -> DataFrame:
         columns = {"doc_id": t["doc_id"].combine_chunks(), "n_lines": pa.array(total, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
         if with_text:
             columns |= {"text": pa.array(texts, pa.string()), "n_words": pa.array(n_words, pa.int64())}
+        columns |= {c: t[c].combine_chunks() for c in carry}
         return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     schema = "doc_id long, n_lines long, n_removed long, kept_sha256 string" + (", text string, n_words long" if with_text else "")
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     return finish(with_answers(blocks, ends, earlier), make, schema, ["ends", "earlier"])
 
 
+def drop_repeated_lines(docs: DataFrame) -> DataFrame:
+    """docs with the texts that dedup_lines leaves, and n_chars to match; documents that lose all their words go."""
+    lines = dedup_lines(aside(docs), carry=("_others",)).where((F.col("n_words") > 0) | (F.col("n_removed") == 0))
+    left = restored(lines, docs.columns)
+    return left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"), with_text=False)

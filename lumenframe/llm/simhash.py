@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._blocks import parts_of
-from ._shared import salted_join, stash, table
+from ._shared import aside, restored, salted_join, stash, table
 from ._text import mix
 
 SEED = 42
@@ -189,13 +189,13 @@ def near_duplicate_groups(docs: DataFrame, k: int = 4, radius: int = 4, carry: t
 
 def drop_near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
     """docs with one row of each group: that of the smallest doc_id (nulls last), of equal rows one."""
-    no_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    keyed = docs.withColumn("_id", no_id).withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    no_id = F.coalesce("doc_id", F.lit(2**63 - 1))
+    keyed = aside(docs).withColumn("_id", no_id).withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
     marked = near_duplicate_groups(keyed, k, radius, ("_id", "_key"))
     best = marked.groupBy("root").agg(F.min(F.struct("_id", "_key")).alias("best")).select("best.*").distinct()
-    order = Window.partitionBy("_id", "_key").orderBy(*[F.col(c) for c in ("source", "lang") if c in docs.columns], F.lit(0))
     kept = keyed.join(best, ["_id", "_key"], "left_semi")
-    return kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*[f"`{c}`" for c in docs.columns])
+    order = Window.partitionBy("_id", "_key").orderBy(F.xxhash64("_others"))
+    return restored(kept.withColumn("_n", F.row_number().over(order)).where("_n = 1"), docs.columns)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
