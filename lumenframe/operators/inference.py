@@ -76,6 +76,8 @@ def score_images(images: DataFrame, bundle: dict, feature: str | None = None, h:
     if nodes is not None and not isinstance(nodes, Trees):
         nodes = Trees([tuple(r) for r in nodes.select("tree", "node", "is_leaf", "prediction", "feature", "threshold").collect()])
 
+    n_classes = len(bundle["classes"])
+
     def make(pixels):
         raw = bytes_matrix(pixels)
         if not len(raw):
@@ -85,7 +87,7 @@ def score_images(images: DataFrame, bundle: dict, feature: str | None = None, h:
         if weights is not None:
             s = x @ weights[0].T + weights[1]
             return {"scores": lists(s), "prediction": pa.array(s.argmax(axis=1), pa.int32())}
-        votes = np.zeros((len(x), len(bundle["classes"])), np.int64)
+        votes = np.zeros((len(x), n_classes), np.int64)
         for tree in nodes.nodes:
             votes[np.arange(len(x)), nodes.predict(x, tree)] += 1
         return {"scores": pa.nulls(len(x), pa.list_(pa.float64())), "prediction": pa.array(votes.argmax(axis=1), pa.int32())}

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from .catalog_tables import ENTRIES as _TABLES
+from .catalog_vectors import ENTRIES as _VECTORS
 
-ENTRIES = dict(_TABLES)
+ENTRIES = _TABLES | _VECTORS
 
 
 def queries():
