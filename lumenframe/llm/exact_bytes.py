@@ -67,7 +67,8 @@ class Segments:
         start, windows = s[first], np.diff(np.append(first, len(s)))
         end = start + windows + length - 1
         content = mix(((prefix[end] - prefix[start]) * inverse[start]) ^ (windows.astype(U64) * BASE))
-        return start + lo, windows, grams[best[first]], content
+        # the smallest hashes crowd at the low end: mixed again, they spread over all parts
+        return start + lo, windows, mix(grams[best[first]] + BASE), content
 
 
 def _entries(t: pa.Table, length: int, anchor: int):
