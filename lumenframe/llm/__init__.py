@@ -32,6 +32,8 @@ def queries():
 def oracle_sql():
     from .chat import OP5_SQL
     from .decontaminate import OP8_SQL
+    from .exact_bytes import OP4_SQL
+    from .lines import OP10_SQL
     from .mixing import OP2_SQL
     from .passages import OP3_SQL
     from .quality import OP1_SQL
@@ -40,6 +42,8 @@ def oracle_sql():
         "op1_quality_rules": OP1_SQL,
         "op2_mixing": OP2_SQL,
         "op3_substring_dedup": OP3_SQL,
+        "op4_suffix_dedup": OP4_SQL,
         "op5_chat_format": OP5_SQL,
         "op8_decontaminate": OP8_SQL,
+        "op10_line_dedup": OP10_SQL,
     }

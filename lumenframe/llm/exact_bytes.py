@@ -246,3 +246,18 @@ def _ramp(counts: np.ndarray) -> np.ndarray:
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(table(spark, sf_dir, "documents"), with_bytes=False)
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(hex(encode(text)), '') AS h FROM documents),
+n AS (SELECT doc_id, h, length(h) // 2 AS n FROM d),
+win AS (SELECT doc_id, i, md5(h[2 * i + 1:2 * i + 400]) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 199)) AS i FROM n WHERE n >= 200)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS c FROM win) WHERE c > 1),
+st AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM rep),
+isl AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM st),
+sp AS (SELECT doc_id, g, min(i) AS a, max(i) + 200 AS b FROM isl GROUP BY doc_id, g),
+gap AS (SELECT doc_id, b AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM sp UNION ALL SELECT doc_id, 0, min(a) FROM sp GROUP BY doc_id),
+tot AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM sp GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(h[2 * a + 1:2 * coalesce(b, n)], '' ORDER BY a) AS k FROM gap JOIN n USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256 FROM n LEFT JOIN tot USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -206,3 +206,16 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"), with_text=False)
+
+
+OP10_SQL = r"""
+WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i - 1 AS no, ls[i] AS line, regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+') AS w FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM raw)),
+o AS (SELECT *, row_number() OVER (ORDER BY doc_id, no) AS ord FROM l),
+v AS (SELECT ord, 0 AS pos, CASE WHEN len(w) < 10 THEN 's ' ELSE 'l ' END || array_to_string(w, ' ') AS k FROM o WHERE len(w) >= 3
+  UNION ALL SELECT ord, i AS pos, 'l ' || array_to_string(list_concat(w[:i - 1], w[i + 1:]), ' ') FROM (SELECT ord, w, unnest(range(1, len(w) + 1)) AS i FROM o WHERE len(w) >= 10)),
+m AS (SELECT ord, pos, min(ord) OVER (PARTITION BY k) AS any_first, min(CASE WHEN pos = 0 THEN ord END) OVER (PARTITION BY k) AS whole_first, min(ord) OVER (PARTITION BY k, pos) AS place_first FROM v),
+gone AS (SELECT DISTINCT ord FROM m WHERE (pos = 0 AND any_first < ord) OR (pos > 0 AND least(whole_first, place_first) < ord)),
+kept AS (SELECT doc_id, count(*) AS n_lines, count(gone.ord) AS n_removed, string_agg(line, chr(10) ORDER BY no) FILTER (gone.ord IS NULL) AS s FROM o LEFT JOIN gone USING (ord) GROUP BY doc_id)
+SELECT raw.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM raw LEFT JOIN kept USING (doc_id)
+"""
