@@ -21,13 +21,27 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def stash(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later stages start from files, not from lineage."""
+_WRITTEN: list[str] = []
+
+
+def forget(spark: SparkSession) -> int:
+    """Deletes what stash wrote for results that are no longer needed; how many tables that were."""
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
+def stash(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: later stages start from files, not from lineage.
+
+    The table stays until the folder is cleared or forget() is called.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
-    if partitions:
-        df = df.coalesce(partitions)
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

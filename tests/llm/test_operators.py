@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lumenframe.llm import _blocks, brown, chat, decontaminate, exact_bytes, langid, lines, mixing, passages, quality, simhash
+from lumenframe.llm._shared import forget, stash
 from lumenframe.llm.suffix import Scratch, suffix_order
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -418,6 +419,13 @@ def test_blocks_keep_every_row(docs, rows):
     assert Counter(got) == Counter((i, t) for i, t, *_ in rows)
 
 
+def test_stashes_can_be_dropped(spark):
+    df = stash(spark.range(3))
+    assert df.count() == 3 and forget(spark) >= 1 and forget(spark) == 0
+    with pytest.raises(Exception):
+        df.count()
+
+
 def test_packing():
     keys = np.sort(np.random.default_rng(0).integers(0, 2**64, 100, dtype=np.uint64))
     col = np.arange(100, dtype=np.uint16)
