@@ -68,7 +68,7 @@ def big(spark, d) -> DataFrame:
     e = table(spark, d, "events")
     k = F.get_json_object("props", "$.k").cast("double")
     f = F.array(F.col("value").cast("double"), k, F.hour("ts").cast("double"), F.col("user_id").cast("double"))
-    return e.join(F.broadcast(event_classes(spark, d)), "event_type").select(F.col("event_id").alias("id"), "label", _split("event_id"), f.alias("features"))
+    return e.join(event_classes(spark, d), "event_type").select(F.col("event_id").alias("id"), "label", _split("event_id"), f.alias("features"))
 
 
 def imbalanced(spark, d) -> DataFrame:
