@@ -111,10 +111,22 @@ BLR1_SQL = with_fixtures(
 
 
 # -- keypoints, codebooks ----------------------------------------------------------------------------------------------
+def sft1(s, d):
+    return _sums(sift.scale_space(fx.images(s, d)), "dog", 3, "scale")
+
+
 def sft2(s, d):
-    """Keypoints with their descriptors as sums (scale space, detection, orientation, description)."""
     k = sift.sift_keypoints(fx.images(s, d))
-    return _sums(k, "descriptor", 3, "rank", "y", "x", "scale_index", F.round(F.col("response").cast("double"), 5).alias("response"), F.round(F.col("orientation").cast("double"), 5).alias("orientation"))
+    return k.select("image_id", "rank", "y", "x", "scale_index", F.round(F.col("response").cast("double"), 5).alias("response"))
+
+
+def sft3(s, d):
+    k = sift.sift_keypoints(fx.images(s, d))
+    return k.select("image_id", "rank", "scale_index", F.round(F.col("orientation").cast("double"), 5).alias("orientation"))
+
+
+def sft4(s, d):
+    return _sums(sift.sift_keypoints(fx.images(s, d)), "descriptor", 3, "rank")
 
 
 def sft5(s, d):
@@ -322,6 +334,34 @@ def snk2(s, d):
     return artifacts.predictions(fx.logits(s, d)).select("image_id", "label", "prediction", F.size("scores").alias("n_scores"))
 
 
+def snk1(s, d):
+    """Features written by split and read back."""
+    path = artifacts.scratch_path(s, "features")
+    artifacts.write_features(fx.features(s, d), path, {"feature": "embedding"})
+    rows, meta = artifacts.read_features(s, path)
+    return rows.groupBy("split").agg(F.count("*").alias("n"), F.round(F.sum(F.aggregate("features", F.lit(0.0), lambda a, x: a + x)), 6).alias("s")).withColumn("feature", F.lit(meta["feature"]))
+
+
+def snk3(s, d):
+    """A bundle written, loaded, and scoring as before."""
+    path = artifacts.scratch_path(s, "bundle")
+    f = fx.features(s, d)
+    unit = s.range(64).select(F.col("id").cast("int").alias("dim"), F.lit(0.0).alias("mean"), F.lit(1.0).alias("scale"))
+    artifacts.save_bundle(path, unit, fx.CLASS_NAMES, "embedding", {"dims": 64}, weights=_weights(s, d))
+    bundle = artifacts.load_bundle(s, path)
+    r = svm.svm_scores(f, bundle["weights"])
+    names = F.array(*[F.lit(c) for c in bundle["classes"]])
+    return r.select("image_id", "prediction", F.element_at(names, F.col("prediction") + 1).alias("class_name"), F.round(F.array_max("scores"), 6).alias("best"))
+
+
+def snk4(s, d):
+    """Metric records written as JSON and read back."""
+    path = artifacts.scratch_path(s, "metrics")
+    conf = metrics.confusion(fx.logits(s, d), 10)
+    artifacts.write_records_json(conf, path)
+    return s.read.schema("label int, prediction int, n long").json(path)
+
+
 def src7(s, d):
     """Metric records as JSON texts, read with the schema of the runs' reader."""
     r = fx.runs(s, d)
@@ -343,7 +383,13 @@ ENTRIES = {
     "hog1_features": (hog1, HOG1_SQL),
     "hog2_cells": (hog2, with_fixtures("fx_gray", more=_HOG.format(cell=4, n=2), then="SELECT image_id, cy::INT AS cy, cx::INT AS cx, bin::INT AS bin, round(v, 5) AS value FROM ce")),
     "blr1_gaussian_blur": (blr1, BLR1_SQL),
+    "snk1_feature_archive": (snk1, with_fixtures("fx_features", then="SELECT split, count(*) AS n, round(sum(list_sum(f)), 6) AS s, 'embedding' AS feature FROM fx_features GROUP BY split")),
+    "snk3_bundle": (snk3, with_fixtures("fx_features", more=_W + ", z AS (SELECT image_id, k, list_inner_product(f, w) + b AS s FROM fx_features, w0), o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY s DESC, k) AS r FROM z)", then="SELECT image_id, k AS prediction, 'class_' || k AS class_name, round(s, 6) AS best FROM o WHERE r = 1")),
+    "snk4_records_json": (snk4, with_fixtures("fx_logits", then="SELECT a.i::INT AS label, b.i::INT AS prediction, (SELECT count(*) FROM fx_logits l WHERE l.label = a.i AND l.prediction = b.i) AS n FROM range(0, 10) AS a(i), range(0, 10) AS b(i)")),
+    "sft1_scale_space": (sft1, None),
     "sft2_keypoints": (sft2, None),
+    "sft3_orientation": (sft3, None),
+    "sft4_descriptors": (sft4, None),
     "sft5_flat": (sft5, SFT5_SQL),
     "sft6_by_split": (sft6, None),
     "km1_assign": (km1, with_fixtures("fx_features", more=_C0 + ", " + _assign_sql(0), then="SELECT image_id, cluster, round(dist, 6) AS distance FROM a0")),

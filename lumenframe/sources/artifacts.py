@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,16 @@ from pyspark.sql import functions as F
 RUN_RECORD = "run string, feature string, model string, seed int, samples struct<train: long, validation: long, test: long>, parameters map<string, string>, seconds struct<extraction: double, training: double, inference: double>, validation struct<accuracy: double, macro_f1: double>, test struct<accuracy: double, macro_precision: double, macro_recall: double, macro_f1: double, confusion_matrix: array<array<long>>>"
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir; a local one where it is unset)."""
+    sc = spark.sparkContext
+    top = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if top is None:
+        top = "file://" + tempfile.mkdtemp(prefix="lumenframe-")
+        sc.setCheckpointDir(top)
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_runs(spark: SparkSession, paths) -> DataFrame:
     """Metric records from JSON files, with an explicit schema."""
     return spark.read.schema(RUN_RECORD).json(paths, multiLine=True)
