@@ -19,8 +19,14 @@ def _sums(df, column: str = "features", digits: int = 4, *keep: str):
     return df.select("image_id", *keep, F.size(v).alias("n"), F.round(total, digits).alias("s"), F.round(weighted, digits).alias("w"))
 
 
+def _rounded(value: str, digits: int) -> str:
+    """SQL: rounded, without a negative zero."""
+    return f"(CASE WHEN round({value}, {digits}) = 0 THEN 0 ELSE round({value}, {digits}) END)"
+
+
 def _sums_sql(value: str, index: str, source: str, digits: int = 4, keys: str = "image_id") -> str:
-    return f"SELECT {keys}, count(*)::INT AS n, round(sum({value}), {digits}) AS s, round(sum({value} * ({index} % 7 + 1)), {digits}) AS w FROM {source} GROUP BY {keys}"
+    total, weighted = _rounded(f"sum({value})", digits), _rounded(f"sum({value} * ({index} % 7 + 1))", digits)
+    return f"SELECT {keys}, count(*)::INT AS n, {total} AS s, {weighted} AS w FROM {source} GROUP BY {keys}"
 
 
 # -- pixels ------------------------------------------------------------------------------------------------------------
@@ -239,7 +245,7 @@ def svm1(s, d):
 SVM1_SQL = with_fixtures(
     "fx_features",
     more=_W + ", " + _grad_sql(0),
-    then="SELECT k AS label, round((SELECT hinge / n FROM n0) + 0.00005::DOUBLE * (SELECT sum(w * w) FROM wd0), 6) AS loss, round(gb, 6) AS grad_b, dim::INT AS dim, round(g, 6) AS grad_w FROM g0 JOIN gb0 USING (k)",
+    then="SELECT k AS label, round((SELECT hinge / n FROM n0) + 0.00005::DOUBLE * (SELECT sum(w * w) FROM wd0), 6) AS loss, (CASE WHEN round(gb, 6) = 0 THEN 0 ELSE round(gb, 6) END) AS grad_b, dim::INT AS dim, (CASE WHEN round(g, 6) = 0 THEN 0 ELSE round(g, 6) END) AS grad_w FROM g0 JOIN gb0 USING (k)",
 )
 
 
@@ -255,7 +261,7 @@ def _next_sql(i: int, rate: str) -> str:
 SVM2_SQL = with_fixtures(
     "fx_features",
     more="w0 AS (SELECT i::INT AS k, 0.0::DOUBLE AS b, [0.0::DOUBLE FOR z IN range(0, 64)] AS w FROM range(0, 10) AS t(i)), " + _grad_sql(0) + ", " + _next_sql(0, "0.5::DOUBLE") + ", " + _grad_sql(1) + ", " + _next_sql(1, "(0.5::DOUBLE / sqrt(2.0::DOUBLE))"),
-    then="SELECT k AS label, round(b, 6) AS bias, dim::INT AS dim, round(w, 6) AS w FROM x1",
+    then="SELECT k AS label, (CASE WHEN round(b, 6) = 0 THEN 0 ELSE round(b, 6) END) AS bias, dim::INT AS dim, (CASE WHEN round(w, 6) = 0 THEN 0 ELSE round(w, 6) END) AS w FROM x1",
 )
 
 
@@ -378,7 +384,7 @@ ENTRIES = {
     "pre3_pixel_features": (pre3, with_fixtures("fx_px", then=_sums_sql(_PX, "i", "fx_px", keys="image_id, label"))),
     "pre4_channel_stats": (pre4, with_fixtures("fx_px", more=_STATS, then="SELECT c::INT AS channel, round(m, 8) AS mean, round(sd, 8) AS std FROM st")),
     "pre5_normalize_channels": (pre5, with_fixtures("fx_px", more=_STATS + ", v AS (SELECT image_id, i, ((v / 255.0::DOUBLE - m) / sd)::FLOAT::DOUBLE AS v FROM fx_px JOIN st USING (c))", then=_sums_sql("v", "i", "v", 2))),
-    "pre6_fit_scaler": (pre6, with_fixtures("fx_dims", more=_SCALER, then="SELECT dim, round(m, 9) AS mean, round(sd, 9) AS scale FROM sc")),
+    "pre6_fit_scaler": (pre6, with_fixtures("fx_dims", more=_SCALER, then="SELECT dim, (CASE WHEN round(m, 9) = 0 THEN 0 ELSE round(m, 9) END) AS mean, round(sd, 9) AS scale FROM sc")),
     "pre7_apply_scaler": (pre7, with_fixtures("fx_dims", more=_SCALER + ", v AS (SELECT image_id, split, dim, ((x - m) / sd)::FLOAT::DOUBLE AS v FROM fx_dims JOIN sc USING (dim))", then=_sums_sql("v", "dim", "v", 3, "image_id, split"))),
     "hog1_features": (hog1, HOG1_SQL),
     "hog2_cells": (hog2, with_fixtures("fx_gray", more=_HOG.format(cell=4, n=2), then="SELECT image_id, cy::INT AS cy, cx::INT AS cx, bin::INT AS bin, round(v, 5) AS value FROM ce")),
@@ -393,8 +399,8 @@ ENTRIES = {
     "sft5_flat": (sft5, SFT5_SQL),
     "sft6_by_split": (sft6, None),
     "km1_assign": (km1, with_fixtures("fx_features", more=_C0 + ", " + _assign_sql(0), then="SELECT image_id, cluster, round(dist, 6) AS distance FROM a0")),
-    "km2_step": (km2, with_fixtures("fx_features", more=", ".join([_C0, _assign_sql(0), _update_sql(0)]), then="SELECT cluster, dim::INT AS dim, round(v, 6) AS value FROM u0")),
-    "km3_fit": (km3, with_fixtures("fx_features", more=", ".join([_C0, *[x for i in range(3) for x in (_assign_sql(i), _update_sql(i))]]), then="SELECT cluster, dim::INT AS dim, round(v, 6) AS value FROM u2")),
+    "km2_step": (km2, with_fixtures("fx_features", more=", ".join([_C0, _assign_sql(0), _update_sql(0)]), then="SELECT cluster, dim::INT AS dim, (CASE WHEN round(v, 6) = 0 THEN 0 ELSE round(v, 6) END) AS value FROM u0")),
+    "km3_fit": (km3, with_fixtures("fx_features", more=", ".join([_C0, *[x for i in range(3) for x in (_assign_sql(i), _update_sql(i))]]), then="SELECT cluster, dim::INT AS dim, (CASE WHEN round(v, 6) = 0 THEN 0 ELSE round(v, 6) END) AS value FROM u2")),
     "bow1_codebook": (bow1, None),
     "bow2_encode": (bow2, BOW2_SQL),
     "svm1_hinge_gradient": (svm1, SVM1_SQL),
