@@ -126,6 +126,11 @@ class Model:
         self.log_context = np.log10(MIX * move / (size + kinds + 1) + (1 - MIX) / (self.tokens + self.kinds_all + 1))
 
 
+def _level(n: np.ndarray) -> np.ndarray:
+    """Eighths of powers of two."""
+    return np.floor(np.log2(n) * 8).astype(np.int64)
+
+
 def _fit(blocks: DataFrame, sent: DataFrame, remainder: int, modulus: int) -> Model:
     spark = blocks.sparkSession
 
@@ -140,12 +145,26 @@ def _fit(blocks: DataFrame, sent: DataFrame, remainder: int, modulus: int) -> Mo
         own = shape[word]
         by_n, by_kind = np.bincount(own, weights=n[word], minlength=SHAPES), np.bincount(own, minlength=SHAPES)
         end = int(n[keys[first] == END].sum())
-        rows = [*((0, int(keys[first[i]].view(np.int64)), int(n[i]), int(shape[i])) for i in top), *((1, s, int(by_n[s]), int(by_kind[s])) for s in range(SHAPES)), (2, 0, end, 0)]
+        level = _level(np.maximum(n, 1))
+        levels, many = np.unique(level[word], return_counts=True)
+        rows = [
+            *((0, int(keys[first[i]].view(np.int64)), int(n[i]), int(shape[i]) + 256 * int(level[i])) for i in top),
+            *((1, s, int(by_n[s]), int(by_kind[s])) for s in range(SHAPES)),
+            (2, 0, end, 0),
+            *((3, int(a), int(b), 0) for a, b in zip(levels, many)),
+        ]
         return pa.table({c: pa.array([r[j] for r in rows], pa.int64()) for j, c in enumerate(("kind", "key", "n", "extra"))})
 
     stats = stash(sent.groupBy("part").applyInArrow(summary, "kind long, key long, n long, extra long"))
-    top = stats.where("kind = 0").orderBy(F.desc("n"), "key").limit(VOCABULARY).toPandas()
-    sums = stats.where("kind > 0").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("extra").alias("extra")).collect()
+    # how many words there are of each level of counts tells from which level on the most frequent are: fewer rows are sorted
+    left, least = VOCABULARY, 0
+    for r in stats.where("kind = 3").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("key")).collect():
+        left, least = left - r["n"], r["key"]
+        if left <= 0:
+            break
+    top = stats.where((F.col("kind") == 0) & (F.col("extra") >= 256 * least)).orderBy(F.desc("n"), "key").limit(VOCABULARY).toPandas()
+    top["extra"] %= 256
+    sums = stats.where("kind IN (1, 2)").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("extra").alias("extra")).collect()
     shape_n, shape_kinds, ends = np.zeros(SHAPES), np.zeros(SHAPES), 0
     for r in sums:
         if r["kind"] == 1:
