@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .metrics import confusion
 
+CELLS = 4096
+
 
 def margins(df: DataFrame) -> DataFrame:
     """Adds margin (largest minus second largest score; 0 without two scores) and correct. A negative id is an error."""
@@ -66,14 +68,24 @@ def representatives(losses: DataFrame) -> DataFrame:
     The place is found by counts of loss cells: only the rows of one cell of each group are sorted.
     """
     narrow = losses.select("image_id", "correct", "loss")
-    groups = narrow.groupBy("correct").agg(F.count("*").alias("n"), F.min("loss").alias("a"), F.max("loss").alias("b"))
-    if groups.count() < 2:
+    groups = {r["correct"]: r for r in narrow.groupBy("correct").agg(F.count("*").alias("n"), F.min("loss").alias("a"), F.max("loss").alias("b")).collect()}
+    if not groups.get(True) or not groups.get(False):
         raise ValueError("a group has no rows")
-    cell = F.floor((F.col("loss") - F.col("a")) / F.when(F.col("b") > F.col("a"), F.col("b") - F.col("a")).otherwise(1.0) * 4096).cast("int")
-    placed = narrow.join(F.broadcast(groups), "correct").withColumn("cell", cell)
-    counts = placed.groupBy("correct", "cell").agg(F.count("*").alias("c"), F.first("n").alias("n"))
-    up_to = F.sum("c").over(Window.partitionBy("correct").orderBy("cell"))
-    middle = counts.withColumn("before", up_to - F.col("c")).where((F.col("before") <= F.floor(F.col("n") / 2)) & (F.floor(F.col("n") / 2) < F.col("before") + F.col("c"))).select("correct", "cell", "before")
-    nth = F.row_number().over(Window.partitionBy("correct").orderBy("loss", "image_id")) - 1
-    found = placed.join(F.broadcast(middle), ["correct", "cell"]).withColumn("place", F.col("before") + nth)
-    return found.where(F.col("place") == F.floor(F.col("n") / 2)).select("correct", "image_id", "loss", "n")
+
+    def cell(g):
+        return F.floor((F.col("loss") - g["a"]) / ((g["b"] - g["a"]) or 1.0) * CELLS).cast("int")
+
+    placed = narrow.withColumn("cell", F.when(F.col("correct"), cell(groups[True])).otherwise(cell(groups[False])))
+    counts = placed.groupBy("correct", "cell").count().collect()  # at most CELLS + 1 a group
+    parts = []
+    for right in (True, False):
+        g = groups[right]
+        own, before, middle = sorted((r["cell"], r["count"]) for r in counts if r["correct"] == right), 0, g["n"] // 2
+        for at, n in own:
+            if before + n > middle:
+                break
+            before += n
+        nth = F.row_number().over(Window.partitionBy("correct").orderBy("loss", "image_id")) - 1 + before
+        inside = placed.where((F.col("correct") == right) & (F.col("cell") == at)).withColumn("place", nth)
+        parts.append(inside.where(F.col("place") == middle).select("correct", "image_id", "loss", F.lit(g["n"]).cast("long").alias("n")))
+    return parts[0].unionByName(parts[1])
