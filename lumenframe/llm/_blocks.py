@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import stash
+from ._text import release
 
 BLOCK_BYTES = 4 << 20
 BLOCK_SCHEMA = "block_id long, payload binary"
@@ -129,6 +130,8 @@ def send_keys(blocks: DataFrame, emit: Callable[..., tuple[np.ndarray, list[np.n
                     some = full[at : at + 64]
                     blobs = [pack(keys[cuts[p] : cuts[p + 1]], [c[cuts[p] : cuts[p + 1]] for c in columns]) for p in some]
                     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array(blobs, pa.binary())], names=["part", "block_id", "blob"])
+                del keys, columns, own
+                release()
 
     return blocks.select("block_id", "payload", *answers).mapInArrow(send, "part int, block_id long, blob binary")
 
@@ -178,6 +181,7 @@ def finish(blocks: DataFrame, make: Callable[..., pa.RecordBatch], schema: str,
         for batch in batches:
             for i in range(batch.num_rows):
                 yield make(from_ipc(batch.column("payload")[i].as_py()), *[codes_of(batch.column(c)[i].as_py()) for c in answers])
+                release()
 
     return blocks.select("payload", *answers).mapInArrow(run, schema)
 

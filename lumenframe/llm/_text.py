@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15 | 1)
@@ -47,6 +50,34 @@ def powers(n: int, base: np.uint64 = BASE) -> np.ndarray:
     return _powers(max(10, int(n).bit_length()), int(base))
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows with some ``limit`` bytes of text: work arrays grow with a run, not with a batch."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) + 8)
+    at = 0
+    while at < batch.num_rows:
+        done = int(ends[at - 1]) if at else 0
+        upto = max(int(np.searchsorted(ends, done + limit, side="right")), at + 1)
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
+@lru_cache(maxsize=1)
+def _libc():
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.malloc_trim  # noqa: B018
+        return libc
+    except (OSError, AttributeError):
+        return None
+
+
+def release() -> None:
+    """Gives freed memory back: Python workers live on between tasks, beside each other in one executor."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
+
+
 def string_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the offsets of its rows (null: empty)."""
     if isinstance(column, pa.ChunkedArray):

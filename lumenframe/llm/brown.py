@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ._blocks import answer_keys, distinct, finish, part_of_keys, send_keys, to_blocks, with_answers
 from ._shared import stash, table
-from ._text import Words
+from ._text import Words, release
 
 #: The most frequent words have a class each found by exchange; the others have the class of their shape.
 VOCABULARY = 20_000
@@ -185,6 +185,7 @@ def _fit(blocks: DataFrame, sent: DataFrame, remainder: int, modulus: int) -> Mo
                 t = pa.ipc.open_stream(payload.as_py()).read_all().combine_chunks()
                 t = t.filter(pa.array(~_held_out(t, remainder, modulus)))
                 yield pa.RecordBatch.from_arrays([pa.array([shared.value.symbols(Tokens(t)).astype(np.uint16).tobytes()], pa.binary())], names=["symbols"])
+                release()
 
     encoded = stash(blocks.mapInArrow(encode, "symbols binary"))
     symbols = len(model.cls)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import aside, restored, stash, table
-from ._text import ALNUM_WORD, Words, grams, within
+from ._text import ALNUM_WORD, Words, grams, release, slices, within
 
 WINDOW = 10
 K = 5
@@ -149,11 +149,12 @@ def _by_broadcast(docs: DataFrame, items: DataFrame, window: int, k: int, carry:
 
     def run(batches):
         index = Items(shared.value, window, k)
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch)):
             words = Words(b.column("text"), ALNUM_WORD, lower=True)
             hit, met = index.mark(words)
             columns = _report(b.column("doc_id"), words, hit, [{index.ids[i] for i in m} for m in met])
             yield pa.RecordBatch.from_arrays([*columns, *[b.column(c) for c in carry]], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *carry])
+        release()
 
     return docs.mapInArrow(run, SCHEMA + _fields(docs, carry))
 
@@ -164,7 +165,7 @@ def _by_join(docs: DataFrame, items: DataFrame, window: int, k: int, carry: tupl
 
     def prints(name, everything):
         def run(batches):
-            for b in batches:
+            for b in (part for batch in batches for part in slices(batch)):
                 words = Words(b.column("text"), ALNUM_WORD, lower=True)
                 n = np.diff(words.first)
                 own, keys = [], []
@@ -206,7 +207,7 @@ def _by_join(docs: DataFrame, items: DataFrame, window: int, k: int, carry: tupl
 
 def _lengths(window: int):
     def run(batches):
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch)):
             n = np.diff(Words(b.column("text"), ALNUM_WORD, lower=True).first)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(n[n > 0], window), pa.int32())], names=["n"])
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ._blocks import ask, codes_of, distinct, from_ipc, parts_of, to_blocks, with_answers
 from ._shared import stash, table
-from ._text import BASE, BYTE_CODE, U64, cover, mix, powers, string_bytes
+from ._text import BASE, BYTE_CODE, U64, cover, mix, powers, release, string_bytes
 from .suffix import Scratch, suffix_order
 
 LENGTH = 200
@@ -149,6 +149,7 @@ def _by_suffixes(group: pa.Table, length: int) -> pa.Table:
             continue
         laid = np.concatenate([texts[begin[i] : begin[i] + sizes[i]] for i in own])
         mask = repeated_windows(laid, sizes[own], length)
+        release()
         for i, part in zip(own, np.split(mask, np.cumsum(sizes[own])[:-1])):
             flags[i] = part[: sizes[i] - length + 1]
     blobs, at = [], 0
@@ -196,6 +197,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = A
                     texts = np.concatenate([data[a : a + n] for a, n in zip(segments.start[some[mine]], sizes)])
                     blob = _deflate(segments.key[some[mine]], entry[mine].astype(np.uint32), sizes.astype(np.uint32), texts)
                     yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), batch.column("block_id").slice(i, 1), pa.array([blob], pa.binary())], names=["part", "block_id", "blob"])
+                release()
 
     asked = with_answers(blocks, judged)
     sent = asked.mapInArrow(send, "part int, block_id long, blob binary")
@@ -206,6 +208,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = A
         for batch in batches:
             for i in range(batch.num_rows):
                 yield make(from_ipc(batch.column("payload")[i].as_py()), codes_of(batch.column("judged")[i].as_py()), batch.column("found")[i].as_py() or [])
+                release()
 
     def make(t: pa.Table, codes: np.ndarray, blobs: list[bytes]) -> pa.RecordBatch:
         data, offsets, segments, first, group = _entries(t, length, anchor)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import aside, restored, table
-from ._text import string_bytes
+from ._text import release, slices, string_bytes
 
 HIDDEN = 8
 #: Positions that the network runs over at once; texts are cut into so long pieces, every position belongs to one.
@@ -214,7 +214,7 @@ def predict(docs: DataFrame, model: ByteGRU | None, carry: tuple = ()) -> DataFr
 
     def run(batches):
         net = shared.value
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch)):
             has = np.asarray(b.column("_letter").to_numpy(zero_copy_only=False), dtype=bool)
             names, scores = np.full(b.num_rows, UNKNOWN, dtype=object), np.zeros(b.num_rows)
             if net is not None and has.any():
@@ -222,6 +222,7 @@ def predict(docs: DataFrame, model: ByteGRU | None, carry: tuple = ()) -> DataFr
                 names[has] = np.array(net.labels, dtype=object)[p.argmax(axis=1)]
                 scores[has] = np.round(np.clip(p.max(axis=1), 0, 1), 6)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carry], pa.array(names, pa.string()), pa.array(scores)], names=[*carry, "lang_pred", "score"])
+        release()
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for c in carry for f in [docs.schema[c]])
     narrow = docs.select(*carry, *([] if "text" in carry else ["text"]), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ._blocks import parts_of
 from ._shared import aside, restored, salted_join, stash, table
-from ._text import mix
+from ._text import mix, release, slices
 
 SEED = 42
 #: Variants that a task holds at once.
@@ -45,9 +45,10 @@ def fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
     others = [c for c in docs.columns if c not in ("text", "fp")]
 
     def run(batches):
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch)):
             fps = [fingerprint(shingle_hashes(t.as_py(), k)) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in others], pa.array(np.array(fps, np.uint64).view(np.int64))], names=[*others, "fp"])
+        release()
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in others]
     return docs.select(*others, F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join([*fields, "fp long"]))
@@ -137,6 +138,7 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
                 z2, y2 = z[order], y[by[order]]
                 at = np.flatnonzero(z2[1:] == z2[:-1])
                 found.append(np.unique(np.stack([y2[at], y2[at + 1]], axis=1), axis=0))
+        release()
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.uint64)
         pairs = pairs[(np.bitwise_count(pairs[:, 0] ^ pairs[:, 1]) <= radius) & (pairs[:, 0] != pairs[:, 1])]
         return pa.table({"u": pairs[:, 0].copy().view(np.int64), "v": pairs[:, 1].copy().view(np.int64)})
