@@ -191,6 +191,17 @@ def bow1(s, d):
     return _center_rows(codebook.bovw_fit(fx.words(s, d).where("split = 'train'"), k=12, max_iter=5))
 
 
+def _bow1_sql(k: int = 12, rounds: int = 5) -> str:
+    key = "image_id || '/' || rank"
+    parts = [f"p AS (SELECT {key} AS id, d AS f FROM fx_words WHERE split = 'train')", f"c0 AS (SELECT (row_number() OVER (ORDER BY md5('42:' || id), id) - 1)::INT AS cluster, f AS c FROM p QUALIFY row_number() OVER (ORDER BY md5('42:' || id), id) <= {k})"]
+    for i in range(rounds):
+        dist = "greatest(list_inner_product(f, f) + list_inner_product(c, c) - 2 * list_inner_product(f, c), 0)"
+        parts.append(f"a{i} AS (SELECT id, f, cluster FROM (SELECT id, f, cluster, row_number() OVER (PARTITION BY id ORDER BY {dist}, cluster) AS r FROM p, c{i}) WHERE r = 1)")
+        parts.append(f"u{i} AS (SELECT cluster, dim, avg(v) AS v FROM (SELECT cluster, unnest(range(0, 16)) AS dim, unnest(f) AS v FROM a{i}) GROUP BY cluster, dim)")
+        parts.append(f"c{i + 1} AS (SELECT cluster, list(v ORDER BY dim) AS c FROM u{i} GROUP BY cluster)")
+    return with_fixtures("fx_words", more=", ".join(parts), then=f"SELECT cluster, dim::INT AS dim, {_rounded('v', 6)} AS value FROM u{rounds - 1}")
+
+
 _WORDS = 5
 
 
@@ -401,7 +412,7 @@ ENTRIES = {
     "km1_assign": (km1, with_fixtures("fx_features", more=_C0 + ", " + _assign_sql(0), then="SELECT image_id, cluster, round(dist, 6) AS distance FROM a0")),
     "km2_step": (km2, with_fixtures("fx_features", more=", ".join([_C0, _assign_sql(0), _update_sql(0)]), then="SELECT cluster, dim::INT AS dim, (CASE WHEN round(v, 6) = 0 THEN 0 ELSE round(v, 6) END) AS value FROM u0")),
     "km3_fit": (km3, with_fixtures("fx_features", more=", ".join([_C0, *[x for i in range(3) for x in (_assign_sql(i), _update_sql(i))]]), then="SELECT cluster, dim::INT AS dim, (CASE WHEN round(v, 6) = 0 THEN 0 ELSE round(v, 6) END) AS value FROM u2")),
-    "bow1_codebook": (bow1, None),
+    "bow1_codebook": (bow1, _bow1_sql()),
     "bow2_encode": (bow2, BOW2_SQL),
     "svm1_hinge_gradient": (svm1, SVM1_SQL),
     "svm2_fit": (svm2, SVM2_SQL),
