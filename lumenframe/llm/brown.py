@@ -7,14 +7,15 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._blocks import answer_keys, distinct, finish, part_of_keys, send_keys, to_blocks, with_answers
+from ._blocks import _to_ipc, answer_keys, codes_of, distinct, finish, from_ipc, pack, part_of_keys, parts_of, send_keys, squeeze, to_blocks, unpack, with_answers
 from ._shared import stash, table
 from ._text import Words, release
 
-#: The most frequent words have a class each found by exchange; the others have the class of their shape.
+#: The most frequent words move one after the other, on the driver; the others side by side, in tasks.
 VOCABULARY = 20_000
 CLASSES = 64
 SHAPES = 16
@@ -23,6 +24,12 @@ ROUNDS = 4
 MIX = 0.8
 PRIOR = 5.0
 END = np.uint64(1)
+#: Of an entry of a rare word: up to 63 the class before it, up to 127 the class after it, then its own class.
+AFTER, OWN = 64, 128
+#: In a round, words that are not frequent move in so many runs; each run sees what the runs before it changed.
+WAVES = 16
+#: Entries whose gains are weighed at once.
+AT_ONCE = 1 << 13
 CHUNKS = 32
 
 
@@ -61,7 +68,11 @@ def _totals(keys, columns) -> np.ndarray:
 
 
 class Model:
-    """vocab: sorted hashes; cls: class of each (then of each shape, then END); size, kinds: tokens and words of each class."""
+    """vocab: sorted hashes of the frequent words; cls: class of each symbol; symbol_n, symbol_kinds: tokens and words of each.
+
+    Symbols are the frequent words, then the other words of each class together (class 0: only the end). The others
+    start in the classes of their shapes (1 .. SHAPES); words that were not learned stay there.
+    """
 
     def __init__(self, hashes, counts, shapes, shape_n, shape_kinds, tokens, kinds, ends):
         rank = np.argsort(-counts, kind="stable")
@@ -71,31 +82,41 @@ class Model:
         free = CLASSES - SHAPES - 1
         cls = np.empty(len(hashes), np.int64)
         cls[rank] = 1 + SHAPES + np.arange(len(hashes)) % free
-        # symbols: words, shapes, end; class 0 is the end's, 1 .. SHAPES the shapes'
-        self.cls = np.concatenate([cls[order], 1 + np.arange(SHAPES), [0]])
-        self.symbol_n = np.concatenate([self.count, shape_n, [ends]]).astype(np.float64)
-        self.symbol_kinds = np.concatenate([np.ones(len(hashes)), shape_kinds, [1 if ends else 0]])
+        self.cls = np.concatenate([cls[order], np.arange(CLASSES)])
+        self.symbol_n = np.concatenate([self.count, [ends], shape_n, np.zeros(free)]).astype(np.float64)
+        self.symbol_kinds = np.concatenate([np.ones(len(hashes)), [1 if ends else 0], shape_kinds, np.zeros(free)])
 
-    def symbols(self, tokens: Tokens) -> np.ndarray:
+    def rare(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol of each key that is a frequent word or the end, and which keys are neither."""
         n = len(self.vocab)
-        out = n + np.where(tokens.shape == 255, SHAPES, tokens.shape).astype(np.int64)
+        out = np.where(keys == END, n, -1).astype(np.int64)
         if n:
-            at = np.minimum(np.searchsorted(self.vocab, tokens.hash), n - 1)
-            out = np.where(self.vocab[at] == tokens.hash, at, out)
+            at = np.minimum(np.searchsorted(self.vocab, keys), n - 1)
+            out = np.where(self.vocab[at] == keys, at, out)
+        return out, np.flatnonzero(out < 0)
+
+    def symbols(self, keys: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """The symbol of each key, from the classes of the rare ones among them."""
+        out, rare = self.rare(keys)
+        out[rare] = len(self.vocab) + classes.astype(np.int64)
         return out
 
+    def regroup(self, n: np.ndarray, kinds: np.ndarray) -> None:
+        """Tokens and kinds of the rare words of each class, after they moved."""
+        first = len(self.vocab) + 1
+        self.symbol_n[first:], self.symbol_kinds[first:] = n[1:], kinds[1:]
+
     def exchange(self, right: np.ndarray, left: np.ndarray) -> int:
         """One pass over the words: each goes to the class that raises the likelihood of the class bigrams most.
 
         right, left: how often each symbol is followed and preceded by each class. Returns how many words moved.
         """
-        f = lambda x: x * np.log(np.maximum(x, 1))
-        k, n = CLASSES, len(self.vocab)
+        f, k = _xlogx, CLASSES
         m = np.zeros((k, k))
         np.add.at(m, self.cls, right)
         size = np.bincount(self.cls, weights=self.symbol_n, minlength=k)
         fm, fs = f(m), f(size)
-        free, moved = slice(1 + SHAPES, k), 0
+        free, moved = slice(1, k), 0
         for w in np.argsort(-self.count, kind="stable"):
             a, r, l, c = self.cls[w], right[w], left[w], float(self.count[w])
             m[a] -= r
@@ -104,8 +125,8 @@ class Model:
             size[a] -= c
             fm[a], fm[:, a], fs[a] = f(m[a]), f(m[:, a]), f(size[a])
             gain = (f(m[free] + r) - fm[free]).sum(axis=1) + (f(m[:, free] + l[:, None]) - fm[:, free]).sum(axis=0) - 2 * (f(size[free] + c) - fs[free])
-            b = int(np.argmax(gain)) + 1 + SHAPES
-            if gain[b - 1 - SHAPES] <= gain[a - 1 - SHAPES] + 1e-9:
+            b = int(np.argmax(gain)) + 1
+            if gain[b - 1] <= gain[a - 1] + 1e-9:
                 b = a
             moved += b != a
             self.cls[w] = b
@@ -126,12 +147,59 @@ class Model:
         self.log_context = np.log10(MIX * move / (size + kinds + 1) + (1 - MIX) / (self.tokens + self.kinds_all + 1))
 
 
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
+
+
+def exchange_rare(word: np.ndarray, code: np.ndarray, n: np.ndarray, own: np.ndarray, count: np.ndarray, m: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The class of each word that raises the likelihood of the class bigrams ``m`` most, all other words staying.
+
+    word, code, n: how often each word (ascending) has a class before it (code: the class) or after it (AFTER + class).
+    own, count: class and tokens of each word. size: tokens of each class. The same gain as Model.exchange.
+    """
+    out, k = own.copy(), CLASSES
+    first = np.searchsorted(word, np.arange(len(own) + 1))
+    lo = 0
+    while lo < len(own):
+        hi = max(lo + 1, int(np.searchsorted(first, first[lo] + AT_ONCE, side="right")) - 1)
+        e = slice(first[lo], first[hi])
+        w, c, r = word[e] - lo, code[e] % AFTER, n[e].astype(np.float64)
+        after = code[e] >= AFTER
+        a = own[lo:hi]
+        x = np.where(after[:, None], m.T[c], m[c])
+        x[np.arange(len(w)), a[w]] -= r
+        # neighbours in the word's own class: their column or row has lost the word, too
+        some, at = np.unique(w[c == a[w]], return_inverse=True)
+        if len(some):
+            place = np.full(hi - lo, -1)
+            place[some] = np.arange(len(some))
+            dense = np.zeros((len(some), 2, k))
+            has = place[w] >= 0
+            dense[place[w[has]], after[has].astype(int), c[has]] = r[has]
+            here = np.flatnonzero(c == a[w])
+            x[here] -= dense[at, 1 - after[here].astype(int)]
+        np.maximum(x, 0, out=x)
+        gain = np.zeros((hi - lo, k))
+        if len(w):
+            starts = np.flatnonzero(np.diff(w, prepend=-1))
+            gain[w[starts]] = np.add.reduceat(_xlogx(x + r[:, None]) - _xlogx(x), starts)
+        left = np.repeat(size[None, :], hi - lo, axis=0)
+        left[np.arange(hi - lo), a] = np.maximum(size[a] - count[lo:hi], 0)
+        gain -= 2 * (_xlogx(left + count[lo:hi, None]) - _xlogx(left))
+        best = np.argmax(gain[:, 1:], axis=1) + 1
+        rows = np.arange(hi - lo)
+        out[lo:hi] = np.where(gain[rows, best] > gain[rows, a] + 1e-9, best, a)
+        lo = hi
+    return out
+
+
 def _level(n: np.ndarray) -> np.ndarray:
     """Eighths of powers of two."""
     return np.floor(np.log2(n) * 8).astype(np.int64)
 
 
-def _fit(blocks: DataFrame, sent: DataFrame, remainder: int, modulus: int) -> Model:
+def _fit(blocks: DataFrame, sent: DataFrame, remainder: int, modulus: int) -> tuple[Model, DataFrame]:
+    """The model, and (block_id, classes): the classes of the rare words of each block."""
     spark = blocks.sparkSession
 
     def summary(group: pa.Table) -> pa.Table:
@@ -181,68 +249,172 @@ def _fit(blocks: DataFrame, sent: DataFrame, remainder: int, modulus: int) -> Mo
 
     def encode(batches):
         for b in batches:
-            for payload in b.column("payload"):
-                t = pa.ipc.open_stream(payload.as_py()).read_all().combine_chunks()
-                t = t.filter(pa.array(~_held_out(t, remainder, modulus)))
-                yield pa.RecordBatch.from_arrays([pa.array([shared.value.symbols(Tokens(t)).astype(np.uint16).tobytes()], pa.binary())], names=["symbols"])
+            for block, payload in zip(b.column("block_id"), b.column("payload")):
+                t = from_ipc(payload.as_py())
+                tokens, train = Tokens(t), ~_held_out(t, remainder, modulus)
+                first, group = distinct(tokens.hash)
+                keys = tokens.hash[first]
+                _, rare = shared.value.rare(keys)
+                t = pa.table({"keys": pa.array([pack(keys, [])], pa.binary()), "ids": pa.array([_shrink(group[train[tokens.row]].astype(np.uint32))], pa.binary())})
+                classes = squeeze((1 + tokens.shape[first][rare]).astype(np.uint8))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block.as_py()], pa.int64()), pa.array([_to_ipc(t)], pa.binary()), pa.array([[classes]], pa.list_(pa.binary()))], names=["block_id", "payload", "classes"]
+                )
                 release()
 
-    encoded = stash(blocks.mapInArrow(encode, "symbols binary"))
-    symbols = len(model.cls)
-    for step in range(ROUNDS + 1):
-        right, left = _contexts(encoded, spark.sparkContext.broadcast(model.cls), symbols)
-        if step == ROUNDS or model.exchange(right, left) == 0:
+    # dealt by block once and kept so: the classes of each round join it without another shuffle of the tokens
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    encoded = blocks.mapInArrow(encode, "block_id long, payload binary, classes array<binary>").repartition(parts, "block_id").sortWithinPartitions("block_id").persist(StorageLevel.DISK_ONLY)
+    state, classes = encoded, stash(encoded.select("block_id", "classes"))
+    for step in range(ROUNDS):
+        moved = model.exchange(*_contexts(state, model))
+        classes, rare_moved = _move_rare(state, model, step)
+        state = with_answers(encoded.drop("classes"), classes)
+        if moved + rare_moved == 0 and step:
             break
-    if step < ROUNDS:
-        right, _ = _contexts(encoded, spark.sparkContext.broadcast(model.cls), symbols)
-    model.estimate(right)
-    return model
+    model.estimate(_contexts(state, model)[0])
+    encoded.unpersist()
+    return model, classes
 
 
-def _contexts(encoded: DataFrame, cls, symbols: int) -> tuple[np.ndarray, np.ndarray]:
-    """How often each symbol is followed and preceded by each class: sums of one matrix a task, so bounded by symbols x classes."""
-    cells = symbols * CLASSES
+def _symbols(net: Model, t: pa.Table, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and their symbols, and the key of each training token of a block."""
+    keys = unpack(t["keys"][0].as_py(), [])[0]
+    return keys, net.symbols(keys, codes), _grow(t["ids"][0].as_py(), np.uint32).astype(np.int64)
+
+
+def _summed(state: DataFrame, model: Model, cells: int, count_block) -> np.ndarray:
+    """Sums over all blocks of count_block(model, table, classes), arrays of ``cells`` counts."""
+    shared = state.sparkSession.sparkContext.broadcast(model)
 
     def count(batches):
-        c = cls.value
-        both = np.zeros(2 * cells, np.int64)
+        both = np.zeros(cells, np.int64)
         for b in batches:
-            for s in b.column("symbols"):
-                x = np.frombuffer(s.as_py(), np.uint16).astype(np.int64)
-                if not len(x):
-                    continue
-                before = np.concatenate([[symbols - 1], x[:-1]])
-                both[:cells] += np.bincount(before * CLASSES + c[x], minlength=cells)
-                both[cells:] += np.bincount(x * CLASSES + c[before], minlength=cells)
+            for payload, codes in zip(b.column("payload"), b.column("classes")):
+                both += count_block(shared.value, from_ipc(payload.as_py()), codes_of(codes.as_py()))
         for i, part in enumerate(np.array_split(both, CHUNKS)):
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([_shrink(part)], pa.binary())], names=["chunk", "counts"])
+        release()
 
     def add(group: pa.Table) -> pa.Table:
         total = sum(_grow(b.as_py()) for b in group["counts"])
         return pa.table({"chunk": group["chunk"].slice(0, 1), "counts": pa.array([_shrink(total)], pa.binary())})
 
-    rows = encoded.mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()
+    rows = state.select("payload", "classes").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()
     parts = {r["chunk"]: _grow(bytes(r["counts"])) for r in rows}
-    both = np.concatenate([parts[i] for i in range(CHUNKS)]) if parts else np.zeros(2 * cells, np.int64)
-    return both[:cells].reshape(symbols, CLASSES).astype(np.float64), both[cells:].reshape(symbols, CLASSES).astype(np.float64)
+    return np.concatenate([parts[i] for i in range(CHUNKS)]) if parts else np.zeros(cells, np.int64)
+
+
+def _contexts(state: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """How often each symbol is followed and preceded by each class: sums of one matrix a task, so bounded by symbols x classes."""
+    symbols = len(model.cls)
+    cells = symbols * CLASSES
+
+    def count(net, t, codes):
+        _, symbol, ids = _symbols(net, t, codes)
+        x = symbol[ids]
+        before = np.concatenate([[len(net.vocab)], x[:-1]])[: len(x)]
+        return np.concatenate([np.bincount(before * CLASSES + net.cls[x], minlength=cells), np.bincount(x * CLASSES + net.cls[before], minlength=cells)])
+
+    both = _summed(state, model, 2 * cells, count).astype(np.float64)
+    return both[:cells].reshape(symbols, CLASSES), both[cells:].reshape(symbols, CLASSES)
+
+
+def _bigrams(state: DataFrame, model: Model) -> np.ndarray:
+    def count(net, t, codes):
+        _, symbol, ids = _symbols(net, t, codes)
+        x = net.cls[symbol[ids]]
+        return np.bincount(np.concatenate([[0], x[:-1]])[: len(x)] * CLASSES + x, minlength=CLASSES * CLASSES)
+
+    return _summed(state, model, CLASSES * CLASSES, count).astype(np.float64).reshape(CLASSES, CLASSES)
+
+
+def _move_rare(state: DataFrame, model: Model, step: int) -> tuple[DataFrame, int]:
+    """One pass over the words that are not frequent: (block_id, classes) of each block's, and how many moved.
+
+    Each part of the key space gets the (word, neighbour class) counts of its words and the class bigrams. Parts move
+    words side by side, so only half of the words move in a round, by their hash, and in WAVES runs: words in like places
+    don't all go at once.
+    """
+    m = _bigrams(state, model)
+    size = np.bincount(model.cls, weights=model.symbol_n, minlength=CLASSES)
+    shared, parts = state.sparkSession.sparkContext.broadcast(model), parts_of(state)
+
+    def emit(t: pa.Table, codes: np.ndarray):
+        net = shared.value
+        keys, symbol, ids = _symbols(net, t, codes)
+        _, rare = net.rare(keys)
+        moves = np.zeros(len(keys), dtype=bool)
+        moves[rare] = (keys[rare] & np.uint64(1)) == np.uint64(step & 1)
+        cls = net.cls[symbol[ids]]
+        before = np.concatenate([[0], cls[:-1]])[: len(cls)]
+        here, ahead = moves[ids], moves[ids[:-1]]
+        seen, n = np.unique(np.concatenate([ids[here] * 256 + before[here], ids[:-1][ahead] * 256 + AFTER + cls[1:][ahead]]), return_counts=True)
+        seen = np.concatenate([seen, rare * 256 + OWN + codes.astype(np.int64)])
+        n = np.concatenate([n, np.bincount(ids, minlength=len(keys))[rare]])
+        by = np.argsort(seen, kind="stable")
+        return keys[seen[by] >> 8], [(seen[by] & 255).astype(np.uint8), n[by].astype(np.uint32)]
+
+    def answer(group: pa.Table) -> pa.Table:
+        keys, (code, n), sizes = part_of_keys(group, ["u1", "u4"])
+        _, word = distinct(keys)
+        mine = code >= OWN
+        words = int(word.max()) + 1 if len(word) else 0
+        own = np.zeros(words, np.int64)
+        own[word[mine]] = code[mine].astype(np.int64) - OWN
+        count = np.bincount(word[mine], weights=n[mine], minlength=words)
+        cell, at = np.unique(word[~mine] * OWN + code[~mine], return_inverse=True)
+        many = np.bincount(at, weights=n[~mine], minlength=len(cell))
+        # a word that is only in texts that were held out, or whose turn it is not, has no neighbours
+        turn = np.full(words, -1)
+        turn[cell // OWN] = cell // OWN % WAVES
+        new, m_, size_ = own.copy(), m.copy(), size.copy()
+        for wave in range(WAVES):
+            some = np.flatnonzero(turn == wave)
+            e = np.flatnonzero(turn[cell // OWN] == wave)
+            w, c = np.searchsorted(some, cell[e] // OWN), cell[e] % OWN
+            new[some] = exchange_rare(w, c, many[e], own[some], count[some], m_, size_)
+            # the words of a part are drawn by hash: what they change, all parts together change in about the same way
+            for cls, sign in ((own[some], -parts), (new[some], parts)):
+                ahead = c >= AFTER
+                np.add.at(m_, (cls[w[ahead]], c[ahead] - AFTER), sign * many[e][ahead])
+                np.add.at(m_, (c[~ahead], cls[w[~ahead]]), sign * many[e][~ahead])
+                size_ += sign * np.bincount(cls, weights=count[some], minlength=CLASSES)
+            m_, size_ = np.maximum(m_, 0), np.maximum(size_, 0)
+        cuts = np.cumsum([0, *sizes])
+        blobs = [squeeze(new[word[a:b][mine[a:b]]].astype(np.uint8)) for a, b in zip(cuts, cuts[1:])]
+        sums = np.concatenate([np.bincount(new, weights=count, minlength=CLASSES), np.bincount(new[count > 0], minlength=CLASSES), [(new != own).sum()]])
+        release()
+        part = group["part"][0].as_py()
+        return pa.table({
+            "block_id": pa.array([*group["block_id"].to_pylist(), -1], pa.int64()), "part": pa.array([part] * (len(blobs) + 1), pa.int32()), "blob": pa.array([*blobs, sums.astype(np.int64).tobytes()], pa.binary())
+        })
+
+    replies = stash(send_keys(state, emit, ["classes"]).groupBy("part").applyInArrow(answer, "block_id long, part int, blob binary"))
+    sums = sum((np.frombuffer(bytes(r["blob"]), np.int64) for r in replies.where("block_id < 0").select("blob").collect()), np.zeros(2 * CLASSES + 1, np.int64))
+    model.regroup(sums[:CLASSES], sums[CLASSES : 2 * CLASSES])
+    own = replies.where("block_id >= 0").groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("part", "blob"))).alias("classes"))
+    return stash(own.select("block_id", F.col("classes.blob").alias("classes"))), int(sums[-1])
 
 
 def _shrink(counts: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(counts.view(np.uint8).reshape(-1, 8).T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(counts.view(np.uint8).reshape(-1, counts.dtype.itemsize).T).tobytes())
 
 
-def _grow(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1)
+def _grow(blob: bytes, dtype=np.int64) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).reshape(-1)
 
 
 def score_documents(docs: DataFrame, remainder: int = 2, modulus: int = 7) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text).
 
     Learns from the rows whose crc32(doc_id as text) mod ``modulus`` is not ``remainder``. Tokens: words
-    [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, then one end. Words are counted over all training texts. The VOCABULARY most
-    frequent words get classes by exchange on all class bigrams of the training texts; every other word, known or not,
-    has the class of its shape (last byte, length). A token's probability mixes p(class | class before) * p(word |
-    class), add-one within each class, with the add-one unigram of the base; score sums its log10.
+    [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, then one end. Words are counted over all training texts. Every training word
+    gets its class by exchange on all class bigrams of the training texts: the VOCABULARY most frequent one after the
+    other, the others half and half, in tasks, from the classes of their shapes (last byte, length). A word that was not
+    learned has the class of its shape. A token's probability mixes p(class | class before) * p(word | class), add-one
+    within each class, with the add-one unigram of the base; score sums its log10.
 
     Null or empty text: only the end. Null doc_id: held out. Repeated rows: each counts and gets a row. Empty table: no
     rows. Without training tokens every count is 0. Other columns are not read. Words are told apart by 64-bit hashes.
@@ -254,15 +426,15 @@ def score_documents(docs: DataFrame, remainder: int = 2, modulus: int = 7) -> Da
         return tokens.hash[first], [n, tokens.shape[first]]
 
     sent = stash(send_keys(blocks, emit))
-    model = _fit(blocks, sent, remainder, modulus)
+    model, classes = _fit(blocks, sent, remainder, modulus)
     counts = answer_keys(sent, _totals, ["u4", "u1"], "counts")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def make(t: pa.Table, own: np.ndarray) -> pa.RecordBatch:
+    def make(t: pa.Table, own: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
         net = shared.value
         tokens, first, group, _ = _entries(t, remainder, modulus)
         c = own[group].astype(np.float64)
-        cls = net.cls[net.symbols(tokens)]
+        cls = net.cls[net.symbols(tokens.hash[first], codes)][group]
         before = np.concatenate([[0], cls[:-1]])
         before[tokens.first] = 0
         emitted = np.log10(c + 1)
@@ -289,7 +461,7 @@ def score_documents(docs: DataFrame, remainder: int = 2, modulus: int = 7) -> Da
         )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return finish(with_answers(blocks, counts), make, schema, ["counts"])
+    return finish(with_answers(blocks, counts, classes), make, schema, ["counts", "classes"])
 
 
 def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

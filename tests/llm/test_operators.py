@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -234,6 +235,46 @@ def test_exchange_finds_classes():
     assert not set(m.cls[:n][kind == 0]) & set(m.cls[:n][kind == 1])
 
 
+def test_rare_words_move_to_their_best_class():
+    """exchange_rare against Model.exchange of one word alone, from the same counts."""
+    rng, n, k = np.random.default_rng(3), 40, brown.CLASSES
+    text = rng.integers(0, n, 3000)
+    for w in range(n):
+        text[1:][text[:-1] == w] = np.where(rng.random((text[:-1] == w).sum()) < 0.7, (w * 7 + 1) % n, text[1:][text[:-1] == w])
+    own = 1 + rng.integers(0, k - 1, n)
+    count = np.bincount(text, minlength=n).astype(float)
+    pairs = np.zeros((n, n))
+    np.add.at(pairs, (text[:-1], text[1:]), 1)
+    onehot = np.eye(k)[own]
+    right, left = pairs @ onehot, pairs.T @ onehot
+    m, size = onehot.T @ pairs @ onehot, onehot.T @ count
+    cells = [(w, side * brown.AFTER + c, x[w, c]) for w in range(n) for side, x in ((0, left), (1, right)) for c in range(k) if x[w, c]]
+    word, code, many = map(np.array, zip(*cells))
+    got = brown.exchange_rare(word, code, many, own, count, m, size)
+    f = lambda x: x * np.log(np.maximum(x, 1))
+    for w in range(n):
+        a, m1, s1 = own[w], m.copy(), size.copy()
+        m1[a] -= right[w]
+        m1[:, a] -= left[w]
+        m1, s1[a] = np.maximum(m1, 0), s1[a] - count[w]
+        gain = (f(m1 + right[w]) - f(m1)).sum(axis=1) + (f(m1 + left[w][:, None]) - f(m1)).sum(axis=0) - 2 * (f(s1 + count[w]) - f(s1))
+        assert gain[got[w]] >= gain[1:].max() - 1e-6
+    assert (got != own).sum() > n // 4
+
+
+def test_every_training_word_is_clustered(spark, monkeypatch):
+    """Beyond the frequent words, two kinds of words of one shape, in different places, don't stay in one class."""
+    monkeypatch.setattr(brown, "VOCABULARY", 4)
+    rng = random.Random(2)
+    pick = lambda kind: f"{kind}{rng.randint(10, 59)}zz"
+    df = spark.createDataFrame([(i, " ".join(f"the {pick('a')} of {pick('b')}" for _ in range(40))) for i in range(60)], "doc_id long, text string")
+    score = []
+    for rounds in (0, brown.ROUNDS):
+        monkeypatch.setattr(brown, "ROUNDS", rounds)
+        score.append(brown.score_documents(df).agg(F.sum("score")).first()[0])
+    assert score[1] - score[0] > 0.03 * 60 * 161
+
+
 # -- 7 -----------------------------------------------------------------------------------------------------------------
 def slow_fingerprint(t):
     w = (t or "").encode().lower().split()
