@@ -182,13 +182,13 @@ class ByteGRU:
 
 
 def sample(docs: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> DataFrame:
-    """Up to ``texts`` rows of each of the MOST_LANGUAGES most frequent lang, in the order of a hash; of each text ``chars`` characters from a drawn place."""
+    """Up to ``texts`` rows of each of the MOST_LANGUAGES most frequent lang (of rows with a letter), in the order of a hash; of each text ``chars`` characters from a drawn place."""
     draw = F.xxhash64(F.lit("sample"), F.col("doc_id"))
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     at = F.lit(1) + F.pmod(draw, F.greatest(F.char_length("text") - chars, F.lit(1))).cast("int")
     order = Window.partitionBy("lang").orderBy("draw", "doc_id", "piece")
-    # a language with many rows is thinned by the same hash first, so that few of its rows are shuffled
-    rows = docs.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("rows"))
+    # a language with many usable rows is thinned by the same hash first, so that few of its rows are shuffled
+    rows = usable.groupBy("lang").agg(F.count("*").alias("rows"))
     unit = (F.col("draw") / F.lit(float(1 << 64))) + 0.5
     thin = usable.select("doc_id", "lang", draw.alias("draw"), F.col("text").substr(at, F.lit(chars)).alias("piece")).join(F.broadcast(rows.orderBy(F.desc("rows"), "lang").limit(MOST_LANGUAGES)), "lang").where(unit * F.col("rows") <= 8 * texts)
     return thin.withColumn("n", F.row_number().over(order)).where(F.col("n") <= texts).drop("rows")

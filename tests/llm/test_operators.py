@@ -396,6 +396,14 @@ def test_language_scoring_covers_every_position():
     assert np.allclose(p[3], net.positions(x).mean(axis=(0, 2)), atol=1e-5)
 
 
+def test_language_sample_counts_usable_rows(spark, monkeypatch):
+    """Rows without a letter thin nothing out, and don't make a language frequent."""
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 1)
+    rows = [(i, "some words" if i < 100 else "12345", "xx" if i < 20_000 else "yy") for i in range(60_000)]
+    got = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {(r.lang, r["count"]) for r in got.groupBy("lang").count().collect()} == {("xx", 100)}
+
+
 def test_language(docs, rows, empty):
     out = langid.identify(docs).collect()
     assert len(out) == len(rows)
