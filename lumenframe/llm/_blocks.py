@@ -5,6 +5,11 @@ shared folder, so that its id and its order stay the same whatever is computed a
 that must know whether a key of a document occurs elsewhere sends each distinct key of a block once, packed
 (sorted, as differences, zstd), to the part of the key space that owns it, and gets one small code a key back.
 A key that a third of all rows share is one entry a block, so no part grows with the size of a group.
+
+The number of parts follows the number of blocks, so a part holds the keys of some PART_BLOCKS blocks at every size, and
+each part is one task. A block's keys make one blob a part; with more blocks blobs get smaller, until the shuffle is one
+of plain rows. Larger blocks (spark.lumenframe.block.bytes) keep blobs large where executors have the memory: work
+arrays are some ten times a block's text. Blocks are bucketed by their id, so only keys and codes are shuffled.
 """
 
 from __future__ import annotations
@@ -15,13 +20,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from ._shared import stash
 from ._text import release
 
 BLOCK_BYTES = 4 << 20
+#: A part of the key space gets the keys of so many blocks' worth of text.
+PART_BLOCKS = 4
 BLOCK_SCHEMA = "block_id long, payload binary"
 
 
@@ -64,10 +71,11 @@ def _cut(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBat
         yield row(held)
 
 
-def to_blocks(docs: DataFrame, carry: tuple = (), limit: int = BLOCK_BYTES) -> DataFrame:
+def to_blocks(docs: DataFrame, carry: tuple = (), limit: int | None = None) -> DataFrame:
     """(block_id, payload): the ids and whole texts of ``docs``, and columns to ``carry``, in the shared folder."""
+    limit = limit or int(docs.sparkSession.conf.get("spark.lumenframe.block.bytes", str(BLOCK_BYTES)))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
-    return stash(narrow.mapInArrow(lambda it: _cut(it, limit), BLOCK_SCHEMA))
+    return stash(narrow.mapInArrow(lambda it: _cut(it, limit), BLOCK_SCHEMA), by="block_id")
 
 
 def pack(sorted_keys: np.ndarray, columns: list[np.ndarray]) -> bytes:
@@ -103,17 +111,21 @@ def unsqueeze(blob: bytes) -> np.ndarray:
     return np.frombuffer(raw, f"u{raw[0]}", offset=1)
 
 
-def parts_of(df: DataFrame) -> int:
-    """How many parts the key space has: a power of two, at least the session's shuffle partitions."""
-    return 1 << (int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+def parts_of(blocks: DataFrame) -> int:
+    """How many parts the key space of written blocks has: a power of two."""
+    return 1 << max(0, -(-blocks.count() // PART_BLOCKS) - 1).bit_length()
+
+
+def deal(df: DataFrame, parts: int) -> GroupedData:
+    """Groups by ``part``, each a task of its own."""
+    return df.repartitionById(parts, F.col("part")).groupBy("part")
 
 
-def send_keys(blocks: DataFrame, emit: Callable[..., tuple[np.ndarray, list[np.ndarray]]], answers: list[str] = ()) -> DataFrame:
-    """(part, block_id, blob): the distinct keys of each block, dealt by their leading bits.
+def send_keys(blocks: DataFrame, emit: Callable[..., tuple[np.ndarray, list[np.ndarray]]], parts: int, answers: list[str] = ()) -> DataFrame:
+    """(part, block_id, blob): the distinct keys of each block, dealt by their leading bits to ``parts`` parts.
 
     emit(table, *codes of the named ``answers`` columns) gives a block's distinct keys, sorted, and columns beside them.
     """
-    parts = parts_of(blocks)
     shift = np.uint64(64 - parts.bit_length() + 1)
     answers = list(answers)
 
@@ -143,23 +155,29 @@ def part_of_keys(group: pa.Table, dtypes: list[str]) -> tuple[np.ndarray, list[n
     return np.concatenate([k for k, _ in got]), columns, [len(k) for k, _ in got]
 
 
-def answer_keys(sent: DataFrame, decide: Callable[..., np.ndarray], dtypes: list[str], name: str = "codes") -> DataFrame:
+def answer_keys(sent: DataFrame, decide: Callable[..., np.ndarray], dtypes: list[str], parts: int, name: str = "codes") -> DataFrame:
     """(block_id, ``name``): a code for each key that a block sent; decide(keys, columns) sees one part of the key space."""
 
     def answer(group: pa.Table) -> pa.Table:
         keys, columns, sizes = part_of_keys(group, dtypes)
         codes = decide(keys, columns)
         cuts = np.cumsum([0, *sizes])
-        return pa.table({"block_id": group["block_id"], "part": group["part"], "blob": pa.array([squeeze(codes[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())})
+        out = pa.table({"block_id": group["block_id"], "part": group["part"], "blob": pa.array([squeeze(codes[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())})
+        release()
+        return out
+
+    return by_block(deal(sent, parts).applyInArrow(answer, "block_id long, part int, blob binary"), name)
+
 
-    replies = sent.groupBy("part").applyInArrow(answer, "block_id long, part int, blob binary")
+def by_block(replies: DataFrame, name: str) -> DataFrame:
+    """(block_id, ``name``): the blobs of each block, by part, in the shared folder."""
     own = replies.groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("part", "blob"))).alias(name))
     return stash(own.select("block_id", F.col(f"{name}.blob").alias(name)))
 
 
-def ask(blocks: DataFrame, emit: Callable, decide: Callable, dtypes: list[str], answers: list[str] = (), name: str = "codes") -> DataFrame:
+def ask(blocks: DataFrame, emit: Callable, decide: Callable, dtypes: list[str], parts: int, answers: list[str] = (), name: str = "codes") -> DataFrame:
     """What each block learns about its keys: answer_keys of send_keys."""
-    return answer_keys(send_keys(blocks, emit, answers), decide, dtypes, name)
+    return answer_keys(send_keys(blocks, emit, parts, answers), decide, dtypes, parts, name)
 
 
 def codes_of(blobs: list[bytes] | None) -> np.ndarray:

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode one of our own where it is unset."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir", None)
     if at is None:
         at = sc.getCheckpointDir()
     if at is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="lumenframe-")
         sc.setCheckpointDir(at)
     return at.rstrip("/")
@@ -24,25 +28,48 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
+def _delete(spark: SparkSession, path: str) -> bool:
+    spark.sql(f"DROP TABLE IF EXISTS {path.rpartition('/')[2]}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True))
+
+
 def forget(spark: SparkSession) -> int:
     """Deletes what stash wrote for results that are no longer needed; how many tables that were."""
-    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    n = 0
     while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        n += bool(path.getFileSystem(conf).delete(path, True))
+        n += _delete(spark, _WRITTEN.pop())
     return n
 
 
-def stash(df: DataFrame) -> DataFrame:
+def stash(df: DataFrame, replaces: DataFrame | None = None, by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later stages start from files, not from lineage.
 
+    replaces: an earlier stash that nothing needs once this one is written; it is deleted. by: the table is bucketed by
+    this column, as many buckets as the session has shuffle partitions, so that joins on it don't shuffle the table.
     The table stays until the folder is cleared or forget() is called.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    name = f"stash_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    if by:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.bucketBy(n, by).option("path", path).saveAsTable(name)
+        out = spark.table(name)
+    else:
+        df.write.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
     _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out._stashed = path
+    if replaces is not None and getattr(replaces, "_stashed", None) in _WRITTEN:
+        _WRITTEN.remove(replaces._stashed)
+        _delete(spark, replaces._stashed)
+    return out
+
+
+def quoted(column: str) -> str:
+    """A column's name as Spark parses it, whatever is in it."""
+    return "`" + column.replace("`", "``") + "`"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,15 +80,29 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, spread: str, salts:
     """Join ``big`` to ``small`` (one row a key) on ``key``; a hot key of ``big`` is dealt over ``salts`` tasks by ``spread``."""
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(F.col(spread)), F.lit(salts)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [key, "_salt"], how).drop("_salt")
+    return salted.join(copies.hint("merge"), [key, "_salt"], how).drop("_salt")
+
+
+def skew_join(big: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:
+    """Join by a sort-merge join: both sides may grow with the data, and Spark deals a hot key's partition over tasks."""
+    return big.join(small.hint("merge"), on, how)
 
 
 def aside(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, _others): all other columns of docs as one struct, so that their names can't clash."""
-    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    """(doc_id, text, _others): all other columns of docs as one struct, so that their names can't clash.
+
+    Any names do: with spaces, dots or quotes, or those that an operator uses itself.
+    """
+    others = [F.col(quoted(c)) for c in docs.columns if c != "text"]
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*others).alias("_others"))
 
 
 def restored(df: DataFrame, columns: list[str]) -> DataFrame:
     """The columns that were put aside, with the present text."""
     return df.select(*[F.col("text") if c == "text" else F.col("_others").getField(c).alias(c) for c in columns])
+
+
+def with_fields(schema: str, df: DataFrame, carry: tuple, last: str = "") -> StructType:
+    """The schema ``schema``, then the columns ``carry`` of df as they are, then ``last``."""
+    head, tail = (StructType.fromDDL(x) if x else StructType() for x in (schema, last))
+    return StructType([*head.fields, *[StructField(c, df.schema[c].dataType) for c in carry], *tail.fields])

@@ -7,18 +7,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import aside, restored, table
+from ._shared import aside, quoted, restored, table, with_fields
 from ._text import release, slices, string_bytes
 
 HIDDEN = 8
 #: Positions that the network runs over at once; texts are cut into so long pieces, every position belongs to one.
 SPAN = 128
 PIECES = 2048
-#: The fit sees at most so many texts a language, and so many characters of each, from a place drawn by its hash.
+#: The fit sees at most so many texts a language, so many in all (one a language at least), and so many characters of each,
+#: from a place drawn by its hash.
 SAMPLE_TEXTS = 400
+SAMPLE_TOTAL = 100_000
 SAMPLE_CHARS = 1000
-#: Languages that a network can learn: the most frequent.
-MOST_LANGUAGES = 1000
 UNKNOWN = "und"
 
 
@@ -181,22 +181,30 @@ class ByteGRU:
         return self
 
 
-def sample(docs: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> DataFrame:
-    """Up to ``texts`` rows of each of the MOST_LANGUAGES most frequent lang (of rows with a letter), in the order of a hash; of each text ``chars`` characters from a drawn place."""
+def sample(docs: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS, total: int = SAMPLE_TOTAL) -> DataFrame:
+    """(lang, draw, doc_id, piece): a bounded sample for the fit, of every lang that has a row with a letter.
+
+    At most ``texts`` rows of each language in the order of a hash, fewer if that made over ``total`` rows; of each text
+    ``chars`` characters from a drawn place. Rows without lang or without a letter are not sampled and count nowhere.
+    """
     draw = F.xxhash64(F.lit("sample"), F.col("doc_id"))
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = usable.groupBy("lang").agg(F.count("*").alias("rows")).collect()  # one row a language
+    if not rows:
+        return usable.select("lang", draw.alias("draw"), "doc_id", F.col("text").alias("piece"))
+    texts = max(1, min(texts, total // len(rows)))
+    known = docs.sparkSession.createDataFrame([(r["lang"], r["rows"]) for r in rows], "lang string, rows long")
     at = F.lit(1) + F.pmod(draw, F.greatest(F.char_length("text") - chars, F.lit(1))).cast("int")
     order = Window.partitionBy("lang").orderBy("draw", "doc_id", "piece")
     # a language with many usable rows is thinned by the same hash first, so that few of its rows are shuffled
-    rows = usable.groupBy("lang").agg(F.count("*").alias("rows"))
     unit = (F.col("draw") / F.lit(float(1 << 64))) + 0.5
-    thin = usable.select("doc_id", "lang", draw.alias("draw"), F.col("text").substr(at, F.lit(chars)).alias("piece")).join(F.broadcast(rows.orderBy(F.desc("rows"), "lang").limit(MOST_LANGUAGES)), "lang").where(unit * F.col("rows") <= 8 * texts)
-    return thin.withColumn("n", F.row_number().over(order)).where(F.col("n") <= texts).drop("rows")
+    thin = usable.select("doc_id", "lang", draw.alias("draw"), F.col("text").substr(at, F.lit(chars)).alias("piece")).join(known, "lang").where(unit * F.col("rows") <= 8 * texts + 8)
+    return thin.withColumn("n", F.row_number().over(order)).where(F.col("n") <= texts).select("lang", "draw", "doc_id", "piece")
 
 
 def fit(docs: DataFrame, **parameters) -> ByteGRU | None:
-    """A network fitted on sample(docs): at most SAMPLE_TEXTS * SAMPLE_CHARS characters a language reach the driver."""
-    rows = sorted((r["lang"], r["draw"], r["doc_id"], r["piece"]) for r in sample(docs).select("lang", "draw", "doc_id", "piece").collect())
+    """A network fitted on sample(docs), which is all that reaches the driver; None if there is nothing to learn from."""
+    rows = sorted((tuple(r) for r in sample(docs).collect()), key=lambda r: (r[0], r[1], r[2] is None, r[2] or 0, r[3]))
     labels = sorted({r[0] for r in rows})
     if not labels:
         return None
@@ -205,10 +213,11 @@ def fit(docs: DataFrame, **parameters) -> ByteGRU | None:
 
 
 def predict(docs: DataFrame, model: ByteGRU | None, carry: tuple = ()) -> DataFrame:
-    """lang_pred and score beside the columns ``carry`` of docs (text is read, never lang, source or ids).
+    """The columns ``carry`` of docs, lang_pred and score (text is read, never lang, source or ids).
 
-    lang_pred: the label of the highest mean probability over all byte positions of the whole text, score: that mean;
-    ``und`` and 0 if the text is null or has no letter, or if there was nothing to learn from.
+    lang_pred: the label of the highest mean probability over all byte positions of the whole text (of equals the first
+    by name), score: that mean; ``und`` and 0 if the text is null or has no letter, or if there was nothing to learn
+    from. Very long texts are read whole, in spans. Empty table: no rows. Repeated rows: a row each.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -224,9 +233,8 @@ def predict(docs: DataFrame, model: ByteGRU | None, carry: tuple = ()) -> DataFr
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carry], pa.array(names, pa.string()), pa.array(scores)], names=[*carry, "lang_pred", "score"])
         release()
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for c in carry for f in [docs.schema[c]])
-    narrow = docs.select(*carry, *([] if "text" in carry else ["text"]), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
-    return narrow.mapInArrow(run, schema + "lang_pred string, score double")
+    narrow = docs.select(*map(quoted, carry), *([] if "text" in carry else ["text"]), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
+    return narrow.mapInArrow(run, with_fields("", narrow, carry, "lang_pred string, score double"))
 
 
 def held_out(doc_id, remainder: int = 1, modulus: int = 3):
@@ -235,17 +243,27 @@ def held_out(doc_id, remainder: int = 1, modulus: int = 3):
 
 
 def identify(docs: DataFrame, carry: tuple = ("doc_id",)) -> DataFrame:
-    """Fit on the rows that are not held out, predict every row. Empty table: no rows. Repeated rows: a row each."""
-    marked = docs.withColumn("held_out", held_out("doc_id"))
-    model = fit(marked.where("not held_out"))
+    """The columns ``carry`` of docs (doc_id, text, lang), held_out, lang_pred and score of every row.
+
+    Fits on the rows that are not held out. Null doc_id: held out. Null lang: not learned from. Null or wordless text:
+    ``und``. Repeated rows: each may be drawn for the sample, and gets a row. Empty table: no rows. Columns that are not
+    in ``carry`` are not read, so their names don't matter; those in it keep theirs.
+    """
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), *[quoted(c) for c in carry if c not in ("doc_id", "text", "lang")], held_out("doc_id").alias("held_out"))
+    model = fit(marked.select("doc_id", "text", "lang", "held_out").where("not held_out"))
     return predict(marked, model, (*carry, "held_out"))
 
 
 def reject_unknown_language(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """docs without rows whose language is unknown or whose score is below ``least``."""
+    """docs without rows whose language is unknown (null or without a letter) or whose score is below ``least``.
+
+    Other columns come along whatever their names; nulls in them don't matter. Repeated rows share their fate. Without
+    any labelled row all rows are unknown. Empty table: no rows.
+    """
     kept = identify(aside(docs).withColumn("lang", F.col("_others.lang")), ("text", "_others")).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     return restored(kept, docs.columns)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"))
+    """doc_id, held_out, lang_pred, score of each row of documents; nulls, ties and repeated rows as in identify."""
+    return identify(table(spark, sf_dir, "documents"))

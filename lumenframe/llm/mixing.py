@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import stash, table
+from ._shared import quoted, stash, table
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
@@ -40,28 +40,24 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_COPIE
     return s.select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(F.coalesce(first_free, level) * F.col("weight")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_COPIES, seed: int = 42) -> DataFrame:
-    """docs plus size, source_size, target and taken (size times the copies that the mix takes).
-
-    Every document of a source expects target / source_size copies. Within its source, in an order by size class and
-    then by hash, expected copies are summed up; with one offset drawn a source, a document is emitted once for each
-    integer that its stretch of the sum crosses. So each run of like documents gives its share, whatever the seed.
-    Ranks come from counts of small cells (source, size class, hash), so no task holds a source.
-
-    Null text: size 0, taken 0. Null source: a source of its own, last. Null doc_id, repeated rows: ranked like all
-    others; rows that tie share the copies that their ranks give. A source without words: target 0, nothing taken.
-    """
-    sized = with_size(docs)
-    salt = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    size_class = F.floor(F.log(F.col("size").cast("double") + 1) * 16).cast("int")
-    keyed = sized.withColumn("_salt", salt).withColumn("_class", size_class).withColumn("_cell", (F.conv(F.substring("_salt", 1, 4), 16, 10).cast("int") % SPREAD))
-    keyed = keyed.withColumn("_source", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source"))))
-    cells = stash(keyed.groupBy("_source", "_class", "_cell").agg(F.first("source").alias("source"), F.count("*").alias("n"), F.sum("size").alias("size")))
+def _shares(docs: DataFrame, carry: list[str], weights: tuple, most: int, seed: int) -> DataFrame:
+    """_others (the columns ``carry`` as a struct), size, source_size, target, copies of each row of docs."""
+    source = F.col("source").cast("string")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    keyed = with_size(docs.select(
+        F.struct(*[F.col(quoted(c)) for c in carry]).alias("_others"),
+        F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source)).alias("_source"),
+        F.md5(F.concat_ws(":", F.lit(str(seed)), key)).alias("_salt"),
+        F.col("text").cast("string").alias("text"),
+    )).drop("text")
+    keyed = keyed.withColumn("_class", F.floor(F.log(F.col("size").cast("double") + 1) * 16).cast("int")).withColumn("_cell", (F.conv(F.substring("_salt", 1, 4), 16, 10).cast("int") % SPREAD))
+    cells = stash(keyed.groupBy("_source", "_class", "_cell").agg(F.count("*").alias("n"), F.sum("size").alias("size")))
     classes = cells.groupBy("_source", "_class").agg(F.sum("n").alias("n"))
     by_class = Window.partitionBy("_source").orderBy("_class").rowsBetween(Window.unboundedPreceding, -1)
     by_cell = Window.partitionBy("_source", "_class").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = classes.withColumn("_from", F.coalesce(F.sum("n").over(by_class), F.lit(0))).drop("n")
-    goal = stash(targets(cells.groupBy("_source").agg(F.first("source").alias("source"), F.sum("size").alias("source_size")).select("source", "source_size"), weights, most))
+    named = F.when(F.col("_source") == "n", F.lit(None)).otherwise(F.substring("_source", 2, 1 << 30)).alias("source")
+    goal = stash(targets(cells.groupBy("_source").agg(F.sum("size").alias("source_size")).select(named, "source_size"), weights, most))
     goal = goal.withColumn("_source", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))).drop("source")
     # a multiple of 2 ** -20, so that whole rates stay exact
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("offset"), F.col("_source"))), 1, 5), 16, 10).cast("double") / F.lit(float(1 << 20))
@@ -72,20 +68,51 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_COPI
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rank = (F.col("_from") + F.col("_before") + F.col("_nth")).cast("double")
     copies = F.floor(F.col("_draw") + rate * rank) - F.floor(F.col("_draw") + rate * (rank - 1))
-    taken = (F.col("size") * F.least(copies, F.lit(most))).cast("long")
-    return ranked.withColumn("taken", taken).select(*[f"`{c}`" for c in docs.columns if c not in ("size", "source_size", "target", "taken")], "size", "source_size", "target", "taken")
+    return ranked.select("_others", "size", "source_size", "target", F.least(copies, F.lit(most)).cast("int").alias("copies"))
+
+
+def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_COPIES, seed: int = 42) -> DataFrame:
+    """The columns of docs (doc_id, source, text), and size, source_size, target and taken (size times the copies taken).
+
+    Every document of a source expects target / source_size copies. Within its source, in an order by size class and
+    then by hash, expected copies are summed up; with one offset drawn a source, a document is emitted once for each
+    integer that its stretch of the sum crosses. So each run of like documents gives its share, whatever the seed.
+    Ranks come from counts of small cells (source, size class, hash), so no task holds a source.
+
+    Null text: size 0, taken 0. Null source: a source of its own, last. Null doc_id: ranked by its text. Repeated rows:
+    ranked like all others; rows that tie share the copies that their ranks give. A source without words: target 0,
+    nothing taken. Very long texts count whole. Empty table: no rows. Other columns come along whatever their names, but
+    for size, source_size, target and taken, which are replaced.
+    """
+    out = ("size", "source_size", "target", "taken")
+    carry = [c for c in docs.columns if c not in out]
+    shares = _shares(docs, carry, weights, most, seed).withColumn("taken", F.col("size") * F.col("copies"))
+    return shares.select(*[F.col("_others").getField(c).alias(c) for c in carry], *out)
+
+
+def emit_mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_COPIES, seed: int = 42) -> DataFrame:
+    """The mix itself: each row of docs as often as mix_sources takes it, with its number in ``copy`` (1, 2 ...).
+
+    Rows that the mix leaves out are gone; so are rows without words, which have nothing to take. All else as in
+    mix_sources; a column named copy is replaced.
+    """
+    carry = [c for c in docs.columns if c != "copy"]
+    taken = _shares(docs, carry, weights, most, seed).where((F.col("copies") > 0) & (F.col("size") > 0))
+    return taken.select(*[F.col("_others").getField(c).alias(c) for c in carry], F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    """doc_id, size, source_size, target, taken of each row of documents; nulls, ties and repeated rows as in mix_sources."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
+    shares = _shares(docs, ["doc_id"], WEIGHTS, MOST_COPIES, 42)
+    return shares.select("_others.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 def mixing_sql(documents: str = "documents") -> str:
     """DuckDB SQL for the mix of ``documents`` (doc_id, source, text)."""
     return rf"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-  md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS salt FROM {documents}),
+  md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))) AS salt FROM {documents}),
 k AS (SELECT *, floor(ln(size + 1) * 16)::INT AS class, ('0x' || substr(salt, 1, 4))::INT % 256 AS cell FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight, (source_size * 3)::DOUBLE AS cap FROM s),

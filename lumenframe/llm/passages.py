@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ._blocks import ask, distinct, finish, ids_of, to_blocks, with_answers
+from ._blocks import ask, distinct, finish, ids_of, parts_of, to_blocks, with_answers
 from ._shared import table
 from ._text import Words, cover, grams, within
 
@@ -81,14 +81,15 @@ def remove_repeated_passages(docs: DataFrame, window: int = 20, block: int = 10,
     if window < 2 * block - 1:
         raise ValueError("window must be at least 2 * block - 1 words")
     blocks = to_blocks(docs)
-    anchors = ask(blocks, lambda t: (lambda e: (e[0], [e[1]]))(_anchor_entries(Words(t["text"]), block)), _anchors_met, ["u1"], name="anchors")
+    parts = parts_of(blocks)
+    anchors = ask(blocks, lambda t: (lambda e: (e[0], [e[1]]))(_anchor_entries(Words(t["text"]), block)), _anchors_met, ["u1"], parts, name="anchors")
 
     def windows(t: pa.Table, met: np.ndarray):
         keys, doc, place, _, first, _ = _window_entries(Words(t["text"]), ids_of(t), met, window, block)
         return keys[first], [doc[first], place[first]]
 
     asked = with_answers(blocks, anchors)
-    leaders = ask(asked, windows, _earliest, ["i8", "i8"], ["anchors"], name="leaders")
+    leaders = ask(asked, windows, _earliest, ["i8", "i8"], parts, ["anchors"], name="leaders")
 
     def make(t: pa.Table, met: np.ndarray, lead: np.ndarray) -> pa.RecordBatch:
         words = Words(t["text"])

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import salted_join, stash, table
+from ._shared import aside, restored, salted_join, skew_join, stash, table
 
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -52,19 +52,30 @@ def base_counts(docs: DataFrame) -> DataFrame:
     return s5.select(*keep, *counts, total.alias("n_repeat_words"))
 
 
-def line_shares(docs: DataFrame, most_docs: int = MOST_DOCS_A_HOST) -> DataFrame:
-    """(_key, total, gone): words of each document, and those in lines that more than ``most_docs`` documents of its host hold.
+def _norm(line):
+    return F.regexp_replace(F.regexp_replace(F.btrim(F.lower(line), F.lit(SPACES)), SPACE_RUN, " "), "[0-9]+", "0")
 
-    Lines are compared lower-cased, trimmed, with runs of white space as one space and runs of digits as one 0.
+
+def _host_line(source, line):
+    """A line on its host, as a hash; null for a line without words."""
+    text = _norm(line)
+    return F.when(text != "", F.xxhash64(source.isNull(), source, text))
+
+
+def _key() -> Column:
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("source").isNull(), "source", "text")
+
+
+def frequent_lines(docs: DataFrame, most_docs: int = MOST_DOCS_A_HOST) -> DataFrame:
+    """(_key, host_line, words, often): the distinct lines of each document, and whether over ``most_docs`` documents of its host hold them.
+
+    Lines are compared lower-cased, trimmed, with runs of white space as one space and runs of digits as one 0. words:
+    of all lines of the document that compare equal. A line counts once a document, before it is shuffled.
     """
-    norm = lambda x: F.regexp_replace(F.regexp_replace(F.btrim(F.lower(x), F.lit(SPACES)), SPACE_RUN, " "), "[0-9]+", "0")
-    line = docs.select("_key", "source", F.explode(F.split("text", "\n")).alias("line")).select("_key", "source", norm(F.col("line")).alias("line")).where("line != ''")
-    host_line = F.xxhash64(F.col("source").isNull(), "source", "line").alias("host_line")
-    words = F.size(F.split("line", " ")).cast("long")
-    lines = stash(line.select("_key", host_line, words.alias("words")).groupBy("_key", "host_line").agg(F.sum("words").alias("words")))
+    line = docs.select("_key", "source", F.explode(F.split("text", "\n")).alias("line")).select("_key", _host_line(F.col("source"), F.col("line")).alias("host_line"), F.size(F.split(_norm(F.col("line")), " ")).cast("long").alias("words"))
+    lines = stash(line.where("host_line IS NOT NULL").groupBy("_key", "host_line").agg(F.sum("words").alias("words")))
     often = lines.groupBy("host_line").agg(F.count("*").alias("docs")).where(F.col("docs") > most_docs).select("host_line", F.lit(True).alias("often"))
-    marked = salted_join(lines, often, "host_line", "_key")
-    return marked.groupBy("_key").agg(F.sum("words").alias("total"), F.sum(F.when(F.col("often"), F.col("words")).otherwise(0)).alias("gone"))
+    return salted_join(lines, often, "host_line", "_key")
 
 
 def quality_rules(docs: DataFrame, most_docs: int = MOST_DOCS_A_HOST, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -72,21 +83,38 @@ def quality_rules(docs: DataFrame, most_docs: int = MOST_DOCS_A_HOST, least_word
 
     Words are [^\\x20\\x09-\\x0D]+. base_failed: fewer than ``least_words`` words, or over a fifth of them in repeated
     five-word windows. kept: not base_failed, and not depleted by the removal of lines frequent on its host.
-    Null text: no words, fails. Null source: a host of its own. Rows with equal doc_id and text count as one document
-    for line frequency and get a row each. Empty table: no rows. Other columns are not read.
+    Null text: no words, fails. Null source: a host of its own. Rows with equal doc_id, source and text count as one
+    document for line frequency and get a row each; null doc_id: told apart by source and text. Very long texts are read
+    whole. Empty table: no rows. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
-    docs = docs.withColumn("_key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    docs = docs.withColumn("_key", _key())
     base = base_counts(docs.select("doc_id", "_key", "text"))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    joined = base.join(line_shares(docs, most_docs), "_key", "left")
+    shares = frequent_lines(docs, most_docs).groupBy("_key").agg(F.sum("words").alias("total"), F.sum(F.when(F.col("often"), F.col("words")).otherwise(0)).alias("gone"))
+    joined = skew_join(base, shares, "_key")
     left = F.coalesce(F.floor(F.col("n_words") * (F.col("total") - F.col("gone")) / F.col("total")), F.lit(0)).cast("long")
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), left.alias("n_left")).withColumn(
         "kept", ~F.col("base_failed") & (F.col("n_left") >= least_words) & (F.col("n_left") >= least_share * F.col("n_words"))
     )
 
 
+def apply_quality_rules(docs: DataFrame, most_docs: int = MOST_DOCS_A_HOST, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
+    """docs with the lines that are frequent on their host removed from their texts, without the documents that are depleted by it.
+
+    A document is depleted if fewer than ``least_words`` words, or a smaller share than ``least_share`` of them, are left.
+    Null text: depleted. All else as in quality_rules; other columns come along whatever their names.
+    """
+    inner = aside(docs).select("doc_id", "text", "_others", F.col("_others").getField("source").cast("string").alias("source")).withColumn("_key", _key())
+    gone = frequent_lines(inner.select("_key", "source", "text"), most_docs).where("often").groupBy("_key").agg(F.collect_set("host_line").alias("gone"))  # of one document
+    words = lambda t: F.size(F.filter(F.split(t, SPACE_RUN), lambda x: x != ""))
+    left = F.filter(F.split("text", "\n"), lambda x: ~F.coalesce(F.array_contains("gone", _host_line(F.col("source"), x)), F.lit(False)))
+    cleaned = skew_join(inner, gone, "_key").withColumn("_before", words(F.col("text"))).withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
+    return restored(cleaned.withColumn("_left", words(F.col("text"))).where((F.col("_left") >= least_words) & (F.col("_left") >= least_share * F.col("_before"))), docs.columns)
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """quality_rules of documents: a row each, with nulls, ties and repeated rows as stated there."""
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
