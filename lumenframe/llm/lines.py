@@ -2,29 +2,25 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._blocks import ask, distinct, finish, ids_of, to_blocks, with_answers
-from ._shared import aside, restored, table
-from ._text import BASE, STEP, U64, Words, mix, powers
+from ._shared import aside, restored, skew_join, stash, table
+from ._text import BASE, STEP, U64, Words, mix, powers, release, slices
 
-#: Lines of fewer words never go.
-LEAST_WORDS = 3
-#: Lines of at least so many words also go when one word edit away from an earlier one.
-EDIT_WORDS = 10
-ENDS = 5
+#: Lines one word edit apart are repeats if that is at most a fifth of the longer one's words, so if it has 5 or more.
+LEAST_WORDS = 5
+SPACE_RUN = r"[\x20\x09-\x0D]+"
+INVERSE = U64(pow(int(BASE), -1, 1 << 64))
 
 
 class Lines:
     """The lines of a batch of texts that hold words: row, number in the text, and their words' span."""
 
-    def __init__(self, t: pa.Table):
-        self.words = w = Words(t["text"])
+    def __init__(self, column):
+        self.words = w = Words(column)
         breaks = np.flatnonzero(w.data == 0x0A)
         line_of_word = np.searchsorted(breaks, w.start)
         new = np.ones(len(w), dtype=bool)
@@ -33,178 +29,191 @@ class Lines:
         self.count = np.diff(np.append(self.first, len(w)))
         self.row = w.row[self.first]
         self.number = line_of_word[self.first] - np.searchsorted(breaks, w.offsets[:-1])[self.row]
-        self.doc = ids_of(t)[self.row]
-
-    def whole(self) -> np.ndarray:
-        """Polynomial hash of each line's words, from its first word on."""
-        return self._sums()[1]
-
-    def _sums(self):
-        n = len(self.words)
-        at = np.arange(n) - np.repeat(self.first, self.count)
-        pw = powers(int(self.count.max()) + 1 if len(self.count) else 1)
-        terms = self.words.hash * pw[at]
-        prefix = np.zeros(n + 1, dtype=U64)
-        np.cumsum(terms, out=prefix[1:])
-        return prefix, prefix[self.first + self.count] - prefix[self.first], at, pw
-
-    def variants(self, some: np.ndarray):
-        """Of the lines ``some``: key of the line without each word, the word's place, the line."""
-        prefix, whole, at, _ = self._sums()
-        chosen = np.zeros(len(self.first), dtype=bool)
-        chosen[some] = True
+        self.at = np.arange(len(w)) - np.repeat(self.first, self.count)
+
+    def prefix(self, salt: int = 0) -> np.ndarray:
+        """Sums of the words' hashes times powers of BASE, counted from the start of their line."""
+        h = mix(self.words.hash + U64(salt)) if salt else self.words.hash
+        out = np.zeros(len(h) + 1, dtype=U64)
+        np.cumsum(h * powers(int(self.count.max()) + 1 if len(self.count) else 1)[self.at], out=out[1:])
+        return out
+
+    def runs(self, prefix: np.ndarray, skip: np.ndarray, take: np.ndarray) -> np.ndarray:
+        """A hash of ``take`` words of each line from its word ``skip`` on."""
+        a = self.first + skip
+        sums = (prefix[a + take] - prefix[a]) * powers(int(skip.max()) + 1 if len(skip) else 1, INVERSE)[skip]
+        return mix(sums ^ (take.astype(U64) * STEP))
+
+    def whole(self, salt: int = 0) -> np.ndarray:
+        return self.runs(self.prefix(salt), np.zeros_like(self.count), self.count)
+
+    def halves(self) -> list[np.ndarray]:
+        """Keys of the first and the last half of each line, once for partners of up to its length, once for longer ones.
+
+        Of two lines one word edit apart, the longer with c words, the edit leaves the first c // 2 or the last c // 2
+        words of both whole. A line of n words is the longer one (c = n) or the shorter (c = n + 1). The key holds c.
+        """
+        prefix, out = self.prefix(), []
+        for c in (self.count, self.count + 1):
+            half = c // 2
+            for skip, salt in ((np.zeros_like(half), 1), (self.count - half, 2)):
+                out.append(mix(self.runs(prefix, skip, half) ^ (c * 4 + salt).astype(U64) * BASE))
+        return out
+
+    def variants(self):
+        """Key of each line of LEAST_WORDS words or more without each word, the word's place, the line."""
+        prefix = self.prefix()
         line = np.repeat(np.arange(len(self.first)), self.count)
-        w = np.flatnonzero(chosen[line])
+        w = np.flatnonzero(self.count[line] >= LEAST_WORDS)
         line = line[w]
-        start = prefix[self.first[line]]
-        left = prefix[w] - start
-        right = (whole[line] - (prefix[w + 1] - start)) * INVERSE
-        return mix((left + right) ^ ((self.count[line] - 1).astype(U64) * STEP)), at[w], line
-
-
-INVERSE = U64(pow(int(BASE), -1, 1 << 64))
-
-
-def _sequence_key(poly: np.ndarray, count: np.ndarray) -> np.ndarray:
-    return mix(poly ^ (count.astype(U64) * STEP))
-
-
-def _end_entries(t: pa.Table):
-    """Keys of the first and the last words of long lines, and which line sent them."""
-    lines = Lines(t)
-    long = np.flatnonzero(lines.count >= EDIT_WORDS)
-    h, keys = lines.words.hash, []
-    for from_, salt in ((lines.first[long], 1), (lines.first[long] + lines.count[long] - ENDS, 2)):
-        acc = np.full(len(long), salt, dtype=U64)
-        for j in range(ENDS):
-            acc = acc * BASE + h[from_ + j]
-        keys.append(mix(acc))
-    keys = np.concatenate(keys)
-    first, group = distinct(keys)
-    twice = np.bincount(group, minlength=len(first)) > 1
-    return keys[first], twice.astype(np.uint8), group, long, lines
-
-
-def _shared_ends(keys, columns):
-    _, group = distinct(keys)
-    n = int(group.max()) + 1 if len(group) else 0
-    twice = (np.bincount(group, minlength=n) > 1) | (np.bincount(group[columns[0] > 0], minlength=n) > 0)
-    return twice[group].astype(np.uint8)
-
-
-def _variant_entries(t: pa.Table, shared: np.ndarray):
-    """Distinct (key, place) of candidate lines with the earliest line of each; place 0: the whole line, i + 1: without word i."""
-    _, _, group, long, lines = _end_entries(t)
-    hit = shared[group] > 0
-    candidate = long[hit[: len(long)] | hit[len(long) :]]
-    whole = _sequence_key(lines.whole(), lines.count)
-    short = np.flatnonzero((lines.count >= LEAST_WORDS) & (lines.count < EDIT_WORDS))
-    key, place, line = lines.variants(candidate)
-    # short lines only equal each other: their keys are apart from the variants of longer ones
-    keys = np.concatenate([key, whole[candidate], mix(whole[short] + STEP)])
-    places = np.concatenate([place + 1, np.zeros(len(candidate) + len(short), np.int64)]).astype(np.uint32)
-    line = np.concatenate([line, candidate, short])
-    by_place = mix(keys ^ (places.astype(U64) * BASE))
-    first, group = distinct(by_place, lines.doc[line], lines.number[line])
-    order = np.argsort(keys[first], kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    return keys, places, line, first[order], rank[group], lines
-
-
-def _earlier(keys, columns):
-    """1: an earlier line within one word edit.
-
-    Equal keys: without the word at their places, the lines are equal. Then two lines without words of the same place
-    differ in one word, and a line without a word is one insertion away from a whole line. With different places two
-    edits may lie between them; if it is one after all, they also meet at equal places under another key.
+        start = self.first[line]
+        left = prefix[w] - prefix[start]
+        right = (prefix[start + self.count[line]] - prefix[w + 1]) * INVERSE
+        return mix((left + right) ^ ((self.count[line] - 1).astype(U64) * STEP)), self.at[w], line
+
+
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64), pa.int64())
+
+
+def _extract(batches):
+    """Every line with words: _key, _doc, number, n, w1 and w2 (128 bits of its words), keys of its halves (null if it is too short)."""
+    for b in (part for batch in batches for part in slices(batch)):
+        lines = Lines(b.column("text"))
+        short = lines.count + 1 < LEAST_WORDS
+        halves = [pa.array(h.view(np.int64), mask=short | ((lines.count < LEAST_WORDS) & (i < 2))) for i, h in enumerate(lines.halves())]
+        columns = [b.column("_key").take(pa.array(lines.row)), b.column("_doc").take(pa.array(lines.row)), _long(lines.number), _long(lines.count), _long(lines.whole()), _long(lines.whole(1)), *halves]
+        yield pa.RecordBatch.from_arrays(columns, names=["_key", "_doc", "number", "n", "w1", "w2", "h0", "h1", "h2", "h3"])
+    release()
+
+
+def _candidate_lines(batches):
+    """The lines of each text whose numbers are in ``wanted``, as their words joined by a space."""
+    for b in (part for batch in batches for part in slices(batch)):
+        docs, numbers, texts = [], [], []
+        for doc, text, wanted in zip(b.column("_doc").to_pylist(), b.column("text").to_pylist(), b.column("wanted").to_pylist()):
+            own = text.split("\n")
+            for i in wanted:
+                docs.append(doc)
+                numbers.append(i)
+                texts.append(b" ".join(own[i].encode().split()).decode())
+        column = pa.array(texts, pa.string())
+        lines = Lines(column)
+        keep = pa.array(lines.row)
+        yield pa.RecordBatch.from_arrays([_long(lines.whole()), _long(lines.whole(1)), pa.array(docs, pa.int64()).take(keep), pa.array(numbers, pa.int64()).take(keep), column.take(keep)], names=["w1", "w2", "_doc", "number", "line"])
+
+
+def _variants(batches):
+    """(key, place) of each line and its deletion variants; place 0: the whole line, i + 1: without word i."""
+    for b in (part for batch in batches for part in slices(batch, "line")):
+        lines = Lines(b.column("line"))
+        key, place, line = lines.variants()
+        row = pa.array(np.concatenate([lines.row, lines.row[line]]))
+        columns = [_long(np.concatenate([lines.whole(), key])), _long(np.concatenate([np.zeros(len(lines.row), np.int64), place + 1]))]
+        yield pa.RecordBatch.from_arrays([*columns, *[b.column(c).take(row) for c in ("_doc", "number", "w1", "w2")]], names=["key", "place", "_doc", "number", "w1", "w2"])
+    release()
+
+
+def within_an_edit(a: list[str], b: list[str]) -> bool:
+    """Whether one word replaced, inserted or deleted, or none, makes b of a."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    at = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a[at + 1 :] == b[at + 1 :] or a[at:] == b[at + 1 :] or a[at + 1 :] == b[at:]
+
+
+def _verified(batches):
+    for b in batches:
+        ok = [within_an_edit(x.split(" "), y.split(" ")) for x, y in zip(b.column("line").to_pylist(), b.column("other").to_pylist())]
+        yield b.select(["w1", "w2"]).filter(pa.array(ok, pa.bool_()))
+
+
+def near_earlier(distinct: DataFrame, docs: DataFrame) -> DataFrame:
+    """(w1, w2): distinct lines with an earlier one that is not equal but one word edit away.
+
+    distinct: w1, w2, lead (_doc, number, _key of the first occurrence), h0 .. h3. Lines that share neither half with
+    another line drop out first: they have no neighbour. The others emit the key of every variant with one word deleted,
+    and of the whole line. Equal keys: without the word at their places, the lines are equal. Two lines without words of
+    the same place differ in one word; a line without a word is one insertion away from a whole line. With different
+    places two edits may lie between them; if it is one after all, they also meet at equal places under another key. So
+    each line is compared, word by word, with the earliest of its neighbours at every key: never all pairs of a group.
     """
-    place, doc, number = columns
-    by = np.lexsort((number, doc, keys))
-    new = np.ones(len(by), dtype=bool)
-    new[1:] = keys[by][1:] != keys[by][:-1]
-    group = np.empty(len(by), np.int64)
-    group[by] = np.cumsum(new) - 1
-    rank = np.empty(len(by), np.int64)  # ties share a rank: neither is earlier
-    step = new.copy()
-    step[1:] |= (doc[by][1:] != doc[by][:-1]) | (number[by][1:] != number[by][:-1])
-    rank[by] = np.cumsum(step)
-    n = int(group.max()) + 1 if len(group) else 0
-    none = np.iinfo(np.int64).max
-    any_first = np.full(n, none)
-    np.minimum.at(any_first, group, rank)
-    whole_first = np.full(n, none)
-    np.minimum.at(whole_first, group[place == 0], rank[place == 0])
-    same, same_group = distinct(mix(keys ^ (place.astype(U64) * BASE)), rank)
-    place_first = rank[same][same_group]
-    return np.where(place == 0, any_first[group] < rank, np.minimum(whole_first[group], place_first) < rank).astype(np.uint8)
-
-
-def _doomed(t: pa.Table, shared: np.ndarray, earlier: np.ndarray) -> tuple[Lines, np.ndarray]:
-    keys, places, line, first, group, lines = _variant_entries(t, shared)
-    lead = line[first[group]]
-    later = (lines.doc[line] != lines.doc[lead]) | (lines.number[line] != lines.number[lead])
-    gone = np.zeros(len(lines.first), dtype=bool)
-    gone[line[later | (earlier[group] > 0)]] = True
-    return lines, gone
-
-
-def dedup_lines(docs: DataFrame, with_text: bool = True, carry: tuple = ()) -> DataFrame:
-    """Remove every line for which an earlier one (smaller doc_id, then line) is equal or, from EDIT_WORDS words on, one word edit away.
-
-    Lines end at \\n; words are [^\\x20\\x09-\\x0D]+; a word edit replaces, inserts or deletes one word. Lines under
-    LEAST_WORDS words stay. Lines of EDIT_WORDS words or more emit the key of every variant with one word deleted;
-    equal keys meet, places verify the distance, the earliest stays. Before that, lines whose first and last ENDS words
-    are both unique drop out: one edit leaves one end of a line whole, so they have no neighbour.
+    halves = stash(distinct.select("w1", "w2", "lead", F.explode(F.array("h0", "h1", "h2", "h3")).alias("half")).where("half IS NOT NULL"))
+    shared = halves.groupBy("half").agg(F.count("*").alias("lines")).where("lines > 1").select("half")
+    candidates = skew_join(halves, shared, "half", "inner").select("w1", "w2", "lead").distinct()
+    wanted = candidates.groupBy("lead._key").agg(F.collect_set("lead.number").alias("wanted"))  # of one document
+    own = skew_join(docs.select("_key", "_doc", "text"), wanted, "_key", "inner").select("_doc", "text", "wanted")
+    lines = stash(own.mapInArrow(_candidate_lines, "w1 long, w2 long, _doc long, number long, line string").dropDuplicates(["w1", "w2"]))
+    entries = stash(lines.mapInArrow(_variants, "key long, place long, _doc long, number long, w1 long, w2 long"))
+    first = entries.groupBy("key", "place").agg(F.min(F.struct("_doc", "number", "w1", "w2")).alias("first"), F.count("*").alias("lines"))
+    first = stash(first)
+    of_key = first.groupBy("key").agg(F.min("first").alias("any_first"), F.min(F.when(F.col("place") == 0, F.col("first"))).alias("whole_first"), F.sum("lines").alias("all_lines")).where("all_lines > 1")
+    best = first.join(of_key.hint("merge"), "key").select("key", "place", F.when(F.col("place") == 0, F.col("any_first")).otherwise(F.least("whole_first", "first")).alias("best"))
+    met = skew_join(entries, best, ["key", "place"], "inner").where(F.struct("_doc", "number") > F.struct("best._doc", "best.number"))
+    pairs = met.select("w1", "w2", F.col("best.w1").alias("o1"), F.col("best.w2").alias("o2")).distinct()
+    text = lines.select("w1", "w2", "line")
+    other = lines.select(F.col("w1").alias("o1"), F.col("w2").alias("o2"), F.col("line").alias("other"))
+    both = skew_join(skew_join(pairs, text, ["w1", "w2"], "inner"), other, ["o1", "o2"], "inner")
+    return both.select("w1", "w2", "line", "other").mapInArrow(_verified, "w1 long, w2 long").distinct()
+
+
+def _dedup(docs: DataFrame) -> DataFrame:
+    """docs (_doc, _key, text and others) with gone (numbers of the lines to remove, or null) and left (a line with words is left, or null)."""
+    lines = stash(docs.select("_key", "_doc", "text").mapInArrow(_extract, "_key long, _doc long, number long, n long, w1 long, w2 long, h0 long, h1 long, h2 long, h3 long"))
+    distinct = lines.groupBy("w1", "w2").agg(F.min(F.struct("_doc", "number", "_key")).alias("lead"), F.count("*").alias("times"), *[F.any_value(f"h{i}").alias(f"h{i}") for i in range(4)])
+    distinct = stash(distinct)
+    near = near_earlier(distinct, docs).withColumn("near", F.lit(True))
+    judged = distinct.select("w1", "w2", "lead", "times").join(near.hint("merge"), ["w1", "w2"], "left").where("times > 1 OR near").select("w1", "w2", "lead", "near")
+    later = F.col("lead").isNotNull() & (F.struct("_doc", "number") > F.struct("lead._doc", "lead.number"))
+    marked = skew_join(lines.select("_key", "_doc", "number", "w1", "w2"), judged, ["w1", "w2"]).select("_key", "number", (F.coalesce("near", F.lit(False)) | later).alias("gone"))
+    own = marked.groupBy("_key").agg(F.collect_set(F.when(F.col("gone"), F.col("number").cast("int"))).alias("gone"), F.bool_or(~F.col("gone")).alias("left"))
+    return skew_join(docs, own, "_key")
+
+
+def _keyed(docs: DataFrame, *more) -> DataFrame:
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select(F.xxhash64(doc_id.isNull(), doc_id, text).alias("_key"), F.coalesce(doc_id, F.lit(2**63 - 1)).alias("_doc"), text.alias("text"), *more)
+
+
+def _left_text() -> tuple:
+    """Of a row of _dedup: its number of lines, and the text without the lines that go."""
+    own = F.split("text", "\n")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("gone")), lambda i: F.get(own, i))
+    return F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(own)).cast("long"), F.when(F.coalesce(F.size("gone"), F.lit(0)) <= 0, F.col("text")).otherwise(F.array_join(kept, "\n"))
+
+
+def dedup_lines(docs: DataFrame, with_text: bool = True) -> DataFrame:
+    """Remove every line for which an earlier one (smaller doc_id, then line) is equal or one word edit away.
+
+    Lines end at \\n; words are [^\\x20\\x09-\\x0D]+, and lines are compared by their words. A word edit replaces, inserts or
+    deletes one word, and counts where the longer line has LEAST_WORDS words or more, so that it changes a fifth of them
+    at most. Lines without words stay. Equal lines meet by 128 bits; see near_earlier for the others.
 
     One row per row of docs: doc_id, n_lines, n_removed (lines), kept_sha256 and, with_text, text (lines left, joined
     by \\n) and n_words (words left). Null text: no lines, sha of the empty string, text null. Null doc_id: later than
-    all others. Rows with the same doc_id: lines with equal numbers are not earlier than each other. Of other columns
-    only those in ``carry`` are read, and kept.
+    all others. Rows with the same doc_id: lines with equal numbers are not earlier than each other. Repeated rows: a row
+    each. Very long texts are read whole. Empty table: no rows. Other columns are not read.
     """
-    blocks = to_blocks(docs, carry)
-    ends = ask(blocks, lambda t: (lambda e: (e[0], [e[1]]))(_end_entries(t)), _shared_ends, ["u1"], name="ends")
-
-    def variants(t: pa.Table, shared: np.ndarray):
-        keys, places, line, first, _, lines = _variant_entries(t, shared)
-        return keys[first], [places[first], lines.doc[line[first]], lines.number[line[first]].astype(np.int64)]
-
-    earlier = ask(with_answers(blocks, ends), variants, _earlier, ["u4", "i8", "i8"], ["ends"], name="earlier")
-
-    def make(t: pa.Table, shared: np.ndarray, before: np.ndarray) -> pa.RecordBatch:
-        lines, gone = _doomed(t, shared, before)
-        removed: dict[int, set[int]] = {}
-        for row, number in zip(lines.row[gone].tolist(), lines.number[gone].tolist()):
-            removed.setdefault(row, set()).add(number)
-        total, texts = [], []
-        for i, text in enumerate(t["text"].to_pylist()):
-            own = [] if text is None else text.split("\n")
-            total.append(len(own))
-            if i in removed:
-                text = "\n".join(x for j, x in enumerate(own) if j not in removed[i])
-            texts.append(text)
-        n_removed = [len(removed.get(i, ())) for i in range(t.num_rows)]
-        n_words = np.bincount(lines.row[~gone], weights=lines.count[~gone], minlength=t.num_rows).astype(np.int64)
-        sha = [hashlib.sha256((x or "").encode()).hexdigest() for x in texts]
-        columns = {"doc_id": t["doc_id"].combine_chunks(), "n_lines": pa.array(total, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
-        if with_text:
-            columns |= {"text": pa.array(texts, pa.string()), "n_words": pa.array(n_words, pa.int64())}
-        columns |= {c: t[c].combine_chunks() for c in carry}
-        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-    schema = "doc_id long, n_lines long, n_removed long, kept_sha256 string" + (", text string, n_words long" if with_text else "")
-    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return finish(with_answers(blocks, ends, earlier), make, schema, ["ends", "earlier"])
+    n_lines, left = _left_text()
+    out = _dedup(_keyed(docs, F.col("doc_id").cast("long").alias("doc_id"))).withColumns({"n_lines": n_lines, "text": left})
+    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), SPACE_RUN), lambda x: x != "")).cast("long")
+    columns = ["doc_id", "n_lines", F.greatest(F.coalesce(F.size("gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")]
+    return out.select(*columns, *(["text", words.alias("n_words")] if with_text else []))
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
-    """docs with the texts that dedup_lines leaves, and n_chars to match; documents that lose all their words go."""
-    lines = dedup_lines(aside(docs), carry=("_others",)).where((F.col("n_words") > 0) | (F.col("n_removed") == 0))
+    """docs with the texts that dedup_lines leaves, and n_chars to match; documents that lose all their words go.
+
+    Null and wordless texts stay as they are. All else as in dedup_lines; other columns come along whatever their names.
+    """
+    inner = aside(docs)
+    lines = _dedup(_keyed(inner, "_others")).where(F.coalesce(F.col("left"), F.lit(True))).withColumn("text", _left_text()[1])
     left = restored(lines, docs.columns)
     return left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dedup_lines of documents, a row each; nulls, ties and repeated rows as stated there."""
     return dedup_lines(table(spark, sf_dir, "documents"), with_text=False)
 
 
@@ -212,8 +221,8 @@ OP10_SQL = r"""
 WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, i - 1 AS no, ls[i] AS line, regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+') AS w FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM raw)),
 o AS (SELECT *, row_number() OVER (ORDER BY doc_id, no) AS ord FROM l),
-v AS (SELECT ord, 0 AS pos, CASE WHEN len(w) < 10 THEN 's ' ELSE 'l ' END || array_to_string(w, ' ') AS k FROM o WHERE len(w) >= 3
-  UNION ALL SELECT ord, i AS pos, 'l ' || array_to_string(list_concat(w[:i - 1], w[i + 1:]), ' ') FROM (SELECT ord, w, unnest(range(1, len(w) + 1)) AS i FROM o WHERE len(w) >= 10)),
+v AS (SELECT ord, 0 AS pos, array_to_string(w, ' ') AS k FROM o WHERE len(w) > 0
+  UNION ALL SELECT ord, i AS pos, array_to_string(list_concat(w[:i - 1], w[i + 1:]), ' ') FROM (SELECT ord, w, unnest(range(1, len(w) + 1)) AS i FROM o WHERE len(w) >= 5)),
 m AS (SELECT ord, pos, min(ord) OVER (PARTITION BY k) AS any_first, min(CASE WHEN pos = 0 THEN ord END) OVER (PARTITION BY k) AS whole_first, min(ord) OVER (PARTITION BY k, pos) AS place_first FROM v),
 gone AS (SELECT DISTINCT ord FROM m WHERE (pos = 0 AND any_first < ord) OR (pos > 0 AND least(whole_first, place_first) < ord)),
 kept AS (SELECT doc_id, count(*) AS n_lines, count(gone.ord) AS n_removed, string_agg(line, chr(10) ORDER BY no) FILTER (gone.ord IS NULL) AS s FROM o LEFT JOIN gone USING (ord) GROUP BY doc_id)

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+from math import acos, ceil, comb, log, pi
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._blocks import parts_of
-from ._shared import aside, restored, salted_join, stash, table
-from ._text import mix, release, slices
+from ._shared import aside, quoted, restored, skew_join, stash, table, with_fields
+from ._text import U64, Words, grams, mix, release, slices, within
 
 SEED = 42
 #: Variants that a task holds at once.
 VARIANTS_AT_ONCE = 1 << 21
+#: Variants are dealt by their first bits: so many at least, and so many that a part gets about PART_ROWS fingerprints.
+PREFIX = 6
+PART_ROWS = 1 << 22
+#: Near-duplicate documents: shingles of so many words, so similar, found with such a probability at that similarity.
+SHINGLE = 5
+SIMILARITY = 0.8
+RECALL = 0.95
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -40,117 +48,117 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
-    """docs without its text, with fp: the fingerprint's 64 bits as a long."""
-    others = [c for c in docs.columns if c not in ("text", "fp")]
+def fingerprints(docs: DataFrame, k: int = 4, carry: tuple = ()) -> DataFrame:
+    """The columns ``carry`` of docs, and fp: the fingerprint's 64 bits as a long."""
 
     def run(batches):
         for b in (part for batch in batches for part in slices(batch)):
             fps = [fingerprint(shingle_hashes(t.as_py(), k)) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in others], pa.array(np.array(fps, np.uint64).view(np.int64))], names=[*others, "fp"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carry], pa.array(np.array(fps, np.uint64).view(np.int64))], names=[*carry, "fp"])
         release()
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in others]
-    return docs.select(*others, F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join([*fields, "fp long"]))
+    narrow = docs.select(*map(quoted, carry), F.col("text").cast("string").alias("text"))
+    return narrow.mapInArrow(run, with_fields("", narrow, carry, "fp long"))
 
 
-def _ball(half: int) -> np.ndarray:
-    """Masks of all ways to flip up to ``half`` of 64 bits."""
-    one = np.uint64(1) << np.arange(64, dtype=np.uint64)
+def _flips(bits: int, most: int) -> np.ndarray:
+    """Masks of all ways to flip up to ``most`` of ``bits`` bits."""
     masks = frontier = np.zeros(1, np.uint64)
-    for _ in range(half):
+    one = np.uint64(1) << np.arange(bits, dtype=np.uint64)
+    for _ in range(min(most, bits)):
         frontier = np.unique((frontier[:, None] ^ one[None, :]).reshape(-1))
         masks = np.unique(np.concatenate([masks, frontier]))
     return masks
 
 
-def _owner(x: np.ndarray, bits: int, salt: int) -> np.ndarray:
-    """A part of 2 ** bits for each value, linear over bits: owner(a ^ b) = owner(a) ^ owner(b)."""
-    code = mix(np.arange(1, 65, dtype=np.uint64) + np.uint64(64 * salt)) >> np.uint64(64 - bits) if bits else np.zeros(64, np.uint64)
-    out = np.zeros(len(x), np.uint64)
-    for i in range(64):
-        out ^= np.where((x >> np.uint64(i)) & np.uint64(1), code[i], np.uint64(0))
-    return out
+def _prefix_bits(fps: DataFrame, n: int, bits: int, half: int) -> int:
+    """How many leading bits deal the variants out: more with the data, and more again where fingerprints crowd."""
+    b = min(PREFIX, bits)
+    while b < min(bits, 30) and n * len(_flips(b, half)) >> b > PART_ROWS:
+        b += 2
+    while b < min(bits, 30):
+        most = fps.groupBy("tab", F.shiftrightunsigned("fp", bits - b)).count().agg(F.max("count")).first()[0] or 0
+        if most <= PART_ROWS:
+            break
+        b += 2
+    return b
 
 
-def links(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """(u, v): pairs of distinct fingerprints at ``radius`` or fewer differing bits, enough to connect all such pairs.
+def links(fps: DataFrame, radius: int = 4, bits: int = 64, tables: int = 1) -> DataFrame:
+    """(u, v): pairs of nodes whose fingerprints differ in ``radius`` or fewer of ``bits`` bits, enough to connect all such pairs.
 
-    Every fingerprint's variants within half the radius are dealt by an owner function that is linear in the bits.
-    So a part can make for itself the variants that it owns: the shuffle carries each fingerprint once a part, at most
-    once a variant, and never the variants. Fingerprints that share a variant are all within the radius of each other,
-    hence a chain through them stands for all their pairs.
+    fps: tab (0 .. tables - 1), fp, node; only fingerprints of one tab meet. Every fingerprint's variants within half the
+    radius meet: two fingerprints within the radius share one. Variants are dealt by their first bits, so the shuffle
+    carries a fingerprint once for each way to flip up to half the radius of those (22 ways of 6 bits, 254 of 22), and
+    the part that owns a run of variants makes them there, some at a time. With more data, more bits deal: a part gets
+    some PART_ROWS fingerprints at every size. Those that share a variant are within the radius of each other, hence
+    chains stand for all their pairs: each is paired with the one before it and with the first.
     """
     if radius % 2:
         raise ValueError("radius must be even: variants are taken within half of it")
-    n = fps.count()
-    bits = max(parts_of(fps), 1 << max(0, (n >> 21).bit_length())).bit_length() - 1
-    masks = _ball(radius // 2)
-    mask_owner = _owner(masks, bits, 0)
-    reach = np.unique(mask_owner)
-
-    def send(batches):
-        for b in batches:
-            x = np.asarray(b.column("fp")).view(np.uint64)
-            own = _owner(x, bits, 0)
-            if len(reach) == 1 << bits:  # every part owns some variant of each
-                blob = x.tobytes()
-                for p in range(1 << bits):
-                    yield _rows([p], [blob])
-            else:
-                at = (own[:, None] ^ reach[None, :]).reshape(-1)
-                by = np.argsort(at, kind="stable")
-                parts, first = np.unique(at[by], return_index=True)
-                for p, some in zip(parts, np.split(by // len(reach), first[1:])):
-                    yield _rows([int(p)], [x[some].tobytes()])
-
-    def _rows(parts, blobs):
-        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+    half = radius // 2
+    b = _prefix_bits(fps, fps.count() // tables, bits, half)
+    ways = F.array(*[F.lit(int(m)).cast("int") for m in _flips(b, half)])
+    own = F.shiftrightunsigned(F.col("fp"), bits - b).cast("int") if b else F.lit(0)
+    own = own.bitwiseAND((1 << b) - 1)
+    part = F.explode(F.transform(ways, lambda m: (F.col("tab") * (1 << b)).cast("int") + own.bitwiseXOR(m)))
 
     def meet(group: pa.Table) -> pa.Table:
-        p = np.uint64(group["part"][0].as_py())
-        x = np.unique(np.concatenate([np.frombuffer(b.as_py(), np.uint64) for b in group["blob"]]))
-        need = _owner(x, bits, 0) ^ p
-        total = int(np.bincount(mask_owner.astype(np.int64), minlength=1 << bits)[need.astype(np.int64)].sum())
-        sub = max(0, (total // VARIANTS_AT_ONCE).bit_length())
-        sub_owner, x_sub = _owner(masks, sub, 1), _owner(x, sub, 1)
-        found = []
-        for s in range(1 << sub):  # one share of the variants after the other
-            zs, xs = [], []
-            for v in np.unique(need):
-                some = np.flatnonzero(need == v)
-                own = mask_owner == v
-                for w in np.unique(x_sub[some]):
-                    m = masks[own & (sub_owner == (w ^ np.uint64(s)))]
-                    these = x[some[x_sub[some] == w]]
-                    if len(m) and len(these):
-                        zs.append((these[:, None] ^ m[None, :]).reshape(-1))
-                        xs.append(np.repeat(these, len(m)))
-            if not zs:
-                continue
-            z, y = np.concatenate(zs), np.concatenate(xs)
-            by = np.argsort(z, kind="stable")
-            z = z[by]
-            same = np.flatnonzero(z[1:] == z[:-1])
-            if len(same):
-                met = np.flatnonzero(np.isin(z, z[same]))
-                order = met[np.lexsort((y[by[met]], z[met]))]
-                z2, y2 = z[order], y[by[order]]
-                at = np.flatnonzero(z2[1:] == z2[:-1])
-                found.append(np.unique(np.stack([y2[at], y2[at + 1]], axis=1), axis=0))
+        x, node = (np.asarray(group[c].combine_chunks()) for c in ("fp", "node"))
+        found = list(_meet(x.view(np.uint64), node, group["part"][0].as_py() & ((1 << b) - 1), b, bits, half))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         release()
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.uint64)
-        pairs = pairs[(np.bitwise_count(pairs[:, 0] ^ pairs[:, 1]) <= radius) & (pairs[:, 0] != pairs[:, 1])]
-        return pa.table({"u": pairs[:, 0].copy().view(np.int64), "v": pairs[:, 1].copy().view(np.int64)})
-
-    return fps.select("fp").mapInArrow(send, "part int, blob binary").groupBy("part").applyInArrow(meet, "u long, v long").distinct()
+        return pa.table({"u": np.ascontiguousarray(pairs[:, 0]), "v": np.ascontiguousarray(pairs[:, 1])})
+
+    dealt = fps.select(part.alias("part"), "fp", "node")
+    return dealt.repartitionById(tables << b, F.col("part")).groupBy("part").applyInArrow(meet, "u long, v long").distinct()
+
+
+def _meet(x: np.ndarray, node: np.ndarray, prefix: int, b: int, bits: int, half: int):
+    """Pairs of nodes that meet in a variant with these first ``b`` bits; x: the fingerprints that have such variants."""
+    flips = np.bitwise_count((x >> U64(bits - b)) ^ U64(prefix)) if b else np.zeros(len(x), np.uint8)
+    rest = [_flips(bits - b, half - j) for j in range(half + 1)]
+    if len(x) < 2:
+        return
+    if sum(int((flips == j).sum()) * len(rest[j]) for j in range(half + 1)) > VARIANTS_AT_ONCE and b < bits:
+        for q in range(1 << min(2, bits - b)):
+            wider = b + min(2, bits - b)
+            longer = (prefix << (wider - b)) | q
+            some = np.bitwise_count((x >> U64(bits - wider)) ^ U64(longer)) <= half
+            yield from _meet(x[some], node[some], longer, wider, bits, half)
+        return
+    low = U64((1 << (bits - b)) - 1)
+    z, y = [], []
+    for j in range(half + 1):
+        mine = flips == j
+        z.append(((x[mine] & low)[:, None] ^ rest[j][None, :]).reshape(-1))
+        y.append(np.repeat(node[mine], len(rest[j])))
+    z, y = np.concatenate(z), np.concatenate(y)
+    by = np.argsort(z, kind="stable")
+    z = z[by]
+    same = np.zeros(len(z) + 1, dtype=bool)
+    same[1:-1] = z[1:] == z[:-1]
+    met = np.flatnonzero(same[:-1] | same[1:])
+    if not len(met):
+        return
+    order = met[np.lexsort((y[by[met]], z[met]))]
+    z, y = z[order], y[by[order]]
+    new = np.ones(len(z), dtype=bool)
+    new[1:] = z[1:] != z[:-1]
+    lead = y[np.flatnonzero(new)][np.cumsum(new) - 1]
+    at = np.flatnonzero(~new)
+    pairs = np.concatenate([np.stack([y[at - 1], y[at]], axis=1), np.stack([lead[at], y[at]], axis=1)])
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    if len(pairs):
+        yield np.unique(pairs, axis=0)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of ``edges`` (u, v) can reach.
 
     Large-star and small-star rounds: every round hangs neighbours on the smallest neighbour, by map-side minima and
-    salted joins, until the edges are stars. Each round starts from files in the shared folder.
+    joins that deal out hot keys, until the edges are stars. Each round starts from files in the shared folder, and the
+    last round's go.
     """
     e = stash(edges.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).where("a != b").distinct())
 
@@ -161,11 +169,11 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = salted_join(both.where("b > a"), low, "a", "b", how="inner").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = skew_join(both.where("b > a"), low, "a", "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = salted_join(large, low, "a", "b", how="inner")
+        joined = skew_join(large, low, "a", "inner")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        e = stash(small.where("a != b").distinct())
+        e = stash(small.where("a != b").distinct(), replaces=e)
         after = sign(e)
         if after == before:
             break
@@ -173,33 +181,132 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicate_groups(docs: DataFrame, k: int = 4, radius: int = 4, carry: tuple = ()) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fp, root (the group's key), component_id (smallest doc_id reachable) of each row of docs (doc_id, text).
 
     Null or empty text: fingerprint zero, linked like any other. Null doc_id: the row takes part, its group's id is the
-    smallest id that is not null (null if there is none). Repeated rows: one fingerprint. Of other columns only those in
-    ``carry`` are read, and kept.
+    smallest id that is not null (null if there is none). Repeated rows: one fingerprint, a row each. Very long texts are
+    read whole. Empty table: no rows. Other columns are not read.
     """
-    marked = stash(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry), k))
+    marked = stash(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), k, ("doc_id",)))
     fps = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("lead")))
-    roots = components(links(fps, radius))
-    rooted = stash(fps.join(roots, fps.fp == roots.node, "left").select("fp", "lead", F.coalesce("root", "fp").alias("root")))
+    roots = components(links(fps.select(F.lit(0).alias("tab"), "fp", F.col("fp").alias("node")), radius))
+    rooted = stash(skew_join(fps, roots.withColumnRenamed("node", "fp"), "fp").select("fp", "lead", F.coalesce("root", "fp").alias("root")))
     low = rooted.groupBy("root").agg(F.min("lead").alias("component_id"))
-    named = salted_join(rooted.select("fp", "root"), low, "root", "fp")
-    return salted_join(marked, named, "fp", "doc_id")
+    return skew_join(marked, skew_join(rooted.select("fp", "root"), low, "root"), "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def plan_tables(n: int, similarity: float = SIMILARITY, recall: float = RECALL, radius: int = 4) -> tuple[int, int]:
+    """(bits, tables): how long fingerprints are, and how many of them, for n texts.
+
+    Fingerprints are so long that a text meets about one other by chance in a table, and so many that texts of this
+    similarity come within the radius in one of them with probability ``recall``. A bit differs with the angle between
+    the shingle sets: acos(2s / (1 + s)) / pi.
+    """
+    bits = next((b for b in range(24, 64, 2) if n * sum(comb(b, j) for j in range(radius + 1)) <= 2**b), 64)
+    p = acos(2 * similarity / (1 + similarity)) / pi
+    near = sum(comb(bits, j) * p**j * (1 - p) ** (bits - j) for j in range(radius + 1))
+    return bits, max(1, ceil(log(1 - recall) / log(1 - near)))
+
+
+def shingle_sets(column, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash): the distinct shingles of k words (lower-cased A-Z) of each text, in order; of all its words if they are fewer."""
+    w = Words(column, lower=True)
+    ok = within(w.row, k)
+    row, h = w.row[: len(ok)][ok], grams(w.hash, k)[ok]
+    count = np.diff(w.first)
+    for n in range(1, k):  # short texts
+        some = np.flatnonzero(count == n)
+        if len(some):
+            at = w.first[some]
+            row, h = np.concatenate([row, some]), np.concatenate([h, mix(np.sum([w.hash[at + j] * U64(2 * j + 3) for j in range(n)], axis=0, dtype=U64) + U64(n))])
+    by = np.lexsort((h, row))
+    row, h = row[by].astype(np.int64), h[by]
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
+    return row[new], h[new]
+
+
+def sketches(docs: DataFrame, bits: int, tables: int, carry: tuple = (), k: int = SHINGLE) -> DataFrame:
+    """The columns ``carry`` of docs, node (a hash of its set of shingles) and sketch: a fingerprint of ``bits`` bits a table."""
+    words = -(-bits * tables // 64)
+
+    def run(batches):
+        for b in (part for batch in batches for part in slices(batch)):
+            row, h = shingle_sets(b.column("text"), k)
+            n = b.num_rows
+            count = np.bincount(row, minlength=n)
+            full = np.flatnonzero(count)
+            node, ones = np.zeros(n, np.uint64), np.zeros((n, 64 * words), np.int32)
+            if len(full):
+                starts = (np.cumsum(count) - count)[full]
+                node[full] = mix(np.add.reduceat(mix(h + U64(1)), starts) + count[full].astype(U64))
+                for j in range(words):
+                    own = np.unpackbits(mix(h ^ U64(0x9E3779B97F4A7C15 * (2 * j + 3) % 2**64)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                    ones[full, 64 * j : 64 * j + 64] = np.add.reduceat(own, starts, axis=0, dtype=np.int32)
+            above = 2 * ones > count[:, None]
+            fps = np.zeros((n, tables, 64), np.uint8)
+            fps[:, :, :bits] = above[:, : bits * tables].reshape(n, tables, bits)
+            flat = np.packbits(fps.reshape(-1, 64), axis=1, bitorder="little").view(np.int64).reshape(-1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * tables + 1, tables), pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carry], pa.array(node.view(np.int64)), lists], names=[*carry, "node", "sketch"])
+        release()
 
+    narrow = docs.select(*map(quoted, carry), F.col("text").cast("string").alias("text"))
+    return narrow.mapInArrow(run, with_fields("", narrow, carry, "node long, sketch array<long>"))
 
-def drop_near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
-    """docs with one row of each group: that of the smallest doc_id (nulls last), of equal rows one."""
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float, k: int = SHINGLE) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets of shingles have this Jaccard similarity or more; texts: (node, text), one row a node."""
+
+    def run(batches):
+        for b in (part for batch in batches for part in slices(batch)):
+            row, h = shingle_sets(b.column("text"), k)
+            ends = np.searchsorted(row, np.arange(b.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h.view(np.int64)))], names=["node", "own"])
+        release()
+
+    sets = stash(texts.select("node", "text").mapInArrow(run, "node long, own array<long>"))
+    both = skew_join(skew_join(pairs, sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u", "inner"), sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v", "inner")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.where(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("u", "v")
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, radius: int = 4) -> DataFrame:
+    """docs with one row of each group of near duplicates: that of the smallest doc_id (nulls last), of equal rows one.
+
+    Near duplicates: sets of five-word shingles with a Jaccard similarity of ``similarity`` or more, and what such pairs
+    connect. Candidates come from several fingerprints a text by ball hashing (plan_tables), and are then compared
+    exactly; a pair at the threshold is found with probability ``recall``, a closer one with more. Before that, pairs
+    whose fingerprints together are 4 standard deviations beyond the threshold's go.
+
+    Null, empty and wordless texts are one group. Null doc_id: after all others. Repeated rows: one; of rows with one
+    doc_id and text but other columns that differ, the first by their JSON. Very long texts are read whole. Empty table:
+    no rows. Other columns come along whatever their names and types.
+    """
     no_id = F.coalesce("doc_id", F.lit(2**63 - 1))
     keyed = aside(docs).withColumn("_id", no_id).withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    marked = near_duplicate_groups(keyed, k, radius, ("_id", "_key"))
-    best = marked.groupBy("root").agg(F.min(F.struct("_id", "_key")).alias("best")).select("best.*").distinct()
-    kept = keyed.join(best, ["_id", "_key"], "left_semi")
-    order = Window.partitionBy("_id", "_key").orderBy(F.xxhash64("_others"))
-    return restored(kept.withColumn("_n", F.row_number().over(order)).where("_n = 1"), docs.columns)
+    bits, tables = plan_tables(docs.count(), similarity, recall, radius)
+    marked = stash(sketches(keyed, bits, tables, ("_id", "_key")))
+    nodes = stash(marked.groupBy("node").agg(F.min(F.struct("_id", "_key")).alias("best"), F.any_value("sketch").alias("sketch")))
+    fps = nodes.where("node != 0").select("node", F.posexplode("sketch").alias("tab", "fp"))
+    found = links(fps, radius, bits, tables)
+    side = lambda name: nodes.select(F.col("node").alias(name), F.col("sketch").alias(f"{name}_sketch"))
+    differ = F.aggregate(F.zip_with("u_sketch", "v_sketch", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
+    p = acos(2 * similarity / (1 + similarity)) / pi
+    most = bits * tables * p + 4 * (bits * tables * p * (1 - p)) ** 0.5
+    pairs = stash(skew_join(skew_join(found, side("u"), "u", "inner"), side("v"), "v", "inner").where(differ <= most).select("u", "v"))
+    asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct().join(nodes, "node").select("node", "best.*")
+    texts = keyed.select("_id", "_key", "text").join(asked.hint("merge"), ["_id", "_key"]).groupBy("node").agg(F.any_value("text").alias("text"))
+    roots = components(similar_pairs(pairs, texts, similarity))
+    rooted = skew_join(nodes.select("node", "best"), roots, "node").select(F.coalesce("root", "node").alias("root"), "best")
+    best = rooted.groupBy("root").agg(F.min("best").alias("best")).select("best.*")
+    kept = keyed.join(best.hint("merge"), ["_id", "_key"], "left_semi")
+    row = kept.groupBy("_id", "_key").agg(F.min_by(F.struct("text", "_others"), F.to_json("_others")).alias("row"))
+    return restored(row.select("row.text", "row._others"), docs.columns)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id of each row of documents; nulls, ties and repeated rows as in near_duplicate_groups."""
     groups = near_duplicate_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
