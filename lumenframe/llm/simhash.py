@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import aside, quoted, restored, skew_join, stash, table, with_fields
+from ._shared import aside, quoted, restored, salted_join, skew_join, stash, table, with_fields
 from ._text import U64, Words, grams, mix, release, slices, within
 
 SEED = 42
@@ -157,7 +157,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of ``edges`` (u, v) can reach.
 
     Large-star and small-star rounds: every round hangs neighbours on the smallest neighbour, by map-side minima and
-    joins that deal out hot keys, until the edges are stars. Each round starts from files in the shared folder, and the
+    salted joins, until the edges are stars. Each round starts from files in the shared folder, and the
     last round's go.
     """
     e = stash(edges.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).where("a != b").distinct())
@@ -169,9 +169,9 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = skew_join(both.where("b > a"), low, "a", "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = salted_join(both.where("b > a"), low, "a", "b", how="inner").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = skew_join(large, low, "a", "inner")
+        joined = salted_join(large, low, "a", "b", how="inner")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         e = stash(small.where("a != b").distinct(), replaces=e)
         after = sign(e)
