@@ -31,9 +31,9 @@ class Lines:
         self.number = line_of_word[self.first] - np.searchsorted(breaks, w.offsets[:-1])[self.row]
         self.at = np.arange(len(w)) - np.repeat(self.first, self.count)
 
-    def prefix(self, salt: int = 0) -> np.ndarray:
+    def prefix(self) -> np.ndarray:
         """Sums of the words' hashes times powers of BASE, counted from the start of their line."""
-        h = mix(self.words.hash + U64(salt)) if salt else self.words.hash
+        h = self.words.hash
         out = np.zeros(len(h) + 1, dtype=U64)
         np.cumsum(h * powers(int(self.count.max()) + 1 if len(self.count) else 1)[self.at], out=out[1:])
         return out
@@ -44,20 +44,25 @@ class Lines:
         sums = (prefix[a + take] - prefix[a]) * powers(int(skip.max()) + 1 if len(skip) else 1, INVERSE)[skip]
         return mix(sums ^ (take.astype(U64) * STEP))
 
-    def whole(self, salt: int = 0) -> np.ndarray:
-        return self.runs(self.prefix(salt), np.zeros_like(self.count), self.count)
+    def whole(self) -> np.ndarray:
+        return self.runs(self.prefix(), np.zeros_like(self.count), self.count)
 
-    def halves(self) -> list[np.ndarray]:
-        """Keys of the first and the last half of each line, once for partners of up to its length, once for longer ones.
+    def ends(self, quarters: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(key, line) of what an edit leaves whole, once for partners of up to a line's length, once for longer ones.
 
         Of two lines one word edit apart, the longer with c words, the edit leaves the first c // 2 or the last c // 2
-        words of both whole. A line of n words is the longer one (c = n) or the shorter (c = n + 1). The key holds c.
+        words of both whole, and with ``quarters`` the first or the last half of what remains as well. A line of n words is
+        the longer one (c = n) or the shorter (c = n + 1). The key holds c. Lines for which c is too small have none.
         """
         prefix, out = self.prefix(), []
         for c in (self.count, self.count + 1):
-            half = c // 2
-            for skip, salt in ((np.zeros_like(half), 1), (self.count - half, 2)):
-                out.append(mix(self.runs(prefix, skip, half) ^ (c * 4 + salt).astype(U64) * BASE))
+            line = np.flatnonzero(c >= LEAST_WORDS)
+            half, none = c // 2, np.zeros_like(c)
+            more = (c - half) // 2 if quarters else none
+            kept = [(half + more, none), (half, more), (more, half), (none, half + more)] if quarters else [(half, none), (none, half)]
+            for salt, (front, back) in enumerate(kept, 1):
+                key = self.runs(prefix, none, front) + self.runs(prefix, self.count - back, back) * STEP
+                out.append((mix(key ^ (c * 8 + salt).astype(U64) * BASE)[line], line))
         return out
 
     def variants(self):
@@ -76,15 +81,26 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64), pa.int64())
 
 
-def _extract(batches):
-    """Every line with words: _key, _doc, number, n, w1 and w2 (128 bits of its words), keys of its halves (null if it is too short)."""
+def _lines(batches):
+    """Every line with words: _key, _doc, number, and w, a hash of its words."""
     for b in (part for batch in batches for part in slices(batch)):
         lines = Lines(b.column("text"))
-        short = lines.count + 1 < LEAST_WORDS
-        halves = [pa.array(h.view(np.int64), mask=short | ((lines.count < LEAST_WORDS) & (i < 2))) for i, h in enumerate(lines.halves())]
-        columns = [b.column("_key").take(pa.array(lines.row)), b.column("_doc").take(pa.array(lines.row)), _long(lines.number), _long(lines.count), _long(lines.whole()), _long(lines.whole(1)), *halves]
-        yield pa.RecordBatch.from_arrays(columns, names=["_key", "_doc", "number", "n", "w1", "w2", "h0", "h1", "h2", "h3"])
-    release()
+        row = pa.array(lines.row)
+        yield pa.RecordBatch.from_arrays([b.column("_key").take(row), b.column("_doc").take(row), _long(lines.number), _long(lines.whole())], names=["_key", "_doc", "number", "w"])
+        release()
+
+
+def _lines_with_halves(batches):
+    """The same with h0 .. h3, the keys of its halves."""
+    for b in (part for batch in batches for part in slices(batch)):
+        lines = Lines(b.column("text"))
+        row, columns = pa.array(lines.row), []
+        for key, line in lines.ends():
+            out, none = np.zeros(len(lines.row), np.int64), np.ones(len(lines.row), dtype=bool)
+            out[line], none[line] = key.view(np.int64), False
+            columns.append(pa.array(out, pa.int64(), mask=none))
+        yield pa.RecordBatch.from_arrays([b.column("_key").take(row), b.column("_doc").take(row), _long(lines.number), _long(lines.whole()), *columns], names=["_key", "_doc", "number", "w", "h0", "h1", "h2", "h3"])
+        release()
 
 
 def _candidate_lines(batches):
@@ -93,14 +109,17 @@ def _candidate_lines(batches):
         docs, numbers, texts = [], [], []
         for doc, text, wanted in zip(b.column("_doc").to_pylist(), b.column("text").to_pylist(), b.column("wanted").to_pylist()):
             own = text.split("\n")
-            for i in wanted:
-                docs.append(doc)
-                numbers.append(i)
-                texts.append(b" ".join(own[i].encode().split()).decode())
+            docs += [doc] * len(wanted)
+            numbers += wanted
+            texts += [b" ".join(own[i].encode().split()).decode() for i in wanted]
         column = pa.array(texts, pa.string())
-        lines = Lines(column)
-        keep = pa.array(lines.row)
-        yield pa.RecordBatch.from_arrays([_long(lines.whole()), _long(lines.whole(1)), pa.array(docs, pa.int64()).take(keep), pa.array(numbers, pa.int64()).take(keep), column.take(keep)], names=["w1", "w2", "_doc", "number", "line"])
+        yield pa.RecordBatch.from_arrays([_long(Lines(column).whole()), pa.array(docs, pa.int64()), pa.array(numbers, pa.int64()), column], names=["w", "_doc", "number", "line"])
+
+
+def _quarters(batches):
+    for b in (part for batch in batches for part in slices(batch, "line")):
+        ends = Lines(b.column("line")).ends(quarters=True)
+        yield pa.RecordBatch.from_arrays([b.column("w").take(pa.array(np.concatenate([line for _, line in ends]))), _long(np.concatenate([key for key, _ in ends]))], names=["w", "end"])
 
 
 def _variants(batches):
@@ -109,9 +128,9 @@ def _variants(batches):
         lines = Lines(b.column("line"))
         key, place, line = lines.variants()
         row = pa.array(np.concatenate([lines.row, lines.row[line]]))
-        columns = [_long(np.concatenate([lines.whole(), key])), _long(np.concatenate([np.zeros(len(lines.row), np.int64), place + 1]))]
-        yield pa.RecordBatch.from_arrays([*columns, *[b.column(c).take(row) for c in ("_doc", "number", "w1", "w2")]], names=["key", "place", "_doc", "number", "w1", "w2"])
-    release()
+        columns = [_long(np.concatenate([lines.whole(), key])), pa.array(np.concatenate([np.zeros(len(lines.row), np.int64), place + 1]), pa.int32())]
+        yield pa.RecordBatch.from_arrays([*columns, *[b.column(c).take(row) for c in ("_doc", "number", "w")]], names=["key", "place", "_doc", "number", "w"])
+        release()
 
 
 def within_an_edit(a: list[str], b: list[str]) -> bool:
@@ -125,49 +144,55 @@ def within_an_edit(a: list[str], b: list[str]) -> bool:
 def _verified(batches):
     for b in batches:
         ok = [within_an_edit(x.split(" "), y.split(" ")) for x, y in zip(b.column("line").to_pylist(), b.column("other").to_pylist())]
-        yield b.select(["w1", "w2"]).filter(pa.array(ok, pa.bool_()))
+        yield b.select(["w"]).filter(pa.array(ok, pa.bool_()))
+
+
+def _sharing(ends: DataFrame) -> DataFrame:
+    """The lines w of ends (w, end; a line has an end once) that share one with another line."""
+    shared = ends.groupBy("end").agg(F.count("*").alias("lines")).where("lines > 1").select("end")
+    return skew_join(ends, shared, "end", "inner").select("w").distinct()
 
 
 def near_earlier(distinct: DataFrame, docs: DataFrame) -> DataFrame:
-    """(w1, w2): distinct lines with an earlier one that is not equal but one word edit away.
-
-    distinct: w1, w2, lead (_doc, number, _key of the first occurrence), h0 .. h3. Lines that share neither half with
-    another line drop out first: they have no neighbour. The others emit the key of every variant with one word deleted,
-    and of the whole line. Equal keys: without the word at their places, the lines are equal. Two lines without words of
-    the same place differ in one word; a line without a word is one insertion away from a whole line. With different
-    places two edits may lie between them; if it is one after all, they also meet at equal places under another key. So
-    each line is compared, word by word, with the earliest of its neighbours at every key: never all pairs of a group.
+    """(w): distinct lines with an earlier one that is not equal but one word edit away.
+
+    distinct: w, lead (_doc, number, _key of the first occurrence), h0 .. h3. Lines that share neither half with another
+    line drop out first, then those that share no three quarters: they have no neighbour. The others emit the key of every
+    variant with one word deleted, and of the whole line. Equal keys: without the word at their places, the lines are
+    equal. Two lines without words of the same place differ in one word; a line without a word is one insertion away from
+    a whole line. With different places two edits may lie between them; if it is one after all, they also meet at equal
+    places under another key. So each line is compared, word by word, with the earliest of its neighbours at every key:
+    never all pairs of a group.
     """
-    halves = stash(distinct.select("w1", "w2", "lead", F.explode(F.array("h0", "h1", "h2", "h3")).alias("half")).where("half IS NOT NULL"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("lines")).where("lines > 1").select("half")
-    candidates = skew_join(halves, shared, "half", "inner").select("w1", "w2", "lead").distinct()
-    wanted = candidates.groupBy("lead._key").agg(F.collect_set("lead.number").alias("wanted"))  # of one document
-    own = skew_join(docs.select("_key", "_doc", "text"), wanted, "_key", "inner").select("_doc", "text", "wanted")
-    lines = stash(own.mapInArrow(_candidate_lines, "w1 long, w2 long, _doc long, number long, line string").dropDuplicates(["w1", "w2"]))
-    entries = stash(lines.mapInArrow(_variants, "key long, place long, _doc long, number long, w1 long, w2 long"))
-    first = entries.groupBy("key", "place").agg(F.min(F.struct("_doc", "number", "w1", "w2")).alias("first"), F.count("*").alias("lines"))
-    first = stash(first)
+    halves = distinct.select("w", F.explode(F.array("h0", "h1", "h2", "h3")).alias("end")).where("end IS NOT NULL")
+    leads = skew_join(_sharing(halves), distinct.select("w", "lead"), "w", "inner")
+    wanted = leads.groupBy("lead._key").agg(F.collect_set("lead.number").alias("wanted"))  # of one document
+    own = docs.select("_key", "_doc", "text").join(wanted.hint("merge"), "_key").select("_doc", "text", "wanted")
+    lines = stash(own.mapInArrow(_candidate_lines, "w long, _doc long, number long, line string").dropDuplicates(["w"]))
+    close = _sharing(lines.mapInArrow(_quarters, "w long, end long"))
+    entries = stash(lines.join(close.hint("merge"), "w", "left_semi").mapInArrow(_variants, "key long, place int, _doc long, number long, w long"))
+    first = stash(entries.groupBy("key", "place").agg(F.min(F.struct("_doc", "number", "w")).alias("first"), F.count("*").alias("lines")))
     of_key = first.groupBy("key").agg(F.min("first").alias("any_first"), F.min(F.when(F.col("place") == 0, F.col("first"))).alias("whole_first"), F.sum("lines").alias("all_lines")).where("all_lines > 1")
     best = first.join(of_key.hint("merge"), "key").select("key", "place", F.when(F.col("place") == 0, F.col("any_first")).otherwise(F.least("whole_first", "first")).alias("best"))
     met = skew_join(entries, best, ["key", "place"], "inner").where(F.struct("_doc", "number") > F.struct("best._doc", "best.number"))
-    pairs = met.select("w1", "w2", F.col("best.w1").alias("o1"), F.col("best.w2").alias("o2")).distinct()
-    text = lines.select("w1", "w2", "line")
-    other = lines.select(F.col("w1").alias("o1"), F.col("w2").alias("o2"), F.col("line").alias("other"))
-    both = skew_join(skew_join(pairs, text, ["w1", "w2"], "inner"), other, ["o1", "o2"], "inner")
-    return both.select("w1", "w2", "line", "other").mapInArrow(_verified, "w1 long, w2 long").distinct()
+    pairs = met.select("w", F.col("best.w").alias("o")).distinct()
+    both = skew_join(skew_join(pairs, lines.select("w", "line"), "w", "inner"), lines.select(F.col("w").alias("o"), F.col("line").alias("other")), "o", "inner")
+    return both.select("w", "line", "other").mapInArrow(_verified, "w long").distinct()
 
 
 def _dedup(docs: DataFrame) -> DataFrame:
-    """docs (_doc, _key, text and others) with gone (numbers of the lines to remove, or null) and left (a line with words is left, or null)."""
-    lines = stash(docs.select("_key", "_doc", "text").mapInArrow(_extract, "_key long, _doc long, number long, n long, w1 long, w2 long, h0 long, h1 long, h2 long, h3 long"))
-    distinct = lines.groupBy("w1", "w2").agg(F.min(F.struct("_doc", "number", "_key")).alias("lead"), F.count("*").alias("times"), *[F.any_value(f"h{i}").alias(f"h{i}") for i in range(4)])
+    """docs (_doc, _key, text and others) with gone: the numbers of the lines to remove, or null."""
+    docs = stash(docs, by="_key")  # so that texts are not shuffled
+    own = docs.select("_key", "_doc", "text")
+    lines = own.mapInArrow(_lines_with_halves, "_key long, _doc long, number long, w long, h0 long, h1 long, h2 long, h3 long")
+    distinct = lines.groupBy("w").agg(F.min(F.struct("_doc", "number", "_key")).alias("lead"), F.count("*").alias("times"), *[F.any_value(f"h{i}").alias(f"h{i}") for i in range(4)])
     distinct = stash(distinct)
     near = near_earlier(distinct, docs).withColumn("near", F.lit(True))
-    judged = distinct.select("w1", "w2", "lead", "times").join(near.hint("merge"), ["w1", "w2"], "left").where("times > 1 OR near").select("w1", "w2", "lead", "near")
-    later = F.col("lead").isNotNull() & (F.struct("_doc", "number") > F.struct("lead._doc", "lead.number"))
-    marked = skew_join(lines.select("_key", "_doc", "number", "w1", "w2"), judged, ["w1", "w2"]).select("_key", "number", (F.coalesce("near", F.lit(False)) | later).alias("gone"))
-    own = marked.groupBy("_key").agg(F.collect_set(F.when(F.col("gone"), F.col("number").cast("int"))).alias("gone"), F.bool_or(~F.col("gone")).alias("left"))
-    return skew_join(docs, own, "_key")
+    judged = distinct.select("w", "lead", "times").join(near.hint("merge"), "w", "left").where("times > 1 OR near").select("w", F.struct("lead._doc", "lead.number").alias("lead"), F.coalesce("near", F.lit(False)).alias("near"))
+    lines = own.mapInArrow(_lines, "_key long, _doc long, number long, w long")
+    gone = skew_join(lines, stash(judged), "w", "inner").where(F.col("near") | (F.struct("_doc", "number") > F.col("lead")))
+    gone = gone.groupBy("_key").agg(F.collect_set(F.col("number").cast("int")).alias("gone"))  # of one document
+    return docs.join(gone.hint("merge"), "_key", "left")
 
 
 def _keyed(docs: DataFrame, *more) -> DataFrame:
@@ -187,7 +212,7 @@ def dedup_lines(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
     Lines end at \\n; words are [^\\x20\\x09-\\x0D]+, and lines are compared by their words. A word edit replaces, inserts or
     deletes one word, and counts where the longer line has LEAST_WORDS words or more, so that it changes a fifth of them
-    at most. Lines without words stay. Equal lines meet by 128 bits; see near_earlier for the others.
+    at most. Lines without words stay. Equal lines meet by a 64-bit hash; see near_earlier for the others.
 
     One row per row of docs: doc_id, n_lines, n_removed (lines), kept_sha256 and, with_text, text (lines left, joined
     by \\n) and n_words (words left). Null text: no lines, sha of the empty string, text null. Null doc_id: later than
@@ -207,7 +232,7 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     Null and wordless texts stay as they are. All else as in dedup_lines; other columns come along whatever their names.
     """
     inner = aside(docs)
-    lines = _dedup(_keyed(inner, "_others")).where(F.coalesce(F.col("left"), F.lit(True))).withColumn("text", _left_text()[1])
+    lines = _dedup(_keyed(inner, "_others")).withColumn("text", _left_text()[1]).where(F.col("gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     left = restored(lines, docs.columns)
     return left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
