@@ -1,22 +1,19 @@
-"""Benchmark decontamination by winnowing: k-gram fingerprints meet, hits are extended to whole shared spans."""
+"""Benchmark decontamination by winnowing: k-gram fingerprints are joined, hits are extended to whole shared spans."""
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import aside, restored, stash, table
-from ._text import ALNUM_WORD, Words, grams, release, slices, within
+from ._shared import aside, restored, skew_join, stash, table
+from ._text import ALNUM_WORD, U64, Words, grams, release, slices, within
 
 WINDOW = 10
 K = 5
-#: The fingerprints of the benchmark are broadcast up to so many items and words; beyond, they are joined.
-MOST_BROADCAST_ITEMS = 50_000
-MOST_BROADCAST_WORDS = 2_000_000
+#: Items that one task compares with a text at once; a text that meets more is compared in several rows.
+ITEMS_AT_ONCE = 64
 
 
 def winnow(h: np.ndarray, row: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
@@ -38,189 +35,164 @@ def winnow(h: np.ndarray, row: np.ndarray, k: int, w: int) -> tuple[np.ndarray,
     return picked, g[picked]
 
 
-class Items:
-    """Benchmark items as arrays: word hashes, and an index from fingerprints to their places."""
-
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW, k: int = K):
-        self.ids = [i for i, _ in items]
-        self.window, self.k = window, k
-        self.words = Words(pa.array([t for _, t in items], pa.string()), ALNUM_WORD, lower=True)
-        n = np.diff(self.words.first)
-        h, row = self.words.hash, self.words.row
-        #: by span length: items of fewer words than a window are one window of that length
-        self.index = {}
-        for length in sorted({window, *(int(x) for x in n if 0 < x < window)}):
-            kk = k if length == window else length
-            at, g = winnow(h, row, kk, length - kk + 1)
-            mine = (n[row[at]] >= window) if length == window else (n[row[at]] == length)
-            at, g = at[mine], g[mine]
-            by = np.argsort(g, kind="stable")
-            if len(by):
-                self.index[length] = (kk, g[by], at[by])
-
-    def hits(self, words: Words):
-        """(word position, item word position, span length) of every fingerprint met."""
-        for length, (k, keys, places) in self.index.items():
-            at, g = winnow(words.hash, words.row, k, length - k + 1)
-            lo, hi = np.searchsorted(keys, g), np.searchsorted(keys, g, side="right")
-            met = np.flatnonzero(hi > lo)
-            count = (hi - lo)[met]
-            first = np.repeat(lo[met] - np.concatenate([[0], np.cumsum(count)[:-1]]) if len(met) else lo[met], count)
-            yield length, k, np.repeat(at[met], count), places[first + np.arange(int(count.sum()))]
-
-    def mark(self, words: Words) -> tuple[np.ndarray, list[set[int]]]:
-        """Mask of hit words, and the items met by each text."""
-        hit = np.zeros(len(words) + 1, np.int64)
-        met: list[set[int]] = [set() for _ in range(len(words.first) - 1)]
-        for length, k, p, q in self.hits(words):
-            if not len(p):
-                continue
-            # one alignment of a text with an item is extended once: equal shifts share a run until it ends
-            shift = p - q
-            order = np.lexsort((p, q - p, words.row[p]))
-            done = {}
-            for i in order:
-                a, b, row, item = int(p[i]), int(q[i]), int(words.row[p[i]]), int(self.words.row[q[i]])
-                tag = (row, item, int(shift[i]))
-                if done.get(tag, -1) > a:
-                    continue
-                lo, hi = self._extend(words, a, b, row, item)
-                done[tag] = hi
-                if hi - lo >= length:
-                    hit[lo] += 1
-                    hit[hi] -= 1
-                    met[row].add(item)
-        return np.cumsum(hit)[:-1] > 0, met
-
-    def _extend(self, words: Words, a: int, b: int, row: int, item: int) -> tuple[int, int]:
-        """The maximal run of equal words through word a of the text and word b of the item."""
-        back = min(a - words.first[row], b - self.words.first[item])
-        fwd = min(words.first[row + 1] - a, self.words.first[item + 1] - b)
-        left = words.hash[a - back : a][::-1] != self.words.hash[b - back : b][::-1]
-        right = words.hash[a : a + fwd] != self.words.hash[b : b + fwd]
-        lo = a - (int(np.argmax(left)) if left.any() else int(back))
-        hi = a + (int(np.argmax(right)) if right.any() else int(fwd))
-        return lo, hi
-
-
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-
-
-def _report(ids: pa.Array, words: Words, hit: np.ndarray, met: list[set[str]]) -> list[pa.Array]:
-    n_hit = np.diff(np.concatenate([[0], np.cumsum(hit)])[words.first])
-    names = [",".join(sorted(m)) for m in met]
-    return [
-        ids,
-        pa.array(np.diff(words.first), pa.int64()),
-        pa.array(n_hit, pa.int64()),
-        pa.array([len(m) for m in met], pa.int64()),
-        pa.array([hashlib.sha256(x.encode()).hexdigest() for x in names]),
-        pa.array(n_hit > 0),
-    ]
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, most_items: int = MOST_BROADCAST_ITEMS, carry: tuple = ()) -> DataFrame:
-    """For each row of docs (doc_id, text): n_words, n_hit, n_items, items_sha256, contaminated.
-
-    Words: [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the text with A-Z lower-cased. A window is ``window`` consecutive words
-    of one item; an item of fewer words, but not none, is one window. Words inside any occurrence of a window are hit.
-    Winnowing keeps the smallest k-gram of every window - k + 1, so that each shared window has a fingerprint in
-    common; hits are extended to the maximal equal run, and count if it is a window long.
+def prints(words: Words, lengths: list[int], window: int, k: int, items: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(text, fingerprint): distinct fingerprints of texts for spans of each of ``lengths`` words, or of items for their own.
 
-    A benchmark of up to ``most_items`` items and MOST_BROADCAST_WORDS words goes to every task; a larger one meets
-    the documents by a join on fingerprints and is then checked in the same way, document by document.
-    Null text: no words. Null item_id: the text "null"; equal ids count once. Repeated rows: a row each. Columns of
-    docs in ``carry`` are kept; others are not read.
+    An item of fewer words than a window is one span of its length, with one fingerprint: the hash of all its words.
+    """
+    n = np.diff(words.first)
+    own, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for length in lengths:
+        kk = k if length == window else length
+        at, g = winnow(words.hash, words.row, kk, length - kk + 1)
+        row = words.row[at].astype(np.int64)
+        if items:
+            mine = (n[row] >= window) if length == window else (n[row] == length)
+            row, g = row[mine], g[mine]
+        g = g ^ U64(length)
+        by = np.lexsort((g, row))
+        row, g = row[by], g[by]
+        new = np.ones(len(row), dtype=bool)
+        new[1:] = (row[1:] != row[:-1]) | (g[1:] != g[:-1])
+        own.append(row[new])
+        keys.append(g[new])
+    return np.concatenate(own), np.concatenate(keys)
+
+
+def shared_spans(text: Words, items: Words, window: int = WINDOW, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, start, end): the maximal runs of words that one text shares with each item, if a window or a whole shorter item is in them.
+
+    Equal fingerprints give the alignments of text and item; along each, all words are compared.
     """
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("string").alias("text"))
-    size = items.agg(F.count("*"), F.coalesce(F.sum(F.size(F.split("text", r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"))), F.lit(0))).first()
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c for c in carry if c != "text"])
-    if size[0] <= most_items and size[1] <= MOST_BROADCAST_WORDS:
-        return _by_broadcast(narrow, items, window, k, carry)
-    return _by_join(narrow, items, window, k, carry)
+    n_items = np.diff(items.first)
+    pairs = []
+    for length in sorted({window, *(int(x) for x in n_items if 0 < x < window)}):
+        kk = k if length == window else length
+        at, g = winnow(items.hash, items.row, kk, length - kk + 1)
+        mine = (n_items[items.row[at]] >= window) if length == window else (n_items[items.row[at]] == length)
+        at, g = at[mine], g[mine]
+        by = np.argsort(g, kind="stable")
+        at, g = at[by], g[by]
+        p, h = winnow(text.hash, text.row, kk, length - kk + 1)
+        lo, hi = np.searchsorted(g, h), np.searchsorted(g, h, side="right")
+        count = hi - lo
+        q = at[np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
+        item = items.row[q].astype(np.int64)
+        pairs.append(np.unique(np.stack([item, np.repeat(p, count) - (q - items.first[item])], axis=1), axis=0))
+    item, shift = np.unique(np.concatenate(pairs), axis=0).T if pairs else np.zeros((2, 0), np.int64)
+    n = n_items[item]
+    line = np.repeat(np.arange(len(item)), n)
+    q = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
+    p = q + shift[line]
+    inside = (p >= 0) & (p < len(text))
+    equal = np.zeros(len(line), dtype=bool)
+    equal[inside] = text.hash[p[inside]] == items.hash[items.first[item[line[inside]]] + q[inside]]
+    new = equal.copy()
+    new[1:] &= ~equal[:-1] | (line[1:] != line[:-1])
+    end = equal.copy()
+    end[:-1] &= ~equal[1:] | (line[1:] != line[:-1])
+    a, b = np.flatnonzero(new), np.flatnonzero(end) + 1
+    long = b - a >= np.minimum(n[line[a]], window)
+    a, b = a[long], b[long]
+    return item[line[a]], p[a], p[a] + (b - a)
+
+
+def _words(column) -> Words:
+    return Words(column, ALNUM_WORD, lower=True)
 
 
-def _fields(df: DataFrame, carry: tuple) -> str:
-    return "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in carry)
+def _lengths(window: int):
+    def run(batches):
+        for b in (part for batch in batches for part in slices(batch)):
+            n = np.diff(_words(b.column("text")).first)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(n[n > 0], window), pa.int32())], names=["n"])
 
+    return run
 
-def _by_broadcast(docs: DataFrame, items: DataFrame, window: int, k: int, carry: tuple) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.orderBy("item_id", "text").collect()])
 
+def _prints(name: str, lengths: list[int], window: int, k: int, items: bool):
     def run(batches):
-        index = Items(shared.value, window, k)
         for b in (part for batch in batches for part in slices(batch)):
-            words = Words(b.column("text"), ALNUM_WORD, lower=True)
-            hit, met = index.mark(words)
-            columns = _report(b.column("doc_id"), words, hit, [{index.ids[i] for i in m} for m in met])
-            yield pa.RecordBatch.from_arrays([*columns, *[b.column(c) for c in carry]], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *carry])
+            row, g = prints(_words(b.column("text")), lengths, window, k, items)
+            yield pa.RecordBatch.from_arrays([b.column(name).take(pa.array(row)), pa.array(g.view(np.int64))], names=[name, "gram"])
         release()
 
-    return docs.mapInArrow(run, SCHEMA + _fields(docs, carry))
-
-
-def _by_join(docs: DataFrame, items: DataFrame, window: int, k: int, carry: tuple) -> DataFrame:
-    """Fingerprints of texts and items meet in a join; each text then gets only the items that it met."""
-    lengths = sorted({r[0] for r in items.mapInArrow(_lengths(window), "n int").distinct().collect()})  # at most ``window`` values
-
-    def prints(name, everything):
-        def run(batches):
-            for b in (part for batch in batches for part in slices(batch)):
-                words = Words(b.column("text"), ALNUM_WORD, lower=True)
-                n = np.diff(words.first)
-                own, keys = [], []
-                for length in lengths:
-                    kk = k if length == window else length
-                    at, g = winnow(words.hash, words.row, kk, length - kk + 1)
-                    row = words.row[at]
-                    if not everything:
-                        mine = (n[row] >= window) if length == window else (n[row] == length)
-                        row, g = row[mine], g[mine]
-                    pair = np.unique(np.stack([row.astype(np.uint64), g ^ np.uint64(length)], axis=1), axis=0)
-                    own.append(pair[:, 0].astype(np.int64))
-                    keys.append(pair[:, 1].view(np.int64))
-                row = np.concatenate(own) if own else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(name).take(pa.array(row)), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], names=[name, "key"])
-
-        return run
-
-    rows = stash(docs.withColumn("_row", F.monotonically_increasing_id()))
-    keyed = stash(items.withColumn("_item", F.monotonically_increasing_id()))
-    left = rows.select("_row", "text").mapInArrow(prints("_row", True), "_row long, key long")
-    right = keyed.select("_item", "text").mapInArrow(prints("_item", False), "_item long, key long")
-    met = left.join(right, "key").select("_row", "_item").distinct()
-    own = met.join(keyed, "_item").groupBy("_row").agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
+    return run
+
 
-    def run(batches):
+def contaminated_texts(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
+    """(_key, n_hit, items) of the rows of docs (_key, text) that hold a window of the benchmark; items: their distinct ids, sorted."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    items = stash(items.select(F.xxhash64("item_id", F.col("text").isNull(), "text").alias("_item"), "item_id", "text"))
+    lengths = sorted(r["n"] for r in items.mapInArrow(_lengths(window), "n int").distinct().collect())  # at most ``window`` values
+    right = stash(items.select("_item", "text").mapInArrow(_prints("_item", lengths, window, k, True), "_item long, gram long"))
+    left = docs.select("_key", "text").mapInArrow(_prints("_key", lengths, window, k, False), "_key long, gram long")
+    # fingerprints of a small benchmark go to every task if Spark's limit for that allows it; else both sides are shuffled
+    met = stash(left.join(right, "gram").select("_key", "_item").distinct())
+    runs = met.groupBy("_key").agg(F.ceil(F.count("*") / ITEMS_AT_ONCE).alias("runs"))
+    own = met.join(runs, "_key").join(items, "_item").groupBy("_key", F.pmod(F.xxhash64("_item"), "runs").alias("run")).agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
+
+    def compare(batches):
         for b in batches:
-            out = []
             for i in range(b.num_rows):
-                words = Words(b.column("text").slice(i, 1), ALNUM_WORD, lower=True)
-                index = Items([(x["item_id"], x["text"]) for x in b.column("items")[i].as_py() or []], window, k)
-                hit, found = index.mark(words)
-                columns = _report(b.column("doc_id").slice(i, 1), words, hit, [{index.ids[j] for j in m} for m in found])
-                out.append(pa.RecordBatch.from_arrays([*columns, *[b.column(c).slice(i, 1) for c in carry]], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *carry]))
-            yield from out
+                asked = b.column("items")[i].as_py()
+                item, a, z = shared_spans(_words(b.column("text").slice(i, 1)), _words(pa.array([x["text"] for x in asked], pa.string())), window, k)
+                spans = [{"a": x, "z": y} for x, y in sorted(set(zip(a.tolist(), z.tolist())))]
+                found = sorted({asked[j]["item_id"] for j in set(item.tolist())})
+                if found:
+                    yield pa.RecordBatch.from_arrays([b.column("_key").slice(i, 1), pa.array([spans], pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))), pa.array([found], pa.list_(pa.string()))], names=["_key", "spans", "items"])
 
-    return rows.join(own, "_row", "left").select("doc_id", "text", "items", *[c for c in carry if c != "text"]).mapInArrow(run, SCHEMA + _fields(docs, carry))
+    spans = skew_join(docs.select("_key", "text"), own, "_key", "inner").select("_key", "text", "items").mapInArrow(compare, "_key long, spans array<struct<a: long, z: long>>, items array<string>")
+    merged = spans.groupBy("_key").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("hit"))
+    covered = F.aggregate("spans", start, lambda s, x: F.struct(F.greatest(s["end"], x["z"]).alias("end"), (s["hit"] + F.greatest(x["z"] - F.greatest(s["end"], x["a"]), F.lit(0))).alias("hit")))
+    return merged.select("_key", covered["hit"].alias("n_hit"), "items")
 
 
-def _lengths(window: int):
-    def run(batches):
+def _keyed(docs: DataFrame, *more) -> DataFrame:
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select(F.xxhash64(doc_id.isNull(), doc_id, text).alias("_key"), text.alias("text"), *more)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
+    """For each row of docs (doc_id, text): doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    Words: [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the text with A-Z lower-cased. A window is ``window`` consecutive words
+    of one item; an item of fewer words, but not none, is one window. Words inside any occurrence of a window are hit.
+    Winnowing keeps the smallest k-gram of every window - k + 1, so that each shared window has a fingerprint in
+    common; texts and items meet by a join on fingerprints, and each text is then compared with the items that it met:
+    hits are extended to maximal equal runs, and count if they hold a window. Words are compared by 64-bit hashes.
+
+    Null text: no words. Null doc_id: a row like all others. Null item_id: the text "null"; equal ids count once. Repeated
+    rows: a row each. Very long texts are read whole. Empty tables: no rows, or no hits. Other columns are not read.
+    """
+    rows = _keyed(docs, F.col("doc_id").cast("long").alias("doc_id"))
+
+    def count(batches):
         for b in (part for batch in batches for part in slices(batch)):
-            n = np.diff(Words(b.column("text"), ALNUM_WORD, lower=True).first)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(n[n > 0], window), pa.int32())], names=["n"])
+            yield pa.RecordBatch.from_arrays([b.column("_key"), b.column("doc_id"), pa.array(np.diff(_words(b.column("text")).first), pa.int64())], names=["_key", "doc_id", "n_words"])
+        release()
 
-    return run
+    counted = rows.mapInArrow(count, "_key long, doc_id long, n_words long")
+    hits = contaminated_texts(rows, benchmark, window, k)
+    ids = F.array_join("items", ",")
+    return counted.join(hits, "_key", "left").select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.greatest(F.coalesce(F.size("items"), F.lit(0)), F.lit(0)).cast("long").alias("n_items"),
+        F.sha2(F.coalesce(ids, F.lit("")), 256).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
+    )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs without the rows that hold a benchmark window."""
-    clean = contamination(aside(docs), benchmark, window, carry=("text", "_others")).where("not contaminated")
-    return restored(clean, docs.columns)
+    """docs without the rows that hold a benchmark window. Null and wordless texts stay.
+
+    All else as in contamination; other columns come along whatever their names.
+    """
+    rows = _keyed(aside(docs), "_others")
+    return restored(rows.join(contaminated_texts(rows, benchmark, window).select("_key"), "_key", "left_anti"), docs.columns)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """contamination of documents by benchmark, a row each; nulls, ties and repeated rows as stated there."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

@@ -2,7 +2,11 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, _key string, n_words int"
+SCHEMA = (
+    "doc_id long, text string, lang string, source string, n_chars long, score string, _key string, n_words int, "
+    "target int, _from int, _salt string, `my col` string, `n-words` int, `a.b` int, _id int, copies int, node int, tags map<string, int>"
+)
+CLASHING = (7, 8, "clash", "spaced", 9, 10, 11, 12, 13, {"a": 1})
 
 
 def corpus():
@@ -29,7 +33,7 @@ def corpus():
     rows.append((121, " ".join(["loop"] * 90), "en", None))
     rows.append((122, "word " * 30000, None, "src1"))  # very long
     rows += [(130, None, "en", "src0"), (131, "", None, None), (132, " \n\t\n ", "en", "src0"), (133, "1234 5678 !!", "en", "src1"), (None, "a row without an id but with the words of its own here", "en", "src1"), (None, None, None, None), (134, "AÉ�\x00b \x85c", "en", "src0")]
-    return [(i, t, lang, s, None if t is None else len(t), "clash", "clash", -1) for i, t, lang, s in rows]
+    return [(i, t, lang, s, None if t is None else len(t), "clash", "clash", -1, *CLASHING) for i, t, lang, s in rows]
 
 
 @pytest.fixture(scope="session")
