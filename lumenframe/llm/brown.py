@@ -7,155 +7,114 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ._blocks import _to_ipc, answer_keys, codes_of, distinct, finish, from_ipc, pack, part_of_keys, parts_of, send_keys, squeeze, to_blocks, unpack, with_answers
+from ._blocks import BLOCK_BYTES, _cut, _to_ipc, by_block, codes_of, deal, distinct, finish, from_ipc, pack, part_of_keys, parts_of, send_keys, squeeze, unpack, with_answers
 from ._shared import stash, table
-from ._text import Words, release
+from ._text import U64, Words, release
 
-#: The most frequent words move one after the other, on the driver; the others side by side, in tasks.
-VOCABULARY = 20_000
+#: Class 0 holds the end of a text alone.
 CLASSES = 64
-SHAPES = 16
+#: In a round, half of the words may move; two rounds give each word a turn.
 ROUNDS = 4
+#: In a round, words move in so many runs; each run sees what the runs before it changed.
+WAVES = 16
 #: Weight of the class model against the add-one unigram.
 MIX = 0.8
 PRIOR = 5.0
 END = np.uint64(1)
-#: Of an entry of a rare word: up to 63 the class before it, up to 127 the class after it, then its own class.
+#: Of an entry of a word: up to 63 the class before it, up to 127 the class after it, then its own class.
 AFTER, OWN = 64, 128
-#: In a round, words that are not frequent move in so many runs; each run sees what the runs before it changed.
-WAVES = 16
 #: Entries whose gains are weighed at once.
 AT_ONCE = 1 << 13
-CHUNKS = 32
 
 
 def _held_out(table_: pa.Table, remainder: int, modulus: int) -> np.ndarray:
     return np.array([x is None or zlib.crc32(str(x).encode()) % modulus == remainder for x in table_["doc_id"].to_pylist()], dtype=bool)
 
 
-class Tokens:
-    """The words of each text, then one end: hash, shape (END: 255), and where each text starts."""
-
-    def __init__(self, t: pa.Table):
-        w = Words(t["text"], lower=True)
-        n, rows = len(w), len(w.first) - 1
-        self.first = w.first[:-1] + np.arange(rows)
-        self.total = n + rows
-        at = np.arange(n) + w.row
-        self.hash = np.full(self.total, END)
-        self.hash[at] = w.hash
-        self.shape = np.full(self.total, 255, np.uint8)
-        last = w.data[w.end - 1].astype(np.int64) if n else np.zeros(0, np.int64)
-        self.shape[at] = (last * 3 + np.minimum(w.end - w.start, 12)) % SHAPES
-        self.row = np.repeat(np.arange(rows), np.diff(np.append(self.first, self.total)))
+def _shrink(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.dtype.itemsize).T).tobytes())
 
 
-def _entries(t: pa.Table, remainder: int, modulus: int):
-    tokens = Tokens(t)
-    train = ~_held_out(t, remainder, modulus)[tokens.row]
-    first, group = distinct(tokens.hash)
-    n = np.bincount(group[train], minlength=len(first)).astype(np.uint32)
-    return tokens, first, group, n
+def _grow(blob: bytes, dtype) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).reshape(-1)
 
 
-def _totals(keys, columns) -> np.ndarray:
-    first, group = distinct(keys)
-    return np.bincount(group, weights=columns[0], minlength=len(first)).astype(np.uint64)[group]
+def first_class(last_byte: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The class in which a word starts, by its shape. Words that were not learned stay there."""
+    return (1 + (last_byte.astype(np.int64) * 7 + np.minimum(length, 12)) % (CLASSES - 1)).astype(np.uint8)
 
 
-class Model:
-    """vocab: sorted hashes of the frequent words; cls: class of each symbol; symbol_n, symbol_kinds: tokens and words of each.
+def _encode(batches, limit: int, remainder: int, modulus: int):
+    """Blocks of texts as tokens: the distinct keys of a block, each token as the number of its key, and where texts start.
 
-    Symbols are the frequent words, then the other words of each class together (class 0: only the end). The others
-    start in the classes of their shapes (1 .. SHAPES); words that were not learned stay there.
+    Tokens are the words with A-Z lower-cased, then one end for each text.
     """
-
-    def __init__(self, hashes, counts, shapes, shape_n, shape_kinds, tokens, kinds, ends):
-        rank = np.argsort(-counts, kind="stable")
-        order = np.argsort(hashes)
-        self.vocab, self.count = hashes[order], counts[order]
-        self.tokens, self.kinds_all = tokens, kinds
-        free = CLASSES - SHAPES - 1
-        cls = np.empty(len(hashes), np.int64)
-        cls[rank] = 1 + SHAPES + np.arange(len(hashes)) % free
-        self.cls = np.concatenate([cls[order], np.arange(CLASSES)])
-        self.symbol_n = np.concatenate([self.count, [ends], shape_n, np.zeros(free)]).astype(np.float64)
-        self.symbol_kinds = np.concatenate([np.ones(len(hashes)), [1 if ends else 0], shape_kinds, np.zeros(free)])
-
-    def rare(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The symbol of each key that is a frequent word or the end, and which keys are neither."""
-        n = len(self.vocab)
-        out = np.where(keys == END, n, -1).astype(np.int64)
+    for b in _cut(batches, limit):
+        t = from_ipc(b.column("payload")[0].as_py())
+        w = Words(t["text"], lower=True)
+        n, rows = len(w), len(w.first) - 1
+        first = w.first[:-1] + np.arange(rows)
+        hashes, start = np.full(n + rows, END), np.zeros(n + rows, np.uint8)
+        at = np.arange(n) + w.row
+        hashes[at] = w.hash
         if n:
-            at = np.minimum(np.searchsorted(self.vocab, keys), n - 1)
-            out = np.where(self.vocab[at] == keys, at, out)
-        return out, np.flatnonzero(out < 0)
-
-    def symbols(self, keys: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """The symbol of each key, from the classes of the rare ones among them."""
-        out, rare = self.rare(keys)
-        out[rare] = len(self.vocab) + classes.astype(np.int64)
+            start[at] = first_class(w.data[w.end - 1], w.end - w.start)
+        one, ids = distinct(hashes)
+        cells = {
+            "keys": pack(hashes[one], [start[one]]),
+            "ids": _shrink(ids.astype(np.uint32)),
+            "first": _shrink(first.astype(np.uint32)),
+            "held": _shrink(_held_out(t, remainder, modulus).astype(np.uint8)),
+            "doc_id": _to_ipc(t.select(["doc_id"])),
+        }
+        yield pa.RecordBatch.from_arrays([b.column("block_id"), pa.array([_to_ipc(pa.table({k: pa.array([v], pa.binary()) for k, v in cells.items()}))], pa.binary())], names=["block_id", "payload"])
+        release()
+
+
+class Tokens:
+    """What _encode wrote of a block, and later the words' global numbers (leading bits: the part) and counts."""
+
+    def __init__(self, t: pa.Table):
+        get = lambda name, dtype: _grow(t[name][0].as_py(), dtype)
+        self.keys, (self.start, *more) = unpack(t["keys"][0].as_py(), ["u1", "u4"] if "counted" in t.column_names else ["u1"])
+        self.count = more[0] if more else None
+        self.ids, self.first = get("ids", np.uint32).astype(np.int64), get("first", np.uint32).astype(np.int64)
+        self.held, self.doc_id = get("held", np.uint8) > 0, from_ipc(t["doc_id"][0].as_py())["doc_id"]
+        self.sizes = np.diff(np.append(self.first, len(self.ids)))
+        self.train = ~np.repeat(self.held, self.sizes)
+
+    def classes(self, turns: list[np.ndarray]) -> np.ndarray:
+        """The class of each key: that of its last turn, or the one in which it starts; turns: of even and of odd words."""
+        out = self.start.copy()
+        for parity, codes in enumerate(turns):
+            if len(codes):
+                out[np.flatnonzero((self.keys & U64(1)) == parity)] = codes
         return out
 
-    def regroup(self, n: np.ndarray, kinds: np.ndarray) -> None:
-        """Tokens and kinds of the rare words of each class, after they moved."""
-        first = len(self.vocab) + 1
-        self.symbol_n[first:], self.symbol_kinds[first:] = n[1:], kinds[1:]
-
-    def exchange(self, right: np.ndarray, left: np.ndarray) -> int:
-        """One pass over the words: each goes to the class that raises the likelihood of the class bigrams most.
-
-        right, left: how often each symbol is followed and preceded by each class. Returns how many words moved.
-        """
-        f, k = _xlogx, CLASSES
-        m = np.zeros((k, k))
-        np.add.at(m, self.cls, right)
-        size = np.bincount(self.cls, weights=self.symbol_n, minlength=k)
-        fm, fs = f(m), f(size)
-        free, moved = slice(1, k), 0
-        for w in np.argsort(-self.count, kind="stable"):
-            a, r, l, c = self.cls[w], right[w], left[w], float(self.count[w])
-            m[a] -= r
-            m[:, a] -= l
-            np.maximum(m, 0, out=m)
-            size[a] -= c
-            fm[a], fm[:, a], fs[a] = f(m[a]), f(m[:, a]), f(size[a])
-            gain = (f(m[free] + r) - fm[free]).sum(axis=1) + (f(m[:, free] + l[:, None]) - fm[:, free]).sum(axis=0) - 2 * (f(size[free] + c) - fs[free])
-            b = int(np.argmax(gain)) + 1
-            if gain[b - 1] <= gain[a - 1] + 1e-9:
-                b = a
-            moved += b != a
-            self.cls[w] = b
-            m[b] += r
-            m[:, b] += l
-            size[b] += c
-            fm[b], fm[:, b], fs[b] = f(m[b]), f(m[:, b]), f(size[b])
-        return moved
-
-    def estimate(self, right: np.ndarray) -> None:
-        k = CLASSES
-        m = np.zeros((k, k))
-        np.add.at(m, self.cls, right)
-        size = np.bincount(self.cls, weights=self.symbol_n, minlength=k)
-        kinds = np.bincount(self.cls, weights=self.symbol_kinds, minlength=k)
-        prior = (size + 1) / (size.sum() + k)
-        move = (m + PRIOR * prior) / (m.sum(axis=1, keepdims=True) + PRIOR)
-        self.log_context = np.log10(MIX * move / (size + kinds + 1) + (1 - MIX) / (self.tokens + self.kinds_all + 1))
+    def training(self, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the training tokens: key, class, and the class before."""
+        ids = self.ids[self.train]
+        own = cls[ids].astype(np.int64)
+        return ids, own, np.concatenate([[0], own[:-1]])[: len(own)]
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange_rare(word: np.ndarray, code: np.ndarray, n: np.ndarray, own: np.ndarray, count: np.ndarray, m: np.ndarray, size: np.ndarray) -> np.ndarray:
+def likelihood(m: np.ndarray) -> float:
+    """What the classes add to the log likelihood of the texts, but for a constant; m: class bigrams."""
+    return float(_xlogx(m).sum() - _xlogx(m.sum(axis=1)).sum() - _xlogx(m.sum(axis=0)).sum())
+
+
+def exchange(word: np.ndarray, code: np.ndarray, n: np.ndarray, own: np.ndarray, count: np.ndarray, m: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The class of each word that raises the likelihood of the class bigrams ``m`` most, all other words staying.
 
     word, code, n: how often each word (ascending) has a class before it (code: the class) or after it (AFTER + class).
-    own, count: class and tokens of each word. size: tokens of each class. The same gain as Model.exchange.
+    own, count: class and tokens of each word. size: tokens of each class.
     """
     out, k = own.copy(), CLASSES
     first = np.searchsorted(word, np.arange(len(own) + 1))
@@ -193,167 +152,98 @@ def exchange_rare(word: np.ndarray, code: np.ndarray, n: np.ndarray, own: np.nda
     return out
 
 
-def _level(n: np.ndarray) -> np.ndarray:
-    """Eighths of powers of two."""
-    return np.floor(np.log2(n) * 8).astype(np.int64)
-
-
-def _fit(blocks: DataFrame, sent: DataFrame, remainder: int, modulus: int) -> tuple[Model, DataFrame]:
-    """The model, and (block_id, classes): the classes of the rare words of each block."""
-    spark = blocks.sparkSession
-
-    def summary(group: pa.Table) -> pa.Table:
-        keys, columns, _ = part_of_keys(group, ["u4", "u1"])
-        first, g = distinct(keys)
-        n = np.bincount(g, weights=columns[0], minlength=len(first)).astype(np.int64)
-        shape = columns[1][first].astype(np.int64)
-        word = (keys[first] != END) & (n > 0)
-        top = np.lexsort((keys[first], -n))
-        top = top[word[top]][:VOCABULARY]
-        own = shape[word]
-        by_n, by_kind = np.bincount(own, weights=n[word], minlength=SHAPES), np.bincount(own, minlength=SHAPES)
-        end = int(n[keys[first] == END].sum())
-        level = _level(np.maximum(n, 1))
-        levels, many = np.unique(level[word], return_counts=True)
-        rows = [
-            *((0, int(keys[first[i]].view(np.int64)), int(n[i]), int(shape[i]) + 256 * int(level[i])) for i in top),
-            *((1, s, int(by_n[s]), int(by_kind[s])) for s in range(SHAPES)),
-            (2, 0, end, 0),
-            *((3, int(a), int(b), 0) for a, b in zip(levels, many)),
-        ]
-        return pa.table({c: pa.array([r[j] for r in rows], pa.int64()) for j, c in enumerate(("kind", "key", "n", "extra"))})
-
-    stats = stash(sent.groupBy("part").applyInArrow(summary, "kind long, key long, n long, extra long"))
-    # how many words there are of each level of counts tells from which level on the most frequent are: fewer rows are sorted
-    left, least = VOCABULARY, 0
-    for r in stats.where("kind = 3").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("key")).collect():
-        left, least = left - r["n"], r["key"]
-        if left <= 0:
-            break
-    top = stats.where((F.col("kind") == 0) & (F.col("extra") >= 256 * least)).orderBy(F.desc("n"), "key").limit(VOCABULARY).toPandas()
-    top["extra"] %= 256
-    sums = stats.where("kind IN (1, 2)").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("extra").alias("extra")).collect()
-    shape_n, shape_kinds, ends = np.zeros(SHAPES), np.zeros(SHAPES), 0
-    for r in sums:
-        if r["kind"] == 1:
-            shape_n[r["key"]], shape_kinds[r["key"]] = r["n"], r["extra"]
-        else:
-            ends = r["n"]
-    tokens, kinds = int(shape_n.sum()) + ends, int(shape_kinds.sum()) + (ends > 0)
-    counts, shapes = top["n"].to_numpy(np.int64), top["extra"].to_numpy(np.int64)
-    shape_n -= np.bincount(shapes, weights=counts, minlength=SHAPES)
-    shape_kinds -= np.bincount(shapes, minlength=SHAPES)
-    model = Model(top["key"].to_numpy(np.int64).view(np.uint64), counts, shapes, shape_n, shape_kinds, tokens, kinds, ends)
-
-    shared = spark.sparkContext.broadcast(model)
-
-    def encode(batches):
-        for b in batches:
-            for block, payload in zip(b.column("block_id"), b.column("payload")):
-                t = from_ipc(payload.as_py())
-                tokens, train = Tokens(t), ~_held_out(t, remainder, modulus)
-                first, group = distinct(tokens.hash)
-                keys = tokens.hash[first]
-                _, rare = shared.value.rare(keys)
-                t = pa.table({"keys": pa.array([pack(keys, [])], pa.binary()), "ids": pa.array([_shrink(group[train[tokens.row]].astype(np.uint32))], pa.binary())})
-                classes = squeeze((1 + tokens.shape[first][rare]).astype(np.uint8))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block.as_py()], pa.int64()), pa.array([_to_ipc(t)], pa.binary()), pa.array([[classes]], pa.list_(pa.binary()))], names=["block_id", "payload", "classes"]
-                )
-                release()
-
-    # dealt by block once and kept so: the classes of each round join it without another shuffle of the tokens
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    encoded = blocks.mapInArrow(encode, "block_id long, payload binary, classes array<binary>").repartition(parts, "block_id").sortWithinPartitions("block_id").persist(StorageLevel.DISK_ONLY)
-    state, classes = encoded, stash(encoded.select("block_id", "classes"))
-    for step in range(ROUNDS):
-        moved = model.exchange(*_contexts(state, model))
-        classes, rare_moved = _move_rare(state, model, step)
-        state = with_answers(encoded.drop("classes"), classes)
-        if moved + rare_moved == 0 and step:
-            break
-    model.estimate(_contexts(state, model)[0])
-    encoded.unpersist()
-    return model, classes
-
-
-def _symbols(net: Model, t: pa.Table, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys and their symbols, and the key of each training token of a block."""
-    keys = unpack(t["keys"][0].as_py(), [])[0]
-    return keys, net.symbols(keys, codes), _grow(t["ids"][0].as_py(), np.uint32).astype(np.int64)
-
-
-def _summed(state: DataFrame, model: Model, cells: int, count_block) -> np.ndarray:
-    """Sums over all blocks of count_block(model, table, classes), arrays of ``cells`` counts."""
-    shared = state.sparkSession.sparkContext.broadcast(model)
+def move(cell: np.ndarray, many: np.ndarray, own: np.ndarray, count: np.ndarray, m: np.ndarray, parts: int) -> np.ndarray:
+    """New classes of the words of one part: WAVES runs of exchange, each from the class bigrams that the runs before it left.
 
-    def count(batches):
-        both = np.zeros(cells, np.int64)
-        for b in batches:
-            for payload, codes in zip(b.column("payload"), b.column("classes")):
-                both += count_block(shared.value, from_ipc(payload.as_py()), codes_of(codes.as_py()))
-        for i, part in enumerate(np.array_split(both, CHUNKS)):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([_shrink(part)], pa.binary())], names=["chunk", "counts"])
-        release()
-
-    def add(group: pa.Table) -> pa.Table:
-        total = sum(_grow(b.as_py()) for b in group["counts"])
-        return pa.table({"chunk": group["chunk"].slice(0, 1), "counts": pa.array([_shrink(total)], pa.binary())})
+    cell: word * OWN + code (ascending), many: how often. The words of a part are drawn by hash: what the rarer ones
+    change, all parts together change in about the same way, so it counts ``parts`` times; what a frequent one does, it
+    does alone.
+    """
+    new, m = own.copy(), m.copy()
+    size = m.sum(axis=0)
+    total = size.sum()
+    has = np.zeros(len(own), dtype=bool)
+    has[cell // OWN] = True
+    for wave in range(WAVES):
+        some = np.flatnonzero(has & (np.arange(len(own)) % WAVES == wave))
+        e = np.flatnonzero((cell // OWN) % WAVES == wave)
+        w, c, r = np.searchsorted(some, cell[e] // OWN), cell[e] % OWN, many[e].astype(np.float64)
+        new[some] = exchange(w, c, r, own[some], count[some], m, size)
+        scale = np.clip(total / (100 * np.maximum(count[some], 1)), 1, parts)
+        ahead = c >= AFTER
+        for cls, sign in ((own[some], -scale), (new[some], scale)):
+            np.add.at(m, (cls[w[ahead]], c[ahead] - AFTER), (sign[w] * r)[ahead])
+            np.add.at(m, (c[~ahead], cls[w[~ahead]]), (sign[w] * r)[~ahead])
+            size += np.bincount(cls, weights=sign * count[some], minlength=CLASSES)
+        np.maximum(m, 0, out=m)
+        np.maximum(size, 0, out=size)
+    return new
+
+
+def log_context(m: np.ndarray, kinds: np.ndarray, tokens: int, words: int) -> np.ndarray:
+    """(class before, class): log10 of the factor that a word's count + 1 has in its probability.
+
+    p(class | class before), smoothed by the classes' shares, times the add-one estimate of the word within its class,
+    mixed with the add-one unigram. kinds: words of each class; tokens, words: of the training texts.
+    """
+    size = m.sum(axis=0)
+    prior = (size + 1) / (size.sum() + CLASSES)
+    step = (m + PRIOR * prior) / (m.sum(axis=1, keepdims=True) + PRIOR)
+    return np.log10(MIX * step / (size + kinds + 1) + (1 - MIX) / (tokens + words + 1))
 
-    rows = state.select("payload", "classes").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()
-    parts = {r["chunk"]: _grow(bytes(r["counts"])) for r in rows}
-    return np.concatenate([parts[i] for i in range(CHUNKS)]) if parts else np.zeros(cells, np.int64)
 
+def _state(blocks: DataFrame, turns: list[DataFrame | None]) -> tuple[DataFrame, list[str]]:
+    """The blocks with the classes that were found: columns of even and odd words, as far as there are."""
+    known = [(f"turn{i}", t) for i, t in enumerate(turns) if t is not None]
+    return with_answers(blocks, *[t for _, t in known]), [c for c, _ in known]
 
-def _contexts(state: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """How often each symbol is followed and preceded by each class: sums of one matrix a task, so bounded by symbols x classes."""
-    symbols = len(model.cls)
-    cells = symbols * CLASSES
 
-    def count(net, t, codes):
-        _, symbol, ids = _symbols(net, t, codes)
-        x = symbol[ids]
-        before = np.concatenate([[len(net.vocab)], x[:-1]])[: len(x)]
-        return np.concatenate([np.bincount(before * CLASSES + net.cls[x], minlength=cells), np.bincount(x * CLASSES + net.cls[before], minlength=cells)])
+def _of_turn(columns: list[str], codes) -> list[np.ndarray]:
+    by = dict(zip(columns, codes))
+    return [by.get(f"turn{i}", np.zeros(0, np.uint8)) for i in range(2)]
 
-    both = _summed(state, model, 2 * cells, count).astype(np.float64)
-    return both[:cells].reshape(symbols, CLASSES), both[cells:].reshape(symbols, CLASSES)
 
+def _bigrams(blocks: DataFrame, turns: list) -> np.ndarray:
+    """The class bigrams of all training texts: a small matrix from each task, summed by Spark in two levels."""
+    state, columns = _state(blocks, turns)
 
-def _bigrams(state: DataFrame, model: Model) -> np.ndarray:
-    def count(net, t, codes):
-        _, symbol, ids = _symbols(net, t, codes)
-        x = net.cls[symbol[ids]]
-        return np.bincount(np.concatenate([[0], x[:-1]])[: len(x)] * CLASSES + x, minlength=CLASSES * CLASSES)
+    def count(batches):
+        total = np.zeros(CLASSES * CLASSES, np.int64)
+        for b in batches:
+            for i in range(b.num_rows):
+                t = Tokens(from_ipc(b.column("payload")[i].as_py()))
+                _, own, before = t.training(t.classes(_of_turn(columns, [codes_of(b.column(c)[i].as_py()) for c in columns])))
+                total += np.bincount(before * CLASSES + own, minlength=CLASSES * CLASSES)
+                release()
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["cell", "n"])
 
-    return _summed(state, model, CLASSES * CLASSES, count).astype(np.float64).reshape(CLASSES, CLASSES)
+    out = np.zeros(CLASSES * CLASSES)
+    for r in state.select("payload", *columns).mapInArrow(count, "cell int, n long").groupBy("cell").sum("n").collect():  # at most CLASSES ** 2
+        out[r[0]] = r[1]
+    return out.reshape(CLASSES, CLASSES)
 
 
-def _move_rare(state: DataFrame, model: Model, step: int) -> tuple[DataFrame, int]:
-    """One pass over the words that are not frequent: (block_id, classes) of each block's, and how many moved.
+def _move(blocks: DataFrame, turns: list, parity: int, m: np.ndarray, parts: int) -> tuple[DataFrame, np.ndarray]:
+    """A round: (block_id, turn) of the words of this parity, and how many words each class has then.
 
-    Each part of the key space gets the (word, neighbour class) counts of its words and the class bigrams. Parts move
-    words side by side, so only half of the words move in a round, by their hash, and in WAVES runs: words in like places
-    don't all go at once.
+    Each part of the key space gets the (word, neighbour class) counts of its words from all blocks, and chooses their
+    classes from the class bigrams ``m``.
     """
-    m = _bigrams(state, model)
-    size = np.bincount(model.cls, weights=model.symbol_n, minlength=CLASSES)
-    shared, parts = state.sparkSession.sparkContext.broadcast(model), parts_of(state)
-
-    def emit(t: pa.Table, codes: np.ndarray):
-        net = shared.value
-        keys, symbol, ids = _symbols(net, t, codes)
-        _, rare = net.rare(keys)
-        moves = np.zeros(len(keys), dtype=bool)
-        moves[rare] = (keys[rare] & np.uint64(1)) == np.uint64(step & 1)
-        cls = net.cls[symbol[ids]]
-        before = np.concatenate([[0], cls[:-1]])[: len(cls)]
+    state, columns = _state(blocks, turns)
+
+    def emit(t: pa.Table, *codes):
+        tokens = Tokens(t)
+        cls = tokens.classes(_of_turn(columns, codes))
+        ids, own, before = tokens.training(cls)
+        moves = (tokens.keys & U64(1)) == parity
         here, ahead = moves[ids], moves[ids[:-1]]
-        seen, n = np.unique(np.concatenate([ids[here] * 256 + before[here], ids[:-1][ahead] * 256 + AFTER + cls[1:][ahead]]), return_counts=True)
-        seen = np.concatenate([seen, rare * 256 + OWN + codes.astype(np.int64)])
-        n = np.concatenate([n, np.bincount(ids, minlength=len(keys))[rare]])
+        seen, n = np.unique(np.concatenate([ids[here] * 256 + before[here], ids[:-1][ahead] * 256 + AFTER + own[1:][ahead]]), return_counts=True)
+        mine = np.flatnonzero(moves)
+        seen = np.concatenate([seen, mine * 256 + OWN + cls[mine]])
+        n = np.concatenate([n, np.bincount(ids, minlength=len(cls))[mine]])
         by = np.argsort(seen, kind="stable")
-        return keys[seen[by] >> 8], [(seen[by] & 255).astype(np.uint8), n[by].astype(np.uint32)]
+        return tokens.keys[seen[by] >> 8], [(seen[by] & 255).astype(np.uint8), n[by].astype(np.uint32)]
 
     def answer(group: pa.Table) -> pa.Table:
         keys, (code, n), sizes = part_of_keys(group, ["u1", "u4"])
@@ -363,106 +253,123 @@ def _move_rare(state: DataFrame, model: Model, step: int) -> tuple[DataFrame, in
         own = np.zeros(words, np.int64)
         own[word[mine]] = code[mine].astype(np.int64) - OWN
         count = np.bincount(word[mine], weights=n[mine], minlength=words)
-        cell, at = np.unique(word[~mine] * OWN + code[~mine], return_inverse=True)
-        many = np.bincount(at, weights=n[~mine], minlength=len(cell))
-        # a word that is only in texts that were held out, or whose turn it is not, has no neighbours
-        turn = np.full(words, -1)
-        turn[cell // OWN] = cell // OWN % WAVES
-        new, m_, size_ = own.copy(), m.copy(), size.copy()
-        for wave in range(WAVES):
-            some = np.flatnonzero(turn == wave)
-            e = np.flatnonzero(turn[cell // OWN] == wave)
-            w, c = np.searchsorted(some, cell[e] // OWN), cell[e] % OWN
-            new[some] = exchange_rare(w, c, many[e], own[some], count[some], m_, size_)
-            # the words of a part are drawn by hash: what they change, all parts together change in about the same way
-            for cls, sign in ((own[some], -parts), (new[some], parts)):
-                ahead = c >= AFTER
-                np.add.at(m_, (cls[w[ahead]], c[ahead] - AFTER), sign * many[e][ahead])
-                np.add.at(m_, (c[~ahead], cls[w[~ahead]]), sign * many[e][~ahead])
-                size_ += sign * np.bincount(cls, weights=count[some], minlength=CLASSES)
-            m_, size_ = np.maximum(m_, 0), np.maximum(size_, 0)
+        free = own[word] > 0  # the end stays alone
+        cell, at = np.unique(word[~mine & free] * OWN + code[~mine & free], return_inverse=True)
+        new = move(cell, np.bincount(at, weights=n[~mine & free], minlength=len(cell)), own, count, m, parts)
         cuts = np.cumsum([0, *sizes])
         blobs = [squeeze(new[word[a:b][mine[a:b]]].astype(np.uint8)) for a, b in zip(cuts, cuts[1:])]
-        sums = np.concatenate([np.bincount(new, weights=count, minlength=CLASSES), np.bincount(new[count > 0], minlength=CLASSES), [(new != own).sum()]])
-        release()
+        kinds = np.bincount(new[count > 0], minlength=CLASSES).astype(np.int64)
         part = group["part"][0].as_py()
-        return pa.table({
-            "block_id": pa.array([*group["block_id"].to_pylist(), -1], pa.int64()), "part": pa.array([part] * (len(blobs) + 1), pa.int32()), "blob": pa.array([*blobs, sums.astype(np.int64).tobytes()], pa.binary())
-        })
+        release()
+        return pa.table({"block_id": pa.array([*group["block_id"].to_pylist(), -1], pa.int64()), "part": pa.array([part] * (len(blobs) + 1), pa.int32()), "blob": pa.array([*blobs, kinds.tobytes()], pa.binary())})
 
-    replies = stash(send_keys(state, emit, ["classes"]).groupBy("part").applyInArrow(answer, "block_id long, part int, blob binary"))
-    sums = sum((np.frombuffer(bytes(r["blob"]), np.int64) for r in replies.where("block_id < 0").select("blob").collect()), np.zeros(2 * CLASSES + 1, np.int64))
-    model.regroup(sums[:CLASSES], sums[CLASSES : 2 * CLASSES])
-    own = replies.where("block_id >= 0").groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("part", "blob"))).alias("classes"))
-    return stash(own.select("block_id", F.col("classes.blob").alias("classes"))), int(sums[-1])
+    replies = deal(send_keys(state, emit, parts, columns), parts).applyInArrow(answer, "block_id long, part int, blob binary")
+    both = by_block(replies, f"turn{parity}")
+    kinds = sum((np.frombuffer(bytes(x), np.int64) for r in both.where("block_id < 0").collect() for x in r[1]), np.zeros(CLASSES, np.int64))
+    return both.where("block_id >= 0"), kinds
 
 
-def _shrink(counts: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(counts.view(np.uint8).reshape(-1, counts.dtype.itemsize).T).tobytes())
+def _counted(blocks: DataFrame, parts: int) -> tuple[DataFrame, int, int, np.ndarray]:
+    """The blocks with words as global numbers and counts; training tokens, words, and words of each class by parity."""
+    shift = U64(64 - parts.bit_length() + 1)
 
+    def emit(t: pa.Table):
+        tokens = Tokens(t)
+        n = np.bincount(tokens.ids[tokens.train], minlength=len(tokens.keys)).astype(np.uint32)
+        return tokens.keys, [n, np.where(tokens.keys == END, 0, tokens.start).astype(np.uint8)]
+
+    def number(group: pa.Table) -> pa.Table:
+        keys, (n, start), sizes = part_of_keys(group, ["u4", "u1"])
+        first, word = distinct(keys)
+        total = np.bincount(word, weights=n, minlength=len(first)).astype(np.int64)
+        cuts = np.cumsum([0, *sizes])
+        blobs = [pack(word[a:b].astype(np.uint64), [np.minimum(total[word[a:b]], 2**32 - 1).astype(np.uint32)]) for a, b in zip(cuts, cuts[1:])]
+        learned = total > 0
+        kinds = np.bincount(np.arange(len(first))[learned] % 2 * CLASSES + start[first[learned]], minlength=2 * CLASSES)
+        sums = np.concatenate([[total.sum(), learned.sum()], kinds]).astype(np.int64)
+        part = group["part"][0].as_py()
+        release()
+        return pa.table({"block_id": pa.array([*group["block_id"].to_pylist(), -1], pa.int64()), "part": pa.array([part] * (len(blobs) + 1), pa.int32()), "blob": pa.array([*blobs, sums.tobytes()], pa.binary())})
 
-def _grow(blob: bytes, dtype=np.int64) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(dtype).reshape(-1)
+    replies = by_block(deal(send_keys(blocks, emit, parts), parts).applyInArrow(number, "block_id long, part int, blob binary"), "words")
+    sums = sum((np.frombuffer(bytes(x), np.int64) for r in replies.where("block_id < 0").collect() for x in r[1]), np.zeros(2 + 2 * CLASSES, np.int64))
+
+    def renumber(batches):
+        for b in batches:
+            for block, payload, words in zip(b.column("block_id"), b.column("payload"), b.column("words")):
+                t = from_ipc(payload.as_py())
+                keys, (start,) = unpack(t["keys"][0].as_py(), ["u1"])
+                got = [unpack(x.as_py(), ["u4"]) for x in words]
+                numbers = np.concatenate([k for k, _ in got]) + (keys >> shift << shift if parts > 1 else U64(0))
+                start = np.where(keys == END, 0, start).astype(np.uint8)
+                cells = {c: t[c] for c in t.column_names} | {"keys": pa.array([pack(numbers, [start, np.concatenate([c for _, (c,) in got])])], pa.binary()), "counted": pa.array([b""], pa.binary())}
+                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([_to_ipc(pa.table(cells))], pa.binary())], names=["block_id", "payload"])
+                release()
+
+    out = stash(with_answers(blocks, replies.where("block_id >= 0")).mapInArrow(renumber, "block_id long, payload binary"), replaces=blocks, by="block_id")
+    return out, int(sums[0]), int(sums[1]), sums[2:].reshape(2, CLASSES)
 
 
-def score_documents(docs: DataFrame, remainder: int = 2, modulus: int = 7) -> DataFrame:
+def fit(blocks: DataFrame, parts: int, rounds: int, kinds: np.ndarray) -> tuple[list, np.ndarray, np.ndarray, list[float]]:
+    """Classes (of even and odd words), class bigrams, words of each class, and the likelihood after each round.
+
+    A round in which the likelihood fell, as words that move side by side don't see each other, is taken back.
+    """
+    turns, kinds = [None, None], list(kinds)
+    m = _bigrams(blocks, turns)
+    said = [likelihood(m)]
+    for step in range(rounds):
+        parity = step % 2
+        turn, of_turn = _move(blocks, turns, parity, m, parts)
+        tried = [turn if i == parity else t for i, t in enumerate(turns)]
+        new = _bigrams(blocks, tried)
+        if likelihood(new) > said[-1]:
+            turns, m, kinds[parity] = tried, new, of_turn
+        said.append(likelihood(m))
+    return turns, m, kinds[0] + kinds[1], said
+
+
+def score_documents(docs: DataFrame, remainder: int = 2, modulus: int = 7, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text).
 
     Learns from the rows whose crc32(doc_id as text) mod ``modulus`` is not ``remainder``. Tokens: words
-    [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, then one end. Words are counted over all training texts. Every training word
-    gets its class by exchange on all class bigrams of the training texts: the VOCABULARY most frequent one after the
-    other, the others half and half, in tasks, from the classes of their shapes (last byte, length). A word that was not
-    learned has the class of its shape. A token's probability mixes p(class | class before) * p(word | class), add-one
-    within each class, with the add-one unigram of the base; score sums its log10.
-
-    Null or empty text: only the end. Null doc_id: held out. Repeated rows: each counts and gets a row. Empty table: no
-    rows. Without training tokens every count is 0. Other columns are not read. Words are told apart by 64-bit hashes.
+    [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, then one end. Words are counted over all training texts. Every training word,
+    frequent or rare, gets its class by exchange: in ``rounds`` rounds half of the words, by turns, go to the class that
+    raises the likelihood of the class bigrams of all training texts most; words start in classes by their shape (last
+    byte, length), and words that were not learned stay there. A token's probability mixes p(class | class before) *
+    p(word | class), add-one within each class, with the add-one unigram of the base; score sums its log10.
+
+    Null or empty text: only the end. Null doc_id: held out. Repeated rows: each counts and gets a row. Very long texts
+    are read whole. Empty table: no rows. Without training tokens every count is 0. Other columns are not read. Words are
+    told apart by 64-bit hashes.
     """
-    blocks = to_blocks(docs)
-
-    def emit(t: pa.Table):
-        tokens, first, _, n = _entries(t, remainder, modulus)
-        return tokens.hash[first], [n, tokens.shape[first]]
-
-    sent = stash(send_keys(blocks, emit))
-    model, classes = _fit(blocks, sent, remainder, modulus)
-    counts = answer_keys(sent, _totals, ["u4", "u1"], "counts")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def make(t: pa.Table, own: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
-        net = shared.value
-        tokens, first, group, _ = _entries(t, remainder, modulus)
-        c = own[group].astype(np.float64)
-        cls = net.cls[net.symbols(tokens.hash[first], codes)][group]
-        before = np.concatenate([[0], cls[:-1]])
-        before[tokens.first] = 0
-        emitted = np.log10(c + 1)
-        rows = t.num_rows
-
-        def per_text(x):
-            return np.add.reduceat(x, tokens.first) if rows else np.zeros(0)
-
-        n = np.diff(np.append(tokens.first, tokens.total))
-        word_part = per_text(emitted)
-        base = word_part - n * np.log10(net.tokens + net.kinds_all + 1)
-        score = word_part + per_text(net.log_context[before, cls])
-        return pa.RecordBatch.from_arrays(
-            [
-                t["doc_id"].combine_chunks(),
-                pa.array(_held_out(t, remainder, modulus)),
-                pa.array(n, pa.int64()),
-                pa.array(per_text((c > 0).astype(np.int64)), pa.int64()),
-                pa.array(np.full(rows, net.tokens), pa.int64()),
-                pa.array(base, pa.float64()),
-                pa.array(score, pa.float64()),
-            ],
-            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-        )
+    limit = 2 * int(docs.sparkSession.conf.get("spark.lumenframe.block.bytes", str(BLOCK_BYTES)))
+    narrow = docs.selectExpr("CAST(doc_id AS long) AS doc_id", "CAST(text AS string) AS text")
+    blocks = stash(narrow.mapInArrow(lambda it: _encode(it, limit, remainder, modulus), "block_id long, payload binary"), by="block_id")
+    parts = parts_of(blocks)
+    blocks, tokens, words, kinds = _counted(blocks, parts)
+    turns, m, kinds, _ = fit(blocks, parts, rounds if tokens else 0, kinds)
+    context = log_context(m, kinds, tokens, words)
+    state, columns = _state(blocks, turns)
+
+    def make(t: pa.Table, *codes) -> pa.RecordBatch:
+        own = Tokens(t)
+        cls = own.classes(_of_turn(columns, codes))[own.ids].astype(np.int64)
+        c = own.count[own.ids].astype(np.float64)
+        before = np.concatenate([[0], cls[:-1]])[: len(cls)]
+        before[own.first] = 0
+        rows = len(own.first)
+        per_text = lambda x: np.add.reduceat(x, own.first) if rows else np.zeros(0)
+        emitted = per_text(np.log10(c + 1))
+        base = emitted - own.sizes * np.log10(tokens + words + 1)
+        score = emitted + per_text(context[before, cls])
+        columns_ = [own.doc_id.combine_chunks() if isinstance(own.doc_id, pa.ChunkedArray) else own.doc_id, pa.array(own.held), pa.array(own.sizes, pa.int64()), pa.array(per_text((c > 0).astype(np.int64)), pa.int64()), pa.array(np.full(rows, tokens), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())]
+        return pa.RecordBatch.from_arrays(columns_, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return finish(with_answers(blocks, counts, classes), make, schema, ["counts", "classes"])
+    return finish(state, make, schema, columns)
 
 
 def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score_documents of documents, a row each; nulls, ties and repeated rows as stated there."""
     return score_documents(table(spark, sf_dir, "documents"))

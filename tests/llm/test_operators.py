@@ -233,32 +233,69 @@ def test_brown(docs, rows, empty):
 
 
 def test_brown_probabilities_sum_to_one():
-    m = brown.Model(np.array([5, 9, 12], np.uint64), np.array([7, 4, 3]), np.zeros(3, int), np.full(brown.SHAPES, 2.0), np.full(brown.SHAPES, 1.0), 14 + 32 + 6, 3 + 16 + 1, 6)
-    m.estimate(np.random.default_rng(0).integers(0, 5, (len(m.cls), brown.CLASSES)).astype(float))
-    size, kinds = np.bincount(m.cls, weights=m.symbol_n, minlength=brown.CLASSES), np.bincount(m.cls, weights=m.symbol_kinds, minlength=brown.CLASSES)
+    rng, k = np.random.default_rng(0), brown.CLASSES
+    m, kinds = rng.integers(0, 50, (k, k)).astype(float), rng.integers(1, 9, k)
+    context = brown.log_context(m, kinds, int(m.sum()), int(kinds.sum()))
     # known words have count + 1, and each class one unknown word
-    class_part = ((10**m.log_context) - (1 - brown.MIX) / (m.tokens + m.kinds_all + 1)) * (size + kinds + 1)
+    class_part = (10**context - (1 - brown.MIX) / (m.sum() + kinds.sum() + 1)) * (m.sum(axis=0) + kinds + 1)
     assert np.allclose(class_part.sum(axis=1) / brown.MIX, 1)
 
 
-def test_exchange_finds_classes():
-    """Two kinds of words that always alternate end in different classes."""
-    n = 40
-    m = brown.Model(np.arange(10, 10 + n, dtype=np.uint64), np.full(n, 50), np.zeros(n, int), np.zeros(brown.SHAPES), np.zeros(brown.SHAPES), 50 * n, n + 1, 0)
-    kind = np.arange(n) % 2
-    pairs = np.where(kind[:, None] != kind[None, :], 5, 0)
-    for _ in range(6):
-        onehot = np.zeros((len(m.cls), brown.CLASSES))
-        onehot[np.arange(len(m.cls)), m.cls] = 1
-        full = np.zeros((len(m.cls), len(m.cls)))
-        full[:n, :n] = pairs
-        if not m.exchange(full @ onehot, full.T @ onehot):
-            break
-    assert not set(m.cls[:n][kind == 0]) & set(m.cls[:n][kind == 1])
-
-
-def test_rare_words_move_to_their_best_class():
-    """exchange_rare against Model.exchange of one word alone, from the same counts."""
+def test_brown_scores_against_plain_loops(spark, docs, rows, monkeypatch):
+    """From the classes that the fit found: class bigrams, likelihood, and each document's score, word by word."""
+    seen = {}
+    fit = brown.fit
+    monkeypatch.setattr(brown, "fit", lambda blocks, *a: seen.setdefault("fit", (blocks, fit(blocks, *a)))[1])
+    spark.conf.set("spark.lumenframe.block.bytes", "1500")
+    try:
+        got = brown.score_documents(docs).collect()
+        blocks, (turns, m, kinds, said) = seen["fit"]
+        state, columns = brown._state(blocks, turns)
+        classes, texts = {}, []
+        lower = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
+        by_id = defaultdict(list)
+        for i, t, *_ in rows:
+            by_id[i].append(words((t or "").translate(lower)) + [None])
+        for r in state.collect():
+            t = brown.Tokens(_blocks.from_ipc(bytes(r.payload)))
+            cls = t.classes(brown._of_turn(columns, [_blocks.codes_of([bytes(x) for x in r[c]] if r[c] else None) for c in columns]))[t.ids]
+            for j, i in enumerate(t.doc_id.to_pylist()):
+                own = cls[t.first[j] : t.first[j] + t.sizes[j]].tolist()
+                text = next(w for w in by_id[i] if len(w) == len(own))
+                for w, c in zip(text, own):
+                    assert classes.setdefault(w, c) == c
+                texts.append((i, text, bool(t.held[j])))
+    finally:
+        spark.conf.unset("spark.lumenframe.block.bytes")
+    assert len(texts) == len(rows) and blocks.count() > 10 and classes[None] == 0
+    count = Counter(w for _, t, held in texts if not held for w in t)
+    pairs, size = Counter(), Counter()
+    for _, t, held in texts:
+        for a, b in zip([None, *t], t):
+            if not held:
+                pairs[classes[a], classes[b]] += 1
+                size[classes[b]] += 1
+    assert all(m[a, b] == pairs[a, b] for a in range(64) for b in range(64))
+    f = lambda x: x * math.log(max(x, 1))
+    assert math.isclose(said[-1], sum(map(f, pairs.values())) - 2 * sum(map(f, size.values())), rel_tol=1e-9)
+    assert said == sorted(said) and said[-1] > said[0]
+    n, v = sum(count.values()), len(count)
+    of_class = Counter(classes[w] for w in count)
+    assert all(kinds[c] == of_class[c] for c in range(64))
+    before = Counter()
+    for (a, _), x in pairs.items():
+        before[a] += x
+
+    def p(a, b, w):
+        step = (pairs[a, b] + brown.PRIOR * (size[b] + 1) / (n + 64)) / (before[a] + brown.PRIOR)
+        return brown.MIX * step * (count[w] + 1) / (size[b] + of_class[b] + 1) + (1 - brown.MIX) * (count[w] + 1) / (n + v + 1)
+
+    want = sorted((repr(i), round(sum(math.log10(p(classes[a], classes[w], w)) for a, w in zip([None, *t], t)), 6)) for i, t, _ in texts)
+    assert [(a, pytest.approx(b, abs=1e-5)) for a, b in want] == sorted((repr(r.doc_id), round(r.score, 6)) for r in got)
+
+
+def test_words_move_to_their_best_class():
+    """exchange against every class tried for one word alone, from the same counts."""
     rng, n, k = np.random.default_rng(3), 40, brown.CLASSES
     text = rng.integers(0, n, 3000)
     for w in range(n):
@@ -272,7 +309,7 @@ def test_rare_words_move_to_their_best_class():
     m, size = onehot.T @ pairs @ onehot, onehot.T @ count
     cells = [(w, side * brown.AFTER + c, x[w, c]) for w in range(n) for side, x in ((0, left), (1, right)) for c in range(k) if x[w, c]]
     word, code, many = map(np.array, zip(*cells))
-    got = brown.exchange_rare(word, code, many, own, count, m, size)
+    got = brown.exchange(word, code, many, own, count, m, size)
     f = lambda x: x * np.log(np.maximum(x, 1))
     for w in range(n):
         a, m1, s1 = own[w], m.copy(), size.copy()
@@ -284,17 +321,14 @@ def test_rare_words_move_to_their_best_class():
     assert (got != own).sum() > n // 4
 
 
-def test_every_training_word_is_clustered(spark, monkeypatch):
-    """Beyond the frequent words, two kinds of words of one shape, in different places, don't stay in one class."""
-    monkeypatch.setattr(brown, "VOCABULARY", 4)
+def test_every_training_word_is_clustered(spark):
+    """Frequent and rare words of one shape, in different places, don't stay in one class; texts that were held out gain, too."""
     rng = random.Random(2)
     pick = lambda kind: f"{kind}{rng.randint(10, 59)}zz"
     df = spark.createDataFrame([(i, " ".join(f"the {pick('a')} of {pick('b')}" for _ in range(40))) for i in range(60)], "doc_id long, text string")
-    score = []
-    for rounds in (0, brown.ROUNDS):
-        monkeypatch.setattr(brown, "ROUNDS", rounds)
-        score.append(brown.score_documents(df).agg(F.sum("score")).first()[0])
-    assert score[1] - score[0] > 0.03 * 60 * 161
+    score = [{r.held_out: r.s for r in brown.score_documents(df, rounds=n).groupBy("held_out").agg(F.sum("score").alias("s")).collect()} for n in (0, brown.ROUNDS)]
+    held = sum(zlib.crc32(str(i).encode()) % 7 == 2 for i in range(60))
+    assert score[1][True] - score[0][True] > 0.03 * held * 161 and score[1][False] - score[0][False] > 0.03 * (60 - held) * 161
 
 
 # -- 7 -----------------------------------------------------------------------------------------------------------------
