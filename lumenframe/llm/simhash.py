@@ -101,7 +101,7 @@ def links(fps: DataFrame, radius: int = 4, bits: int = 64, tables: int = 1) -> D
     ways = F.array(*[F.lit(int(m)).cast("int") for m in _flips(b, half)])
     own = F.shiftrightunsigned(F.col("fp"), bits - b).cast("int") if b else F.lit(0)
     own = own.bitwiseAND((1 << b) - 1)
-    part = F.explode(F.transform(ways, lambda m: (F.col("tab") * (1 << b)).cast("int") + own.bitwiseXOR(m)))
+    part = F.explode(F.transform(ways, lambda m: F.col("tab").cast("long") * (1 << b) + own.bitwiseXOR(m)))
 
     def meet(group: pa.Table) -> pa.Table:
         x, node = (np.asarray(group[c].combine_chunks()) for c in ("fp", "node"))
@@ -110,8 +110,7 @@ def links(fps: DataFrame, radius: int = 4, bits: int = 64, tables: int = 1) -> D
         release()
         return pa.table({"u": np.ascontiguousarray(pairs[:, 0]), "v": np.ascontiguousarray(pairs[:, 1])})
 
-    dealt = fps.select(part.alias("part"), "fp", "node")
-    return dealt.repartitionById(tables << b, F.col("part")).groupBy("part").applyInArrow(meet, "u long, v long").distinct()
+    return fps.select(part.alias("part"), "fp", "node").groupBy("part").applyInArrow(meet, "u long, v long").distinct()
 
 
 def _meet(x: np.ndarray, node: np.ndarray, prefix: int, b: int, bits: int, half: int):
