@@ -167,7 +167,7 @@ def near_earlier(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     halves = distinct.select("w", F.explode(F.array("h0", "h1", "h2", "h3")).alias("end")).where("end IS NOT NULL")
     leads = skew_join(_sharing(halves), distinct.select("w", "lead"), "w", "inner")
     wanted = leads.groupBy("lead._key").agg(F.collect_set("lead.number").alias("wanted"))  # of one document
-    own = docs.select("_key", "_doc", "text").join(wanted.hint("merge"), "_key").select("_doc", "text", "wanted")
+    own = docs.select("_key", "_doc", "text").join(wanted.hint("shuffle_hash"), "_key").select("_doc", "text", "wanted")
     lines = stash(own.mapInArrow(_candidate_lines, "w long, _doc long, number long, line string").dropDuplicates(["w"]))
     close = _sharing(lines.mapInArrow(_quarters, "w long, end long"))
     entries = stash(lines.join(close.hint("merge"), "w", "left_semi").mapInArrow(_variants, "key long, place int, _doc long, number long, w long"))
@@ -192,7 +192,7 @@ def _dedup(docs: DataFrame) -> DataFrame:
     lines = own.mapInArrow(_lines, "_key long, _doc long, number long, w long")
     gone = skew_join(lines, stash(judged), "w", "inner").where(F.col("near") | (F.struct("_doc", "number") > F.col("lead")))
     gone = gone.groupBy("_key").agg(F.collect_set(F.col("number").cast("int")).alias("gone"))  # of one document
-    return docs.join(gone.hint("merge"), "_key", "left")
+    return docs.join(gone.hint("shuffle_hash"), "_key", "left")  # texts are not sorted
 
 
 def _keyed(docs: DataFrame, *more) -> DataFrame:
