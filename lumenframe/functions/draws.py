@@ -41,3 +41,20 @@ def ranked(df: DataFrame, group: str, id_: str, seed) -> DataFrame:
     cells = cells.select(group, "_cell", (F.sum("_c").over(before) - F.col("_c")).alias("_before"), F.sum("_c").over(Window.partitionBy(group)).alias("_n"))
     nth = F.row_number().over(Window.partitionBy(group, "_cell").orderBy("_key", id_))
     return keyed.withColumn("_nth", nth).join(cells, [group, "_cell"]).withColumn("_rank", F.col("_before") + F.col("_nth")).drop("_cell", "_nth", "_before")
+
+
+def first_by_key(df: DataFrame, id_: str, seed, n: int) -> DataFrame:
+    """The n rows that come first in the order of order_key, then id_ (all if there are fewer).
+
+    Counts of 65536 cells of the key tell up to which cell rows are wanted: whole cells are kept as they are, and only
+    the rows of the last one are sorted.
+    """
+    keyed = df.withColumn("_key", order_key(seed, id_))
+    cell = F.substring("_key", 1, 4)
+    left = n
+    for r in sorted(keyed.groupBy(cell.alias("cell")).count().collect()):
+        if r["count"] >= left:
+            last = keyed.where(cell == r["cell"]).orderBy("_key", id_).limit(left)
+            return keyed.where(cell < r["cell"]).unionByName(last).drop("_key")
+        left -= r["count"]
+    return df

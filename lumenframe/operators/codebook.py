@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.draws import order_key
+from ..functions.draws import first_by_key, order_key
 from ..functions.vectors import add_columns, lists, matrix, sum_arrays
 
 
@@ -95,7 +95,7 @@ def kmeans_fit(df: DataFrame, k: int = 128, max_iter: int = 50, tol: float = 1e-
 def bovw_fit(keypoints: DataFrame, k: int = 128, max_descriptors: int = 50_000, seed: int = 42, **kmeans) -> DataFrame:
     """A codebook from the descriptors of training images: a draw of max_descriptors where there are more."""
     keyed = keypoints.select(F.concat_ws("/", "image_id", "rank").alias("image_id"), "descriptor")
-    pool = keyed.orderBy(order_key(f"{seed}:pool", "image_id"), "image_id").limit(max_descriptors).persist()
+    pool = first_by_key(keyed, "image_id", f"{seed}:pool", max_descriptors).persist()
     try:
         if pool.isEmpty():
             raise ValueError("there are no descriptors")

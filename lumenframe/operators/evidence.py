@@ -18,20 +18,58 @@ def margins(df: DataFrame) -> DataFrame:
     return df.withColumn("margin", checked.cast("double")).withColumn("correct", F.col("label") == F.col("prediction"))
 
 
+def order_statistics(df: DataFrame, value: str, asked: dict) -> dict:
+    """The values at given places (from 0, ascending): asked is name -> (condition on the rows, place).
+
+    Each round counts CELLS equal cells between the extremes that are left, for all names in one pass, and goes on in
+    the cell that holds the place, until all its values are equal. No rows are moved or sorted.
+    """
+    found, open_ = {}, {name: (condition, None, place) for name, (condition, place) in asked.items()}
+    while open_:
+        cells = []
+        for i, (condition, span, _) in enumerate(open_.values()):
+            inside = condition & F.col(value).isNotNull()
+            cell = F.lit(0)
+            if span:
+                inside = inside & F.col(value).between(*map(F.lit, span))
+                cell = F.floor((F.col(value) - F.lit(span[0])).cast("double") / F.lit(float(span[1]) - float(span[0])) * CELLS).cast("int")
+            cells.append(F.when(inside, F.struct(F.lit(i).alias("i"), cell.alias("cell"))))
+        counted = df.select(value, F.explode(F.array(*cells)).alias("c")).where("c IS NOT NULL").groupBy("c.i", "c.cell").agg(F.count("*").alias("n"), F.min(value).alias("a"), F.max(value).alias("b"))
+        rows, further = sorted(counted.collect()), {}  # CELLS + 1 a name at most
+        for i, (name, (condition, _, place)) in enumerate(open_.items()):
+            for r in rows:
+                if r["i"] == i:
+                    if r["n"] > place:
+                        break
+                    place -= r["n"]
+            if r["a"] == r["b"]:
+                found[name] = r["a"]
+            else:
+                further[name] = (condition, (r["a"], r["b"]), place)
+        open_ = further
+    return found
+
+
 def evidence_summary(df: DataFrame) -> DataFrame:
     """One row: counts, accuracy, mean and exact median margin of right and of wrong rows (null for an empty group)."""
-    m = margins(df)
+    m = margins(df).select("margin", "correct")
     right, wrong = F.when(F.col("correct"), F.col("margin")), F.when(~F.col("correct"), F.col("margin"))
-    return m.agg(
+    summary = m.agg(
         F.count("*").alias("num_samples"),
         F.count(right).alias("num_correct"),
         F.count(wrong).alias("num_errors"),
         (F.count(right) / F.greatest(F.count("*"), F.lit(1))).alias("accuracy"),
         F.avg(right).alias("mean_margin_correct"),
         F.avg(wrong).alias("mean_margin_error"),
-        F.median(right).alias("median_margin_correct"),
-        F.median(wrong).alias("median_margin_error"),
-    )
+    ).collect()  # one row
+    asked = {}
+    for name, condition in (("correct", F.col("correct")), ("error", ~F.col("correct"))):
+        n = summary[0]["num_correct" if name == "correct" else "num_errors"]
+        asked |= {(name, j): (condition, j) for j in {(n - 1) // 2, n // 2} if n}
+    at = order_statistics(m, "margin", asked)
+    median = {name: [v for (x, _), v in at.items() if x == name] for name in ("correct", "error")}
+    out = df.sparkSession.createDataFrame(summary, "num_samples long, num_correct long, num_errors long, accuracy double, mean_margin_correct double, mean_margin_error double")
+    return out.withColumns({f"median_margin_{k}": F.lit(sum(v) / len(v) if v else None).cast("double") for k, v in median.items()})
 
 
 def top_confusions(df: DataFrame, classes: DataFrame, n_classes: int, k: int = 10) -> DataFrame:
@@ -65,27 +103,15 @@ def margin_histogram(df: DataFrame, bins: int = 35) -> DataFrame:
 def representatives(losses: DataFrame) -> DataFrame:
     """Of right and of wrong rows the one at place n // 2 by (loss, id). Needs image_id, correct, loss; both groups must exist.
 
-    The place is found by counts of loss cells: only the rows of one cell of each group are sorted.
+    The loss at that place is found by counts, and among rows of that loss the id in the same way.
     """
     narrow = losses.select("image_id", "correct", "loss")
-    groups = {r["correct"]: r for r in narrow.groupBy("correct").agg(F.count("*").alias("n"), F.min("loss").alias("a"), F.max("loss").alias("b")).collect()}
-    if not groups.get(True) or not groups.get(False):
+    sizes = {r["correct"]: r["count"] for r in narrow.groupBy("correct").count().collect()}
+    if not sizes.get(True) or not sizes.get(False):
         raise ValueError("a group has no rows")
-
-    def cell(g):
-        return F.floor((F.col("loss") - g["a"]) / ((g["b"] - g["a"]) or 1.0) * CELLS).cast("int")
-
-    placed = narrow.withColumn("cell", F.when(F.col("correct"), cell(groups[True])).otherwise(cell(groups[False])))
-    counts = placed.groupBy("correct", "cell").count().collect()  # at most CELLS + 1 a group
-    parts = []
-    for right in (True, False):
-        g = groups[right]
-        own, before, middle = sorted((r["cell"], r["count"]) for r in counts if r["correct"] == right), 0, g["n"] // 2
-        for at, n in own:
-            if before + n > middle:
-                break
-            before += n
-        nth = F.row_number().over(Window.partitionBy("correct").orderBy("loss", "image_id")) - 1 + before
-        inside = placed.where((F.col("correct") == right) & (F.col("cell") == at)).withColumn("place", nth)
-        parts.append(inside.where(F.col("place") == middle).select("correct", "image_id", "loss", F.lit(g["n"]).cast("long").alias("n")))
-    return parts[0].unionByName(parts[1])
+    of = {right: F.col("correct") == right for right in (True, False)}
+    loss = order_statistics(narrow, "loss", {right: (of[right], sizes[right] // 2) for right in of})
+    less = narrow.agg(*[F.count(F.when(of[right] & (F.col("loss") < loss[right]), True)).alias(str(right)) for right in of]).first()
+    ids = order_statistics(narrow, "image_id", {right: (of[right] & (F.col("loss") == loss[right]), sizes[right] // 2 - less[str(right)]) for right in of})
+    rows = [(right, ids[right], loss[right], sizes[right]) for right in of]
+    return losses.sparkSession.createDataFrame(rows, "correct boolean, image_id long, loss double, n long")

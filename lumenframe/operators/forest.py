@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,9 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw_uniform, order_key
-from ..functions.vectors import add_columns, matrix
+from ..functions.vectors import add_columns, lists, matrix
 
 NODES = "tree int, node long, is_leaf boolean, prediction int, feature int, threshold double"
+#: (node, feature) pairs that are open in one job: their thresholds go to every task.
+OPEN_AT_ONCE = 200_000
 
 
 def gini(df: DataFrame, group: list[str], label: str = "label") -> DataFrame:
@@ -27,26 +30,53 @@ def long_features(df: DataFrame, features: list[int] | None = None) -> DataFrame
     return rows if features is None else rows.where(F.col("feature").isin(features))
 
 
+def _few_values(long: DataFrame, most: int) -> DataFrame:
+    """(node, feature, x) of the distinct values of each node and feature, of more than ``most`` some and the extremes.
+
+    A task keeps up to ``most`` values of each pair, whatever the number of its rows.
+    """
+
+    def run(batches):
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            t = t.group_by(["node", "feature", "x"]).aggregate([]).sort_by([("node", "ascending"), ("feature", "ascending"), ("x", "ascending")]).combine_chunks()
+            if not t.num_rows:
+                continue
+            new = np.ones(t.num_rows, dtype=bool)
+            node, feature = t["node"].to_numpy(), t["feature"].to_numpy()
+            new[1:] = (node[1:] != node[:-1]) | (feature[1:] != feature[:-1])
+            first = np.flatnonzero(new)
+            rank = np.arange(t.num_rows) - np.repeat(first, np.diff(np.append(first, t.num_rows)))
+            held = t.filter(pa.array((rank < most - 1) | np.append(new[1:], True)))
+        if held is not None:
+            yield from held.to_batches()
+
+    own = long.select("node", "feature", F.col("x").cast("double").alias("x"))
+    return own.mapInArrow(run, own.schema).distinct()
+
+
 def candidate_thresholds(long: DataFrame, t: int = 16, seed: int = 42) -> DataFrame:
     """(node, feature, threshold): none if all values are equal; the middles between neighbours if there are up to t + 1
     values; otherwise t uniform draws between the extremes."""
-    values = long.groupBy("node", "feature", F.col("x").cast("double").alias("x")).count()
-    span = values.groupBy("node", "feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("kinds")).where("lo < hi")
-    few = values.join(span.where(F.col("kinds") <= t + 1).select("node", "feature"), ["node", "feature"], "left_semi")
-    ordered = few.groupBy("node", "feature").agg(F.sort_array(F.collect_list("x")).alias("v"))
+    values = _few_values(long, t + 2)
+    v = values.groupBy("node", "feature").agg(F.array_sort(F.collect_list("x")).alias("v")).where(F.size("v") > 1)  # up to t + 2 a task
+    lo, hi = F.get("v", 0), F.element_at("v", -1)
     middles = F.transform(F.slice("v", 2, F.size("v") - 1), lambda x, i: (x + F.get("v", i)) / 2)
-    from_few = ordered.select("node", "feature", F.explode(middles).alias("threshold"))
-    many = span.where(F.col("kinds") > t + 1).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(t - 1))))
-    from_many = many.select("node", "feature", (F.col("lo") + draw_uniform(seed, "node", "feature", "i") * (F.col("hi") - F.col("lo"))).alias("threshold"))
-    return from_few.unionByName(from_many)
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(t - 1)), lambda i: lo + draw_uniform(seed, "node", "feature", i) * (hi - lo))
+    return v.select("node", "feature", F.explode(F.when(F.size("v") <= t + 1, middles).otherwise(drawn)).alias("threshold"))
 
 
 def best_split(long: DataFrame, thresholds: DataFrame, min_leaf: int = 2) -> DataFrame:
     """(node, feature, threshold, score): the lowest weighted gini of x <= threshold against the rest, both sides at
-    least min_leaf rows; the first (feature, threshold) of equals. Counts by value and label meet the thresholds of
-    their node and feature, not rows."""
-    counts = long.groupBy("node", "feature", F.col("x").cast("double").alias("x"), "label").agg(F.count("*").alias("k"))
-    sides = counts.join(thresholds, ["node", "feature"]).groupBy("node", "feature", "threshold", "label").agg(F.sum(F.when(F.col("x") <= F.col("threshold"), F.col("k")).otherwise(0)).alias("l"), F.sum("k").alias("k"))
+    least min_leaf rows; the first (feature, threshold) of equals. Rows are counted by the gap between thresholds that
+    they fall into and by label, before any exchange."""
+    cuts = thresholds.groupBy("node", "feature").agg(F.array_sort(F.collect_set("threshold")).alias("cuts"))
+    placed = long.join(cuts, ["node", "feature"]).select("node", "feature", "label", F.size(F.filter("cuts", lambda c: c < F.col("x"))).alias("gap"))
+    counts = placed.groupBy("node", "feature", "label", "gap").agg(F.count("*").alias("k"))
+    whole = counts.join(cuts.select("node", "feature", F.posexplode("cuts").alias("at", "threshold")), ["node", "feature"])
+    sides = whole.groupBy("node", "feature", "threshold", "label").agg(F.sum(F.when(F.col("gap") <= F.col("at"), F.col("k")).otherwise(0)).alias("l"), F.sum("k").alias("k"))
     l, r = F.col("l").cast("double"), (F.col("k") - F.col("l")).cast("double")
     s = sides.groupBy("node", "feature", "threshold").agg(F.sum(l).alias("nl"), F.sum(r).alias("nr"), F.sum(l * l).alias("ll"), F.sum(r * r).alias("rr")).where((F.col("nl") >= min_leaf) & (F.col("nr") >= min_leaf))
     score = (F.col("nl") - F.col("ll") / F.col("nl") + F.col("nr") - F.col("rr") / F.col("nr")) / (F.col("nl") + F.col("nr"))
@@ -129,87 +159,112 @@ def forest_predict(df: DataFrame, nodes: DataFrame | Trees) -> DataFrame:
     return add_columns(df, make, ["features"], "votes array<int>, prediction int")
 
 
-def _level(rows: DataFrame, trees: Trees, open_: dict, d: int, classes: int, t: int, min_leaf: int, m: int, seed: int):
-    """Class counts of the open nodes, and the best split of each: two map jobs with small sums.
+def _weights(boots: pa.Array, trees: int) -> np.ndarray:
+    """(rows, trees): how often each tree drew each row."""
+    sizes = np.diff(boots.offsets.to_numpy())
+    flat = boots.flatten()
+    out = np.zeros((len(boots), trees))
+    np.add.at(out, (np.repeat(np.arange(len(boots)), sizes), flat.field("tree").to_numpy()), flat.field("weight").to_numpy())
+    return out
 
-    The first finds extremes and up to t + 2 distinct values of each open (tree, node, feature); the second counts classes
-    between thresholds. Both send one row a task and (tree, node, feature), whatever the number of rows.
+
+def _features(seed: int, tree: int, node: int, d: int, m: int) -> list[int]:
+    """The m features that a node may split on, in their drawn order; told again wherever they are needed."""
+    return sorted(range(d), key=lambda f: hashlib.md5(f"{seed}:{tree}:{node}:{f}".encode()).hexdigest())[:m]
+
+
+def _level(rows: DataFrame, trees: Trees, n_trees: int, open_: list, d: int, classes: int, t: int, min_leaf: int, m: int, seed: int):
+    """(tree, node) -> (class counts, (feature, threshold) of the best split or None), of some open nodes: two map jobs with small sums.
+
+    The first finds extremes and up to t + 2 distinct values of each (tree, node, feature); the second counts classes
+    between thresholds. Both send one row a task and (tree, node, feature), whatever the number of rows; sums and best
+    splits are found in tasks, and the driver gets one row a node.
     """
-    features = {k: sorted(range(d), key=lambda f: hashlib.md5(f"{seed}:{k[0]}:{k[1]}:{f}".encode()).hexdigest())[:m] for k in open_}
+    wanted = set(open_)
     most = t + 2
 
     def grouped(batches):
+        drawn: dict = {}
         for b in batches:
             x, y = matrix(b.column("features")), b.column("label").to_numpy()
             if not len(x):
                 continue
-            for tree in sorted({k[0] for k in open_}):
-                weight = np.array([dict(w).get(tree, 0) for w in ([(e["tree"], e["weight"]) for e in r] for r in b.column("boots").to_pylist())], dtype=np.float64)
+            weights = _weights(b.column("boots"), n_trees)
+            for tree in sorted({k[0] for k in wanted}):
                 at = trees.place(x, tree)
-                for node in np.unique(at).tolist():
-                    if (tree, node) in open_:
-                        i = np.flatnonzero((at == node) & (weight > 0))
-                        if len(i):
-                            yield tree, node, x[i], y[i], weight[i]
+                used = weights[:, tree] > 0
+                for node in np.unique(at[used]).tolist():
+                    if (tree, node) in wanted:
+                        if (tree, node) not in drawn:
+                            drawn[tree, node] = _features(seed, tree, node, d, m)
+                        i = np.flatnonzero((at == node) & used)
+                        yield tree, node, drawn[tree, node], x[i], y[i], weights[i, tree]
 
     def values(batches):
         found: dict = {}
-        for tree, node, x, _, _ in grouped(batches):
-            for f in features[tree, node]:
+        for tree, node, features, x, _, _ in grouped(batches):
+            for place, f in enumerate(features):
                 v = np.unique(x[:, f])
-                old = found.get((tree, node, f))
+                old = found.get((tree, node, place, f))
                 if old is not None:
                     v = np.unique(np.concatenate([old, v]))
-                found[tree, node, f] = v if len(v) <= most else np.concatenate([v[: most - 1], v[-1:]])
-        for (tree, node, f), v in found.items():
-            yield pa.RecordBatch.from_arrays([pa.array([tree], pa.int32()), pa.array([node], pa.int64()), pa.array([f], pa.int32()), pa.array([v.tolist()], pa.list_(pa.float64()))], names=["tree", "node", "feature", "v"])
-
-    seen = rows.mapInArrow(values, "tree int, node long, feature int, v array<double>").groupBy("tree", "node", "feature").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("v")))).alias("v")).collect()
+                found[tree, node, place, f] = v if len(v) <= most else np.concatenate([v[: most - 1], v[-1:]])
+        yield from _rows(found)
+
+    def _rows(found: dict):
+        keys = list(found)
+        for at in range(0, len(keys), 4096):
+            some = keys[at : at + 4096]
+            columns = [pa.array([k[j] for k in some], kind) for j, kind in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([found[k].tolist() for k in some], pa.list_(pa.float64()))], names=["tree", "node", "place", "feature", "v"])
+
+    ddl = "tree int, node long, place int, feature int, v array<double>"
+    seen = rows.mapInArrow(values, ddl).groupBy("tree", "node", "feature").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("v")))).alias("v"))
+    seen = seen.where(F.size("v") > 1).select("tree", "node", "feature", F.when(F.size("v") <= t + 1, F.col("v")).otherwise(F.array(F.get("v", 0), F.element_at("v", -1))).alias("v"), (F.size("v") <= t + 1).alias("few"))
     thresholds = {}
-    for r in seen:
+    for r in seen.collect():  # OPEN_AT_ONCE pairs at most
         v = r["v"]
-        if len(v) < 2:
-            continue
-        if len(v) <= t + 1:
-            thresholds[r["tree"], r["node"], r["feature"]] = np.array([(a + b) / 2 for a, b in zip(v, v[1:])])
-        else:
-            thresholds[r["tree"], r["node"], r["feature"]] = np.sort([v[0] + _draw(f"{seed}:{r['tree']}:{r['node']}:{r['feature']}:{i}") * (v[-1] - v[0]) for i in range(t)])
+        draws = [(a + b) / 2 for a, b in zip(v, v[1:])] if r["few"] else [v[0] + _draw(f"{seed}:{r['tree']}:{r['node']}:{r['feature']}:{i}") * (v[-1] - v[0]) for i in range(t)]
+        thresholds[r["tree"], r["node"], r["feature"]] = np.sort(draws)
+    cuts = rows.sparkSession.sparkContext.broadcast(thresholds)
 
     def counts(batches):
         total: dict = {}
-        for tree, node, x, y, w in grouped(batches):
-            key = (tree, node, -1)
+        for tree, node, features, x, y, w in grouped(batches):
+            key = (tree, node, -1, -1)
             total[key] = total.get(key, 0) + np.bincount(y, w, classes)
-            for f in features[tree, node]:
-                cut = thresholds.get((tree, node, f))
+            for place, f in enumerate(features):
+                cut = cuts.value.get((tree, node, f))
                 if cut is not None:
-                    place = np.searchsorted(cut, x[:, f]) * classes + y
-                    total[tree, node, f] = total.get((tree, node, f), 0) + np.bincount(place, w, (len(cut) + 1) * classes)
-        for (tree, node, f), c in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([tree], pa.int32()), pa.array([node], pa.int64()), pa.array([f], pa.int32()), pa.array([c.tolist()], pa.list_(pa.float64()))], names=["tree", "node", "feature", "v"])
-
-    ddl = "tree int, node long, feature int, v array<double>"
-
-    def add(g: pa.Table) -> pa.Table:
-        return pa.table({k: g[k].slice(0, 1) for k in ("tree", "node", "feature")} | {"v": pa.array([matrix(g["v"].combine_chunks()).sum(axis=0).tolist()], pa.list_(pa.float64()))})
-
-    own, best = {}, {}
-    for r in rows.mapInArrow(counts, ddl).groupBy("tree", "node", "feature").applyInArrow(add, ddl).collect():
-        key, f, c = (r["tree"], r["node"]), r["feature"], np.array(r["v"])
-        if f < 0:
-            own[key] = c
-            continue
-        left = c.reshape(-1, classes).cumsum(axis=0)
-        left, right = left[:-1], left[-1] - left[:-1]
-        nl, nr = left.sum(axis=1), right.sum(axis=1)
-        ok = (nl >= min_leaf) & (nr >= min_leaf)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            score = (nl - (left**2).sum(axis=1) / nl + nr - (right**2).sum(axis=1) / nr) / (nl + nr)
-        for j in np.flatnonzero(ok):
-            candidate = (round(float(score[j]), 12), features[key].index(f), float(thresholds[(*key, f)][j]), f)
-            if key not in best or candidate < best[key]:
-                best[key] = candidate
-    return own, best
+                    cell = np.searchsorted(cut, x[:, f]) * classes + y
+                    total[tree, node, place, f] = total.get((tree, node, place, f), 0) + np.bincount(cell, w, (len(cut) + 1) * classes)
+        yield from _rows(total)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of one (tree, node, feature): class counts (feature -1), or score and threshold of its best split."""
+        c, head = 0.0, None
+        for b in batches:
+            if b.num_rows:
+                c = c + matrix(b.column("v")).sum(axis=0)
+                head = head or {k: b.column(k).slice(0, 1) for k in ("tree", "node", "place", "feature")}
+        if head is None:
+            return
+        v, f = c, head["feature"][0].as_py()
+        if f >= 0:
+            left = c.reshape(-1, classes).cumsum(axis=0)
+            left, right = left[:-1], left[-1] - left[:-1]
+            nl, nr = left.sum(axis=1), right.sum(axis=1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                score = np.round((nl - (left**2).sum(axis=1) / nl + nr - (right**2).sum(axis=1) / nr) / (nl + nr), 12)
+            score[(nl < min_leaf) | (nr < min_leaf)] = np.inf
+            best = int(np.argmin(score))
+            v = np.array([score[best], cuts.value[head["tree"][0].as_py(), head["node"][0].as_py(), f][best]])
+        yield pa.RecordBatch.from_pydict(head | {"v": lists(v[None])})
+
+    judged = rows.mapInArrow(counts, ddl).groupBy("tree", "node", "feature").applyInArrow(judge, ddl)
+    split = F.when((F.col("feature") >= 0) & (F.get("v", 0) < float("inf")), F.struct(F.get("v", 0).alias("score"), "place", F.get("v", 1).alias("threshold"), "feature"))
+    nodes = judged.groupBy("tree", "node").agg(F.max(F.when(F.col("feature") < 0, F.col("v"))).alias("own"), F.min(split).alias("best")).collect()
+    return {(r["tree"], r["node"]): (np.array(r["own"]), r["best"] and (r["best"]["feature"], r["best"]["threshold"])) for r in nodes}
 
 
 def forest_fit(
@@ -243,15 +298,16 @@ def forest_fit(
     done, open_ = [], {(tree, 0): 0 for tree in range(num_trees)}
     try:
         while open_:
-            own, best = _level(rows, Trees(done), open_, d, classes, num_thresholds, min_samples_leaf, m, seed)
-            children = {}
+            found, children, keys, step = {}, {}, list(open_), max(1, OPEN_AT_ONCE // m)
+            for at in range(0, len(keys), step):
+                found |= _level(rows, Trees(done), num_trees, keys[at : at + step], d, classes, num_thresholds, min_samples_leaf, m, seed)
             for key, depth in open_.items():
-                c = own[key]
+                c, best = found[key]
                 prediction, n = int(np.argmax(c)), c.sum()
-                if depth >= max_depth or n < min_samples_split or (c > 0).sum() < 2 or key not in best:
+                if depth >= max_depth or n < min_samples_split or (c > 0).sum() < 2 or best is None:
                     done.append((*key, True, prediction, -1, 0.0))
                     continue
-                _, _, threshold, f = best[key]
+                f, threshold = best
                 done.append((*key, False, prediction, f, threshold))
                 children[key[0], 2 * key[1] + 1] = children[key[0], 2 * key[1] + 2] = depth + 1
             open_ = children

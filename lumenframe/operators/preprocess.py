@@ -7,9 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import add_columns, bytes_matrix, lists, matrix
+from ..functions.vectors import add_columns, binaries, bytes_matrix, lists, matrix
 
 GRAY = np.array([0.299, 0.587, 0.114])
+#: Each byte over 255.
+UNIT = (np.arange(256) / 255.0).astype(np.float32)
 
 
 def planar_to_hwc(df: DataFrame, h: int = 32, w: int = 32, c: int = 3) -> DataFrame:
@@ -17,7 +19,7 @@ def planar_to_hwc(df: DataFrame, h: int = 32, w: int = 32, c: int = 3) -> DataFr
 
     def make(pixels):
         p = bytes_matrix(pixels).reshape(-1, c, h, w).transpose(0, 2, 3, 1).reshape(len(pixels), -1)
-        return {"pixels": pa.array([r.tobytes() for r in p], pa.binary())}
+        return {"pixels": binaries(p)}
 
     return add_columns(df, make, ["pixels"], "pixels binary")
 
@@ -36,7 +38,7 @@ def to_float(df: DataFrame, column: str = "pixels") -> DataFrame:
     """Adds features: bytes over 255; an array column is cast alone."""
     if dict(df.dtypes)[column] != "binary":
         return df.withColumn("features", F.col(column).cast("array<float>"))
-    return add_columns(df, lambda p: {"features": lists((bytes_matrix(p) / 255.0).astype(np.float32), pa.float32())}, [column], "features array<float>")
+    return add_columns(df, lambda p: {"features": lists(UNIT[bytes_matrix(p)], pa.float32())}, [column], "features array<float>")
 
 
 def pixel_features(df: DataFrame) -> DataFrame:

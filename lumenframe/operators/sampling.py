@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.draws import draw_int, half_even, order_key, ranked
+from ..functions.draws import draw_int, first_by_key, half_even, ranked
+from ..sources.artifacts import written
 
 
 def stratified_split(df: DataFrame, label: str, id_: str, fraction: float = 0.1, seed: int = 42, min_per_class: int = 1) -> DataFrame:
@@ -28,8 +29,7 @@ def limit_stratified(df: DataFrame, label: str, id_: str, limit: int | None, see
     r = ranked(df.select(id_, label), label, id_, seed)
     quota = F.greatest(half_even(F.lit(limit) * F.col("_n") / F.lit(total)), F.lit(1))
     chosen = r.where(F.col("_rank") <= quota).select(id_)
-    cut = chosen.orderBy(order_key(f"{seed}:cut", id_), id_).limit(limit)
-    return df.join(cut, id_, "left_semi")
+    return df.join(first_by_key(chosen, id_, f"{seed}:cut", limit), id_, "left_semi")
 
 
 def limit_splits(df: DataFrame, label: str, id_: str, train_limit: int | None, test_limit: int | None, seed: int = 42) -> DataFrame:
@@ -93,19 +93,21 @@ def bootstrap_weights(df: DataFrame, id_: str, n_trees: int, fraction: float = 1
 
 
 def dense_index(df: DataFrame, id_: str) -> DataFrame:
-    """Adds row: 0, 1, 2 ... in the order of id_, by a range partitioning and the counts of its partitions."""
-    spread = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), id_).withColumn("_p", F.spark_partition_id())
+    """Adds row: 0, 1, 2 ... in the order of id_, by a range partitioning, written once, and the counts of its partitions."""
+    spread = written(df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), id_).withColumn("_p", F.spark_partition_id()), "ranges")
     counts = spread.groupBy("_p").agg(F.count("*").alias("_c"), F.min(id_).alias("_lo"))
     before = counts.withColumn("_before", F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).select("_p", "_before")
     nth = F.row_number().over(Window.partitionBy("_p").orderBy(id_)) - 1
     return spread.withColumn("_nth", nth).join(before, "_p").withColumn("row", (F.col("_before") + F.col("_nth")).cast("long")).drop("_p", "_nth", "_before")
 
 
-def split_digest(df: DataFrame, id_: str = "image_id", buckets: int = 64) -> DataFrame:
+def split_digest(df: DataFrame, id_: str = "image_id", bucket_rows: int = 100_000) -> DataFrame:
     """(split, digest) and a row ``all``: equal if and only if the splits hold the same ids.
 
-    Two levels: the sorted ids of a bucket are digested where they meet, then the digests of the buckets.
+    Two levels: the sorted ids of a bucket are digested where they meet, then the digests of the buckets. There are 64
+    buckets, or as many (a power of two) as hold ``bucket_rows`` ids each.
     """
+    buckets = max(64, 1 << (df.count() // bucket_rows).bit_length())
     own = df.groupBy("split", (F.pmod(F.col(id_), F.lit(buckets))).alias("bucket")).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(id_)), lambda x: x.cast("string")), ","), 256).alias("d"))
     per = own.groupBy("split").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "d"))), lambda x: x["d"]), ","), 256).alias("digest"))
     total = per.groupBy().agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("split", "digest"))), lambda x: F.concat_ws("=", x["split"], x["digest"])), ","), 256).alias("digest"))

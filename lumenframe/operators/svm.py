@@ -105,7 +105,7 @@ def _local_epoch(df, w0, b0, rate, reg, size, seed):
     c, d = w0.shape
 
     def run(batches):
-        rows = [(matrix(b.column("features")), b.column("label").to_numpy()) for b in batches if b.num_rows]
+        rows = [(matrix(b.column("features"), np.float32), b.column("label").to_numpy()) for b in batches if b.num_rows]
         if not rows:
             return
         x, y = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
@@ -115,17 +115,17 @@ def _local_epoch(df, w0, b0, rate, reg, size, seed):
         w, b, losses = w0.copy(), b0.copy(), []
         for at in range(0, len(x), size):
             i = order[at : at + size]
-            hinge, gw, gb = batch_gradient(x[i], y[i], w, b)
+            hinge, gw, gb = batch_gradient(x[i].astype(np.float64), y[i], w, b)
             w -= rate * (gw / len(i) + reg * w)
             b -= rate * gb / len(i)
             losses.append(hinge / len(i) + reg / 2 * float((w * w).sum()))
-        row = np.concatenate([w.reshape(-1), b, [np.mean(losses)]]) * len(x)
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([float(len(x))]), lists(row[None])], names=["k", "n", "sums"])
+        own = np.concatenate([w, b[:, None], np.full((c, 1), np.mean(losses))], axis=1) * len(x)  # a row a class
+        yield pa.RecordBatch.from_arrays([pa.array(range(c), pa.int32()), pa.array([float(len(x))] * c), lists(own)], names=["k", "n", "sums"])
 
     ddl = "k int, n double, sums array<double>"
-    r = sum_arrays(df.select("features", "label").mapInArrow(run, ddl), ["k"], ddl).first()
-    mean = np.array(r["sums"]) / r["n"]
-    return mean[: c * d].reshape(c, d), mean[c * d : c * d + c], float(mean[-1])
+    rows = sorted(sum_arrays(df.select("features", "label").mapInArrow(run, ddl), ["k"], ddl).collect(), key=lambda r: r["k"])
+    mean = np.array([r["sums"] for r in rows]) / rows[0]["n"]
+    return mean[:, :d], mean[:, d], float(mean[0, -1])
 
 
 def svm_scores(df: DataFrame, weights: DataFrame | tuple) -> DataFrame:

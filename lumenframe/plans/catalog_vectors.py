@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ..functions.vectors import bytes_matrix
 from ..operators import codebook, forest, hog, inference, metrics, preprocess, sift, svm
-from ..sources import artifacts
+from ..sources import artifacts, images
 from . import fixtures as fx
 from . import jobs
 from .fixtures import with_fixtures
@@ -310,11 +313,26 @@ k AS (SELECT node, label, row_number() OVER (PARTITION BY node ORDER BY count(*)
 
 
 def rf1(s, d):
-    """A small forest on the training rows, and how it does on each split."""
-    f = fx.features(s, d)
-    nodes = forest.forest_fit(f.where("split = 'train'"), num_trees=4, max_depth=4, seed=7)
-    p = forest.forest_predict(f, nodes)
-    return metrics.summary_by(p, ["split"], 10)
+    """A forest of stumps on all training rows and features, and how it does on each split."""
+    f = _steps(s, d)
+    nodes = forest.forest_fit(f.where("split = 'train'"), num_trees=3, max_depth=1, max_features=2, seed=7, bootstrap=None)
+    n = f.agg(F.max("label")).first()[0] + 1
+    return metrics.summary_by(forest.forest_predict(f, nodes), ["split"], n).select("split", *[F.round(c, 6).alias(c) for c in ("accuracy", "macro_f1")])
+
+
+RF1_SQL = with_fixtures(
+    "fx_big",
+    more="""r AS (SELECT id, label, split, [f[3] % 8, f[2] % 10] AS f FROM fx_big), tr AS (SELECT * FROM r WHERE split = 'train'), lg AS (SELECT label, (unnest(range(0, 2)))::INT AS feature, unnest(f) AS x FROM tr),
+v AS (SELECT DISTINCT feature, x FROM lg), th AS (SELECT feature, (x + nx) / 2 AS threshold FROM (SELECT *, lead(x) OVER (PARTITION BY feature ORDER BY x) AS nx FROM v) WHERE nx IS NOT NULL),
+sd AS (SELECT feature, threshold, label, count(*) FILTER (x <= threshold)::DOUBLE AS l, count(*) FILTER (x > threshold)::DOUBLE AS r FROM lg JOIN th USING (feature) GROUP BY ALL),
+sc AS (SELECT feature, threshold, sum(l) AS nl, sum(r) AS nr, sum(l * l) AS ll, sum(r * r) AS rr FROM sd GROUP BY ALL),
+b AS (SELECT tree::INT AS tree, feature, threshold FROM (SELECT tree, feature, threshold, row_number() OVER (PARTITION BY tree ORDER BY round((nl - ll / nl + nr - rr / nr) / (nl + nr), 12), md5('7:' || tree || ':0:' || feature), threshold) AS o FROM sc, range(0, 3) AS a(tree) WHERE nl >= 2 AND nr >= 2) WHERE o = 1),
+leaf AS (SELECT tree, side, label FROM (SELECT tree, f[feature + 1] <= threshold AS side, label, row_number() OVER (PARTITION BY tree, f[feature + 1] <= threshold ORDER BY count(*) DESC, label) AS o FROM tr, b GROUP BY tree, side, label) WHERE o = 1),
+vote AS (SELECT id, split, r.label, leaf.label AS p, count(*) AS n FROM r, b JOIN leaf ON leaf.tree = b.tree AND leaf.side = (r.f[b.feature + 1] <= b.threshold) GROUP BY ALL),
+pr AS (SELECT split, label, p FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, p) AS o FROM vote) WHERE o = 1),
+c AS (SELECT split, k, count(*) FILTER (label = k) AS support, count(*) FILTER (p = k) AS predicted, count(*) FILTER (label = k AND p = k) AS hits FROM pr, range(0, (SELECT max(label) + 1 FROM r)) AS a(k) GROUP BY split, k)""",
+    then="SELECT split, round(sum(hits) / sum(support)::DOUBLE, 6) AS accuracy, round(avg(CASE WHEN support + predicted > 0 THEN 2.0::DOUBLE * hits / (support + predicted) ELSE 0 END), 6) AS macro_f1 FROM c GROUP BY split",
+)
 
 
 _NODES = [(t, 0, False, 0, t, 0.0) for t in range(3)] + [(t, n, True, (3 * t + n) % 5, -1, 0.0) for t in range(3) for n in (1, 2)]
@@ -340,13 +358,67 @@ RF3_SQL = with_fixtures(
 
 
 # -- jobs --------------------------------------------------------------------------------------------------------------
+_INF1_MEAN, _INF1_SCALE = 0.5, 0.25
+
+
 def inf1(s, d):
+    """Images scored with a bundle of fixed weights over their pixels, with the three best classes."""
+    i = np.arange(3072)
+    w = np.stack([((i * (3 * k + 2) + k) % 17 - 8) / 64.0 for k in range(10)])
+    bundle = {"feature": "pixel", "parameters": {}, "classes": fx.CLASS_NAMES, "scaler": (np.full(3072, _INF1_MEAN), np.full(3072, _INF1_SCALE)), "weights": (w, np.arange(10) / 8.0)}
+    p = inference.predict_images(fx.images(s, d).where("split = 'test'"), bundle, 3)
+    return p.select("image_id", "label", "prediction", F.array_join(F.transform("top_k", lambda k: k["class"]), ",").alias("first"), F.round(F.col("top_k")[0]["score"], 3).alias("score"))
+
+
+INF1_SQL = with_fixtures(
+    "fx_px",
+    more="""px AS (SELECT image_id, label, i, ((v / 255.0::DOUBLE)::FLOAT::DOUBLE - 0.5) / 0.25 AS x FROM fx_px WHERE split = 'test'),
+z AS (SELECT image_id, any_value(label) AS label, k, sum(x * ((i * (3 * k + 2) + k) % 17 - 8) / 64.0::DOUBLE) + k / 8.0::DOUBLE AS s FROM px, range(0, 10) AS a(k) GROUP BY image_id, k),
+o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY s DESC, k DESC) AS r FROM z)""",
+    then="SELECT image_id, any_value(label) AS label, (max(k) FILTER (r = 1))::INT AS prediction, string_agg('class_' || k, ',' ORDER BY r) FILTER (r <= 3) AS first, round(max(s), 3) AS score FROM o GROUP BY image_id",
+)
+
+
+def inf1_trained(s, d):
     """Images scored with a bundle fitted on the training images' pixels."""
     bundle = jobs.train_svm(preprocess.pixel_features(fx.images(s, d).where("split = 'train'")), fx.CLASS_NAMES, "pixel", epochs=2, mode="batch", n_classes=10)
     p = inference.predict_images(fx.images(s, d).where("split = 'test'"), bundle, 3)
     return p.select("image_id", "label", "prediction", F.col("top_k")[0]["class"].alias("first"), F.round(F.col("top_k")[0]["score"], 3).alias("score"))
 
 
+# -- image files -------------------------------------------------------------------------------------------------------
+def _bitmap_text(pixels: bytes) -> str:
+    """A 32 x 32 bitmap file whose bytes are all under 128, so that it is text, too: pixels keep 7 bits."""
+    x = (np.frombuffer(pixels, np.uint8).reshape(32, 32, 3) >> 1)[::-1, :, ::-1]  # rows from below, blue first
+    head = b"BM" + bytes([54, 12, 0, 0]) + bytes(4) + bytes([54, 0, 0, 0, 40, 0, 0, 0, 32, 0, 0, 0, 32, 0, 0, 0, 1, 0, 24, 0]) + bytes(4) + bytes([0, 12, 0, 0]) + bytes(16)
+    return (head + x.tobytes()).decode("ascii")
+
+
+def src4(s, d):
+    """Every image written as a file, read back as images, and summed up."""
+    path = artifacts.scratch_path(s, "images")
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("image_id"), pa.array([_bitmap_text(x) for x in b.column("pixels").to_pylist()], pa.string())], names=["image_id", "value"])
+
+    files = fx.images(s, d).select("image_id", "pixels").mapInArrow(run, "image_id long, value string")
+    files.write.partitionBy("image_id").text(path)
+    read = images.read_images(s, path)
+
+    def sums(batches):
+        for b in batches:
+            x = bytes_matrix(b.column("pixels")).astype(np.int64)
+            at = np.arange(x.shape[1] if x.size else 0) + 1
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(x.sum(axis=1) if len(x) else [], pa.int64()), pa.array((x * at).sum(axis=1) if len(x) else [], pa.int64())], names=["path", "total", "weighted"])
+
+    own = read.select("path", "height", "width", "channels").join(read.select("path", "pixels").mapInArrow(sums, "path string, total long, weighted long"), "path")
+    return own.select(F.regexp_extract("path", r"image_id=(\d+)", 1).cast("long").alias("image_id"), "height", "width", "channels", "total", "weighted")
+
+
+SRC4_SQL = with_fixtures("fx_px", then="SELECT image_id, 32::INT AS height, 32::INT AS width, 3::INT AS channels, sum(v // 2)::BIGINT AS total, sum((v // 2) * (i + 1))::BIGINT AS weighted FROM fx_px GROUP BY image_id")
+
+
 def snk2(s, d):
     return artifacts.predictions(fx.logits(s, d)).select("image_id", "label", "prediction", F.size("scores").alias("n_scores"))
 
@@ -418,8 +490,10 @@ ENTRIES = {
     "svm2_fit": (svm2, SVM2_SQL),
     "svm3_scores": (svm3, SVM3_SQL),
     "tre5_stump": (tre5, TRE5_SQL),
-    "rf1_forest": (rf1, None),
+    "rf1_forest": (rf1, RF1_SQL),
     "rf2_tree_predict": (rf2, with_fixtures("fx_features", then="SELECT image_id, CASE WHEN f[2] <= 0 THEN 4 ELSE 0 END AS prediction FROM fx_features")),
     "rf3_forest_predict": (rf3, RF3_SQL),
-    "inf1_predict_images": (inf1, None),
+    "inf1_predict_images": (inf1, INF1_SQL),
+    "inf1_trained_bundle": (inf1_trained, None),
+    "src4_read_images": (src4, SRC4_SQL),
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 
@@ -13,15 +14,24 @@ RUN_RECORD = "run string, feature string, model string, seed int, samples struct
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir; a local one where it is unset)."""
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir. In local mode one of our own where it is unset."""
     sc = spark.sparkContext
     top = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if top is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="lumenframe-")
         sc.setCheckpointDir(top)
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df from files in the shared folder: later stages see the same rows in the same partitions, whatever is lost."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_runs(spark: SparkSession, paths) -> DataFrame:
     """Metric records from JSON files, with an explicit schema."""
     return spark.read.schema(RUN_RECORD).json(paths, multiLine=True)

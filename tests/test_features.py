@@ -1,5 +1,7 @@
 """Pixel features, HOG, blur, SIFT, codebooks."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -111,6 +113,48 @@ def test_sift_points_equal_loops():
     assert [tuple(p) for p in sift.extrema(dogs, 0.02, 10.0).tolist()] == loop_keypoints(gray, 0.02)
 
 
+def loop_slopes(image):
+    h, w = image.shape
+    strength, turn = np.zeros((h, w)), np.zeros((h, w))
+    for y in range(h):
+        for x in range(w):
+            dx = float(image[y, x + 1]) - float(image[y, x - 1]) if 0 < x < w - 1 else 0.0
+            dy = float(image[y + 1, x]) - float(image[y - 1, x]) if 0 < y < h - 1 else 0.0
+            strength[y, x], turn[y, x] = math.sqrt(dx * dx + dy * dy), math.atan2(dy, dx) % (2 * math.pi)
+    return strength, turn
+
+
+def test_sift_orientation_and_descriptor_equal_loops(spark):
+    """Each keypoint's main direction and its 4 x 4 cells of 8 directions, pixel by pixel."""
+    rng = np.random.default_rng(8)
+    image = np.repeat(np.kron(rng.integers(0, 256, (8, 8)), np.ones((4, 4)))[:, :, None], 3, axis=2).round()
+    image = np.clip(image + rng.integers(-9, 10, image.shape), 0, 255)
+    keypoints = sift.sift_keypoints(frame(spark, [image]), contrast_threshold=0.005).collect()
+    assert len(keypoints) > 5
+    gray = sift.gray_batch(image.astype(np.uint8).reshape(1, -1), 32, 32, 3)
+    big, blurred, _ = sift.dog_pyramid(gray)
+    base = loop_slopes(big[0])
+    scales = {s: loop_slopes(blurred[0, s]) for s in range(blurred.shape[1])}
+    for r in keypoints:
+        strength, turn = scales[r.scale_index + 1]
+        votes = np.zeros(36)
+        for y in range(max(0, r.y - 6), min(63, r.y + 6) + 1):
+            for x in range(max(0, r.x - 6), min(63, r.x + 6) + 1):
+                votes[int(turn[y, x] / (2 * math.pi) * 36) % 36] += strength[y, x]
+        best = int((r.orientation / (2 * math.pi)) * 36)
+        assert votes[best] >= votes.max() * (1 - 1e-4) and abs(r.orientation - (best + 0.5) * 2 * math.pi / 36) < 1e-5
+        v, edge = np.zeros(128), 0.0
+        for dy in range(-8, 8):
+            for dx in range(-8, 8):
+                at = ((base[1][r.y + dy, r.x + dx] - r.orientation) % (2 * math.pi)) / (2 * math.pi) * 8
+                v[((dy + 8) // 4 * 4 + (dx + 8) // 4) * 8 + int(at) % 8] += base[0][r.y + dy, r.x + dx]
+                edge += base[0][r.y + dy, r.x + dx] * (abs(at - round(at)) < 1e-4)  # may fall to either side
+        v = np.minimum(v / (np.linalg.norm(v) + 1e-8), 0.2)
+        v = v / (np.linalg.norm(v) + 1e-8)
+        assert edge > 0 or np.allclose(v, r.descriptor, atol=1e-4)
+    assert all(8 < r.y < 55 and 8 < r.x < 55 for r in keypoints)
+
+
 def test_sift_of_a_square(spark):
     image = np.zeros((32, 32, 3))
     image[8:24, 8:24] = 255
