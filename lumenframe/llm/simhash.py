@@ -16,6 +16,8 @@ from ._text import U64, Words, grams, mix, release, slices, within
 SEED = 42
 #: Variants that a task holds at once.
 VARIANTS_AT_ONCE = 1 << 21
+#: Shingles whose bits a task counts at once.
+BITS_AT_ONCE = 1 << 15
 #: Variants are dealt by their first bits: so many at least, and so many that a part gets about PART_ROWS fingerprints.
 PREFIX = 6
 PART_ROWS = 1 << 22
@@ -240,9 +242,12 @@ def sketches(docs: DataFrame, bits: int, tables: int, carry: tuple = (), k: int
             if len(full):
                 starts = (np.cumsum(count) - count)[full]
                 node[full] = mix(np.add.reduceat(mix(h + U64(1)), starts) + count[full].astype(U64))
+            for a in range(0, len(h), BITS_AT_ONCE):
+                some, own = row[a : a + BITS_AT_ONCE], h[a : a + BITS_AT_ONCE]
+                first = np.flatnonzero(np.diff(some, prepend=-1))
                 for j in range(words):
-                    own = np.unpackbits(mix(h ^ U64(0x9E3779B97F4A7C15 * (2 * j + 3) % 2**64)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                    ones[full, 64 * j : 64 * j + 64] = np.add.reduceat(own, starts, axis=0, dtype=np.int32)
+                    bits_ = np.unpackbits(mix(own ^ U64(0x9E3779B97F4A7C15 * (2 * j + 3) % 2**64)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                    ones[some[first], 64 * j : 64 * j + 64] += np.add.reduceat(bits_, first, axis=0, dtype=np.int32)
             above = 2 * ones > count[:, None]
             fps = np.zeros((n, tables, 64), np.uint8)
             fps[:, :, :bits] = above[:, : bits * tables].reshape(n, tables, bits)
