@@ -19,6 +19,8 @@ PIECES = 2048
 SAMPLE_TEXTS = 400
 SAMPLE_TOTAL = 100_000
 SAMPLE_CHARS = 1000
+#: The counts of up to so many languages go to every task; more are joined.
+MOST_BROADCAST = 10_000
 UNKNOWN = "und"
 
 
@@ -198,7 +200,7 @@ def sample(docs: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS
     order = Window.partitionBy("lang").orderBy("draw", "doc_id", "piece")
     # a language with many usable rows is thinned by the same hash first, so that few of its rows are shuffled
     unit = (F.col("draw") / F.lit(float(1 << 64))) + 0.5
-    thin = usable.select("doc_id", "lang", draw.alias("draw"), F.col("text").substr(at, F.lit(chars)).alias("piece")).join(known, "lang").where(unit * F.col("rows") <= 8 * texts + 8)
+    thin = usable.select("doc_id", "lang", draw.alias("draw"), F.col("text").substr(at, F.lit(chars)).alias("piece")).join(F.broadcast(known) if len(rows) <= MOST_BROADCAST else known, "lang").where(unit * F.col("rows") <= 8 * texts + 8)
     return thin.withColumn("n", F.row_number().over(order)).where(F.col("n") <= texts).select("lang", "draw", "doc_id", "piece")
 
 
