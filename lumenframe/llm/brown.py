@@ -343,7 +343,7 @@ def score_documents(docs: DataFrame, remainder: int = 2, modulus: int = 7, round
     are read whole. Empty table: no rows. Without training tokens every count is 0. Other columns are not read. Words are
     told apart by 64-bit hashes.
     """
-    limit = 2 * int(docs.sparkSession.conf.get("spark.lumenframe.block.bytes", str(BLOCK_BYTES)))
+    limit = int(docs.sparkSession.conf.get("spark.lumenframe.block.bytes", str(BLOCK_BYTES)))
     narrow = docs.selectExpr("CAST(doc_id AS long) AS doc_id", "CAST(text AS string) AS text")
     blocks = stash(narrow.mapInArrow(lambda it: _encode(it, limit, remainder, modulus), "block_id long, payload binary"), by="block_id")
     parts = parts_of(blocks)
