@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._blocks import ask, codes_of, distinct, from_ipc, parts_of, to_blocks, with_answers
+from ._blocks import answer_keys, codes_of, deal, distinct, from_ipc, parts_of, send_keys, to_blocks, with_answers
 from ._shared import stash, table
 from ._text import BASE, BYTE_CODE, U64, cover, mix, powers, release, string_bytes
 from .suffix import Scratch, suffix_order
@@ -18,10 +19,10 @@ from .suffix import Scratch, suffix_order
 LENGTH = 200
 #: Anchors are runs of so many bytes, the smallest by hash in each window of LENGTH.
 ANCHOR = 100
+#: An anchor with so many segments in all blocks together is split: its windows are dealt one by one.
+CROWD = 1 << 14
 _INVERSE = U64(pow(int(BASE), -1, 1 << 64))
 _STRIDE = 1 << 19
-#: Bytes of segments that one suffix order takes, groups of one anchor apart.
-SHARD = 1 << 20
 
 
 class Segments:
@@ -71,27 +72,60 @@ class Segments:
         return start + lo, windows, mix(grams[best[first]] + BASE), content
 
 
-def _entries(t: pa.Table, length: int, anchor: int):
+class Units:
+    """What a block sends of its texts: each distinct segment with its anchor's key, or, of crowded anchors, each distinct window.
+
+    key, start, size, windows: of each unit; often: it occurs more than once in the block; place: unit of each occurrence,
+    the occurrences being at starts, so many windows wide.
+    """
+
+    def __init__(self, segments: Segments, data: np.ndarray, codes: np.ndarray, anchor_of: np.ndarray, length: int):
+        code = codes[anchor_of]
+        plain, crowded = np.flatnonzero(code == 1), np.flatnonzero(code == 2)
+        n = segments.windows[crowded]
+        single = np.repeat(segments.start[crowded], n) + _ramp(n)
+        own = _window_hashes(data, single, length)
+        keys = np.concatenate([segments.key[plain], own])
+        content = np.concatenate([mix(segments.key[plain] ^ (segments.content[plain] * BASE)), own])
+        self.starts = np.concatenate([segments.start[plain], single])
+        self.wide = np.concatenate([segments.windows[plain], np.ones(len(single), np.int64)])
+        first, place = distinct(content)
+        order = np.argsort(keys[first], kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.place, first = rank[place], first[order]
+        self.key, self.start, self.windows = keys[first], self.starts[first], self.wide[first]
+        self.size = self.windows + length - 1
+        self.often = np.bincount(self.place, minlength=len(first)) > 1
+
+
+def _window_hashes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the ``length`` bytes from each start on, some at a time."""
+    out = np.empty(len(starts), U64)
+    pw = powers(length)[:length]
+    for a in range(0, len(starts), 1 << 14):
+        own = BYTE_CODE[data[starts[a : a + (1 << 14), None] + np.arange(length)[None, :]]]
+        out[a : a + (1 << 14)] = mix((own * pw).sum(axis=1, dtype=U64) + STEP_OF_WINDOWS)
+    return out
+
+
+#: Keys of single windows are apart from those of anchors.
+STEP_OF_WINDOWS = U64(0xA0761D6478BD642F)
+
+
+def _anchors(t: pa.Table, length: int, anchor: int):
     data, offsets = string_bytes(t["text"])
     segments = Segments(data, offsets, length, anchor)
-    first, group = distinct(mix(segments.key ^ (segments.content * BASE)))
-    order = np.argsort(segments.key[first], kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    return data, offsets, segments, first[order], rank[group]
-
-
-def _judge(keys, columns) -> np.ndarray:
-    """Bit 0: the segment's text occurs more than once. Bit 1: this copy stands for it, as other texts share its anchor."""
-    content, twice = columns
-    first, group = distinct(mix(keys ^ (content * BASE)))
-    n = len(first)
-    often = (np.bincount(group, minlength=n) > 1) | (np.bincount(group[twice > 0], minlength=n) > 0)
-    _, by_anchor = distinct(keys[first])
-    shared = np.bincount(by_anchor)[by_anchor] > 1 if n else np.zeros(0, bool)
-    out = often[group].astype(np.uint8)
-    out[first[shared]] |= 2
-    return out
+    first, anchor_of = distinct(segments.key)
+    return data, offsets, segments, segments.key[first], anchor_of
+
+
+def _repeated_anchors(keys, columns) -> np.ndarray:
+    """0: one segment has this anchor, no window of it can repeat. 1: several. 2: CROWD or more."""
+    segments, _ = columns
+    _, group = distinct(keys)
+    total = np.bincount(group, weights=segments)[group] if len(group) else np.zeros(0)
+    return np.where(total >= CROWD, 2, total > 1).astype(np.uint8)
 
 
 def _deflate(*arrays: np.ndarray) -> bytes:
@@ -110,116 +144,132 @@ def _inflate(blob: bytes, dtypes: list[str]) -> list[np.ndarray]:
     return out
 
 
-def repeated_windows(texts: np.ndarray, sizes: np.ndarray, length: int, scratch: Scratch | None = None) -> np.ndarray:
-    """Mask over the bytes of texts (laid end to end): where a window of ``length`` bytes starts that starts elsewhere too."""
-    starts = np.cumsum(sizes) - sizes
-    shifted = np.zeros(len(texts) + len(sizes), np.int64)  # a 0 closes each text
-    at = np.arange(len(texts)) + np.repeat(np.arange(len(sizes)), sizes)
-    shifted[at] = texts.astype(np.int64) + 1
-    order, common = suffix_order(shifted, length, scratch)
-    long = np.asarray(common) >= length
-    met = np.zeros(len(shifted), dtype=bool)
-    met[np.asarray(order)[long]] = True
-    met[np.asarray(order)[np.flatnonzero(long) - 1]] = True
-    left = np.repeat(starts + sizes, sizes) - np.arange(len(texts))
-    return met[at] & (left >= length)
-
-
-def _by_suffixes(group: pa.Table, length: int) -> pa.Table:
-    """For each block: its segments (entry numbers) and which of their windows occur in another segment or again."""
-    got = [_inflate(b.as_py(), ["u8", "u4", "u4", "u1"]) for b in group["blob"]]
-    keys, entry, sizes, texts = (np.concatenate([g[j] for g in got]) for j in range(4))
-    owner = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
-    sizes = sizes.astype(np.int64)
-    begin = np.cumsum(sizes) - sizes
-    by = np.argsort(keys, kind="stable")
-    # whole groups of one anchor, together up to a shard; a larger group is a shard of its own, on disk if need be
-    total = np.cumsum(sizes[by])
-    group_end = np.flatnonzero(np.append(keys[by][1:] != keys[by][:-1], True)) + 1
-    cuts, done = [0], 0
-    for e in group_end.tolist():
-        if total[e - 1] - done > SHARD and e != group_end[-1]:
-            cuts.append(e)
-            done = int(total[e - 1])
-    cuts.append(len(by))
-    flags: list[np.ndarray | None] = [None] * len(by)
-    for a, b in zip(cuts, cuts[1:]):
-        own = by[a:b]
-        if not len(own):
-            continue
-        laid = np.concatenate([texts[begin[i] : begin[i] + sizes[i]] for i in own])
-        mask = repeated_windows(laid, sizes[own], length)
+def repeated_windows(texts: list[bytes], length: int, scratch: Scratch | None = None) -> np.ndarray:
+    """Mask over the bytes of the texts, laid end to end: where a window of ``length`` bytes starts that starts elsewhere too."""
+    scratch = scratch or Scratch()
+    sizes = np.array([len(x) for x in texts], np.int64)
+    total = int(sizes.sum()) + len(sizes)
+    laid, at = scratch.array(total, np.uint16), 0
+    for x in texts:  # a 0 closes each text
+        laid[at : at + len(x)] = np.frombuffer(x, np.uint8).astype(np.uint16) + 1
+        at += len(x) + 1
+    order, common = suffix_order(laid, length, scratch)
+    met = scratch.array(total, np.uint8)
+    for a, b in scratch.slices(total):
+        long = a + np.flatnonzero(np.asarray(common[a:b]) >= length)
+        met[order[long]] = 1
+        met[order[long - 1]] = 1
+    return met
+
+
+def _by_suffixes(length: int):
+    """For each block: its units whose windows start elsewhere too, and which of them do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}  # texts, told apart by their bytes
+        anchors, copies, asked = [], [], []
+        for b in batches:
+            for block, blob in zip(b.column("block_id").to_pylist(), b.column("blob")):
+                keys, entry, sizes, often, texts = _inflate(blob.as_py(), ["u8", "u4", "u4", "u1", "u1"])
+                raw, ends = texts.tobytes(), np.cumsum(sizes, dtype=np.int64).tolist()
+                own = np.empty(len(keys), np.int64)
+                for j, (z, n, key, twice) in enumerate(zip(ends, sizes.tolist(), keys.tolist(), often.tolist())):
+                    text = raw[z - n : z]
+                    i = known.setdefault(text, len(known))
+                    if i == len(anchors):
+                        anchors.append(key)
+                        copies.append(0)
+                    copies[i] += 1 + twice
+                    own[j] = i
+                asked.append((block, entry, own))
+        flags: list[np.ndarray | None] = [np.ones(len(x) - length + 1, np.uint8) if copies[i] > 1 else None for x, i in known.items()]
+        # different texts with one anchor may share windows
+        _, group = distinct(np.array(anchors, np.uint64))
+        shared = np.bincount(group)[group] > 1 if len(group) else np.zeros(0, bool)
+        some = [(x, i) for x, i in known.items() if shared[i]]
+        if some:
+            mask, at = repeated_windows([x for x, _ in some], length), 0
+            for x, i in some:
+                if flags[i] is None:
+                    flags[i] = np.asarray(mask[at : at + len(x) - length + 1]).copy()
+                at += len(x) + 1
         release()
-        for i, part in zip(own, np.split(mask, np.cumsum(sizes[own])[:-1])):
-            flags[i] = part[: sizes[i] - length + 1]
-    blobs, at = [], 0
-    for i, g in enumerate(got):
-        own = [j for j in range(at, at + len(g[0])) if flags[j].any()]
-        blobs.append(_deflate(entry[own], np.array([len(flags[j]) for j in own], np.uint32), np.concatenate([flags[j] for j in own]).astype(np.uint8) if own else np.zeros(0, np.uint8)))
-        at += len(g[0])
-    return pa.table({"block_id": group["block_id"], "blob": pa.array(blobs, pa.binary())})
+        for block, entry, own in asked:
+            hit = [j for j, i in enumerate(own.tolist()) if flags[i] is not None and flags[i].any()]
+            if hit:
+                found = [flags[own[j]] for j in hit]
+                blob = _deflate(entry[hit], np.array([len(f) for f in found], np.uint32), np.concatenate(found).astype(np.uint8))
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([blob], pa.binary())], names=["block_id", "blob"])
+
+    return run
 
 
 def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, with_bytes: bool = True) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts anywhere else, in any text or the same one.
 
     Equal windows have equal anchors (their smallest ``anchor``-byte run by hash), so texts are dealt to shards by
-    anchors: a shard holds whole groups of segments with one anchor, and no repeat crosses shards. A segment that
-    occurs again whole is settled by its hash; of others whose anchor has several texts, one copy each goes to the
-    shard, whose suffix order, by recursive induced sorting with queues on disk, gives the common prefixes of
-    neighbours. Windows with a common prefix of ``length`` are repeats, to the byte.
+    anchors: a shard holds segments (runs of windows with one anchor) whose anchor comes more than once, of each block one
+    copy, and no repeat crosses shards. Crowded anchors are split by whole windows. In a shard equal texts are found by
+    their bytes, and those that share an anchor with other texts go into its suffix order, by external induced sorting
+    with queues on disk, which gives the common prefixes of neighbours: windows with a common prefix of ``length`` are
+    repeats. So hashes only choose what is compared, but for equal segments of one block, which meet by a 64-bit hash.
 
     One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with_bytes, kept (binary: what is
     left may not be UTF-8). Null or empty text: 0 bytes. Null doc_id, repeated rows: rows like all others, so equal
-    long rows lose all they share. Empty table: no rows. Other columns are not read.
+    long rows lose all they share. Very long texts: whole. Empty table: no rows. Other columns are not read.
     """
     blocks = to_blocks(docs)
+    parts = parts_of(blocks)
 
-    def keys_of(t: pa.Table):
-        _, _, segments, first, group = _entries(t, length, anchor)
-        twice = np.bincount(group, minlength=len(first)) > 1
-        return segments.key[first], [segments.content[first], twice.astype(np.uint8)]
+    def anchors(t: pa.Table):
+        _, _, segments, keys, anchor_of = _anchors(t, length, anchor)
+        return keys, [np.bincount(anchor_of, minlength=len(keys)).astype(np.uint32), np.zeros(len(keys), np.uint8)]
 
-    judged = ask(blocks, keys_of, _judge, ["u8", "u1"], name="judged")
-    parts = parts_of(docs)
+    answered = answer_keys(send_keys(blocks, anchors, parts), _repeated_anchors, ["u4", "u1"], parts, "anchors")
     shift = U64(64 - parts.bit_length() + 1)
 
+    def units(payload: bytes, blobs: list):
+        t = from_ipc(payload)
+        data, offsets, segments, _, anchor_of = _anchors(t, length, anchor)
+        return t, data, offsets, Units(segments, data, codes_of(blobs), anchor_of, length)
+
     def send(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                data, _, segments, first, _ = _entries(from_ipc(batch.column("payload")[i].as_py()), length, anchor)
-                entry = np.flatnonzero(codes_of(batch.column("judged")[i].as_py()) & 2)
-                some = first[entry]
-                own = (segments.key[some] >> shift).astype(np.int64) if parts > 1 else np.zeros(len(some), np.int64)
-                for p in np.unique(own):
-                    mine = np.flatnonzero(own == p)
-                    sizes = segments.windows[some[mine]] + length - 1
-                    texts = np.concatenate([data[a : a + n] for a, n in zip(segments.start[some[mine]], sizes)])
-                    blob = _deflate(segments.key[some[mine]], entry[mine].astype(np.uint32), sizes.astype(np.uint32), texts)
+                _, data, _, own = units(batch.column("payload")[i].as_py(), batch.column("anchors")[i].as_py())
+                part = (own.key >> shift).astype(np.int64) if parts > 1 else np.zeros(len(own.key), np.int64)
+                cuts = np.searchsorted(part, np.arange(parts + 1))
+                for p in np.flatnonzero(np.diff(cuts)).tolist():
+                    some = slice(cuts[p], cuts[p + 1])
+                    texts = np.concatenate([data[a : a + n] for a, n in zip(own.start[some].tolist(), own.size[some].tolist())])
+                    blob = _deflate(own.key[some], np.arange(cuts[p], cuts[p + 1], dtype=np.uint32), own.size[some].astype(np.uint32), own.often[some].astype(np.uint8), texts)
                     yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), batch.column("block_id").slice(i, 1), pa.array([blob], pa.binary())], names=["part", "block_id", "blob"])
                 release()
 
-    asked = with_answers(blocks, judged)
+    asked = with_answers(blocks, answered)
     sent = asked.mapInArrow(send, "part int, block_id long, blob binary")
-    replies = sent.groupBy("part").applyInArrow(lambda g: _by_suffixes(g, length), "block_id long, blob binary")
+    replies = deal(sent, parts).applyInArrow(_by_suffixes(length), "block_id long, blob binary")
     found = stash(replies.groupBy("block_id").agg(F.collect_list("blob").alias("found")))
 
     def finish(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                yield make(from_ipc(batch.column("payload")[i].as_py()), codes_of(batch.column("judged")[i].as_py()), batch.column("found")[i].as_py() or [])
+                yield make(*units(batch.column("payload")[i].as_py(), batch.column("anchors")[i].as_py()), batch.column("found")[i].as_py() or [])
                 release()
 
-    def make(t: pa.Table, codes: np.ndarray, blobs: list[bytes]) -> pa.RecordBatch:
-        data, offsets, segments, first, group = _entries(t, length, anchor)
-        often = np.flatnonzero((codes & 1)[group])
-        starts = [np.repeat(segments.start[often], segments.windows[often]) + _ramp(segments.windows[often])]
+    def make(t: pa.Table, data: np.ndarray, offsets: np.ndarray, own: Units, blobs: list[bytes]) -> pa.RecordBatch:
+        marks, flags = np.full(len(own.key), -1, np.int64), [np.zeros(0, np.uint8)]
+        at = 0
         for blob in blobs:
-            entry, windows, flags = _inflate(blob, ["u4", "u4", "u1"])
-            if len(entry):
-                places = np.repeat(segments.start[first[entry]], windows) + _ramp(windows.astype(np.int64))
-                starts.append(places[flags > 0])
-        gone = cover(np.concatenate(starts), length, len(data))
+            entry, windows, found = _inflate(blob, ["u4", "u4", "u1"])
+            marks[entry] = at + np.cumsum(windows, dtype=np.int64) - windows
+            flags.append(found)
+            at += len(found)
+        flags = np.concatenate(flags)
+        hit = np.flatnonzero(marks[own.place] >= 0) if len(own.place) else np.zeros(0, np.int64)
+        ramp = _ramp(own.wide[hit])
+        places = np.repeat(own.starts[hit], own.wide[hit]) + ramp
+        gone = cover(places[flags[np.repeat(marks[own.place[hit]], own.wide[hit]) + ramp] > 0], length, len(data))
         edge = gone.copy()
         edge[1:] &= ~gone[:-1]
         opens = offsets[:-1][offsets[:-1] < len(data)]
@@ -239,7 +289,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = A
         return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_bytes else "")
-    return with_answers(blocks, judged, found).select("payload", "judged", "found").mapInArrow(finish, schema)
+    return with_answers(blocks, answered, found).select("payload", "anchors", "found").mapInArrow(finish, schema)
 
 
 def _ramp(counts: np.ndarray) -> np.ndarray:
@@ -248,6 +298,7 @@ def _ramp(counts: np.ndarray) -> np.ndarray:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """remove_repeated_bytes of documents, a row each; nulls, ties and repeated rows as stated there."""
     return remove_repeated_bytes(table(spark, sf_dir, "documents"), with_bytes=False)
 
 

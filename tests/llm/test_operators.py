@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm import _blocks, brown, chat, decontaminate, exact_bytes, langid, lines, mixing, passages, quality, simhash
 from lumenframe.llm._shared import forget, stash
-from lumenframe.llm.suffix import Scratch, suffix_order
+from lumenframe.llm.suffix import Scratch, TupleQueue, suffix_order
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 NO_ID = 2**63 - 1
@@ -147,8 +148,11 @@ def test_passages(docs, rows, empty, window, block):
 
 
 # -- 4 -----------------------------------------------------------------------------------------------------------------
-@pytest.mark.parametrize("length,anchor", [(200, 100), (40, 20)])
-def test_bytes(docs, rows, empty, length, anchor):
+@pytest.mark.parametrize("length,anchor,crowd", [(200, 100, None), (40, 20, None), (40, 20, 2)])
+def test_bytes(docs, rows, empty, monkeypatch, length, anchor, crowd):
+    """crowd 2: every anchor that repeats is split by its windows."""
+    if crowd:
+        monkeypatch.setattr(exact_bytes, "CROWD", crowd)
     data = [(i, (t or "").encode()) for i, t, *_ in rows]
     seen = Counter(b[j : j + length] for _, b in data for j in range(len(b) - length + 1))
     want = []
@@ -175,9 +179,39 @@ def test_suffix_order():
         own = [t[i:].tolist() for i in range(len(t))]
         order = sorted(range(len(t)), key=lambda i: own[i])
         common = [0] + [next((k for k, (a, b) in enumerate(zip(own[x], own[y])) if a != b), min(len(own[x]), len(own[y]))) for x, y in zip(order, order[1:])]
-        for scratch in (None, Scratch(16)):  # in memory, and through queues on disk
+        for scratch in (None, Scratch(16) if case % 5 == 0 else Scratch(64)):  # in memory, and through files
             got = suffix_order(t, 50, scratch)
             assert list(got[0]) == order and list(got[1]) == [min(c, 50) for c in common]
+            assert scratch is None or len(t) <= scratch.limit or scratch.files
+
+
+def test_suffix_order_of_a_shard_larger_than_memory():
+    """Ten and twenty times as many bytes as may be held at once: the same order, and memory that doesn't grow along."""
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(500)]
+    text = np.frombuffer(" ".join(rng.choice(vocabulary) for _ in range(80_000)).encode()[: 20 << 14], np.uint8).astype(np.int64)
+    text[5000:9000] = text[100_000:104_000]
+    for times in (10, 20):
+        t = text[: times << 14]
+        want, scratch = suffix_order(t, 200, Scratch(1 << 30)), Scratch(1 << 14)
+        tracemalloc.start()
+        got = suffix_order(t, 200, scratch)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all() and scratch.files > 20
+        assert peak < 40 * 8 * scratch.limit
+
+
+def test_tuples_leave_the_queue_in_order():
+    rng = np.random.default_rng(5)
+    for limit in (7, 50, 10_000):
+        for kinds in (1, 3, 1000):
+            queue, a, b = TupleQueue(Scratch(limit)), rng.integers(0, kinds, 700), rng.integers(0, 3, 700)
+            for i in range(0, 700, 31):
+                queue.push(a[i : i + 31], b[i : i + 31], np.arange(i, min(700, i + 31)))
+            got = [np.concatenate(c) for c in zip(*queue.pop())]
+            by = np.lexsort((np.arange(700), b, a))
+            assert (got[2] == by).all() and (got[0] == a[by]).all()
 
 
 # -- 5 -----------------------------------------------------------------------------------------------------------------
