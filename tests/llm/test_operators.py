@@ -241,6 +241,14 @@ def test_chat_controls_never_survive(spark):
     assert all(r.formatted.count("[INST]") == 1 and r.formatted.count("<s>") == 1 and r.formatted.count("</s>") == 1 for r in out)
 
 
+def test_chat_rows_without_conversation(spark):
+    """Rows without conv_id are conversations of their own, however many."""
+    rows = [(None, t, "assistant", f"said {t}") for t in range(50)] + [(1, 0, "user", "hi"), (None, 3, "assistant", "said 3")]
+    out = chat.read_back(chat.format_conversations(chat.chain(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))).collect()
+    assert len(out) == 52 and sorted(r.loss_text for r in out if r.conv_id is None) == sorted(r[3] for r in rows if r[0] is None)
+    assert all(r.n_turns == 1 for r in out)
+
+
 def test_chat_long_chain(spark):
     rows = [(7, t, "assistant" if t % 2 else "user", f"turn {t}") for t in range(300)] + [(7, 3, "assistant", "turn 3"), (7, None, "user", None)]
     c = chat.chain(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
