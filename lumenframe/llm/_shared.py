@@ -28,10 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
+def _at(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def _delete(spark: SparkSession, path: str) -> bool:
     spark.sql(f"DROP TABLE IF EXISTS {path.rpartition('/')[2]}")
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True))
+    files, at = _at(spark, path)
+    return bool(files.delete(at, True))
 
 
 def forget(spark: SparkSession) -> int:
@@ -47,7 +52,7 @@ def stash(df: DataFrame, replaces: DataFrame | None = None, by: str | None = Non
 
     replaces: an earlier stash that nothing needs once this one is written; it is deleted. by: the table is bucketed by
     this column, as many buckets as the session has shuffle partitions, so that joins on it don't shuffle the table.
-    The table stays until the folder is cleared or forget() is called.
+    The table stays until the driver ends or forget() is called.
     """
     spark = df.sparkSession
     name = f"stash_{uuid.uuid4().hex}"
@@ -59,6 +64,8 @@ def stash(df: DataFrame, replaces: DataFrame | None = None, by: str | None = Non
     else:
         df.write.parquet(path)
         out = spark.read.schema(df.schema).parquet(path)
+    files, at = _at(spark, path)
+    files.deleteOnExit(at)
     _WRITTEN.append(path)
     out._stashed = path
     if replaces is not None and getattr(replaces, "_stashed", None) in _WRITTEN:
