@@ -204,12 +204,17 @@ def finish(blocks: DataFrame, make: Callable[..., pa.RecordBatch], schema: str,
     return blocks.select("payload", *answers).mapInArrow(run, schema)
 
 
-def distinct(keys: np.ndarray, *order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first, group): index of the first entry by ``order`` of each distinct key, keys ascending; the group of each entry."""
-    by = np.lexsort((*order[::-1], keys)) if order else np.argsort(keys, kind="stable")
-    ordered = keys[by]
+def distinct(keys: np.ndarray, *order: np.ndarray, also: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(first, group): index of the first entry by ``order`` of each distinct key, keys ascending; the group of each entry.
+
+    also: a second half of the keys.
+    """
+    more = () if also is None else (also,)
+    by = np.lexsort((*order[::-1], *more, keys)) if order or more else np.argsort(keys, kind="stable")
     new = np.ones(len(keys), dtype=bool)
-    new[1:] = ordered[1:] != ordered[:-1]
+    new[1:] = keys[by][1:] != keys[by][:-1]
+    for other in more:
+        new[1:] |= other[by][1:] != other[by][:-1]
     group = np.empty(len(keys), dtype=np.int64)
     group[by] = np.cumsum(new) - 1
     return by[new], group

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._blocks import ask, distinct, finish, ids_of, parts_of, to_blocks, with_answers
 from ._shared import table
-from ._text import Words, cover, grams, within
+from ._text import STEP, Words, cover, grams, mix, within
 
 
 def _anchor_entries(words: Words, block: int):
@@ -42,23 +42,23 @@ def _window_entries(words: Words, ids: np.ndarray, anchors: np.ndarray, window:
     met = np.cumsum(met)
     ok = within(words.row, window)
     starts = np.flatnonzero(ok & (met[window - block + 1 :][: len(ok)] > met[: len(ok)])) if len(ok) else np.zeros(0, np.int64)
-    keys = grams(words.hash, window)[starts]
+    keys, more = grams(words.hash, window)[starts], grams(mix(words.hash + STEP), window)[starts]
     doc = ids[words.row[starts]]
     place = (starts - words.first[words.row[starts]]).astype(np.int64)
-    first, group = distinct(keys, doc, place)
-    return keys, doc, place, starts, first, group
+    first, group = distinct(keys, doc, place, also=more)
+    return keys, more, doc, place, starts, first, group
 
 
 def _earliest(keys, columns):
     """1: no equal window starts earlier in any block."""
-    doc, place = columns
-    first, group = distinct(keys, doc, place)
+    more, doc, place = columns
+    first, group = distinct(keys, doc, place, also=more)
     return ((doc == doc[first][group]) & (place == place[first][group])).astype(np.uint8)
 
 
 def repeated_words(words: Words, ids: np.ndarray, anchors: np.ndarray, leaders: np.ndarray, window: int, block: int) -> np.ndarray:
     """Mask of the words to remove."""
-    keys, doc, place, starts, first, group = _window_entries(words, ids, anchors, window, block)
+    keys, _, doc, place, starts, first, group = _window_entries(words, ids, anchors, window, block)
     if not len(keys):
         return np.zeros(len(words), dtype=bool)
     lead = first[group]
@@ -76,7 +76,8 @@ def remove_repeated_passages(docs: DataFrame, window: int = 20, block: int = 10,
 
     One row per row of docs: doc_id, n_words, n_removed, kept_sha256 and, with_text, kept (words joined by one space).
     Null or empty text: no words. Null doc_id: later than all others. Rows with one doc_id and equal text start at the
-    same place, so neither is earlier. Other columns of docs are not read. Windows are compared by 64-bit hashes.
+    same place, so neither is earlier. Very long texts are read whole. Empty table: no rows. Other columns of docs are not
+    read. Windows are compared by 128 bits of their words.
     """
     if window < 2 * block - 1:
         raise ValueError("window must be at least 2 * block - 1 words")
@@ -85,11 +86,11 @@ def remove_repeated_passages(docs: DataFrame, window: int = 20, block: int = 10,
     anchors = ask(blocks, lambda t: (lambda e: (e[0], [e[1]]))(_anchor_entries(Words(t["text"]), block)), _anchors_met, ["u1"], parts, name="anchors")
 
     def windows(t: pa.Table, met: np.ndarray):
-        keys, doc, place, _, first, _ = _window_entries(Words(t["text"]), ids_of(t), met, window, block)
-        return keys[first], [doc[first], place[first]]
+        keys, more, doc, place, _, first, _ = _window_entries(Words(t["text"]), ids_of(t), met, window, block)
+        return keys[first], [more[first], doc[first], place[first]]
 
     asked = with_answers(blocks, anchors)
-    leaders = ask(asked, windows, _earliest, ["i8", "i8"], parts, ["anchors"], name="leaders")
+    leaders = ask(asked, windows, _earliest, ["u8", "i8", "i8"], parts, ["anchors"], name="leaders")
 
     def make(t: pa.Table, met: np.ndarray, lead: np.ndarray) -> pa.RecordBatch:
         words = Words(t["text"])
@@ -113,6 +114,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = 20, block: int = 10,
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """remove_repeated_passages of documents, a row each; nulls, ties and repeated rows as stated there."""
     return remove_repeated_passages(table(spark, sf_dir, "documents"), with_text=False)
 
 
