@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .metrics import confusion
 
 CELLS = 4096
+#: So many values of a cell are looked at one by one.
+FEW = 4096
 
 
 def margins(df: DataFrame) -> DataFrame:
@@ -19,34 +21,44 @@ def margins(df: DataFrame) -> DataFrame:
 
 
 def order_statistics(df: DataFrame, value: str, asked: dict) -> dict:
-    """The values at given places (from 0, ascending): asked is name -> (condition on the rows, place).
+    """name -> (value, before): the values at given places, and at which place among their equals they are.
 
-    Each round counts CELLS equal cells between the extremes that are left, for all names in one pass, and goes on in
-    the cell that holds the place, until all its values are equal. No rows are moved or sorted.
+    asked is name -> (condition on the rows, place from 0, ascending, and the extremes of the values or None). Each round
+    counts CELLS equal cells between the extremes that are left, for all names in one pass, and goes on in the cell that
+    holds the place, until its values are equal or no more than FEW, which are then looked at. No rows are moved or sorted.
     """
-    found, open_ = {}, {name: (condition, None, place) for name, (condition, place) in asked.items()}
+    found, open_, few = {}, dict(asked), {}
+
+    def inside(condition, span):
+        known = condition & F.col(value).isNotNull()
+        return known & F.col(value).between(*map(F.lit, span)) if span else known
+
     while open_:
         cells = []
-        for i, (condition, span, _) in enumerate(open_.values()):
-            inside = condition & F.col(value).isNotNull()
-            cell = F.lit(0)
-            if span:
-                inside = inside & F.col(value).between(*map(F.lit, span))
-                cell = F.floor((F.col(value) - F.lit(span[0])).cast("double") / F.lit(float(span[1]) - float(span[0])) * CELLS).cast("int")
-            cells.append(F.when(inside, F.struct(F.lit(i).alias("i"), cell.alias("cell"))))
+        for i, (condition, _, span) in enumerate(open_.values()):
+            width = float(span[1]) - float(span[0]) if span else 0.0
+            cell = F.floor((F.col(value) - F.lit(span[0])).cast("double") / F.lit(width) * CELLS).cast("int") if width else F.lit(0)
+            cells.append(F.when(inside(condition, span), F.struct(F.lit(i).alias("i"), cell.alias("cell"))))
         counted = df.select(value, F.explode(F.array(*cells)).alias("c")).where("c IS NOT NULL").groupBy("c.i", "c.cell").agg(F.count("*").alias("n"), F.min(value).alias("a"), F.max(value).alias("b"))
         rows, further = sorted(counted.collect()), {}  # CELLS + 1 a name at most
-        for i, (name, (condition, _, place)) in enumerate(open_.items()):
+        for i, (name, (condition, place, _)) in enumerate(open_.items()):
             for r in rows:
                 if r["i"] == i:
                     if r["n"] > place:
                         break
                     place -= r["n"]
             if r["a"] == r["b"]:
-                found[name] = r["a"]
+                found[name] = (r["a"], place)
             else:
-                further[name] = (condition, (r["a"], r["b"]), place)
+                (few if r["n"] <= FEW else further)[name] = (condition, place, (r["a"], r["b"]))
         open_ = further
+    if few:
+        mine = [F.when(inside(condition, span), F.lit(i)) for i, (condition, _, span) in enumerate(few.values())]
+        lists = df.select(value, F.explode(F.array(*mine)).alias("i")).where("i IS NOT NULL").groupBy("i").agg(F.sort_array(F.collect_list(value)).alias("v")).collect()  # FEW a name at most
+        for r in lists:
+            name, v = list(few)[r["i"]], r["v"]
+            at = v[few[name][1]]
+            found[name] = (at, few[name][1] - v.index(at))
     return found
 
 
@@ -54,22 +66,22 @@ def evidence_summary(df: DataFrame) -> DataFrame:
     """One row: counts, accuracy, mean and exact median margin of right and of wrong rows (null for an empty group)."""
     m = margins(df).select("margin", "correct")
     right, wrong = F.when(F.col("correct"), F.col("margin")), F.when(~F.col("correct"), F.col("margin"))
-    summary = m.agg(
+    one = m.agg(
         F.count("*").alias("num_samples"),
         F.count(right).alias("num_correct"),
         F.count(wrong).alias("num_errors"),
         (F.count(right) / F.greatest(F.count("*"), F.lit(1))).alias("accuracy"),
         F.avg(right).alias("mean_margin_correct"),
         F.avg(wrong).alias("mean_margin_error"),
-    ).collect()  # one row
+        *[f(c).alias(f"{k}{i}") for i, c in enumerate((right, wrong)) for k, f in (("a", F.min), ("b", F.max))],
+    ).first()
     asked = {}
-    for name, condition in (("correct", F.col("correct")), ("error", ~F.col("correct"))):
-        n = summary[0]["num_correct" if name == "correct" else "num_errors"]
-        asked |= {(name, j): (condition, j) for j in {(n - 1) // 2, n // 2} if n}
+    for i, (n, condition) in enumerate(((one["num_correct"], F.col("correct")), (one["num_errors"], ~F.col("correct")))):
+        asked |= {(i, j): (condition, j, (one[f"a{i}"], one[f"b{i}"])) for j in {(n - 1) // 2, n // 2} if n}
     at = order_statistics(m, "margin", asked)
-    median = {name: [v for (x, _), v in at.items() if x == name] for name in ("correct", "error")}
-    out = df.sparkSession.createDataFrame(summary, "num_samples long, num_correct long, num_errors long, accuracy double, mean_margin_correct double, mean_margin_error double")
-    return out.withColumns({f"median_margin_{k}": F.lit(sum(v) / len(v) if v else None).cast("double") for k, v in median.items()})
+    median = [[v for (x, _), (v, _) in at.items() if x == i] for i in range(2)]
+    row = (*one[:6], *[sum(v) / len(v) if v else None for v in median])
+    return df.sparkSession.createDataFrame([row], "num_samples long, num_correct long, num_errors long, accuracy double, mean_margin_correct double, mean_margin_error double, median_margin_correct double, median_margin_error double")
 
 
 def top_confusions(df: DataFrame, classes: DataFrame, n_classes: int, k: int = 10) -> DataFrame:
@@ -106,12 +118,11 @@ def representatives(losses: DataFrame) -> DataFrame:
     The loss at that place is found by counts, and among rows of that loss the id in the same way.
     """
     narrow = losses.select("image_id", "correct", "loss")
-    sizes = {r["correct"]: r["count"] for r in narrow.groupBy("correct").count().collect()}
-    if not sizes.get(True) or not sizes.get(False):
+    groups = {r["correct"]: r for r in narrow.groupBy("correct").agg(F.count("*").alias("n"), F.min("loss").alias("a"), F.max("loss").alias("b")).collect()}
+    if not groups.get(True) or not groups.get(False):
         raise ValueError("a group has no rows")
     of = {right: F.col("correct") == right for right in (True, False)}
-    loss = order_statistics(narrow, "loss", {right: (of[right], sizes[right] // 2) for right in of})
-    less = narrow.agg(*[F.count(F.when(of[right] & (F.col("loss") < loss[right]), True)).alias(str(right)) for right in of]).first()
-    ids = order_statistics(narrow, "image_id", {right: (of[right] & (F.col("loss") == loss[right]), sizes[right] // 2 - less[str(right)]) for right in of})
-    rows = [(right, ids[right], loss[right], sizes[right]) for right in of]
+    loss = order_statistics(narrow, "loss", {right: (of[right], g["n"] // 2, (g["a"], g["b"])) for right, g in groups.items() if right is not None})
+    ids = order_statistics(narrow, "image_id", {right: (of[right] & (F.col("loss") == at), before, None) for right, (at, before) in loss.items()})
+    rows = [(right, ids[right][0], loss[right][0], groups[right]["n"]) for right in of]
     return losses.sparkSession.createDataFrame(rows, "correct boolean, image_id long, loss double, n long")

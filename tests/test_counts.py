@@ -12,16 +12,17 @@ from lumenframe.functions.vectors import bytes_matrix, sum_arrays
 from lumenframe.operators import evidence, forest, sampling
 
 
-@pytest.mark.parametrize("cells", [4, 4096])
-def test_order_statistics_equal_sorting(spark, monkeypatch, cells):
+@pytest.mark.parametrize("cells,few", [(4, 1), (4, 20), (4096, 4096)])
+def test_order_statistics_equal_sorting(spark, monkeypatch, cells, few):
     monkeypatch.setattr(evidence, "CELLS", cells)
+    monkeypatch.setattr(evidence, "FEW", few)
     rng = np.random.default_rng(1)
     values = np.concatenate([rng.normal(size=300), np.zeros(200), np.full(20, 1e9), rng.normal(size=50) * 1e-9])
     df = spark.createDataFrame([(float(v), i % 2 == 0) for i, v in enumerate(values)] + [(None, True)], "v double, even boolean")
-    asked = {(even, k): (F.col("even") == even, k) for even in (True, False) for k in (0, 1, 100, 140, 200, 283, 284)}
+    asked = {(even, k): (F.col("even") == even, k, None) for even in (True, False) for k in (0, 1, 100, 140, 200, 283, 284)}
     got = evidence.order_statistics(df, "v", asked)
     own = {even: sorted(v for i, v in enumerate(values) if (i % 2 == 0) == even) for even in (True, False)}
-    assert got == {(even, k): own[even][k] for even, k in asked}
+    assert got == {(even, k): (own[even][k], k - own[even].index(own[even][k])) for even, k in asked}
 
 
 def test_summary_of_one_group(spark):
