@@ -112,7 +112,9 @@ def links(fps: DataFrame, radius: int = 4, bits: int = 64, tables: int = 1) -> D
         release()
         return pa.table({"u": np.ascontiguousarray(pairs[:, 0]), "v": np.ascontiguousarray(pairs[:, 1])})
 
-    return fps.select(part.alias("part"), "fp", "node").groupBy("part").applyInArrow(meet, "u long, v long").distinct()
+    slots = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = fps.select(part.alias("part"), "fp", "node").withColumn("slot", F.pmod("part", F.lit(slots)).cast("int"))  # parts in turn, so evenly
+    return dealt.repartitionById(slots, F.col("slot")).groupBy("slot", "part").applyInArrow(meet, "u long, v long").distinct()
 
 
 def _meet(x: np.ndarray, node: np.ndarray, prefix: int, b: int, bits: int, half: int):
