@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import aside, restored, skew_join, stash, table
+from ._shared import aside, restored, stash, table
 from ._text import ALNUM_WORD, U64, Words, grams, release, slices, within
 
 WINDOW = 10
@@ -121,7 +121,10 @@ def _prints(name: str, lengths: list[int], window: int, k: int, items: bool):
 
 
 def contaminated_texts(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """(_key, n_hit, items) of the rows of docs (_key, text) that hold a window of the benchmark; items: their distinct ids, sorted."""
+    """(_key, n_hit, items) of the rows of docs (_key, text) that hold a window of the benchmark; items: their distinct ids, sorted.
+
+    docs: a table bucketed by _key, so that its texts are not shuffled.
+    """
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     items = stash(items.select(F.xxhash64("item_id", F.col("text").isNull(), "text").alias("_item"), "item_id", "text"))
     lengths = sorted(r["n"] for r in items.mapInArrow(_lengths(window), "n int").distinct().collect())  # at most ``window`` values
@@ -142,7 +145,7 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                 if found:
                     yield pa.RecordBatch.from_arrays([b.column("_key").slice(i, 1), pa.array([spans], pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))), pa.array([found], pa.list_(pa.string()))], names=["_key", "spans", "items"])
 
-    spans = skew_join(docs.select("_key", "text"), own, "_key", "inner").select("_key", "text", "items").mapInArrow(compare, "_key long, spans array<struct<a: long, z: long>>, items array<string>")
+    spans = docs.select("_key", "text").join(own.select("_key", "items").hint("shuffle_hash"), "_key").select("_key", "text", "items").mapInArrow(compare, "_key long, spans array<struct<a: long, z: long>>, items array<string>")
     merged = spans.groupBy("_key").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("hit"))
     covered = F.aggregate("spans", start, lambda s, x: F.struct(F.greatest(s["end"], x["z"]).alias("end"), (s["hit"] + F.greatest(x["z"] - F.greatest(s["end"], x["a"]), F.lit(0))).alias("hit")))
@@ -166,7 +169,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     Null text: no words. Null doc_id: a row like all others. Null item_id: the text "null"; equal ids count once. Repeated
     rows: a row each. Very long texts are read whole. Empty tables: no rows, or no hits. Other columns are not read.
     """
-    rows = _keyed(docs, F.col("doc_id").cast("long").alias("doc_id"))
+    rows = stash(_keyed(docs, F.col("doc_id").cast("long").alias("doc_id")), by="_key")
 
     def count(batches):
         for b in (part for batch in batches for part in slices(batch)):
@@ -187,8 +190,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
     All else as in contamination; other columns come along whatever their names.
     """
-    rows = _keyed(aside(docs), "_others")
-    return restored(rows.join(contaminated_texts(rows, benchmark, window).select("_key"), "_key", "left_anti"), docs.columns)
+    rows = stash(_keyed(aside(docs), "_others"), by="_key")
+    return restored(rows.join(contaminated_texts(rows, benchmark, window).select("_key").hint("shuffle_hash"), "_key", "left_anti"), docs.columns)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
