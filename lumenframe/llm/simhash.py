@@ -290,11 +290,11 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall
     doc_id and text but other columns that differ, the first by their JSON. Very long texts are read whole. Empty table:
     no rows. Other columns come along whatever their names and types.
     """
-    no_id = F.coalesce("doc_id", F.lit(2**63 - 1))
-    keyed = aside(docs).withColumn("_id", no_id).withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    bits, tables = plan_tables(docs.count(), similarity, recall, radius)
-    marked = stash(sketches(keyed, bits, tables, ("_id", "_key")))
-    nodes = stash(marked.groupBy("node").agg(F.min(F.struct("_id", "_key")).alias("best"), F.any_value("sketch").alias("sketch")))
+    keyed = aside(docs).withColumn("_id", F.coalesce("doc_id", F.lit(2**63 - 1)))
+    keyed = stash(keyed.withColumn("_row", F.xxhash64("_id", F.coalesce("text", F.lit("")))), by="_row")  # so that texts are not shuffled
+    bits, tables = plan_tables(keyed.count(), similarity, recall, radius)
+    marked = stash(sketches(keyed, bits, tables, ("_id", "_row")))
+    nodes = stash(marked.groupBy("node").agg(F.min(F.struct("_id", "_row")).alias("best"), F.any_value("sketch").alias("sketch")))
     fps = nodes.where("node != 0").select("node", F.posexplode("sketch").alias("tab", "fp"))
     found = links(fps, radius, bits, tables)
     side = lambda name: nodes.select(F.col("node").alias(name), F.col("sketch").alias(f"{name}_sketch"))
@@ -302,13 +302,13 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall
     p = acos(2 * similarity / (1 + similarity)) / pi
     most = bits * tables * p + 4 * (bits * tables * p * (1 - p)) ** 0.5
     pairs = stash(skew_join(skew_join(found, side("u"), "u", "inner"), side("v"), "v", "inner").where(differ <= most).select("u", "v"))
-    asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct().join(nodes, "node").select("node", "best.*")
-    texts = keyed.select("_id", "_key", "text").join(asked.hint("merge"), ["_id", "_key"]).groupBy("node").agg(F.any_value("text").alias("text"))
+    asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct().join(nodes, "node").select("node", "best._row")
+    texts = keyed.select("_row", "text").join(asked.hint("shuffle_hash"), "_row").groupBy("node").agg(F.any_value("text").alias("text"))
     roots = components(similar_pairs(pairs, texts, similarity))
     rooted = skew_join(nodes.select("node", "best"), roots, "node").select(F.coalesce("root", "node").alias("root"), "best")
-    best = rooted.groupBy("root").agg(F.min("best").alias("best")).select("best.*")
-    kept = keyed.join(best.hint("merge"), ["_id", "_key"], "left_semi")
-    row = kept.groupBy("_id", "_key").agg(F.min_by(F.struct("text", "_others"), F.to_json("_others")).alias("row"))
+    best = rooted.groupBy("root").agg(F.min("best").alias("best")).select("best._row")
+    kept = keyed.join(best.hint("shuffle_hash"), "_row", "left_semi")
+    row = kept.groupBy("_row").agg(F.min_by(F.struct("text", "_others"), F.to_json("_others")).alias("row"))
     return restored(row.select("row.text", "row._others"), docs.columns)
 
 
