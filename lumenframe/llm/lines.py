@@ -12,6 +12,8 @@ from ._text import BASE, STEP, U64, Words, mix, powers, release, slices
 
 #: Lines one word edit apart are repeats if that is at most a fifth of the longer one's words, so if it has 5 or more.
 LEAST_WORDS = 5
+#: Bytes of text that a task splits into words at once.
+AT_ONCE = 1 << 20
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 INVERSE = U64(pow(int(BASE), -1, 1 << 64))
 
@@ -83,7 +85,7 @@ def _long(x: np.ndarray) -> pa.Array:
 
 def _lines(batches):
     """Every line with words: _key, _doc, number, and w, a hash of its words."""
-    for b in (part for batch in batches for part in slices(batch)):
+    for b in (part for batch in batches for part in slices(batch, limit=AT_ONCE)):
         lines = Lines(b.column("text"))
         row = pa.array(lines.row)
         yield pa.RecordBatch.from_arrays([b.column("_key").take(row), b.column("_doc").take(row), _long(lines.number), _long(lines.whole())], names=["_key", "_doc", "number", "w"])
@@ -92,7 +94,7 @@ def _lines(batches):
 
 def _lines_with_halves(batches):
     """The same with h0 .. h3, the keys of its halves."""
-    for b in (part for batch in batches for part in slices(batch)):
+    for b in (part for batch in batches for part in slices(batch, limit=AT_ONCE)):
         lines = Lines(b.column("text"))
         row, columns = pa.array(lines.row), []
         for key, line in lines.ends():
@@ -105,7 +107,7 @@ def _lines_with_halves(batches):
 
 def _candidate_lines(batches):
     """The lines of each text whose numbers are in ``wanted``, as their words joined by a space."""
-    for b in (part for batch in batches for part in slices(batch)):
+    for b in (part for batch in batches for part in slices(batch, limit=AT_ONCE)):
         docs, numbers, texts = [], [], []
         for doc, text, wanted in zip(b.column("_doc").to_pylist(), b.column("text").to_pylist(), b.column("wanted").to_pylist()):
             own = text.split("\n")
@@ -114,17 +116,19 @@ def _candidate_lines(batches):
             texts += [b" ".join(own[i].encode().split()).decode() for i in wanted]
         column = pa.array(texts, pa.string())
         yield pa.RecordBatch.from_arrays([_long(Lines(column).whole()), pa.array(docs, pa.int64()), pa.array(numbers, pa.int64()), column], names=["w", "_doc", "number", "line"])
+    release()
 
 
 def _quarters(batches):
-    for b in (part for batch in batches for part in slices(batch, "line")):
+    for b in (part for batch in batches for part in slices(batch, "line", AT_ONCE)):
         ends = Lines(b.column("line")).ends(quarters=True)
         yield pa.RecordBatch.from_arrays([b.column("w").take(pa.array(np.concatenate([line for _, line in ends]))), _long(np.concatenate([key for key, _ in ends]))], names=["w", "end"])
+    release()
 
 
 def _variants(batches):
     """(key, place) of each line and its deletion variants; place 0: the whole line, i + 1: without word i."""
-    for b in (part for batch in batches for part in slices(batch, "line")):
+    for b in (part for batch in batches for part in slices(batch, "line", AT_ONCE)):
         lines = Lines(b.column("line"))
         key, place, line = lines.variants()
         row = pa.array(np.concatenate([lines.row, lines.row[line]]))
@@ -145,6 +149,7 @@ def _verified(batches):
     for b in batches:
         ok = [within_an_edit(x.split(" "), y.split(" ")) for x, y in zip(b.column("line").to_pylist(), b.column("other").to_pylist())]
         yield b.select(["w"]).filter(pa.array(ok, pa.bool_()))
+    release()
 
 
 def _sharing(ends: DataFrame) -> DataFrame:
