@@ -89,7 +89,7 @@ def _lines(batches):
         lines = Lines(b.column("text"))
         row = pa.array(lines.row)
         yield pa.RecordBatch.from_arrays([b.column("_key").take(row), b.column("_doc").take(row), _long(lines.number), _long(lines.whole())], names=["_key", "_doc", "number", "w"])
-        release()
+    release()
 
 
 def _lines_with_halves(batches):
@@ -102,7 +102,7 @@ def _lines_with_halves(batches):
             out[line], none[line] = key.view(np.int64), False
             columns.append(pa.array(out, pa.int64(), mask=none))
         yield pa.RecordBatch.from_arrays([b.column("_key").take(row), b.column("_doc").take(row), _long(lines.number), _long(lines.whole()), *columns], names=["_key", "_doc", "number", "w", "h0", "h1", "h2", "h3"])
-        release()
+    release()
 
 
 def _candidate_lines(batches):
@@ -134,7 +134,7 @@ def _variants(batches):
         row = pa.array(np.concatenate([lines.row, lines.row[line]]))
         columns = [_long(np.concatenate([lines.whole(), key])), pa.array(np.concatenate([np.zeros(len(lines.row), np.int64), place + 1]), pa.int32())]
         yield pa.RecordBatch.from_arrays([*columns, *[b.column(c).take(row) for c in ("_doc", "number", "w")]], names=["key", "place", "_doc", "number", "w"])
-        release()
+    release()
 
 
 def within_an_edit(a: list[str], b: list[str]) -> bool:
