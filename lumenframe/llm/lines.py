@@ -84,16 +84,7 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def _lines(batches):
-    """Every line with words: _key, _doc, number, and w, a hash of its words."""
-    for b in (part for batch in batches for part in slices(batch, limit=AT_ONCE)):
-        lines = Lines(b.column("text"))
-        row = pa.array(lines.row)
-        yield pa.RecordBatch.from_arrays([b.column("_key").take(row), b.column("_doc").take(row), _long(lines.number), _long(lines.whole())], names=["_key", "_doc", "number", "w"])
-    release()
-
-
-def _lines_with_halves(batches):
-    """The same with h0 .. h3, the keys of its halves."""
+    """Every line with words: _key, _doc, number, w, a hash of its words, and h0 .. h3, the keys of its halves."""
     for b in (part for batch in batches for part in slices(batch, limit=AT_ONCE)):
         lines = Lines(b.column("text"))
         row, columns = pa.array(lines.row), []
@@ -189,13 +180,12 @@ def _dedup(docs: DataFrame) -> DataFrame:
     """docs (_doc, _key, text and others) with gone: the numbers of the lines to remove, or null."""
     docs = stash(docs, by="_key")  # so that texts are not shuffled
     own = docs.select("_key", "_doc", "text")
-    lines = own.mapInArrow(_lines_with_halves, "_key long, _doc long, number long, w long, h0 long, h1 long, h2 long, h3 long")
+    lines = stash(own.mapInArrow(_lines, "_key long, _doc long, number long, w long, h0 long, h1 long, h2 long, h3 long"))
     distinct = lines.groupBy("w").agg(F.min(F.struct("_doc", "number", "_key")).alias("lead"), F.count("*").alias("times"), *[F.any_value(f"h{i}").alias(f"h{i}") for i in range(4)])
     distinct = stash(distinct)
     near = near_earlier(distinct, docs).withColumn("near", F.lit(True))
     judged = distinct.select("w", "lead", "times").join(near.hint("merge"), "w", "left").where("times > 1 OR near").select("w", F.struct("lead._doc", "lead.number").alias("lead"), F.coalesce("near", F.lit(False)).alias("near"))
-    lines = own.mapInArrow(_lines, "_key long, _doc long, number long, w long")
-    gone = skew_join(lines, stash(judged), "w", "inner").where(F.col("near") | (F.struct("_doc", "number") > F.col("lead")))
+    gone = skew_join(lines.select("_key", "_doc", "number", "w"), stash(judged), "w", "inner").where(F.col("near") | (F.struct("_doc", "number") > F.col("lead")))
     gone = gone.groupBy("_key").agg(F.collect_set(F.col("number").cast("int")).alias("gone"))  # of one document
     return docs.join(gone.hint("shuffle_hash"), "_key", "left")  # texts are not sorted
 
