@@ -178,11 +178,10 @@ def near_earlier(distinct: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _dedup(docs: DataFrame) -> DataFrame:
     """docs (_doc, _key, text and others) with gone: the numbers of the lines to remove, or null."""
-    docs = stash(docs, by="_key")  # so that texts are not shuffled
-    own = docs.select("_key", "_doc", "text")
-    lines = stash(own.mapInArrow(_lines, "_key long, _doc long, number long, w long, h0 long, h1 long, h2 long, h3 long"))
+    lines = stash(docs.select("_key", "_doc", "text").mapInArrow(_lines, "_key long, _doc long, number long, w long, h0 long, h1 long, h2 long, h3 long"))
     distinct = lines.groupBy("w").agg(F.min(F.struct("_doc", "number", "_key")).alias("lead"), F.count("*").alias("times"), *[F.any_value(f"h{i}").alias(f"h{i}") for i in range(4)])
     distinct = stash(distinct)
+    docs = stash(docs, by="_key")  # so that texts are not shuffled
     near = near_earlier(distinct, docs).withColumn("near", F.lit(True))
     judged = distinct.select("w", "lead", "times").join(near.hint("merge"), "w", "left").where("times > 1 OR near").select("w", F.struct("lead._doc", "lead.number").alias("lead"), F.coalesce("near", F.lit(False)).alias("near"))
     gone = skew_join(lines.select("_key", "_doc", "number", "w"), stash(judged), "w", "inner").where(F.col("near") | (F.struct("_doc", "number") > F.col("lead")))
@@ -197,9 +196,11 @@ def _keyed(docs: DataFrame, *more) -> DataFrame:
 
 def _left_text() -> tuple:
     """Of a row of _dedup: its number of lines, and the text without the lines that go."""
-    own = F.split("text", "\n")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("gone")), lambda i: F.get(own, i))
-    return F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(own)).cast("long"), F.when(F.coalesce(F.size("gone"), F.lit(0)) <= 0, F.col("text")).otherwise(F.array_join(kept, "\n"))
+    breaks = F.char_length("text") - F.char_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    kept = lambda own: F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("gone")), lambda i: F.get(own, i))
+    # an array of one array: the text is split once, not for every line
+    left = F.get(F.transform(F.array(F.split("text", "\n")), lambda own: F.array_join(kept(own), "\n")), 0)
+    return F.coalesce(breaks + 1, F.lit(0)).cast("long"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
 
 
 def dedup_lines(docs: DataFrame, with_text: bool = True) -> DataFrame:
