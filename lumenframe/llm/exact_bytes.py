@@ -21,6 +21,8 @@ LENGTH = 200
 ANCHOR = 100
 #: An anchor with so many segments in all blocks together is split: its windows are dealt one by one.
 CROWD = 1 << 14
+#: Whole groups of one anchor make a shard, up to so many bytes of text; a larger group is a shard of its own.
+SHARD = 1 << 20
 _INVERSE = U64(pow(int(BASE), -1, 1 << 64))
 _STRIDE = 1 << 19
 
@@ -162,6 +164,19 @@ def repeated_windows(texts: list[bytes], length: int, scratch: Scratch | None =
     return met
 
 
+def _shards(some: np.ndarray, group: np.ndarray, sizes: list[int]) -> Iterator[list[int]]:
+    """The texts ``some``, whole groups together, in shards of some SHARD bytes."""
+    shard, held, last = [], 0, None
+    for i in some[np.argsort(group[some], kind="stable")].tolist():
+        if held >= SHARD and group[i] != last:
+            yield shard
+            shard, held = [], 0
+        shard.append(i)
+        held, last = held + sizes[i], group[i]
+    if shard:
+        yield shard
+
+
 def _by_suffixes(length: int):
     """For each block: its units whose windows start elsewhere too, and which of them do."""
 
@@ -186,14 +201,14 @@ def _by_suffixes(length: int):
         # different texts with one anchor may share windows
         _, group = distinct(np.array(anchors, np.uint64))
         shared = np.bincount(group)[group] > 1 if len(group) else np.zeros(0, bool)
-        some = [(x, i) for x, i in known.items() if shared[i]]
-        if some:
-            mask, at = repeated_windows([x for x, _ in some], length), 0
-            for x, i in some:
+        texts = list(known)
+        for some in _shards(np.flatnonzero(shared), group, [len(x) for x in texts]):
+            mask, at = repeated_windows([texts[i] for i in some], length), 0
+            for i in some:
                 if flags[i] is None:
-                    flags[i] = np.asarray(mask[at : at + len(x) - length + 1]).copy()
-                at += len(x) + 1
-        release()
+                    flags[i] = np.asarray(mask[at : at + len(texts[i]) - length + 1]).copy()
+                at += len(texts[i]) + 1
+            release()
         for block, entry, own in asked:
             hit = [j for j, i in enumerate(own.tolist()) if flags[i] is not None and flags[i].any()]
             if hit:
