@@ -74,6 +74,19 @@ def stash(df: DataFrame, replaces: DataFrame | None = None, by: str | None = Non
     return out
 
 
+def written_so_far() -> int:
+    return len(_WRITTEN)
+
+
+def clear(spark: SparkSession, since: int, *but: DataFrame) -> None:
+    """Deletes the tables that were written since written_so_far() said ``since``, but for these."""
+    kept = {getattr(df, "_stashed", None) for df in but}
+    for path in _WRITTEN[since:]:
+        if path not in kept:
+            _WRITTEN.remove(path)
+            _delete(spark, path)
+
+
 def quoted(column: str) -> str:
     """A column's name as Spark parses it, whatever is in it."""
     return "`" + column.replace("`", "``") + "`"

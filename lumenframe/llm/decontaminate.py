@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import aside, restored, stash, table
+from ._shared import aside, clear, restored, stash, table, written_so_far
 from ._text import ALNUM_WORD, U64, Words, grams, release, slices, within
 
 WINDOW = 10
@@ -125,6 +125,7 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
     docs: a table bucketed by _key, so that its texts are not shuffled.
     """
+    mark = written_so_far()
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     items = stash(items.select(F.xxhash64("item_id", F.col("text").isNull(), "text").alias("_item"), "item_id", "text"))
     lengths = sorted(r["n"] for r in items.mapInArrow(_lengths(window), "n int").distinct().collect())  # at most ``window`` values
@@ -149,7 +150,9 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     merged = spans.groupBy("_key").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("hit"))
     covered = F.aggregate("spans", start, lambda s, x: F.struct(F.greatest(s["end"], x["z"]).alias("end"), (s["hit"] + F.greatest(x["z"] - F.greatest(s["end"], x["a"]), F.lit(0))).alias("hit")))
-    return merged.select("_key", covered["hit"].alias("n_hit"), "items")
+    out = stash(merged.select("_key", covered["hit"].alias("n_hit"), "items"))
+    clear(docs.sparkSession, mark, out)
+    return out
 
 
 def _keyed(docs: DataFrame, *more) -> DataFrame:

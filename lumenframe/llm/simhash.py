@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import aside, quoted, restored, salted_join, skew_join, stash, table, with_fields
+from ._shared import aside, clear, quoted, restored, salted_join, skew_join, stash, table, with_fields, written_so_far
 from ._text import U64, Words, grams, mix, release, slices, within
 
 SEED = 42
@@ -292,6 +292,7 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall
     """
     keyed = aside(docs).withColumn("_id", F.coalesce("doc_id", F.lit(2**63 - 1)))
     keyed = stash(keyed.withColumn("_row", F.xxhash64("_id", F.coalesce("text", F.lit("")))), by="_row")  # so that texts are not shuffled
+    mark = written_so_far()
     bits, tables = plan_tables(keyed.count(), similarity, recall, radius)
     marked = stash(sketches(keyed, bits, tables, ("_id", "_row")))
     nodes = stash(marked.groupBy("node").agg(F.min(F.struct("_id", "_row")).alias("best"), F.any_value("sketch").alias("sketch")))
@@ -306,7 +307,8 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall
     texts = keyed.select("_row", "text").join(asked.hint("shuffle_hash"), "_row").groupBy("node").agg(F.any_value("text").alias("text"))
     roots = components(similar_pairs(pairs, texts, similarity))
     rooted = skew_join(nodes.select("node", "best"), roots, "node").select(F.coalesce("root", "node").alias("root"), "best")
-    best = rooted.groupBy("root").agg(F.min("best").alias("best")).select("best._row")
+    best = stash(rooted.groupBy("root").agg(F.min("best").alias("best")).select("best._row"))
+    clear(docs.sparkSession, mark, best)
     kept = keyed.join(best.hint("shuffle_hash"), "_row", "left_semi")
     row = kept.groupBy("_row").agg(F.min_by(F.struct("text", "_others"), F.to_json("_others")).alias("row"))
     return restored(row.select("row.text", "row._others"), docs.columns)
