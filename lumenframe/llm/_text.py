@@ -97,10 +97,10 @@ class Words:
     """The words of a batch of texts.
 
     data: bytes (lower-cased on request); start, end: of each word in data; row: the text of each word;
-    first: index of the first word of each text, with the total at its end; hash: 64 bits a word.
+    first: index of the first word of each text, with the total at its end; hash: 64 bits a word, if ``hashed``.
     """
 
-    def __init__(self, column, alphabet: np.ndarray = PLAIN_WORD, lower: bool = False):
+    def __init__(self, column, alphabet: np.ndarray = PLAIN_WORD, lower: bool = False, hashed: bool = True):
         self.data, self.offsets = string_bytes(column)
         if lower:
             self.data = LOWER[self.data]
@@ -118,7 +118,7 @@ class Words:
         self.end = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.start, self.offsets)
         self.row = np.repeat(np.arange(rows, dtype=np.int32), np.diff(self.first))
-        self.hash = self._hash(inside)
+        self.hash = self._hash(inside) if hashed else None
 
     def __len__(self) -> int:
         return len(self.start)
