@@ -7,15 +7,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.vectors import matrix
 from ._blocks import ask, codes_of, from_ipc, parts_of, to_blocks, with_answers
-from ._shared import salted_join, skew_join, stash, table
+from ._shared import skew_join, stash, table
 from ._text import U64, Words, grams, mix, release, within
 from .simhash import components
 
 #: Bits by which keys of shingles exceed what their number needs: few meet by chance.
 SPARE_BITS = 6
 #: Words of 64 bits of a set's parities.
-PARITY_WORDS = 4
+PARITY_WORDS = 8
 #: Entries of one shingle that a task compares; more are dealt over the pairs of so large slices.
 SLICE = 2048
 #: Pairs that a task looks at together.
@@ -114,7 +115,7 @@ def marked_sets(blocks: DataFrame, k: int, percent: int) -> DataFrame:
         if len(full):
             node = mix(np.add.reduceat(mix(h + U64(1)), first) + size[full].astype(U64))
             group = mix(np.add.reduceat(np.where(inside, mix(h ^ U64(0x5851F42D4C957F2D)), U64(0)), first) ^ mix(size[full].astype(U64)))
-        bit = (mix(h ^ U64(0x2545F4914F6CDD1D)) >> U64(56)).astype(np.int64) % (64 * PARITY_WORDS)
+        bit = (mix(h ^ U64(0x2545F4914F6CDD1D)) >> U64(48)).astype(np.int64) % (64 * PARITY_WORDS)
         number = np.repeat(np.arange(len(full)), size[full])
         odd = np.zeros((len(full), 64 * PARITY_WORDS), np.uint8)
         for a in range(0, len(full), 1 << 12):  # some texts at a time
@@ -132,29 +133,33 @@ def marked_sets(blocks: DataFrame, k: int, percent: int) -> DataFrame:
     return stash(asked.select("block_id", "payload", "classes").mapInArrow(run, schema))
 
 
-def _slices(entries: DataFrame) -> DataFrame:
-    """entries with cell: those of a token with up to SLICE entries have one cell, others one for each pair of slices."""
-    many = entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").withColumn("slices", F.ceil(F.col("n") / SLICE).cast("long"))
-    own, n = F.pmod(F.xxhash64("group"), F.col("slices")), F.col("slices")
+def _slices(entries: DataFrame, asked: DataFrame, by: str) -> DataFrame:
+    """entries of the tokens of ``asked`` (token, n), with cell: up to SLICE of a token have one cell, others one for each pair of slices."""
+    n = F.ceil(F.col("n") / SLICE).cast("long")
+    own = F.pmod(F.xxhash64(by), n)
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda j: F.least(j, own) * n + F.greatest(j, own))
-    return entries.join(many.select("token", "slices"), "token").select("token", "group", "size", "at", F.explode(pairs).alias("cell"))
+    return skew_join(entries, asked.select("token", "n"), "token", "inner").withColumn("cell", F.explode(pairs)).drop("n")
 
 
-def _by_token(group: pa.Table, *order: str) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """The first place of each (token, cell) of a part, with the end at last, and the columns in the order of (token, cell, *order)."""
-    c = {k: group[k].combine_chunks().to_numpy() for k in group.column_names if k != "part"}
+def _by_token(group: pa.Table, *order: str) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray]:
+    """The first place of each (token, cell) of a part, with the end at last; the columns in the order of (token, cell, *order); that order."""
+    c = {k: group[k].combine_chunks().to_numpy() for k in ("token", "cell", "size", "at", *order)}
     by = np.lexsort(tuple(c[k] for k in (*order[::-1], "cell", "token")))
     c = {k: v[by] for k, v in c.items()}
     new = np.ones(len(by), dtype=bool)
     new[1:] = (c["token"][1:] != c["token"][:-1]) | (c["cell"][1:] != c["cell"][:-1])
-    return np.append(np.flatnonzero(new), len(by)), c
+    return np.append(np.flatnonzero(new), len(by)), c, by
+
+
+def needed(total, percent: int):
+    """So many elements two similar sets share that have ``total`` together."""
+    return -(-percent * total // (100 + percent))
 
 
 def _may_link(size_a, size_b, at_a, at_b, percent: int) -> np.ndarray:
     """Whether sets of these sizes, whose first common element is at these places, can be similar enough."""
-    need = -(-percent * (size_a + size_b) // (100 + percent))  # of the intersection
-    fits = (100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)) & (np.minimum(size_a - at_a, size_b - at_b) >= need)
-    return fits
+    fits = 100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)
+    return fits & (np.minimum(size_a - at_a, size_b - at_b) >= needed(size_a + size_b, percent))
 
 
 def _in_parts(df: DataFrame, run, schema: str) -> DataFrame:
@@ -163,56 +168,52 @@ def _in_parts(df: DataFrame, run, schema: str) -> DataFrame:
 
 
 def neighbours(cells: DataFrame, percent: int) -> DataFrame:
-    """(a, b): groups that stand beside each other by size among those of one token, and each with the first one; not all pairs."""
+    """(a, b): for each group b one before it, by size, and one that comes first of a token; those it shares most tokens with."""
 
     def run(group: pa.Table) -> pa.Table:
-        cuts, c = _by_token(group, "size", "group")
+        cuts, c, _ = _by_token(group, "size", "group")
         number = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
         at = np.arange(len(number))
         first = cuts[number]
         pairs = []
-        for other in (np.maximum(at - 1, 0), first):
+        for kind, other in enumerate((np.maximum(at - 1, 0), first)):
             some = np.flatnonzero((other >= first) & (other < at))
             a, b = other[some], some
             ok = _may_link(c["size"][a], c["size"][b], c["at"][a], c["at"][b], percent)
-            pairs.append(np.stack([c["group"][a[ok]], c["group"][b[ok]]], axis=1))
-        pairs = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
+            pairs.append(np.stack([c["group"][a[ok]], c["group"][b[ok]], np.full(int(ok.sum()), kind)], axis=1))
+        pairs, n = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
         release()
-        return pa.table({"a": np.ascontiguousarray(pairs[:, 0]), "b": np.ascontiguousarray(pairs[:, 1])})
+        return pa.table({"a": np.ascontiguousarray(pairs[:, 0]), "b": np.ascontiguousarray(pairs[:, 1]), "kind": np.ascontiguousarray(pairs[:, 2]), "n": n.astype(np.int64)})
 
-    return _in_parts(cells, run, "a long, b long").distinct()
+    shared = _in_parts(cells, run, "a long, b long, kind long, n long").groupBy("kind", "b", "a").agg(F.sum("n").alias("n"))
+    return shared.groupBy("kind", "b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b").distinct()
 
 
 def unjoined(cells: DataFrame, percent: int) -> DataFrame:
-    """(a, a_root, b, b_root): groups that share a token, can be similar and have members in different components.
-
-    cells has a row for each component of a group; a cell whose rows are all of one component has no pairs.
-    """
+    """(u, v): nodes of different components that share a token and, by their sizes, its places and their parities, can be similar."""
 
     def run(group: pa.Table) -> pa.Table:
-        cuts, c = _by_token(group, "root")
+        cuts, c, by = _by_token(group, "root", "node")
+        parity = matrix(group["parity"].combine_chunks(), np.int64)[by].view(U64)
         found, held = [], 0
-        columns = ("group", "root")
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            if c["root"][lo] == c["root"][hi - 1]:
-                continue
             starts = np.flatnonzero(np.append(True, c["root"][lo + 1 : hi] != c["root"][lo : hi - 1])) + lo
-            ends = np.append(starts[1:], hi)
-            own_end = np.repeat(ends, ends - starts)  # rows after those of the own component
-            for i in range(lo, hi):
-                j = np.arange(own_end[i - lo], hi)
-                if len(j):
-                    ok = j[_may_link(c["size"][i], c["size"][j], c["at"][i], c["at"][j], percent)]
-                    if len(ok):
-                        found.append(np.stack([np.full(len(ok), c["group"][i]), np.full(len(ok), c["root"][i]), *[c[x][ok] for x in columns]], axis=1))
-                        held += len(ok)
-                        if held > PAIRS_AT_ONCE:
-                            found, held = [np.unique(np.concatenate(found), axis=0)], 0
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 4), np.int64)
+            after = np.repeat(np.append(starts[1:], hi), np.diff(np.append(starts, hi))).tolist()  # the place after the own component
+            for i, at in enumerate(after[: int(starts[-1]) - lo], lo):
+                j = np.arange(at, hi)
+                j = j[_may_link(c["size"][i], c["size"][j], c["at"][i], c["at"][j], percent)]
+                total = c["size"][i] + c["size"][j]
+                differ = np.bitwise_count(parity[i] ^ parity[j]).sum(axis=1, dtype=np.int64)
+                j = j[differ <= total - 2 * needed(total, percent)]
+                found.append(np.stack([np.full(len(j), c["node"][i]), c["node"][j]], axis=1))
+                held += len(j) + 1
+                if held > PAIRS_AT_ONCE:
+                    found, held = [np.unique(np.concatenate(found), axis=0)], 0
+        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.zeros((0, 2), np.int64)
         release()
-        return pa.table({k: np.ascontiguousarray(pairs[:, i]) for i, k in enumerate(("a", "a_root", "b", "b_root"))})
+        return pa.table({"u": np.ascontiguousarray(pairs[:, 0]), "v": np.ascontiguousarray(pairs[:, 1])})
 
-    return _in_parts(cells, run, "a long, a_root long, b long, b_root long").distinct()
+    return _in_parts(cells, run, "u long, v long").distinct()
 
 
 def similar(pairs: DataFrame, nodes: DataFrame, blocks: DataFrame, k: int, percent: int) -> DataFrame:
@@ -254,10 +255,10 @@ def jaccard_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     100 * intersection >= percent * union.
 
     Documents of one set are one node; nodes of one size and prefix are one group. Groups that share a shingle of their
-    prefixes and pass the bounds of size and place are expanded to their members, and those verified on whole sets. First
-    each group meets those beside it and the first of its shingle, each member the first of its group; that joins what is
-    alike. Then all pairs that are still in different components, and can be linked, are verified: no link between
-    components is lost, and pairs within one are not asked for.
+    prefixes meet, are filtered by size and place, expanded to their members, and those verified on whole sets. First
+    each group meets the one beside it and the first one that it shares most with, each member the first of its group; that
+    joins what is alike. Then all members of groups that share a shingle and are still in different components are compared:
+    no link between components is lost, and pairs within one are not asked for.
 
     Null, empty and wordless texts: size 0, linked with nothing, component_id is the own doc_id. Null doc_id: the row takes
     part, its component's id is the smallest that is not null. Repeated rows: a row each. Very long texts are read whole. Empty
@@ -268,8 +269,8 @@ def jaccard_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     keep = F.struct("block_id", "place", "size", "group", "parity")
     nodes = stash(marked.groupBy("node").agg(F.min("doc_id").alias("lead"), F.min(keep).alias("r")).select("node", "lead", "r.*"))
     tokens = marked.where(F.size("tokens") > 0).groupBy("group").agg(F.any_value(F.struct("size", "tokens", "places")).alias("r"))
-    entries = tokens.select("group", "r.size", F.explode(F.arrays_zip("r.tokens", "r.places")).alias("t")).select(F.col("t.tokens").alias("token"), "group", "size", F.col("t.places").alias("at"))
-    cells = stash(_slices(stash(entries)))
+    entries = stash(tokens.select("group", "r.size", F.explode(F.arrays_zip("r.tokens", "r.places")).alias("t")).select(F.col("t.tokens").alias("token"), "group", "size", F.col("t.places").alias("at")))
+    cells = _slices(entries, entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "group")
 
     first = stash(nodes.groupBy("group").agg(F.min("node").alias("first"), F.count("*").alias("n")))
     named = lambda name, as_: first.select(F.col("group").alias(name), F.col("first").alias(as_))
@@ -279,11 +280,10 @@ def jaccard_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     roots = stash(components(near))
 
     rooted = stash(skew_join(nodes.select("node", "group"), roots, "node").select("node", "group", F.coalesce("root", "node").alias("root")))
-    of_group = rooted.select("group", "root").distinct()
-    rest = unjoined(skew_join(cells, of_group, "group", "inner"), percent)
-    member = lambda g, r, as_: rooted.select(F.col("group").alias(g), F.col("root").alias(r), F.col("node").alias(as_))
-    pairs = skew_join(skew_join(rest, member("a", "a_root", "u"), ["a", "a_root"], "inner"), member("b", "b_root", "v"), ["b", "b_root"], "inner").select("u", "v")
-    more = similar(pairs, nodes, blocks, k, percent)
+    members = stash(skew_join(entries, rooted, "group", "inner").select("token", "node", "root", "size", "at"))
+    open_ = members.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a != b")
+    rest = unjoined(skew_join(_slices(members, open_, "node"), nodes.select("node", "parity"), "node", "inner"), percent)
+    more = similar(rest, nodes, blocks, k, percent)
     edges = stash(roots.where("node != root").select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
     final = components(edges)
     ids = stash(skew_join(nodes.select("node", "lead"), final, "node").select("node", "lead", F.coalesce("root", "node").alias("root")))
