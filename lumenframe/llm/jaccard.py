@@ -189,31 +189,43 @@ def neighbours(cells: DataFrame, percent: int) -> DataFrame:
     return shared.groupBy("kind", "b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b").distinct()
 
 
-def unjoined(cells: DataFrame, percent: int) -> DataFrame:
-    """(u, v): nodes of different components that share a token and, by their sizes, its places and their parities, can be similar."""
+def unjoined(cells: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """(u, v): nodes of different components that share a token and, by their sizes, its places and their parities, can be similar.
+
+    nearest: for each node only the one whose parities differ least; else all such pairs.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         cuts, c, by = _by_token(group, "root", "node")
         parity = matrix(group["parity"].combine_chunks(), np.int64)[by].view(U64)
-        found, held = [], 0
+        found, held = [np.zeros((0, 3), np.int64)], 0
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             starts = np.flatnonzero(np.append(True, c["root"][lo + 1 : hi] != c["root"][lo : hi - 1])) + lo
-            after = np.repeat(np.append(starts[1:], hi), np.diff(np.append(starts, hi))).tolist()  # the place after the own component
-            for i, at in enumerate(after[: int(starts[-1]) - lo], lo):
-                j = np.arange(at, hi)
+            ends = np.append(starts[1:], hi)
+            own = np.repeat(np.arange(len(starts)), ends - starts)
+            for i in range(lo, hi if nearest else int(starts[-1])):
+                j = np.arange(ends[own[i - lo]], hi)  # the places after the own component
+                if nearest:
+                    j = np.concatenate([np.arange(lo, starts[own[i - lo]]), j])
                 j = j[_may_link(c["size"][i], c["size"][j], c["at"][i], c["at"][j], percent)]
                 total = c["size"][i] + c["size"][j]
                 differ = np.bitwise_count(parity[i] ^ parity[j]).sum(axis=1, dtype=np.int64)
-                j = j[differ <= total - 2 * needed(total, percent)]
-                found.append(np.stack([np.full(len(j), c["node"][i]), c["node"][j]], axis=1))
-                held += len(j) + 1
-                if held > PAIRS_AT_ONCE:
-                    found, held = [np.unique(np.concatenate(found), axis=0)], 0
-        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.zeros((0, 2), np.int64)
+                ok = np.flatnonzero(differ <= total - 2 * needed(total, percent))
+                if len(ok):
+                    ok = ok[[np.argmin(differ[ok])]] if nearest else ok
+                    found.append(np.stack([np.full(len(ok), c["node"][i]), c["node"][j[ok]], differ[ok]], axis=1))
+                    held += len(ok)
+                    if held > PAIRS_AT_ONCE:
+                        found, held = [np.unique(np.concatenate(found), axis=0)], 0
+        pairs = np.unique(np.concatenate(found), axis=0)
+        if not nearest:
+            pairs = np.unique(np.sort(pairs[:, :2], axis=1), axis=0)
+            pairs = np.concatenate([pairs, np.zeros((len(pairs), 1), np.int64)], axis=1)
         release()
-        return pa.table({"u": np.ascontiguousarray(pairs[:, 0]), "v": np.ascontiguousarray(pairs[:, 1])})
+        return pa.table({k: np.ascontiguousarray(pairs[:, i]) for i, k in enumerate(("u", "v", "differ"))})
 
-    return _in_parts(cells, run, "u long, v long").distinct()
+    pairs = _in_parts(cells, run, "u long, v long, differ long")
+    return pairs.groupBy("u").agg(F.min(F.struct("differ", "v")).alias("m")).select("u", "m.v") if nearest else pairs.select("u", "v").distinct()
 
 
 def similar(pairs: DataFrame, nodes: DataFrame, blocks: DataFrame, k: int, percent: int) -> DataFrame:
@@ -257,8 +269,9 @@ def jaccard_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     Documents of one set are one node; nodes of one size and prefix are one group. Groups that share a shingle of their
     prefixes meet, are filtered by size and place, expanded to their members, and those verified on whole sets. First
     each group meets the one beside it and the first one that it shares most with, each member the first of its group; that
-    joins what is alike. Then all members of groups that share a shingle and are still in different components are compared:
-    no link between components is lost, and pairs within one are not asked for.
+    joins what is alike. Twice then each member meets the one of another component that it may be most similar to. In the end
+    all members of groups that share a shingle and are still in different components are compared: no link between
+    components is lost, and pairs within one are not asked for.
 
     Null, empty and wordless texts: size 0, linked with nothing, component_id is the own doc_id. Null doc_id: the row takes
     part, its component's id is the smallest that is not null. Repeated rows: a row each. Very long texts are read whole. Empty
@@ -279,14 +292,14 @@ def jaccard_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     near = stash(similar(across.union(inside), nodes, blocks, k, percent))
     roots = stash(components(near))
 
-    rooted = stash(skew_join(nodes.select("node", "group"), roots, "node").select("node", "group", F.coalesce("root", "node").alias("root")))
-    members = stash(skew_join(entries, rooted, "group", "inner").select("token", "node", "root", "size", "at"))
-    open_ = members.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a != b")
-    rest = unjoined(skew_join(_slices(members, open_, "node"), nodes.select("node", "parity"), "node", "inner"), percent)
-    more = similar(rest, nodes, blocks, k, percent)
-    edges = stash(roots.where("node != root").select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
-    final = components(edges)
-    ids = stash(skew_join(nodes.select("node", "lead"), final, "node").select("node", "lead", F.coalesce("root", "node").alias("root")))
+    for nearest in (True, True, False):
+        rooted = stash(skew_join(nodes.select("node", "group"), roots, "node").select("node", "group", F.coalesce("root", "node").alias("root")))
+        members = stash(skew_join(entries, rooted, "group", "inner").select("token", "node", "root", "size", "at"))
+        open_ = members.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a != b")
+        rest = unjoined(skew_join(_slices(members, open_, "node"), nodes.select("node", "parity"), "node", "inner"), percent, nearest)
+        more = similar(rest, nodes, blocks, k, percent)
+        roots = stash(components(roots.where("node != root").select(F.col("node").alias("u"), F.col("root").alias("v")).union(more)))
+    ids = stash(skew_join(nodes.select("node", "lead"), roots, "node").select("node", "lead", F.coalesce("root", "node").alias("root")))
     low = ids.groupBy("root").agg(F.min("lead").alias("component_id"))
     by_node = skew_join(ids.select("node", "root"), low, "root").select("node", "component_id")
     linked = skew_join(marked.select("doc_id", "node", F.col("size").alias("n_shingles")), by_node, "node").select("doc_id", "n_shingles", "component_id")
