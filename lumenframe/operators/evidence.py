@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.artifacts import written
 from .metrics import confusion
 
 CELLS = 4096
@@ -64,7 +65,7 @@ def order_statistics(df: DataFrame, value: str, asked: dict) -> dict:
 
 def evidence_summary(df: DataFrame) -> DataFrame:
     """One row: counts, accuracy, mean and exact median margin of right and of wrong rows (null for an empty group)."""
-    m = margins(df).select("margin", "correct")
+    m = written(margins(df).select("margin", "correct"), "margins")  # every pass reads these two columns
     right, wrong = F.when(F.col("correct"), F.col("margin")), F.when(~F.col("correct"), F.col("margin"))
     one = m.agg(
         F.count("*").alias("num_samples"),
@@ -117,7 +118,7 @@ def representatives(losses: DataFrame) -> DataFrame:
 
     The loss at that place is found by counts, and among rows of that loss the id in the same way.
     """
-    narrow = losses.select("image_id", "correct", "loss")
+    narrow = written(losses.select("image_id", "correct", "loss"), "losses")
     groups = {r["correct"]: r for r in narrow.groupBy("correct").agg(F.count("*").alias("n"), F.min("loss").alias("a"), F.max("loss").alias("b")).collect()}
     if not groups.get(True) or not groups.get(False):
         raise ValueError("a group has no rows")

@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.draws import draw_uniform, order_key
+from ..functions.draws import draw_int, draw_uniform
 from ..functions.vectors import add_columns, lists, matrix
 
 NODES = "tree int, node long, is_leaf boolean, prediction int, feature int, threshold double"
 #: (node, feature) pairs that are open in one job: their thresholds go to every task.
 OPEN_AT_ONCE = 200_000
+#: Rows that descend all trees together.
+ROWS_AT_ONCE = 2048
 
 
 def gini(df: DataFrame, group: list[str], label: str = "label") -> DataFrame:
@@ -68,20 +70,45 @@ def candidate_thresholds(long: DataFrame, t: int = 16, seed: int = 42) -> DataFr
     return v.select("node", "feature", F.explode(F.when(F.size("v") <= t + 1, middles).otherwise(drawn)).alias("threshold"))
 
 
-def best_split(long: DataFrame, thresholds: DataFrame, min_leaf: int = 2) -> DataFrame:
+def best_split(df: DataFrame, thresholds: DataFrame, min_leaf: int = 2) -> DataFrame:
     """(node, feature, threshold, score): the lowest weighted gini of x <= threshold against the rest, both sides at
-    least min_leaf rows; the first (feature, threshold) of equals. Rows are counted by the gap between thresholds that
-    they fall into and by label, before any exchange."""
-    cuts = thresholds.groupBy("node", "feature").agg(F.array_sort(F.collect_set("threshold")).alias("cuts"))
-    placed = long.join(cuts, ["node", "feature"]).select("node", "feature", "label", F.size(F.filter("cuts", lambda c: c < F.col("x"))).alias("gap"))
-    counts = placed.groupBy("node", "feature", "label", "gap").agg(F.count("*").alias("k"))
-    whole = counts.join(cuts.select("node", "feature", F.posexplode("cuts").alias("at", "threshold")), ["node", "feature"])
-    sides = whole.groupBy("node", "feature", "threshold", "label").agg(F.sum(F.when(F.col("gap") <= F.col("at"), F.col("k")).otherwise(0)).alias("l"), F.sum("k").alias("k"))
-    l, r = F.col("l").cast("double"), (F.col("k") - F.col("l")).cast("double")
-    s = sides.groupBy("node", "feature", "threshold").agg(F.sum(l).alias("nl"), F.sum(r).alias("nr"), F.sum(l * l).alias("ll"), F.sum(r * r).alias("rr")).where((F.col("nl") >= min_leaf) & (F.col("nr") >= min_leaf))
-    score = (F.col("nl") - F.col("ll") / F.col("nl") + F.col("nr") - F.col("rr") / F.col("nr")) / (F.col("nl") + F.col("nr"))
-    best = F.min(F.struct(F.round(score, 12).alias("score"), "feature", "threshold")).alias("b")
-    return s.groupBy("node").agg(best).select("node", "b.feature", "b.threshold", "b.score")
+    least min_leaf rows; the first (feature, threshold) of equals.
+
+    df: node, label (0, 1, 2 ...) and features, an array a row, which stays one: map tasks count rows by node, feature, gap
+    between thresholds and label, and send those sums. thresholds: node, feature, threshold, of OPEN_AT_ONCE (node, feature)
+    at most, like a level of a forest.
+    """
+    found = thresholds.groupBy(F.col("node").cast("long").alias("node"), "feature").agg(F.array_sort(F.collect_set("threshold")).alias("cuts"))
+    cuts, classes = _lists(found.limit(OPEN_AT_ONCE + 1), ("node", "feature")), int(df.agg(F.max("label")).first()[0] or 0) + 1
+    if len(cuts) > OPEN_AT_ONCE:
+        raise ValueError(f"more than {OPEN_AT_ONCE} (node, feature) pairs: split the nodes")
+    shared, of_node = df.sparkSession.sparkContext.broadcast(cuts), {}
+    for node, feature in cuts:
+        of_node.setdefault(node, []).append(feature)
+
+    def counts(batches):
+        total: dict = {}
+        for b in batches:
+            x, y, node = matrix(b.column("features")), b.column("label").to_numpy().astype(np.int64), b.column("node").to_numpy()
+            for i in _runs(node, np.arange(len(node))):
+                for f in of_node.get(int(node[i[0]]), ()):
+                    cut = shared.value[int(node[i[0]]), f]
+                    n = np.bincount(np.searchsorted(cut, x[i, f]) * classes + y[i], minlength=(len(cut) + 1) * classes)
+                    key = (int(node[i[0]]), f)
+                    total[key] = total.get(key, 0) + n
+        keys = list(total)
+        for at in range(0, len(keys), 4096):
+            some = keys[at : at + 4096]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in some], pa.int64()), pa.array([k[1] for k in some], pa.int32()), pa.array([total[k].tolist() for k in some], pa.list_(pa.float64()))], names=["node", "feature", "v"])
+
+    def judge(group: pa.Table) -> pa.Table:
+        node, f = group["node"][0].as_py(), group["feature"][0].as_py()
+        score, threshold = _split_of(sum(matrix(c).sum(axis=0) for c in group["v"].chunks), shared.value[node, f], classes, min_leaf)
+        return pa.table({"node": pa.array([node]), "feature": pa.array([f], pa.int32()), "threshold": [threshold], "score": [score]})
+
+    sums = df.select(F.col("node").cast("long").alias("node"), "label", "features").mapInArrow(counts, "node long, feature int, v array<double>")
+    each = sums.groupBy("node", "feature").applyInArrow(judge, "node long, feature int, threshold double, score double").where(F.col("score") < float("inf"))
+    return each.groupBy("node").agg(F.min(F.struct("score", "feature", "threshold")).alias("b")).select("node", "b.feature", "b.threshold", "b.score")
 
 
 def subset_size(d: int, max_features: str | float | int) -> int:
@@ -92,44 +119,57 @@ def subset_size(d: int, max_features: str | float | int) -> int:
 
 
 def feature_subset(nodes: DataFrame, d: int, max_features: str | float | int = "sqrt", seed: int = 42) -> DataFrame:
-    """(tree, node, feature): the features that a node may split on, drawn by hash."""
-    keyed = nodes.select("tree", "node", F.explode(F.sequence(F.lit(0), F.lit(d - 1))).alias("feature")).withColumn("key", order_key(seed, "tree", "node", "feature"))
+    """(tree, node, feature): the m features that a node may split on, drawn with m numbers (Floyd's sampling).
+
+    For j = d - m .. d - 1 a number up to j is drawn from (seed, tree, node, j); it is taken, or j if it was taken before.
+    """
     m = subset_size(d, max_features)
-    first = F.slice(F.sort_array(F.collect_list(F.struct("key", "feature"))), 1, m)
-    return keyed.groupBy("tree", "node").agg(first.alias("f")).select("tree", "node", F.explode("f.feature").alias("feature"))
+    numbers = F.transform(F.sequence(F.lit(d - m), F.lit(d - 1)), lambda j: F.struct(j.alias("j"), (draw_int(seed, "tree", "node", j) % (j + 1)).cast("int").alias("t")))
+    taken = F.aggregate(numbers, F.array().cast("array<int>"), lambda own, x: F.array_append(own, F.when(F.array_contains(own, x["t"]), x["j"]).otherwise(x["t"])))
+    return nodes.select("tree", "node", F.explode(taken).alias("feature"))
 
 
-def _draw(text: str) -> float:
-    return int(hashlib.md5(text.encode()).hexdigest()[:13], 16) / (1 << 52)
+class Trees:
+    """All nodes of all trees as flat arrays: a row descends by gathers, all trees at once.
 
+    Places are heap positions: children of n are 2n + 1 and 2n + 2. A leaf is its own child; so is a child that is not listed
+    (an open node).
+    """
 
-class Trees:
-    """Nodes as arrays, by tree and heap position: children of n are 2n + 1 and 2n + 2."""
-
-    def __init__(self, rows):
-        self.nodes: dict[int, dict[int, tuple]] = {}
-        for tree, node, leaf, prediction, feature, threshold in rows:
-            self.nodes.setdefault(tree, {})[node] = (leaf, prediction, feature, threshold)
-
-    def place(self, x: np.ndarray, tree: int) -> np.ndarray:
-        """The node that each row of x ends in (a leaf, or an open node that is not listed)."""
-        nodes = self.nodes.get(tree, {})
-        at, left = np.zeros(len(x), np.int64), np.arange(len(x))
-        while len(left):
-            moved = []
-            for n in np.unique(at[left]).tolist():
-                leaf, _, feature, threshold = nodes.get(n, (True, None, None, None))
-                if not leaf:
-                    rows = left[at[left] == n]
-                    at[rows] = 2 * n + 1 + (x[rows, feature] > threshold)
-                    moved.append(rows)
-            left = np.concatenate(moved) if moved else left[:0]
+    def __init__(self, rows, trees: int | None = None):
+        listed = {(tree, node): (leaf, prediction, feature, threshold) for tree, node, leaf, prediction, feature, threshold in rows}
+        self.trees = list(range(trees)) if trees is not None else sorted({t for t, _ in listed})
+        keys = {(t, 0) for t in self.trees} | set(listed)
+        keys |= {(t, 2 * n + side) for (t, n), v in listed.items() if not v[0] for side in (1, 2)}
+        keys = sorted(keys)
+        index = {key: i for i, key in enumerate(keys)}
+        n = len(keys)
+        self.tree, self.node = np.array([k[0] for k in keys], np.int64), np.array([k[1] for k in keys], np.int64)
+        self.feature, self.threshold, self.prediction = np.zeros(n, np.int64), np.full(n, np.inf), np.zeros(n, np.int64)
+        self.left = self.right = np.arange(n)
+        self.left, self.right, self.roots = self.left.copy(), self.right.copy(), np.array([index[t, 0] for t in self.trees], np.int64)
+        for key, (leaf, prediction, feature, threshold) in listed.items():
+            i = index[key]
+            self.prediction[i] = prediction
+            if not leaf:
+                self.feature[i], self.threshold[i] = feature, threshold
+                self.left[i], self.right[i] = index[key[0], 2 * key[1] + 1], index[key[0], 2 * key[1] + 2]
+        self.depth = max((int(k[1]) + 1).bit_length() for k in keys) if keys else 0
+
+    def place(self, x: np.ndarray, trees: slice = slice(None)) -> np.ndarray:
+        """(rows, trees): where in the arrays each row of x ends in each tree."""
+        at = np.repeat(self.roots[trees][None, :], len(x), axis=0)
+        row = np.arange(len(x))[:, None]
+        for _ in range(self.depth):
+            right = x[row, self.feature[at]] > self.threshold[at]
+            below = np.where(right, self.right[at], self.left[at])
+            if (below == at).all():
+                break
+            at = below
         return at
 
-    def predict(self, x: np.ndarray, tree: int) -> np.ndarray:
-        at = self.place(x, tree)
-        values = {n: v[1] for n, v in self.nodes[tree].items()}
-        return np.array([values[n] for n in at.tolist()], dtype=np.int64)
+    def predict(self, x: np.ndarray, trees: slice = slice(None)) -> np.ndarray:
+        return self.prediction[self.place(x, trees)]
 
 
 def _of(nodes: DataFrame | Trees) -> Trees:
@@ -140,19 +180,22 @@ def _of(nodes: DataFrame | Trees) -> Trees:
 def tree_predict(df: DataFrame, nodes: DataFrame | Trees, tree: int = 0) -> DataFrame:
     """Adds prediction."""
     t = _of(nodes)
-    return add_columns(df, lambda f: {"prediction": pa.array(t.predict(matrix(f), tree) if len(f) else [], pa.int32())}, ["features"], "prediction int")
+    own = slice(t.trees.index(tree), t.trees.index(tree) + 1)
+    return add_columns(df, lambda f: {"prediction": pa.array(t.predict(matrix(f), own)[:, 0] if len(f) else [], pa.int32())}, ["features"], "prediction int")
 
 
 def forest_predict(df: DataFrame, nodes: DataFrame | Trees) -> DataFrame:
     """Adds votes (a count a class) and prediction: the class with most trees, the lowest of equals."""
     t = _of(nodes)
-    classes = 1 + max(v[1] for tree in t.nodes.values() for v in tree.values())
+    classes = 1 + int(t.prediction.max(initial=0))
 
     def make(f):
         x = matrix(f)
         votes = np.zeros((len(x), classes), np.int32)
-        for tree in t.nodes if len(x) else ():
-            votes[np.arange(len(x)), t.predict(x, tree)] += 1
+        for a in range(0, len(x), ROWS_AT_ONCE):
+            own = t.predict(x[a : a + ROWS_AT_ONCE])
+            cells = np.arange(len(own))[:, None] * classes + own
+            votes[a : a + len(own)] = np.bincount(cells.reshape(-1), minlength=len(own) * classes).reshape(-1, classes)
         flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * classes), pa.array(votes.reshape(-1), pa.int32()))
         return {"votes": flat, "prediction": pa.array(votes.argmax(axis=1) if len(x) else [], pa.int32())}
 
@@ -168,9 +211,57 @@ def _weights(boots: pa.Array, trees: int) -> np.ndarray:
     return out
 
 
+def _draw_int(text: str) -> int:
+    return int(hashlib.md5(text.encode()).hexdigest()[:13], 16)
+
+
 def _features(seed: int, tree: int, node: int, d: int, m: int) -> list[int]:
-    """The m features that a node may split on, in their drawn order; told again wherever they are needed."""
-    return sorted(range(d), key=lambda f: hashlib.md5(f"{seed}:{tree}:{node}:{f}".encode()).hexdigest())[:m]
+    """What feature_subset draws, in the drawn order; told again wherever it is needed, by m numbers."""
+    taken: dict[int, None] = {}
+    for j in range(d - m, d):
+        t = _draw_int(f"{seed}:{tree}:{node}:{j}") % (j + 1)
+        taken[j if t in taken else t] = None
+    return list(taken)
+
+
+def _cuts(seen: DataFrame, t: int, seed: int) -> dict:
+    """(tree, node, feature) -> sorted thresholds, of the distinct values ``v`` of each (up to t + 2 of them, and the extremes).
+
+    They are decided in tasks, where the values meet; as columns of OPEN_AT_ONCE lists at most they pass the driver to all tasks.
+    """
+    lo, hi = F.get("v", 0), F.element_at("v", -1)
+    middles = F.transform(F.slice("v", 2, F.size("v") - 1), lambda x, i: (x + F.get("v", i)) / 2)
+    drawn = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(t - 1)), lambda i: lo + draw_uniform(seed, "tree", "node", "feature", i) * (hi - lo)))
+    own = seen.where(F.size("v") > 1).select("tree", "node", "feature", F.when(F.size("v") <= t + 1, middles).otherwise(drawn).alias("cuts"))
+    return _lists(own, ("tree", "node", "feature"))
+
+
+def _lists(df: DataFrame, keys: tuple) -> dict:
+    """keys -> the numbers of ``cuts``, as columns to the driver."""
+    own = df.toArrow()
+    if not own.num_rows:
+        return {}
+    cuts = own["cuts"].combine_chunks()
+    flat, ends = cuts.flatten().to_numpy(), np.cumsum(np.append(0, cuts.value_lengths().to_numpy()))
+    return {key: flat[a:b] for key, a, b in zip(zip(*[own[c].to_pylist() for c in keys]), ends[:-1].tolist(), ends[1:].tolist())}
+
+
+def _split_of(c: np.ndarray, cut: np.ndarray, classes: int, min_leaf: int) -> tuple[float, float]:
+    """(score, threshold) of the best split by class counts of the gaps between thresholds; infinite without one."""
+    left = c.reshape(-1, classes).cumsum(axis=0)
+    left, right = left[:-1], left[-1] - left[:-1]
+    nl, nr = left.sum(axis=1), right.sum(axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        score = np.round((nl - (left**2).sum(axis=1) / nl + nr - (right**2).sum(axis=1) / nr) / (nl + nr), 12)
+    score[(nl < min_leaf) | (nr < min_leaf)] = np.inf
+    best = int(np.argmin(score))
+    return float(score[best]), float(cut[best])
+
+
+def _runs(key: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+    """``rows`` by equal keys."""
+    by = np.argsort(key, kind="stable")
+    return np.split(rows[by], np.flatnonzero(np.diff(key[by])) + 1) if len(by) else []
 
 
 def _level(rows: DataFrame, trees: Trees, n_trees: int, open_: list, d: int, classes: int, t: int, min_leaf: int, m: int, seed: int):
@@ -181,6 +272,7 @@ def _level(rows: DataFrame, trees: Trees, n_trees: int, open_: list, d: int, cla
     splits are found in tasks, and the driver gets one row a node.
     """
     wanted = set(open_)
+    asked = sorted({tree for tree, _ in wanted})
     most = t + 2
 
     def grouped(batches):
@@ -189,15 +281,14 @@ def _level(rows: DataFrame, trees: Trees, n_trees: int, open_: list, d: int, cla
             x, y = matrix(b.column("features")), b.column("label").to_numpy()
             if not len(x):
                 continue
-            weights = _weights(b.column("boots"), n_trees)
-            for tree in sorted({k[0] for k in wanted}):
-                at = trees.place(x, tree)
-                used = weights[:, tree] > 0
-                for node in np.unique(at[used]).tolist():
+            weights, at = _weights(b.column("boots"), n_trees), trees.place(x)
+            for tree in asked:
+                used = np.flatnonzero(weights[:, tree])
+                for i in _runs(at[used, tree], used):
+                    node = int(trees.node[at[i[0], tree]])
                     if (tree, node) in wanted:
                         if (tree, node) not in drawn:
                             drawn[tree, node] = _features(seed, tree, node, d, m)
-                        i = np.flatnonzero((at == node) & used)
                         yield tree, node, drawn[tree, node], x[i], y[i], weights[i, tree]
 
     def values(batches):
@@ -220,13 +311,7 @@ def _level(rows: DataFrame, trees: Trees, n_trees: int, open_: list, d: int, cla
 
     ddl = "tree int, node long, place int, feature int, v array<double>"
     seen = rows.mapInArrow(values, ddl).groupBy("tree", "node", "feature").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("v")))).alias("v"))
-    seen = seen.where(F.size("v") > 1).select("tree", "node", "feature", F.when(F.size("v") <= t + 1, F.col("v")).otherwise(F.array(F.get("v", 0), F.element_at("v", -1))).alias("v"), (F.size("v") <= t + 1).alias("few"))
-    thresholds = {}
-    for r in seen.collect():  # OPEN_AT_ONCE pairs at most
-        v = r["v"]
-        draws = [(a + b) / 2 for a, b in zip(v, v[1:])] if r["few"] else [v[0] + _draw(f"{seed}:{r['tree']}:{r['node']}:{r['feature']}:{i}") * (v[-1] - v[0]) for i in range(t)]
-        thresholds[r["tree"], r["node"], r["feature"]] = np.sort(draws)
-    cuts = rows.sparkSession.sparkContext.broadcast(thresholds)
+    cuts = rows.sparkSession.sparkContext.broadcast(_cuts(seen, t, seed))
 
     def counts(batches):
         total: dict = {}
@@ -251,14 +336,7 @@ def _level(rows: DataFrame, trees: Trees, n_trees: int, open_: list, d: int, cla
             return
         v, f = c, head["feature"][0].as_py()
         if f >= 0:
-            left = c.reshape(-1, classes).cumsum(axis=0)
-            left, right = left[:-1], left[-1] - left[:-1]
-            nl, nr = left.sum(axis=1), right.sum(axis=1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                score = np.round((nl - (left**2).sum(axis=1) / nl + nr - (right**2).sum(axis=1) / nr) / (nl + nr), 12)
-            score[(nl < min_leaf) | (nr < min_leaf)] = np.inf
-            best = int(np.argmin(score))
-            v = np.array([score[best], cuts.value[head["tree"][0].as_py(), head["node"][0].as_py(), f][best]])
+            v = np.array(_split_of(c, cuts.value[head["tree"][0].as_py(), head["node"][0].as_py(), f], classes, min_leaf))
         yield pa.RecordBatch.from_pydict(head | {"v": lists(v[None])})
 
     judged = rows.mapInArrow(counts, ddl).groupBy("tree", "node", "feature").applyInArrow(judge, ddl)
@@ -300,7 +378,7 @@ def forest_fit(
         while open_:
             found, children, keys, step = {}, {}, list(open_), max(1, OPEN_AT_ONCE // m)
             for at in range(0, len(keys), step):
-                found |= _level(rows, Trees(done), num_trees, keys[at : at + step], d, classes, num_thresholds, min_samples_leaf, m, seed)
+                found |= _level(rows, Trees(done, num_trees), num_trees, keys[at : at + step], d, classes, num_thresholds, min_samples_leaf, m, seed)
             for key, depth in open_.items():
                 c, best = found[key]
                 prediction, n = int(np.argmax(c)), c.sum()

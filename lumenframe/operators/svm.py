@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,7 +79,9 @@ def svm_fit(df: DataFrame, lr: float = 0.01, reg: float = 1e-4, epochs: int = 30
     """(weights, history) from features and label 0 .. C - 1.
 
     average: in every epoch each partition goes through its rows in drawn mini-batches from the shared weights, and the
-    results are averaged by rows; with one partition this is sequential mini-batch descent. batch: one step of the whole
+    results are averaged by rows; with one partition this is sequential mini-batch descent. The rows are kept once, on disk
+    where memory ends; each epoch sorts a partition by a hash of row and epoch, which spills, and streams it: a task holds
+    an Arrow batch and a mini-batch, however long its partition is. batch: one step of the whole
     gradient an epoch. The rate is lr / sqrt(epoch + 1). The loss of a batch takes margins before and the penalty after
     its update; history holds their mean. Only the weights, C x d, pass the driver.
     """
@@ -86,45 +91,61 @@ def svm_fit(df: DataFrame, lr: float = 0.01, reg: float = 1e-4, epochs: int = 30
     if df.where(F.size("features") != first["d"]).limit(1).count() or df.where(F.col("label").isNull()).limit(1).count():
         raise ValueError("vectors of one length and labels are needed")
     c = n_classes or int(df.agg(F.max("label")).first()[0]) + 1
+    kept = None
+    if mode != "batch":
+        kept = df.select(F.col("features").cast("array<float>").alias("features"), "label", F.monotonically_increasing_id().alias("row")).persist(StorageLevel.MEMORY_AND_DISK)
     w, b = np.random.default_rng(seed).normal(0, init, (c, first["d"])) if init else np.zeros((c, first["d"])), np.zeros(c)
     history = []
-    for epoch in range(epochs):
-        rate = lr / np.sqrt(epoch + 1)
-        if mode == "batch":
-            n, hinge, gw, gb = _sums(df, w, b)
-            w, b = w - rate * (gw / n + reg * w), b - rate * gb / n
-            history.append((epoch, hinge / n + reg / 2 * float((w * w).sum())))
-        else:
-            w, b, loss = _local_epoch(df, w, b, rate, reg, batch_size, (seed, epoch))
-            history.append((epoch, loss))
+    try:
+        for epoch in range(epochs):
+            rate = lr / np.sqrt(epoch + 1)
+            if mode == "batch":
+                n, hinge, gw, gb = _sums(df, w, b)
+                w, b = w - rate * (gw / n + reg * w), b - rate * gb / n
+                history.append((epoch, hinge / n + reg / 2 * float((w * w).sum())))
+            else:
+                w, b, loss = _local_epoch(kept.sortWithinPartitions(F.xxhash64("row", F.lit(seed), F.lit(epoch)), "row"), w, b, rate, reg, batch_size)
+                history.append((epoch, loss))
+    finally:
+        if kept is not None:
+            kept.unpersist()
     spark = df.sparkSession
     return weight_rows(spark, w, b), spark.createDataFrame(history, "epoch int, loss double")
 
 
-def _local_epoch(df, w0, b0, rate, reg, size, seed):
+def mini_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(features, labels) of ``size`` consecutive rows each, across Arrow batches; the last may have fewer."""
+    x = y = None
+    for batch in batches:
+        if batch.num_rows:
+            own = matrix(batch.column("features"), np.float32), batch.column("label").to_numpy()
+            x, y = own if x is None or not len(x) else (np.concatenate([x, own[0]]), np.concatenate([y, own[1]]))
+            whole = len(x) - len(x) % size
+            for at in range(0, whole, size):
+                yield x[at : at + size].astype(np.float64), y[at : at + size]
+            x, y = x[whole:].copy(), y[whole:].copy()
+    if x is not None and len(x):
+        yield x.astype(np.float64), y
+
+
+def _local_epoch(rows: DataFrame, w0: np.ndarray, b0: np.ndarray, rate: float, reg: float, size: int):
     c, d = w0.shape
 
     def run(batches):
-        rows = [(matrix(b.column("features"), np.float32), b.column("label").to_numpy()) for b in batches if b.num_rows]
-        if not rows:
-            return
-        x, y = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-        from pyspark import TaskContext
-
-        order = np.random.default_rng((*seed, TaskContext.get().partitionId())).permutation(len(x))
-        w, b, losses = w0.copy(), b0.copy(), []
-        for at in range(0, len(x), size):
-            i = order[at : at + size]
-            hinge, gw, gb = batch_gradient(x[i].astype(np.float64), y[i], w, b)
-            w -= rate * (gw / len(i) + reg * w)
-            b -= rate * gb / len(i)
-            losses.append(hinge / len(i) + reg / 2 * float((w * w).sum()))
-        own = np.concatenate([w, b[:, None], np.full((c, 1), np.mean(losses))], axis=1) * len(x)  # a row a class
-        yield pa.RecordBatch.from_arrays([pa.array(range(c), pa.int32()), pa.array([float(len(x))] * c), lists(own)], names=["k", "n", "sums"])
+        w, b, n, losses = w0.copy(), b0.copy(), 0, []
+        for x, y in mini_batches(batches, size):
+            hinge, gw, gb = batch_gradient(x, y, w, b)
+            w -= rate * (gw / len(x) + reg * w)
+            b -= rate * gb / len(x)
+            n += len(x)
+            losses.append(hinge / len(x) + reg / 2 * float((w * w).sum()))
+        if n:
+            own = np.concatenate([w, b[:, None], np.full((c, 1), np.mean(losses))], axis=1) * n  # a row a class
+            yield pa.RecordBatch.from_arrays([pa.array(range(c), pa.int32()), pa.array([float(n)] * c), lists(own)], names=["k", "n", "sums"])
 
     ddl = "k int, n double, sums array<double>"
-    rows = sorted(sum_arrays(df.select("features", "label").mapInArrow(run, ddl), ["k"], ddl).collect(), key=lambda r: r["k"])
-    mean = np.array([r["sums"] for r in rows]) / rows[0]["n"]
+    found = sorted(sum_arrays(rows.select("features", "label").mapInArrow(run, ddl), ["k"], ddl).collect(), key=lambda r: r["k"])
+    mean = np.array([r["sums"] for r in found]) / found[0]["n"]
     return mean[:, :d], mean[:, d], float(mean[0, -1])
 
 

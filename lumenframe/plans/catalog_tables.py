@@ -351,8 +351,8 @@ def tre2(s, d):
 
 
 def tre3(s, d):
-    long = _long(s, d)
-    return best_split(long, candidate_thresholds(long, 16), 2).select("node", "feature", _r("threshold"), _r("score"))
+    rows = fx.big(s, d).select((F.col("id") % 3).alias("node"), "label", "features")
+    return best_split(rows, candidate_thresholds(_long(s, d), 16), 2).select("node", "feature", _r("threshold"), _r("score"))
 
 
 TRE3_SQL = with_fixtures(
@@ -369,9 +369,11 @@ def tre4(s, d):
 
 TRE4_SQL = with_fixtures(
     "fx_big",
-    more="n AS (SELECT DISTINCT (id % 5)::INT AS tree, id % 31 AS node FROM fx_big), k AS (SELECT tree, node, f::INT AS feature, row_number() OVER (PARTITION BY tree, node ORDER BY md5('42:' || tree || ':' || node || ':' || f), f) AS r FROM n, range(0, 64) AS a(f))",
-    then="SELECT tree, node, feature FROM k WHERE r <= 8",
-)
+    more="""n AS (SELECT DISTINCT (id % 5)::INT AS tree, id % 31 AS node FROM fx_big),
+dr AS (SELECT tree, node, j, ('0x' || substr(md5('42:' || tree || ':' || node || ':' || j), 1, 13))::BIGINT % (j + 1) AS t FROM n, range(56, 64) AS a(j)),
+fl(tree, node, j, own) AS (SELECT tree, node, 55, []::BIGINT[] FROM n UNION ALL SELECT fl.tree, fl.node, dr.j, list_append(own, CASE WHEN list_contains(own, dr.t) THEN dr.j ELSE dr.t END) FROM fl JOIN dr ON dr.tree = fl.tree AND dr.node = fl.node AND dr.j = fl.j + 1)""",
+    then="SELECT tree, node, unnest(own)::INT AS feature FROM fl WHERE j = 63",
+).replace("WITH ", "WITH RECURSIVE ", 1)
 
 ENTRIES = {
     "smp1_stratified_split": (smp1, _split_sql("fx_big", 0.1, 1)),

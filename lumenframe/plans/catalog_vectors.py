@@ -305,7 +305,7 @@ TRE5_SQL = with_fixtures(
 v AS (SELECT DISTINCT feature, x FROM lg), th AS (SELECT feature, (x + nx) / 2 AS threshold FROM (SELECT *, lead(x) OVER (PARTITION BY feature ORDER BY x) AS nx FROM v) WHERE nx IS NOT NULL),
 sd AS (SELECT feature, threshold, label, count(*) FILTER (x <= threshold)::DOUBLE AS l, count(*) FILTER (x > threshold)::DOUBLE AS r FROM lg JOIN th USING (feature) GROUP BY ALL),
 sc AS (SELECT feature, threshold, sum(l) AS nl, sum(r) AS nr, sum(l * l) AS ll, sum(r * r) AS rr FROM sd GROUP BY ALL),
-b AS (SELECT feature, threshold FROM sc WHERE nl >= 2 AND nr >= 2 ORDER BY round((nl - ll / nl + nr - rr / nr) / (nl + nr), 12), md5('42:0:0:' || feature), threshold LIMIT 1),
+b AS (SELECT feature, threshold FROM sc WHERE nl >= 2 AND nr >= 2 ORDER BY round((nl - ll / nl + nr - rr / nr) / (nl + nr), 12), feature, threshold LIMIT 1),
 p AS (SELECT 0 AS node, label FROM r UNION ALL SELECT CASE WHEN f[feature + 1] <= threshold THEN 1 ELSE 2 END, label FROM r, b),
 k AS (SELECT node, label, row_number() OVER (PARTITION BY node ORDER BY count(*) DESC, label) AS r FROM p GROUP BY node, label)""",
     then="SELECT 0 AS tree, node::BIGINT AS node, node > 0 AS is_leaf, label AS prediction, CASE WHEN node = 0 THEN (SELECT feature FROM b) ELSE -1 END AS feature, CASE WHEN node = 0 THEN round((SELECT threshold FROM b), 6) ELSE 0 END AS threshold FROM k WHERE r = 1",
@@ -326,7 +326,7 @@ RF1_SQL = with_fixtures(
 v AS (SELECT DISTINCT feature, x FROM lg), th AS (SELECT feature, (x + nx) / 2 AS threshold FROM (SELECT *, lead(x) OVER (PARTITION BY feature ORDER BY x) AS nx FROM v) WHERE nx IS NOT NULL),
 sd AS (SELECT feature, threshold, label, count(*) FILTER (x <= threshold)::DOUBLE AS l, count(*) FILTER (x > threshold)::DOUBLE AS r FROM lg JOIN th USING (feature) GROUP BY ALL),
 sc AS (SELECT feature, threshold, sum(l) AS nl, sum(r) AS nr, sum(l * l) AS ll, sum(r * r) AS rr FROM sd GROUP BY ALL),
-b AS (SELECT tree::INT AS tree, feature, threshold FROM (SELECT tree, feature, threshold, row_number() OVER (PARTITION BY tree ORDER BY round((nl - ll / nl + nr - rr / nr) / (nl + nr), 12), md5('7:' || tree || ':0:' || feature), threshold) AS o FROM sc, range(0, 3) AS a(tree) WHERE nl >= 2 AND nr >= 2) WHERE o = 1),
+b AS (SELECT tree::INT AS tree, feature, threshold FROM (SELECT tree, feature, threshold, row_number() OVER (PARTITION BY tree ORDER BY round((nl - ll / nl + nr - rr / nr) / (nl + nr), 12), feature, threshold) AS o FROM sc, range(0, 3) AS a(tree) WHERE nl >= 2 AND nr >= 2) WHERE o = 1),
 leaf AS (SELECT tree, side, label FROM (SELECT tree, f[feature + 1] <= threshold AS side, label, row_number() OVER (PARTITION BY tree, f[feature + 1] <= threshold ORDER BY count(*) DESC, label) AS o FROM tr, b GROUP BY tree, side, label) WHERE o = 1),
 vote AS (SELECT id, split, r.label, leaf.label AS p, count(*) AS n FROM r, b JOIN leaf ON leaf.tree = b.tree AND leaf.side = (r.f[b.feature + 1] <= b.threshold) GROUP BY ALL),
 pr AS (SELECT split, label, p FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, p) AS o FROM vote) WHERE o = 1),
@@ -335,6 +335,45 @@ c AS (SELECT split, k, count(*) FILTER (label = k) AS support, count(*) FILTER (
 )
 
 
+def _deep_rows(s, d):
+    """Four features with few values, so that thresholds are middles."""
+    f = F.col("features")
+    return fx.big(s, d).where("split = 'train'").select(F.col("id").alias("image_id"), "label", F.array(f[2] % 8, f[1] % 10, f[3] % 7, (F.col("id") % 5).cast("double")).alias("features"))
+
+
+def rf1_deep(s, d):
+    """The nodes of a forest of four levels, with bootstrap and with two of four features a node."""
+    nodes = forest.forest_fit(_deep_rows(s, d), num_trees=3, max_depth=4, max_features=2, seed=7)
+    return nodes.select("tree", "node", "is_leaf", "prediction", "feature", F.round("threshold", 6).alias("threshold"))
+
+
+def _draw_sql(*parts: str) -> str:
+    return "('0x' || substr(md5(" + " || ':' || ".join(parts) + "), 1, 13))::BIGINT"
+
+
+def _deep_sql(trees: int, depth: int, seed: int) -> str:
+    """Level after level: subsets of two of four features, thresholds, the best split, and the rows of the children."""
+    q = f"""i AS (SELECT id, label, [f[3] % 8, f[2] % 10, f[4] % 7, (id % 5)::DOUBLE] AS f, row_number() OVER (ORDER BY id) - 1 AS row FROM fx_big WHERE split = 'train'), m AS (SELECT count(*) AS n FROM i),
+w AS (SELECT tree::INT AS tree, {_draw_sql(f"'{seed}'", "tree", "draw")} % n AS row, count(*) AS w FROM m, range(0, {trees}) AS a(tree), range(0, n) AS b(draw) GROUP BY ALL),
+r0 AS MATERIALIZED (SELECT tree, 0 AS node, id, w, label, f FROM w JOIN i USING (row))"""
+    for k in range(depth + 1):
+        q += f""", n{k} AS (SELECT tree, node, label, sum(w)::DOUBLE AS k FROM r{k} GROUP BY ALL),
+a{k} AS (SELECT tree, node, sum(k) AS n, count(*) AS kinds, min_by(label, (-k, label)) AS prediction FROM n{k} GROUP BY ALL)"""
+        if k == depth:
+            break
+        q += f""", d{k} AS (SELECT tree, node, {_draw_sql(f"'{seed}'", "tree", "node", "'2'")} % 3 AS t, {_draw_sql(f"'{seed}'", "tree", "node", "'3'")} % 4 AS u FROM a{k}),
+s{k} AS (SELECT tree, node, 0 AS place, t AS feature FROM d{k} UNION ALL SELECT tree, node, 1, CASE WHEN u = t THEN 3 ELSE u END FROM d{k}),
+l{k} AS MATERIALIZED (SELECT tree, node, place, feature, f[feature + 1] AS x, label, sum(w)::DOUBLE AS w FROM r{k} JOIN s{k} USING (tree, node) GROUP BY ALL),
+t{k} AS (SELECT tree, node, place, (x + nx) / 2 AS threshold FROM (SELECT tree, node, place, x, lead(x) OVER (PARTITION BY tree, node, place ORDER BY x) AS nx FROM (SELECT DISTINCT tree, node, place, x FROM l{k})) WHERE nx IS NOT NULL),
+c{k} AS (SELECT tree, node, place, feature, threshold, label, sum(CASE WHEN x <= threshold THEN w ELSE 0 END) AS l, sum(CASE WHEN x > threshold THEN w ELSE 0 END) AS r FROM l{k} JOIN t{k} USING (tree, node, place) GROUP BY ALL),
+g{k} AS (SELECT tree, node, place, feature, threshold, sum(l) AS nl, sum(r) AS nr, sum(l * l) AS ll, sum(r * r) AS rr FROM c{k} GROUP BY ALL),
+b{k} AS (SELECT tree, node, feature, threshold FROM g{k} JOIN a{k} USING (tree, node) WHERE nl >= 2 AND nr >= 2 AND n >= 4 AND kinds >= 2 QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY round((nl - ll / nl + nr - rr / nr) / (nl + nr), 12), place, threshold) = 1),
+r{k + 1} AS MATERIALIZED (SELECT tree, 2 * node + CASE WHEN f[feature + 1] <= threshold THEN 1 ELSE 2 END AS node, id, w, label, f FROM r{k} JOIN b{k} USING (tree, node))"""
+    levels = [f"SELECT tree, node::BIGINT AS node, feature IS NULL AS is_leaf, prediction, coalesce(feature, -1)::INT AS feature, coalesce(round(threshold, 6), 0) AS threshold FROM a{k} LEFT JOIN b{k} USING (tree, node)" for k in range(depth)]
+    last = f"SELECT tree, node::BIGINT AS node, true AS is_leaf, prediction, -1 AS feature, 0 AS threshold FROM a{depth}"
+    return with_fixtures("fx_big", more=q, then=" UNION ALL ".join([*levels, last]))
+
+
 _NODES = [(t, 0, False, 0, t, 0.0) for t in range(3)] + [(t, n, True, (3 * t + n) % 5, -1, 0.0) for t in range(3) for n in (1, 2)]
 
 
@@ -491,6 +530,7 @@ ENTRIES = {
     "svm3_scores": (svm3, SVM3_SQL),
     "tre5_stump": (tre5, TRE5_SQL),
     "rf1_forest": (rf1, RF1_SQL),
+    "rf1_deep_forest": (rf1_deep, _deep_sql(3, 4, 7)),
     "rf2_tree_predict": (rf2, with_fixtures("fx_features", then="SELECT image_id, CASE WHEN f[2] <= 0 THEN 4 ELSE 0 END AS prediction FROM fx_features")),
     "rf3_forest_predict": (rf3, RF3_SQL),
     "inf1_predict_images": (inf1, INF1_SQL),

@@ -64,7 +64,8 @@ def test_digest_has_more_buckets_for_more_ids(spark):
 def test_best_split_equals_all_splits(spark):
     rng = np.random.default_rng(2)
     rows = [(int(rng.integers(0, 3)), int(rng.integers(0, 3)), [float(rng.integers(0, 5)), float(rng.normal())]) for _ in range(300)]
-    long = forest.long_features(spark.createDataFrame(rows, "node int, label int, features array<double>")).repartition(5)
+    df = spark.createDataFrame(rows, "node int, label int, features array<double>").repartition(5)
+    long = forest.long_features(df)
     cuts = forest.candidate_thresholds(long, 8)
     by = {}
     for r in cuts.collect():
@@ -80,5 +81,61 @@ def test_best_split_equals_all_splits(spark):
             if min(map(len, sides)) >= 2:
                 impurity = sum(len(s) - sum(s.count(c) ** 2 for c in set(s)) / len(s) for s in sides) / sum(map(len, sides))
                 want[node] = min(want.get(node, (math.inf,)), (round(impurity, 12), feature, t))
-    got = {r.node: (r.score, r.feature, r.threshold) for r in forest.best_split(long, cuts).collect()}
+    got = {r.node: (r.score, r.feature, r.threshold) for r in forest.best_split(df, cuts).collect()}
     assert {n: pytest.approx(v, abs=1e-9) for n, v in want.items()} == got
+
+
+def test_features_are_drawn_alike_in_sql_and_tasks(spark):
+    nodes = spark.range(40).select((F.col("id") % 4).cast("int").alias("tree"), F.col("id").alias("node"))
+    for d, m in ((10, 3), (5, 5), (7, 1)):
+        got = {}
+        for r in forest.feature_subset(nodes, d, m, 9).collect():
+            got.setdefault((r.tree, r.node), []).append(r.feature)
+        assert got == {(i % 4, i): forest._features(9, i % 4, i, d, m) for i in range(40)}
+        assert all(len(set(f)) == m and set(f) <= set(range(d)) for f in got.values())
+
+
+def test_compiled_trees_descend_as_their_nodes_say():
+    rng = np.random.default_rng(3)
+    rows = []
+    for tree in range(6):
+        open_ = [0]
+        while open_:
+            n = open_.pop()
+            leaf = n > 60 or rng.random() < 0.3
+            if not (n and rng.random() < 0.1):  # some nodes are open: not listed
+                rows.append((tree, n, leaf, int(rng.integers(0, 5)), -1 if leaf else int(rng.integers(0, 4)), 0.0 if leaf else float(rng.normal())))
+                open_ += [] if leaf else [2 * n + 1, 2 * n + 2]
+    x = rng.normal(size=(300, 4))
+    trees, listed = forest.Trees(rows), {(r[0], r[1]): r for r in rows}
+    at = trees.place(x)
+    for i in range(300):
+        for tree in range(6):
+            n = 0
+            while (tree, n) in listed and not listed[tree, n][2]:
+                _, _, _, _, f, threshold = listed[tree, n]
+                n = 2 * n + 1 + int(x[i, f] > threshold)
+            assert (trees.tree[at[i, tree]], trees.node[at[i, tree]]) == (tree, n)
+            assert (tree, n) not in listed or trees.prediction[at[i, tree]] == listed[tree, n][3]
+
+
+def test_mini_batches_hold_a_few_batches_only():
+    import tracemalloc
+
+    import pyarrow as pa
+    from lumenframe.functions.vectors import lists
+    from lumenframe.operators.svm import mini_batches
+
+    x = np.arange(1000 * 64, dtype=np.float32).reshape(1000, 64)
+
+    def stream(n):
+        for _ in range(n):
+            yield pa.RecordBatch.from_arrays([lists(x, pa.float32()), pa.array(np.arange(1000, dtype=np.int32))], names=["features", "label"])
+
+    whole = list(mini_batches(stream(3), 256))
+    assert [len(y) for _, y in whole] == [256] * 11 + [184]
+    assert np.array_equal(np.concatenate([a for a, _ in whole]), np.concatenate([x] * 3)) and whole[4][1][0] == 24
+    tracemalloc.start()
+    assert sum(len(y) for _, y in mini_batches(stream(100), 256)) == 100_000
+    assert tracemalloc.get_traced_memory()[1] < 5 * x.nbytes  # of a hundred batches
+    tracemalloc.stop()
