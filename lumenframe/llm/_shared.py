@@ -5,12 +5,17 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 
+#: Spark's own limit (spark.sql.sources.bucketing.maxBuckets).
+MOST_BUCKETS = 100_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. In local mode one of our own where it is unset."""
     sc = spark.sparkContext
@@ -25,7 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+class Tables(list):
+    """The paths of tables that one step of a query wrote; ``outer``: those of the step that it is part of."""
+
+    outer: Tables | None = None
+
+
+#: All tables that are left, and those of the step that this thread is in: queries in other threads have their own.
 _WRITTEN: list[str] = []
+_STEP: ContextVar[Tables | None] = ContextVar("lumenframe_step", default=None)
 
 
 def _at(spark: SparkSession, path: str):
@@ -44,6 +57,7 @@ def forget(spark: SparkSession) -> int:
     n = 0
     while _WRITTEN:
         n += _delete(spark, _WRITTEN.pop())
+    _STEP.set(None)
     return n
 
 
@@ -58,7 +72,7 @@ def stash(df: DataFrame, replaces: DataFrame | None = None, by: str | None = Non
     name = f"stash_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     if by:
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS)
         df.write.bucketBy(n, by).option("path", path).saveAsTable(name)
         out = spark.table(name)
     else:
@@ -67,6 +81,8 @@ def stash(df: DataFrame, replaces: DataFrame | None = None, by: str | None = Non
     files, at = _at(spark, path)
     files.deleteOnExit(at)
     _WRITTEN.append(path)
+    if _STEP.get() is not None:
+        _STEP.get().append(path)
     out._stashed = path
     if replaces is not None and getattr(replaces, "_stashed", None) in _WRITTEN:
         _WRITTEN.remove(replaces._stashed)
@@ -74,17 +90,25 @@ def stash(df: DataFrame, replaces: DataFrame | None = None, by: str | None = Non
     return out
 
 
-def written_so_far() -> int:
-    return len(_WRITTEN)
+def own_tables() -> Tables:
+    """From now on the tables that this thread writes belong to a step of their own, until clear()."""
+    step = Tables()
+    step.outer = _STEP.get()
+    _STEP.set(step)
+    return step
 
 
-def clear(spark: SparkSession, since: int, *but: DataFrame) -> None:
-    """Deletes the tables that were written since written_so_far() said ``since``, but for these."""
+def clear(spark: SparkSession, step: Tables, *but: DataFrame) -> None:
+    """Ends the step and deletes its tables but for these, which the step around it gets; no other query's."""
     kept = {getattr(df, "_stashed", None) for df in but}
-    for path in _WRITTEN[since:]:
-        if path not in kept:
+    for path in step:
+        if path in kept:
+            if step.outer is not None:
+                step.outer.append(path)
+        elif path in _WRITTEN:
             _WRITTEN.remove(path)
             _delete(spark, path)
+    _STEP.set(step.outer)
 
 
 def quoted(column: str) -> str:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import aside, clear, restored, stash, table, written_so_far
+from ._shared import aside, clear, restored, stash, table, own_tables
 from ._text import ALNUM_WORD, U64, Words, grams, release, slices, within
 
 WINDOW = 10
@@ -125,7 +125,7 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
     docs: a table bucketed by _key, so that its texts are not shuffled.
     """
-    mark = written_so_far()
+    mark = own_tables()
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     items = stash(items.select(F.xxhash64("item_id", F.col("text").isNull(), "text").alias("_item"), "item_id", "text"))
     lengths = sorted(r["n"] for r in items.mapInArrow(_lengths(window), "n int").distinct().collect())  # at most ``window`` values

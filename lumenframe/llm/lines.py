@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import aside, clear, restored, skew_join, stash, table, written_so_far
+from ._shared import aside, clear, restored, skew_join, stash, table, own_tables
 from ._text import BASE, STEP, U64, Words, mix, powers, release, slices
 
 #: Lines one word edit apart are repeats if that is at most a fifth of the longer one's words, so if it has 5 or more.
@@ -178,7 +178,7 @@ def near_earlier(distinct: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _dedup(docs: DataFrame) -> DataFrame:
     """docs (_doc, _key, text and others) with gone: the numbers of the lines to remove, or null."""
-    spark, mark = docs.sparkSession, written_so_far()
+    spark, mark = docs.sparkSession, own_tables()
     lines = stash(docs.select("_key", "_doc", "text").mapInArrow(_lines, "_key long, _doc long, number long, w long, h0 long, h1 long, h2 long, h3 long"))
     distinct = lines.groupBy("w").agg(F.min(F.struct("_doc", "number", "_key")).alias("lead"), F.count("*").alias("times"), *[F.any_value(f"h{i}").alias(f"h{i}") for i in range(4)])
     distinct = stash(distinct)

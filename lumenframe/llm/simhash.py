@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import aside, clear, quoted, restored, salted_join, skew_join, stash, table, with_fields, written_so_far
+from ._shared import aside, clear, quoted, restored, salted_join, skew_join, stash, table, with_fields, own_tables
 from ._text import U64, Words, grams, mix, release, slices, within
 
 SEED = 42
@@ -292,7 +292,7 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall
     """
     keyed = aside(docs).withColumn("_id", F.coalesce("doc_id", F.lit(2**63 - 1)))
     keyed = stash(keyed.withColumn("_row", F.xxhash64("_id", F.coalesce("text", F.lit("")))), by="_row")  # so that texts are not shuffled
-    mark = written_so_far()
+    mark = own_tables()
     bits, tables = plan_tables(keyed.count(), similarity, recall, radius)
     marked = stash(sketches(keyed, bits, tables, ("_id", "_row")))
     nodes = stash(marked.groupBy("node").agg(F.min(F.struct("_id", "_row")).alias("best"), F.any_value("sketch").alias("sketch")))

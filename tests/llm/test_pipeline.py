@@ -4,7 +4,8 @@ import pytest
 
 import corpus_pipeline
 from lumenframe import llm
-from lumenframe.llm import langid, lines, mixing
+from lumenframe.llm import _shared, langid, lines, mixing
+from lumenframe.llm._shared import forget, stash
 
 
 from ..compare import same
@@ -47,3 +48,35 @@ def test_stages(spark, sf_dir):
     assert {(r.doc_id, r.copy) for r in seen[5].collect()} == taken
     out = corpus_pipeline.run(spark, sf_dir)
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, seen[5].collect()))
+
+
+def test_run_leaves_only_what_its_result_reads(spark):
+    forget(spark)
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert out.count() > 0
+    assert len(_shared._WRITTEN) <= 3  # the fourth stage's result and the mix's counts
+
+
+def test_queries_in_two_threads_keep_their_tables(spark):
+    from threading import Barrier, Thread
+
+    both, seen = Barrier(2), {}
+
+    def query(name, first):
+        step = _shared.own_tables()
+        own = stash(spark.range(5))
+        both.wait()
+        if first:
+            _shared.clear(spark, step)
+        both.wait()
+        seen[name] = own if first else own.count()
+
+    threads = [Thread(target=query, args=(n, n == "a")) for n in "ab"]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert seen["b"] == 5
+    with pytest.raises(Exception):
+        seen["a"].count()
+    assert forget(spark) >= 1
