@@ -21,7 +21,7 @@ def test_query_equals_sql(spark, sf_dir, name):
 
 def test_every_operator_has_one_query():
     numbers = [int(n[2:].split("_")[0]) for n in llm.queries()]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
 
 
 def test_stages(spark, sf_dir):
