@@ -426,20 +426,24 @@ def inf1_trained(s, d):
 
 
 # -- image files -------------------------------------------------------------------------------------------------------
-def _bitmap_text(pixels: bytes) -> str:
-    """A 32 x 32 bitmap file whose bytes are all under 128, so that it is text, too: pixels keep 7 bits."""
-    x = (np.frombuffer(pixels, np.uint8).reshape(32, 32, 3) >> 1)[::-1, :, ::-1]  # rows from below, blue first
-    head = b"BM" + bytes([54, 12, 0, 0]) + bytes(4) + bytes([54, 0, 0, 0, 40, 0, 0, 0, 32, 0, 0, 0, 32, 0, 0, 0, 1, 0, 24, 0]) + bytes(4) + bytes([0, 12, 0, 0]) + bytes(16)
-    return (head + x.tobytes()).decode("ascii")
+def _bitmap_text(pixels: bytes, h: int, w: int) -> str:
+    """The first h rows and w columns of a 32 x 32 image as a bitmap file whose bytes are all under 128, so that it is text, too:
+    pixels keep 7 bits."""
+    x = (np.frombuffer(pixels, np.uint8).reshape(32, 32, 3)[:h, :w] >> 1)[::-1, :, ::-1]  # rows from below, blue first
+    rows = np.zeros((h, -(-3 * w // 4) * 4), np.uint8)
+    rows[:, : 3 * w] = x.reshape(h, -1)
+    size = rows.size.to_bytes(4, "little")
+    head = b"BM" + (rows.size + 54).to_bytes(4, "little") + bytes(4) + bytes([54, 0, 0, 0, 40, 0, 0, 0, w, 0, 0, 0, h, 0, 0, 0, 1, 0, 24, 0]) + bytes(4) + size + bytes(16)
+    return (head + rows.tobytes()).decode("ascii")
 
 
 def src4(s, d):
-    """Every image written as a file, read back as images, and summed up."""
+    """Every image written as a file, those of odd ids cut to 17 x 25, read back as images of one size, and summed up."""
     path = artifacts.scratch_path(s, "images")
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("image_id"), pa.array([_bitmap_text(x) for x in b.column("pixels").to_pylist()], pa.string())], names=["image_id", "value"])
+            yield pa.RecordBatch.from_arrays([b.column("image_id"), pa.array([_bitmap_text(x, *((17, 25) if i % 2 else (32, 32))) for i, x in zip(b.column("image_id").to_pylist(), b.column("pixels").to_pylist())], pa.string())], names=["image_id", "value"])
 
     files = fx.images(s, d).select("image_id", "pixels").mapInArrow(run, "image_id long, value string")
     files.write.partitionBy("image_id").text(path)
@@ -455,7 +459,20 @@ def src4(s, d):
     return own.select(F.regexp_extract("path", r"image_id=(\d+)", 1).cast("long").alias("image_id"), "height", "width", "channels", "total", "weighted")
 
 
-SRC4_SQL = with_fixtures("fx_px", then="SELECT image_id, 32::INT AS height, 32::INT AS width, 3::INT AS channels, sum(v // 2)::BIGINT AS total, sum((v // 2) * (i + 1))::BIGINT AS weighted FROM fx_px GROUP BY image_id")
+def _taps_sql(size: int) -> str:
+    """(o, j, w): how much source place j counts for place o of 32, by a triangle of the larger of both spacings."""
+    near = f"abs(j + 0.5 - (o + 0.5) * {size / 32}) / {max(size / 32, 1.0)}"
+    return f"SELECT o, j, w / sum(w) OVER (PARTITION BY o) AS w FROM (SELECT o, j, (1 - {near})::DOUBLE AS w FROM range(0, 32) AS a(o), range(0, {size}) AS b(j) WHERE {near} < 1)"
+
+
+SRC4_SQL = with_fixtures(
+    "fx_px",
+    more=f"""px AS (SELECT image_id, i // 96 AS y, (i // 3) % 32 AS x, i % 3 AS c, v // 2 AS v FROM fx_px), tx AS ({_taps_sql(25)}), ty AS ({_taps_sql(17)}),
+ax AS (SELECT image_id, y, tx.o AS x, c, floor(sum(v * w) + 0.5) AS v FROM px JOIN tx ON px.x = tx.j WHERE image_id % 2 = 1 AND y < 17 GROUP BY ALL),
+ay AS (SELECT image_id, ty.o AS y, x, c, floor(sum(v * w) + 0.5) AS v FROM ax JOIN ty ON ax.y = ty.j GROUP BY ALL),
+al AS (SELECT image_id, y, x, c, v FROM ay UNION ALL SELECT image_id, y, x, c, v FROM px WHERE image_id % 2 = 0)""",
+    then="SELECT image_id, 32::INT AS height, 32::INT AS width, 3::INT AS channels, sum(v)::BIGINT AS total, sum(v * ((y * 32 + x) * 3 + c + 1))::BIGINT AS weighted FROM al GROUP BY image_id",
+)
 
 
 def snk2(s, d):
