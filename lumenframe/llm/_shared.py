@@ -65,7 +65,8 @@ def stash(df: DataFrame, replaces: DataFrame | None = None, by: str | None = Non
     """Write ``df`` to the shared folder and read it back: later stages start from files, not from lineage.
 
     replaces: an earlier stash that nothing needs once this one is written; it is deleted. by: the table is bucketed by
-    this column, as many buckets as the session has shuffle partitions, so that joins on it don't shuffle the table.
+    this column, as many buckets as the session has shuffle partitions, so that joins on it don't shuffle the table; a
+    task should hold few of its values, as each may be a file.
     The table stays until the driver ends or forget() is called.
     """
     spark = df.sparkSession
@@ -90,6 +91,27 @@ def stash(df: DataFrame, replaces: DataFrame | None = None, by: str | None = Non
     return out
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """``df``, written to the shared folder with two more columns: _part, the task that wrote a row, and _at, the row's number.
+
+    One file a task, bucketed by _part: what is found out about rows later comes to them (answered), so that their texts
+    are not shuffled. Numbers are stored, so that they don't change if a task runs again. Equal rows have numbers of their own.
+    """
+    return stash(df.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), by="_part")
+
+
+def answered(rows: DataFrame, answers: DataFrame, column: str) -> DataFrame:
+    """rows (all rows of a table of placed(), any of its columns) with ``column`` of answers (one row an _at), or null.
+
+    Only _at and the answers are shuffled. The answers of a part are one list in the order of its rows, as long as one
+    task's file has rows, and a row takes its own by its number in the file.
+    """
+    each = skew_join(rows.select("_part", "_at"), answers.select("_at", column), "_at")
+    lists = each.groupBy("_part").agg(F.array_sort(F.collect_list(F.struct("_at", column))).alias("_answers"))
+    own = F.get("_answers", F.col("_at").bitwiseAND(F.lit(2**33 - 1)).cast("int"))
+    return rows.join(lists.hint("shuffle_hash"), "_part").withColumn(column, own[column]).drop("_answers")
+
+
 def own_tables() -> Tables:
     """From now on the tables that this thread writes belong to a step of their own, until clear()."""
     step = Tables()

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import aside, clear, restored, stash, table, own_tables
+from ._shared import answered, aside, clear, own_tables, placed, restored, skew_join, stash, table
 from ._text import ALNUM_WORD, U64, Words, grams, release, slices, within
 
 WINDOW = 10
@@ -121,20 +121,20 @@ def _prints(name: str, lengths: list[int], window: int, k: int, items: bool):
 
 
 def contaminated_texts(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """(_key, n_hit, items) of the rows of docs (_key, text) that hold a window of the benchmark; items: their distinct ids, sorted.
+    """(_at, n_hit, items) of the rows of docs that hold a window of the benchmark; items: their distinct ids, sorted.
 
-    docs: a table bucketed by _key, so that its texts are not shuffled.
+    docs: a table of placed(). Only texts that met a fingerprint of the benchmark are shuffled.
     """
     mark = own_tables()
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     items = stash(items.select(F.xxhash64("item_id", F.col("text").isNull(), "text").alias("_item"), "item_id", "text"))
     lengths = sorted(r["n"] for r in items.mapInArrow(_lengths(window), "n int").distinct().collect())  # at most ``window`` values
     right = stash(items.select("_item", "text").mapInArrow(_prints("_item", lengths, window, k, True), "_item long, gram long"))
-    left = docs.select("_key", "text").mapInArrow(_prints("_key", lengths, window, k, False), "_key long, gram long")
+    left = docs.select("_at", "text").mapInArrow(_prints("_at", lengths, window, k, False), "_at long, gram long")
     # fingerprints of a small benchmark go to every task if Spark's limit for that allows it; else both sides are shuffled
-    met = stash(left.join(right, "gram").select("_key", "_item").distinct())
-    runs = met.groupBy("_key").agg(F.ceil(F.count("*") / ITEMS_AT_ONCE).alias("runs"))
-    own = met.join(runs, "_key").join(items, "_item").groupBy("_key", F.pmod(F.xxhash64("_item"), "runs").alias("run")).agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
+    met = stash(left.join(right, "gram").select("_at", "_item").distinct())
+    runs = met.groupBy("_at").agg(F.ceil(F.count("*") / ITEMS_AT_ONCE).alias("runs"))
+    own = met.join(runs, "_at").join(items, "_item").groupBy("_at", F.pmod(F.xxhash64("_item"), "runs").alias("run")).agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
 
     def compare(batches):
         for b in batches:
@@ -144,22 +144,18 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                 spans = [{"a": x, "z": y} for x, y in sorted(set(zip(a.tolist(), z.tolist())))]
                 found = sorted({asked[j]["item_id"] for j in set(item.tolist())})
                 if found:
-                    yield pa.RecordBatch.from_arrays([b.column("_key").slice(i, 1), pa.array([spans], pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))), pa.array([found], pa.list_(pa.string()))], names=["_key", "spans", "items"])
+                    yield pa.RecordBatch.from_arrays([b.column("_at").slice(i, 1), pa.array([spans], pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))), pa.array([found], pa.list_(pa.string()))], names=["_at", "spans", "items"])
 
-    spans = docs.select("_key", "text").join(own.select("_key", "items").hint("shuffle_hash"), "_key").select("_key", "text", "items").mapInArrow(compare, "_key long, spans array<struct<a: long, z: long>>, items array<string>")
-    merged = spans.groupBy("_key").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    texts = answered(docs.select("_part", "_at", "text"), runs, "runs").where("runs IS NOT NULL").select("_at", "text")
+    spans = skew_join(own.select("_at", "items"), texts, "_at", "inner").select("_at", "text", "items").mapInArrow(compare, "_at long, spans array<struct<a: long, z: long>>, items array<string>")
+    merged = spans.groupBy("_at").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("hit"))
     covered = F.aggregate("spans", start, lambda s, x: F.struct(F.greatest(s["end"], x["z"]).alias("end"), (s["hit"] + F.greatest(x["z"] - F.greatest(s["end"], x["a"]), F.lit(0))).alias("hit")))
-    out = stash(merged.select("_key", covered["hit"].alias("n_hit"), "items"))
+    out = stash(merged.select("_at", covered["hit"].alias("n_hit"), "items"))
     clear(docs.sparkSession, mark, out)
     return out
 
 
-def _keyed(docs: DataFrame, *more) -> DataFrame:
-    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    return docs.select(F.xxhash64(doc_id.isNull(), doc_id, text).alias("_key"), text.alias("text"), *more)
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """For each row of docs (doc_id, text): doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
@@ -172,17 +168,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     Null text: no words. Null doc_id: a row like all others. Null item_id: the text "null"; equal ids count once. Repeated
     rows: a row each. Very long texts are read whole. Empty tables: no rows, or no hits. Other columns are not read.
     """
-    rows = stash(_keyed(docs, F.col("doc_id").cast("long").alias("doc_id")), by="_key")
+    rows = placed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
 
     def count(batches):
         for b in (part for batch in batches for part in slices(batch)):
-            yield pa.RecordBatch.from_arrays([b.column("_key"), b.column("doc_id"), pa.array(np.diff(_words(b.column("text")).first), pa.int64())], names=["_key", "doc_id", "n_words"])
+            yield pa.RecordBatch.from_arrays([b.column("_at"), b.column("doc_id"), pa.array(np.diff(_words(b.column("text")).first), pa.int64())], names=["_at", "doc_id", "n_words"])
         release()
 
-    counted = rows.mapInArrow(count, "_key long, doc_id long, n_words long")
+    counted = rows.select("_at", "doc_id", "text").mapInArrow(count, "_at long, doc_id long, n_words long")
     hits = contaminated_texts(rows, benchmark, window, k)
     ids = F.array_join("items", ",")
-    return counted.join(hits, "_key", "left").select(
+    return counted.join(hits, "_at", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.greatest(F.coalesce(F.size("items"), F.lit(0)), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(ids, F.lit("")), 256).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
     )
@@ -193,8 +189,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
     All else as in contamination; other columns come along whatever their names.
     """
-    rows = stash(_keyed(aside(docs), "_others"), by="_key")
-    return restored(rows.join(contaminated_texts(rows, benchmark, window).select("_key").hint("shuffle_hash"), "_key", "left_anti"), docs.columns)
+    rows = placed(aside(docs).select("text", "_others"))
+    hits = contaminated_texts(rows, benchmark, window).withColumn("_hit", F.lit(True))
+    return restored(answered(rows, hits, "_hit").where("_hit IS NULL"), docs.columns)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import aside, clear, restored, skew_join, stash, table, own_tables
+from ._shared import answered, aside, clear, own_tables, placed, restored, skew_join, stash, table
 from ._text import BASE, STEP, U64, Words, mix, powers, release, slices
 
 #: Lines one word edit apart are repeats if that is at most a fifth of the longer one's words, so if it has 5 or more.
@@ -84,7 +84,7 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def _lines(batches):
-    """Every line with words: _key, _doc, number, w, a hash of its words, and h0 .. h3, the keys of its halves."""
+    """Every line with words: _at, _doc, number, w, a hash of its words, and h0 .. h3, the keys of its halves."""
     for b in (part for batch in batches for part in slices(batch, limit=AT_ONCE)):
         lines = Lines(b.column("text"))
         row, columns = pa.array(lines.row), []
@@ -92,7 +92,7 @@ def _lines(batches):
             out, none = np.zeros(len(lines.row), np.int64), np.ones(len(lines.row), dtype=bool)
             out[line], none[line] = key.view(np.int64), False
             columns.append(pa.array(out, pa.int64(), mask=none))
-        yield pa.RecordBatch.from_arrays([b.column("_key").take(row), b.column("_doc").take(row), _long(lines.number), _long(lines.whole()), *columns], names=["_key", "_doc", "number", "w", "h0", "h1", "h2", "h3"])
+        yield pa.RecordBatch.from_arrays([b.column("_at").take(row), b.column("_doc").take(row), _long(lines.number), _long(lines.whole()), *columns], names=["_at", "_doc", "number", "w", "h0", "h1", "h2", "h3"])
     release()
 
 
@@ -152,7 +152,7 @@ def _sharing(ends: DataFrame) -> DataFrame:
 def near_earlier(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     """(w): distinct lines with an earlier one that is not equal but one word edit away.
 
-    distinct: w, lead (_doc, number, _key of the first occurrence), h0 .. h3. Lines that share neither half with another
+    distinct: w, lead (_doc, number, _at of the first occurrence), h0 .. h3. Lines that share neither half with another
     line drop out first, then those that share no three quarters: they have no neighbour. The others emit the key of every
     variant with one word deleted, and of the whole line. Equal keys: without the word at their places, the lines are
     equal. Two lines without words of the same place differ in one word; a line without a word is one insertion away from
@@ -162,8 +162,8 @@ def near_earlier(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     """
     halves = distinct.select("w", F.explode(F.array("h0", "h1", "h2", "h3")).alias("end")).where("end IS NOT NULL")
     leads = skew_join(_sharing(halves), distinct.select("w", "lead"), "w", "inner")
-    wanted = leads.groupBy("lead._key").agg(F.collect_set("lead.number").alias("wanted"))  # of one document
-    own = docs.select("_key", "_doc", "text").join(wanted.hint("shuffle_hash"), "_key").select("_doc", "text", "wanted")
+    wanted = leads.groupBy("lead._at").agg(F.collect_set("lead.number").alias("wanted"))  # of one document
+    own = answered(docs.select("_part", "_at", "_doc", "text"), wanted, "wanted").where("wanted IS NOT NULL").select("_doc", "text", "wanted")
     lines = stash(own.mapInArrow(_candidate_lines, "w long, _doc long, number long, line string").dropDuplicates(["w"]))
     close = _sharing(lines.mapInArrow(_quarters, "w long, end long"))
     entries = stash(lines.join(close.hint("merge"), "w", "left_semi").mapInArrow(_variants, "key long, place int, _doc long, number long, w long"))
@@ -177,23 +177,23 @@ def near_earlier(distinct: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _dedup(docs: DataFrame) -> DataFrame:
-    """docs (_doc, _key, text and others) with gone: the numbers of the lines to remove, or null."""
-    spark, mark = docs.sparkSession, own_tables()
-    lines = stash(docs.select("_key", "_doc", "text").mapInArrow(_lines, "_key long, _doc long, number long, w long, h0 long, h1 long, h2 long, h3 long"))
-    distinct = lines.groupBy("w").agg(F.min(F.struct("_doc", "number", "_key")).alias("lead"), F.count("*").alias("times"), *[F.any_value(f"h{i}").alias(f"h{i}") for i in range(4)])
+    """docs (_doc, text and others) with gone: the numbers of the lines to remove, or null."""
+    spark, docs = docs.sparkSession, placed(docs)  # so that texts are not shuffled
+    mark = own_tables()
+    lines = stash(docs.select("_at", "_doc", "text").mapInArrow(_lines, "_at long, _doc long, number long, w long, h0 long, h1 long, h2 long, h3 long"))
+    distinct = lines.groupBy("w").agg(F.min(F.struct("_doc", "number", "_at")).alias("lead"), F.count("*").alias("times"), *[F.any_value(f"h{i}").alias(f"h{i}") for i in range(4)])
     distinct = stash(distinct)
-    docs = stash(docs, by="_key")  # so that texts are not shuffled
     near = near_earlier(distinct, docs).withColumn("near", F.lit(True))
     judged = distinct.select("w", "lead", "times").join(near.hint("merge"), "w", "left").where("times > 1 OR near").select("w", F.struct("lead._doc", "lead.number").alias("lead"), F.coalesce("near", F.lit(False)).alias("near"))
-    gone = skew_join(lines.select("_key", "_doc", "number", "w"), stash(judged), "w", "inner").where(F.col("near") | (F.struct("_doc", "number") > F.col("lead")))
-    gone = stash(gone.groupBy("_key").agg(F.collect_set(F.col("number").cast("int")).alias("gone")))  # of one document
-    clear(spark, mark, docs, gone)
-    return docs.join(gone.hint("shuffle_hash"), "_key", "left")  # texts are not sorted
+    gone = skew_join(lines.select("_at", "_doc", "number", "w"), stash(judged), "w", "inner").where(F.col("near") | (F.struct("_doc", "number") > F.col("lead")))
+    gone = stash(gone.groupBy("_at").agg(F.collect_set(F.col("number").cast("int")).alias("gone")))  # of one document
+    clear(spark, mark, gone)
+    return answered(docs, gone, "gone")
 
 
-def _keyed(docs: DataFrame, *more) -> DataFrame:
+def _narrowed(docs: DataFrame, *more) -> DataFrame:
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    return docs.select(F.xxhash64(doc_id.isNull(), doc_id, text).alias("_key"), F.coalesce(doc_id, F.lit(2**63 - 1)).alias("_doc"), text.alias("text"), *more)
+    return docs.select(F.coalesce(doc_id, F.lit(2**63 - 1)).alias("_doc"), text.alias("text"), *more)
 
 
 def _left_text() -> tuple:
@@ -218,7 +218,7 @@ def dedup_lines(docs: DataFrame, with_text: bool = True) -> DataFrame:
     each. Very long texts are read whole. Empty table: no rows. Other columns are not read.
     """
     n_lines, left = _left_text()
-    out = _dedup(_keyed(docs, F.col("doc_id").cast("long").alias("doc_id"))).withColumns({"n_lines": n_lines, "text": left})
+    out = _dedup(_narrowed(docs, F.col("doc_id").cast("long").alias("doc_id"))).withColumns({"n_lines": n_lines, "text": left})
     words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), SPACE_RUN), lambda x: x != "")).cast("long")
     columns = ["doc_id", "n_lines", F.greatest(F.coalesce(F.size("gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")]
     return out.select(*columns, *(["text", words.alias("n_words")] if with_text else []))
@@ -230,7 +230,7 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     Null and wordless texts stay as they are. All else as in dedup_lines; other columns come along whatever their names.
     """
     inner = aside(docs)
-    lines = _dedup(_keyed(inner, "_others")).withColumn("text", _left_text()[1]).where(F.col("gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    lines = _dedup(_narrowed(inner, "_others")).withColumn("text", _left_text()[1]).where(F.col("gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     left = restored(lines, docs.columns)
     return left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 

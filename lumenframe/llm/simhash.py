@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import aside, clear, quoted, restored, salted_join, skew_join, stash, table, with_fields, own_tables
+from ._shared import answered, aside, clear, own_tables, placed, quoted, restored, salted_join, skew_join, stash, table, with_fields
 from ._text import U64, Words, grams, mix, release, slices, within
 
 SEED = 42
@@ -287,15 +287,16 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall
     whose fingerprints together are 4 standard deviations beyond the threshold's go.
 
     Null, empty and wordless texts are one group. Null doc_id: after all others. Repeated rows: one; of rows with one
-    doc_id and text but other columns that differ, the first by their JSON. Very long texts are read whole. Empty table:
+    doc_id and text but other columns that differ, that whose JSON of them has the smallest XXH64. Very long texts are read whole. Empty table:
     no rows. Other columns come along whatever their names and types.
     """
     keyed = aside(docs).withColumn("_id", F.coalesce("doc_id", F.lit(2**63 - 1)))
-    keyed = stash(keyed.withColumn("_row", F.xxhash64("_id", F.coalesce("text", F.lit("")))), by="_row")  # so that texts are not shuffled
+    keyed = placed(keyed)  # so that texts are not shuffled
     mark = own_tables()
     bits, tables = plan_tables(keyed.count(), similarity, recall, radius)
-    marked = stash(sketches(keyed, bits, tables, ("_id", "_row")))
-    nodes = stash(marked.groupBy("node").agg(F.min(F.struct("_id", "_row")).alias("best"), F.any_value("sketch").alias("sketch")))
+    ties = keyed.select("_id", F.xxhash64("_id", F.coalesce("text", F.lit(""))).alias("_row"), F.xxhash64(F.to_json("_others")).alias("_tie"), "_at", "text")
+    marked = stash(sketches(ties, bits, tables, ("_id", "_row", "_tie", "_at")))
+    nodes = stash(marked.groupBy("node").agg(F.min(F.struct("_id", "_row", "_tie", "_at")).alias("best"), F.any_value("sketch").alias("sketch")))
     fps = nodes.where("node != 0").select("node", F.posexplode("sketch").alias("tab", "fp"))
     found = links(fps, radius, bits, tables)
     side = lambda name: nodes.select(F.col("node").alias(name), F.col("sketch").alias(f"{name}_sketch"))
@@ -303,15 +304,13 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall
     p = acos(2 * similarity / (1 + similarity)) / pi
     most = bits * tables * p + 4 * (bits * tables * p * (1 - p)) ** 0.5
     pairs = stash(skew_join(skew_join(found, side("u"), "u", "inner"), side("v"), "v", "inner").where(differ <= most).select("u", "v"))
-    asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct().join(nodes, "node").select("node", "best._row")
-    texts = keyed.select("_row", "text").join(asked.hint("shuffle_hash"), "_row").groupBy("node").agg(F.any_value("text").alias("text"))
+    asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct().join(nodes, "node").select("node", "best._at")
+    texts = answered(keyed.select("_part", "_at", "text"), asked, "node").where("node IS NOT NULL")
     roots = components(similar_pairs(pairs, texts, similarity))
     rooted = skew_join(nodes.select("node", "best"), roots, "node").select(F.coalesce("root", "node").alias("root"), "best")
-    best = stash(rooted.groupBy("root").agg(F.min("best").alias("best")).select("best._row"))
+    best = stash(rooted.groupBy("root").agg(F.min("best").alias("best")).select("best._at", F.lit(True).alias("_best")))
     clear(docs.sparkSession, mark, best)
-    kept = keyed.join(best.hint("shuffle_hash"), "_row", "left_semi")
-    row = kept.groupBy("_row").agg(F.min_by(F.struct("text", "_others"), F.to_json("_others")).alias("row"))
-    return restored(row.select("row.text", "row._others"), docs.columns)
+    return restored(answered(keyed.select("_part", "_at", "text", "_others"), best, "_best").where("_best"), docs.columns)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
