@@ -346,11 +346,11 @@ def _level(rows: DataFrame, trees: Trees, n_trees: int, open_: list, d: int, cla
 
 
 def forest_fit(
-    df: DataFrame, num_trees: int = 50, max_depth: int = 15, min_samples_split: int = 4, min_samples_leaf: int = 2, max_features="sqrt", num_thresholds: int = 16, sample_fraction: float = 1.0, seed: int = 42, bootstrap: str | None = "exact", id_: str = "image_id", engine: str = "levels"
+    df: DataFrame, num_trees: int = 50, max_depth: int = 15, min_samples_split: int = 4, min_samples_leaf: int = 2, max_features="sqrt", num_thresholds: int = 16, sample_fraction: float = 1.0, seed: int = 42, bootstrap: str | None = "split", id_: str = "image_id", engine: str = "levels"
 ) -> DataFrame:
     """Nodes of ``num_trees`` trees from features and label 0 .. C - 1 (all of them present).
 
-    bootstrap: exact or poisson weights (bootstrap_weights), or None for every row once. engine ``ml`` returns Spark ML's
+    bootstrap: split, exact or poisson weights (bootstrap_weights), or None for every row once. engine ``ml`` returns Spark ML's
     fitted RandomForestClassificationModel instead, with its own stopping rules.
     """
     labels = sorted(r[0] for r in df.select("label").distinct().collect())
@@ -362,12 +362,14 @@ def forest_fit(
 
         vectors = df.select("label", array_to_vector(F.col("features").cast("array<double>")).alias("features"))
         return RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, minInstancesPerNode=min_samples_leaf, subsamplingRate=sample_fraction, seed=seed).fit(vectors)
-    from .sampling import bootstrap_weights
+    from .sampling import bootstrap_counts, bootstrap_weights
 
     d, classes = len(df.select("features").first()[0]), len(labels)
     m = subset_size(d, max_features)
     base = df.select(id_, "features", F.col("label").cast("int").alias("label"))
-    if bootstrap:
+    if bootstrap == "split":
+        base = base.join(bootstrap_counts(df.select(id_), id_, num_trees, sample_fraction, seed), id_)
+    elif bootstrap:
         w = bootstrap_weights(df.select(id_), id_, num_trees, sample_fraction, seed, bootstrap).groupBy(id_).agg(F.collect_list(F.struct(F.col("tree").cast("int").alias("tree"), F.col("weight").cast("int").alias("weight"))).alias("boots"))
         base = base.join(w, id_)
     else:

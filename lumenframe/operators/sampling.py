@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..functions.draws import draw_int, first_by_key, half_even, ranked
 from ..sources.artifacts import written
 
+#: Rows of a cell and cells of a group, where draws are split.
+CELL = 4096
+BOOTS = StructType([StructField("tree", IntegerType()), StructField("weight", IntegerType())])
+
 
 def stratified_split(df: DataFrame, label: str, id_: str, fraction: float = 0.1, seed: int = 42, min_per_class: int = 1) -> DataFrame:
     """Adds split: of each label max(min_per_class, round(n * fraction)) rows are ``validation``, the rest ``train``."""
@@ -66,13 +73,80 @@ def first_per_class(df: DataFrame, label: str = "label", id_: str = "image_id")
     return df.groupBy(label).agg(F.min(id_).alias(id_))
 
 
+class Splits:
+    """How often each of ``trees`` trees draws each of ``n`` rows in ``draws`` draws with replacement.
+
+    The draws of a tree are split between groups of cells by a multinomial draw, those of a group between its cells, those of
+    a cell between its rows. Every split is a function of seed, tree and place alone: any task works out the cells it
+    needs by itself, and all tasks agree.
+    """
+
+    def __init__(self, n: int, draws: int, trees: int, seed: int):
+        self.n, self.trees, self.seed = n, trees, seed
+        self.group_counts = self._split([draws] * trees, 0, 0, n, CELL * CELL)
+        self.group, self.cell_counts = -1, None
+
+    def _random(self, level: int, tree: int, place: int) -> np.random.Generator:
+        return np.random.default_rng([self.seed % (1 << 63), level, tree, place])
+
+    def _split(self, counts, level: int, place: int, rows: int, size: int) -> np.ndarray:
+        """(trees, parts): counts dealt over the parts of ``rows`` rows, ``size`` rows a part and the rest in the last."""
+        sizes = np.full(-(-rows // size), size, dtype=np.float64)
+        sizes[-1] = rows - size * (len(sizes) - 1)
+        return np.stack([self._random(level, tree, place).multinomial(c, sizes / rows) for tree, c in enumerate(counts)])
+
+    def cell(self, c: int) -> np.ndarray:
+        """(trees, rows of cell c): draws of each row."""
+        g = c // CELL
+        if g != self.group:
+            first = g * CELL * CELL
+            self.group, self.cell_counts = g, self._split(self.group_counts[:, g], 1, g, min(CELL * CELL, self.n - first), CELL)
+        rows = min(CELL, self.n - c * CELL)
+        own = self.cell_counts[:, c - g * CELL]
+        return np.stack([np.bincount(self._random(2, tree, c).integers(0, rows, k), minlength=rows) for tree, k in enumerate(own)])
+
+
+def bootstrap_counts(df: DataFrame, id_: str, n_trees: int, fraction: float = 1.0, seed: int = 42) -> DataFrame:
+    """(id, boots): the trees that draw a row and how often, max(2, round(n * fraction)) draws a tree with replacement.
+
+    Rows are numbered in the order of their ids; then each task splits the draws down to its own rows (Splits). No draw
+    passes a shuffle. A row that no tree draws has an empty list; rows of equal ids are drawn one by one.
+    """
+    rows = dense_index(df.select(id_), id_)
+    n = rows.count()
+    draws = max(2, round(n * fraction))
+    out = StructType([df.schema[id_], StructField("boots", ArrayType(BOOTS))])
+
+    def run(batches):
+        splits = Splits(n, draws, n_trees, seed) if n else None
+        at, last = -1, None
+        for b in batches:
+            row = b.column("row").to_numpy()
+            drawn = np.zeros((len(row), n_trees), np.int32)
+            for c in np.unique(row // CELL):
+                if c != at:
+                    at, last = c, splits.cell(int(c))
+                here = row // CELL == c
+                drawn[here] = last[:, row[here] - c * CELL].T
+            i, tree = np.nonzero(drawn)
+            ends = np.concatenate([[0], np.cumsum((drawn > 0).sum(axis=1))]).astype(np.int32)
+            pairs = pa.StructArray.from_arrays([pa.array(tree, pa.int32()), pa.array(drawn[i, tree], pa.int32())], names=["tree", "weight"])
+            yield pa.RecordBatch.from_arrays([b.column(id_), pa.ListArray.from_arrays(pa.array(ends), pairs)], names=[id_, "boots"])
+
+    return rows.select(id_, "row").mapInArrow(run, out)
+
+
 def bootstrap_weights(df: DataFrame, id_: str, n_trees: int, fraction: float = 1.0, seed: int = 42, mode: str = "exact") -> DataFrame:
     """(tree, id, weight): how often each tree draws each row.
 
-    exact: max(2, round(n * fraction)) draws a tree with replacement, over rows in the order of their ids. poisson: each
-    row's weight by itself from a Poisson draw, without any exchange; for large tables.
+    split: max(2, round(n * fraction)) draws a tree with replacement, without a shuffle of draws (bootstrap_counts); for
+    large tables. exact: as many, every draw by its own number, the same in SQL; trees x draws rows are shuffled. poisson:
+    each row's weight by itself from a Poisson draw, so a tree's total is not fixed.
     """
     trees = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree")
+    if mode == "split":
+        drawn = bootstrap_counts(df, id_, n_trees, fraction, seed)
+        return drawn.select(id_, F.explode("boots").alias("b")).select("b.tree", id_, F.col("b.weight").cast("long").alias("weight"))
     if mode == "poisson":
         u = draw_int(seed, "tree", id_) / F.lit(float(1 << 52))
         edges, p, total = [], 2.718281828459045 ** -fraction, 0.0

@@ -83,6 +83,16 @@ SMP8_SQL = with_fixtures(
 )
 
 
+def smp8_split(s, d):
+    """Draws split down to the rows: the total of each tree, and that it lists a row once."""
+    f = fx.big(s, d).select("id")
+    w = sampling.bootstrap_weights(f, "id", 3, 0.7, mode="split")
+    return w.join(f, "id").groupBy("tree").agg(F.sum("weight").alias("draws"), (F.count("*") == F.countDistinct("id")).alias("once"), (F.min("weight") >= 1).alias("drawn"))
+
+
+SMP8_SPLIT_SQL = with_fixtures("fx_big", then="SELECT t::INT AS tree, greatest(2, round_even(count(*) * 0.7::DOUBLE, 0))::BIGINT AS draws, true AS once, true AS drawn FROM fx_big, range(0, 3) AS a(t) GROUP BY t")
+
+
 def smp9(s, d):
     return sampling.split_digest(fx.features(s, d))
 
@@ -384,6 +394,7 @@ ENTRIES = {
     "smp6_sample_per_class": (smp6, with_fixtures("fx_features", more=f"r AS ({_ranked_sql('fx_features', 'image_id', 42, chr(115) + 'plit = ' + chr(39) + 'test' + chr(39))})", then="SELECT image_id, label, 'class_' || label AS class_name, format('class_{}_{:05d}.png', label, image_id) AS file_name FROM r WHERE rk <= 2")),
     "smp7_first_per_class": (smp7, with_fixtures("fx_big", then="SELECT label, min(id) AS id FROM fx_big GROUP BY label")),
     "smp8_bootstrap": (smp8, SMP8_SQL),
+    "smp8_bootstrap_split": (smp8_split, SMP8_SPLIT_SQL),
     "smp9_split_digest": (smp9, SMP9_SQL),
     "smp10_select_indices": (smp10, with_fixtures("fx_logits", then=f"SELECT image_id, label, prediction FROM fx_logits WHERE image_id IN ({', '.join(map(str, _PICK))})")),
     "smp11_split_counts": (smp11, with_fixtures("fx_big", then="SELECT split, label::VARCHAR AS label, count(*) AS n FROM fx_big GROUP BY ROLLUP (split, label)")),

@@ -343,7 +343,7 @@ def _deep_rows(s, d):
 
 def rf1_deep(s, d):
     """The nodes of a forest of four levels, with bootstrap and with two of four features a node."""
-    nodes = forest.forest_fit(_deep_rows(s, d), num_trees=3, max_depth=4, max_features=2, seed=7)
+    nodes = forest.forest_fit(_deep_rows(s, d), num_trees=3, max_depth=4, max_features=2, seed=7, bootstrap="exact")
     return nodes.select("tree", "node", "is_leaf", "prediction", "feature", F.round("threshold", 6).alias("threshold"))
 
 

@@ -139,3 +139,29 @@ def test_mini_batches_hold_a_few_batches_only():
     assert sum(len(y) for _, y in mini_batches(stream(100), 256)) == 100_000
     assert tracemalloc.get_traced_memory()[1] < 5 * x.nbytes  # of a hundred batches
     tracemalloc.stop()
+
+
+def test_split_draws_are_those_of_a_multinomial(monkeypatch):
+    monkeypatch.setattr(sampling, "CELL", 4)  # 70 rows: five groups, the last cut, its last cell too
+    n, draws, trees = 70, 90, 3000
+    whole = np.concatenate([sampling.Splits(n, draws, trees, 5).cell(c) for c in range(18)], axis=1)
+    assert whole.shape == (trees, n) and (whole.sum(axis=1) == draws).all()
+    p = 1 / n
+    assert np.abs(whole.mean(axis=0) - draws * p).max() < 5 * np.sqrt(draws * p / trees)
+    assert np.abs(whole.var(axis=0) / (draws * p * (1 - p)) - 1).max() < 0.2
+    pairs = np.cov(whole, rowvar=False)  # rows of one cell, one group and others alike
+    for i, j in ((0, 1), (0, 5), (0, 40), (3, 69)):
+        assert abs(pairs[i, j] + draws * p * p) < 0.1
+    late = sampling.Splits(n, draws, trees, 5)
+    assert np.array_equal(late.cell(17), whole[:, 68:]) and np.array_equal(late.cell(3), whole[:, 12:16])
+    assert not np.array_equal(whole[0], whole[1]) and not np.array_equal(sampling.Splits(n, draws, 1, 6).cell(0)[0], whole[0, :4])
+
+
+def test_split_bootstrap_does_not_depend_on_partitions(spark):
+    df = spark.range(9001).select((F.col("id") * 3).alias("id"))  # three cells
+    one, two = (sorted(map(tuple, sampling.bootstrap_weights(d, "id", 2, 0.5, 7, "split").collect())) for d in (df.repartition(1), df.repartition(13)))
+    assert one == two and [sum(w for t, _, w in one if t == tree) for tree in (0, 1)] == [4500, 4500]
+    texts = df.limit(5).select(F.col("id").cast("string").alias("name"))
+    counts = sampling.bootstrap_counts(texts, "name", 3)
+    assert counts.count() == 5 and counts.schema["name"].dataType.simpleString() == "string"
+    assert sampling.bootstrap_weights(df.limit(0), "id", 2, mode="split").count() == 0
