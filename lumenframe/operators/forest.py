@@ -171,6 +171,15 @@ class Trees:
     def predict(self, x: np.ndarray, trees: slice = slice(None)) -> np.ndarray:
         return self.prediction[self.place(x, trees)]
 
+    def votes(self, x: np.ndarray, classes: int) -> np.ndarray:
+        """(rows, classes): how many trees give each class."""
+        out = np.zeros((len(x), classes), np.int32)
+        for a in range(0, len(x), ROWS_AT_ONCE):
+            own = self.predict(x[a : a + ROWS_AT_ONCE])
+            cells = np.arange(len(own))[:, None] * classes + own
+            out[a : a + len(own)] = np.bincount(cells.reshape(-1), minlength=len(own) * classes).reshape(-1, classes)
+        return out
+
 
 def _of(nodes: DataFrame | Trees) -> Trees:
     """A node table is the size of a model."""
@@ -190,14 +199,8 @@ def forest_predict(df: DataFrame, nodes: DataFrame | Trees) -> DataFrame:
     classes = 1 + int(t.prediction.max(initial=0))
 
     def make(f):
-        x = matrix(f)
-        votes = np.zeros((len(x), classes), np.int32)
-        for a in range(0, len(x), ROWS_AT_ONCE):
-            own = t.predict(x[a : a + ROWS_AT_ONCE])
-            cells = np.arange(len(own))[:, None] * classes + own
-            votes[a : a + len(own)] = np.bincount(cells.reshape(-1), minlength=len(own) * classes).reshape(-1, classes)
-        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * classes), pa.array(votes.reshape(-1), pa.int32()))
-        return {"votes": flat, "prediction": pa.array(votes.argmax(axis=1) if len(x) else [], pa.int32())}
+        votes = t.votes(matrix(f), classes)
+        return {"votes": lists(votes, pa.int32()), "prediction": pa.array(votes.argmax(axis=1) if len(votes) else [], pa.int32())}
 
     return add_columns(df, make, ["features"], "votes array<int>, prediction int")
 

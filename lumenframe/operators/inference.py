@@ -87,9 +87,7 @@ def score_images(images: DataFrame, bundle: dict, feature: str | None = None, h:
         if weights is not None:
             s = x @ weights[0].T + weights[1]
             return {"scores": lists(s), "prediction": pa.array(s.argmax(axis=1), pa.int32())}
-        votes = np.zeros((len(x), n_classes), np.int64)
-        for tree in nodes.nodes:
-            votes[np.arange(len(x)), nodes.predict(x, tree)] += 1
+        votes = nodes.votes(x, n_classes)
         return {"scores": pa.nulls(len(x), pa.list_(pa.float64())), "prediction": pa.array(votes.argmax(axis=1), pa.int32())}
 
     return add_columns(images, make, ["pixels"], "scores array<double>, prediction int", drop=("pixels",))

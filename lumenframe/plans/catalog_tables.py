@@ -9,6 +9,7 @@ from ..operators import evidence, inference, metrics, runs, sampling
 from ..operators.forest import candidate_thresholds, best_split, feature_subset, gini
 from ..operators.svm import encode_labels
 from ..sources import images as src
+from ..sources.artifacts import scratch_path
 from . import fixtures as fx
 from .fixtures import with_fixtures
 
@@ -333,8 +334,14 @@ def src3(s, d):
 
 
 def src5(s, d):
-    files = fx.table(s, d, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.col("text").cast("binary").alias("content"), "doc_id")
-    expected = files.select("path", F.when(F.col("doc_id") % 10 == 0, F.md5(F.lit("altered").cast("binary"))).otherwise(F.md5("content")).alias("md5"))
+    """Documents written to files of a hundred, a line each, read as bytes and compared with a table of checksums in which each tenth is wrong."""
+    path = scratch_path(s, "files")
+    docs = fx.table(s, d, "documents").select(F.floor(F.col("doc_id") / 100).alias("part"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    docs.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").text(path)
+    files = src.read_files(s, path).withColumn("path", F.regexp_extract("path", r"part=\d+", 0)).where("path != ''")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "value"))), lambda x: F.concat(x["value"], F.lit("\n")))
+    own = docs.groupBy("part").agg(F.md5(F.array_join(lines, "").cast("binary")).alias("md5"))
+    expected = own.select(F.format_string("part=%d", "part").alias("path"), F.when(F.col("part") % 10 == 0, F.md5(F.lit("altered").cast("binary"))).otherwise(F.col("md5")).alias("md5"))
     return src.checksums(files, expected)
 
 
@@ -424,7 +431,7 @@ ENTRIES = {
     "inf5_prediction_records": (inf5, INF5_SQL),
     "src2_union_batches": (src2, SRC2_SQL),
     "src3_class_names": (src3, with_fixtures("fx_logits", "fx_classes", more="b AS (SELECT image_id, (label + image_id % 2 * 5)::BIGINT AS label FROM fx_logits)", then="SELECT image_id, b.label, class_name FROM b LEFT JOIN fx_classes c ON b.label = c.label")),
-    "src5_checksums": (src5, "SELECT source || '/' || doc_id AS path, md5(text) AS md5, doc_id % 10 <> 0 AS ok FROM documents"),
+    "src5_checksums": (src5, "SELECT 'part=' || (doc_id // 100) AS path, md5(string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id)) AS md5, (doc_id // 100) % 10 <> 0 AS ok FROM documents GROUP BY doc_id // 100"),
     "src6_manifest": (src6, with_fixtures("fx_logits", then="SELECT format('class_{}_{:05d}.png', label, image_id) AS file_name, label, 'class_' || label AS class_name, image_id AS test_index FROM fx_logits WHERE image_id % 2 = 0")),
     "lbl1_encode_labels": (lbl1, "SELECT event_id, event_type, (dense_rank() OVER (ORDER BY event_type) - 1)::INT AS class_index FROM events"),
     "tre1_gini": (tre1, with_fixtures("fx_big", more="k AS (SELECT id % 7 AS node, label, count(*) AS k FROM fx_big GROUP BY 1, 2)", then="SELECT node, sum(k)::BIGINT AS n, round(1 - sum(k::DOUBLE * k) / (sum(k)::DOUBLE * sum(k)), 9) AS gini FROM k GROUP BY node")),

@@ -418,6 +418,48 @@ o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY s DESC, k DESC
 )
 
 
+def inf1_hog(s, d):
+    """Images scored with a bundle of fixed weights over their histograms of gradients."""
+    i = np.arange(1764)
+    w = np.stack([((i * (3 * k + 2) + k) % 17 - 8) / 64.0 for k in range(10)])
+    bundle = {"feature": "hog", "parameters": {}, "classes": fx.CLASS_NAMES, "scaler": (np.full(1764, _INF1_MEAN), np.full(1764, _INF1_SCALE)), "weights": (w, np.arange(10) / 8.0)}
+    p = inference.predict_images(fx.images(s, d).where("split = 'test'"), bundle, 3)
+    return p.select("image_id", "label", "prediction", F.array_join(F.transform("top_k", lambda k: k["class"]), ",").alias("first"), F.round(F.col("top_k")[0]["score"], 2).alias("score"))
+
+
+INF1_HOG_SQL = with_fixtures(
+    "fx_px",
+    more="fx_gray AS (SELECT image_id, any_value(label) AS label, y, x, sum(v / 255.0::DOUBLE * CASE c WHEN 0 THEN 0.299::DOUBLE WHEN 1 THEN 0.587 ELSE 0.114 END) AS g FROM fx_px WHERE split = 'test' GROUP BY image_id, y, x), "
+    + _HOG.format(cell=4, n=8)
+    + """, bl AS (SELECT image_id, a.k AS byy, b.k AS bxx, ((cy - a.k) * 2 + cx - b.k) * 9 + bin AS j, v FROM ce, range(0, 7) AS a(k), range(0, 7) AS b(k) WHERE cy BETWEEN a.k AND a.k + 1 AND cx BETWEEN b.k AND b.k + 1),
+n1 AS (SELECT *, least(v / sqrt(sum(v * v) OVER (PARTITION BY image_id, byy, bxx) + 1e-12), 0.2) AS u FROM bl),
+n2 AS (SELECT image_id, (byy * 7 + bxx) * 36 + j AS i, ((u / sqrt(sum(u * u) OVER (PARTITION BY image_id, byy, bxx) + 1e-12))::FLOAT::DOUBLE - 0.5) / 0.25 AS x FROM n1),
+z AS (SELECT image_id, k, sum(x * ((i * (3 * k + 2) + k) % 17 - 8) / 64.0::DOUBLE) + k / 8.0::DOUBLE AS s FROM n2, range(0, 10) AS a(k) GROUP BY image_id, k),
+o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY s DESC, k DESC) AS r FROM z),
+lb AS (SELECT DISTINCT image_id, label FROM fx_gray)""",
+    then="SELECT image_id, any_value(label) AS label, (max(k) FILTER (r = 1))::INT AS prediction, string_agg('class_' || k, ',' ORDER BY r) FILTER (r <= 3) AS first, round(max(s), 2) AS score FROM o JOIN lb USING (image_id) GROUP BY image_id",
+)
+
+
+def inf1_forest(s, d):
+    """Images scored with a bundle of three fixed trees of two levels over their pixels; a forest has no scores, so ranks are of zeros."""
+    bundle = {"feature": "pixel", "parameters": {}, "classes": fx.CLASS_NAMES, "scaler": (np.full(3072, _INF1_MEAN), np.full(3072, _INF1_SCALE)), "nodes": s.createDataFrame(_PIXEL_NODES, forest.NODES)}
+    p = inference.predict_images(fx.images(s, d).where("split = 'test'"), bundle, 2)
+    return p.select("image_id", "label", "prediction", F.array_join(F.transform("top_k", lambda k: k["class"]), ",").alias("first"), F.col("top_k")[0]["score"].alias("score"))
+
+
+#: Inner nodes ask for pixels 100 * (node + 1) + 31 * tree; leaves 3 .. 6 have the classes (5 * tree + 2 * node) % 10.
+_PIXEL_NODES = [(t, n, False, 0, 100 * (n + 1) + 31 * t, 0.1 * n - 0.1) for t in range(3) for n in range(3)] + [(t, n, True, (5 * t + 2 * n) % 10, -1, 0.0) for t in range(3) for n in range(3, 7)]
+
+INF1_FOREST_SQL = with_fixtures(
+    "fx_px",
+    more="""a AS (SELECT image_id, any_value(label) AS label, t, n, any_value(((v / 255.0::DOUBLE)::FLOAT::DOUBLE - 0.5) / 0.25 > 0.1::DOUBLE * n - 0.1::DOUBLE) AS right FROM fx_px JOIN (SELECT t, n, 100 * (n + 1) + 31 * t AS i FROM range(0, 3) AS a(t), range(0, 3) AS b(n)) USING (i) WHERE split = 'test' GROUP BY image_id, t, n),
+l AS (SELECT c.image_id, c.label, (5 * c.t + 2 * (2 * c.n + 1 + c.right::INT)) % 10 AS p FROM a r JOIN a c ON c.image_id = r.image_id AND c.t = r.t AND r.n = 0 AND c.n = 1 + r.right::INT),
+k AS (SELECT image_id, label, p, row_number() OVER (PARTITION BY image_id ORDER BY count(*) DESC, p) AS r FROM l GROUP BY image_id, label, p)""",
+    then="SELECT image_id, label, p::INT AS prediction, 'class_9,class_8' AS first, 0.0::DOUBLE AS score FROM k WHERE r = 1",
+)
+
+
 def inf1_trained(s, d):
     """Images scored with a bundle fitted on the training images' pixels."""
     bundle = jobs.train_svm(preprocess.pixel_features(fx.images(s, d).where("split = 'train'")), fx.CLASS_NAMES, "pixel", epochs=2, mode="batch", n_classes=10)
@@ -426,24 +468,48 @@ def inf1_trained(s, d):
 
 
 # -- image files -------------------------------------------------------------------------------------------------------
-def _bitmap_text(pixels: bytes, h: int, w: int) -> str:
-    """The first h rows and w columns of a 32 x 32 image as a bitmap file whose bytes are all under 128, so that it is text, too:
-    pixels keep 7 bits."""
-    x = (np.frombuffer(pixels, np.uint8).reshape(32, 32, 3)[:h, :w] >> 1)[::-1, :, ::-1]  # rows from below, blue first
+#: Of the images whose id leaves 0, 1, 2, 3 by 4: height, width and channels of their files.
+_SHAPES = [(32, 32, 3), (17, 25, 3), (19, 41, 1), (37, 23, 4)]
+
+
+def _bitmap_text(x: np.ndarray) -> str:
+    """Bytes under 128 (h, w, 3) as a bitmap file that is text, too."""
+    h, w = x.shape[:2]
     rows = np.zeros((h, -(-3 * w // 4) * 4), np.uint8)
-    rows[:, : 3 * w] = x.reshape(h, -1)
+    rows[:, : 3 * w] = x[::-1, :, ::-1].reshape(h, -1)  # from below, blue first
     size = rows.size.to_bytes(4, "little")
     head = b"BM" + (rows.size + 54).to_bytes(4, "little") + bytes(4) + bytes([54, 0, 0, 0, 40, 0, 0, 0, w, 0, 0, 0, h, 0, 0, 0, 1, 0, 24, 0]) + bytes(4) + size + bytes(16)
     return (head + rows.tobytes()).decode("ascii")
 
 
+def _tiff_text(x: np.ndarray) -> str:
+    """Bytes under 128 (h, w, 1 or 4), gray or colour with alpha, as an uncompressed TIFF file that is text, too."""
+    h, w, c = x.shape
+    bits, start = 0x110, 0x120  # where the numbers of bits of four channels lie, and the pixels
+    tags = [(256, 3, 1, w), (257, 3, 1, h), (258, 3, c, 8 if c == 1 else bits), (259, 3, 1, 1), (262, 3, 1, 1 if c == 1 else 2), (273, 4, 1, start), (277, 3, 1, c), (278, 3, 1, h), (279, 4, 1, x.size)]
+    tags += [(338, 3, 1, 2)] if c == 4 else []
+    number = lambda v, n: int(v).to_bytes(n, "little")
+    head = b"II" + number(42, 2) + number(8, 4) + number(len(tags), 2) + b"".join(number(t, 2) + number(k, 2) + number(n, 4) + number(v, 4) for t, k, n, v in tags)
+    return ((head.ljust(bits, b"\0") + number(8, 2) * 4).ljust(start, b"\0") + x.tobytes()).decode("ascii")
+
+
+def _file_text(image_id: int, pixels: bytes) -> str:
+    """An image, repeated or cut to the shape of its id, as a file; pixels keep 7 bits, gray is red, alpha falls to the right."""
+    h, w, c = _SHAPES[image_id % 4]
+    x = np.frombuffer(pixels, np.uint8).reshape(32, 32, 3)[np.arange(h)[:, None] % 32, np.arange(w)[None, :] % 32] >> 1
+    if c == 4:
+        x = np.concatenate([x, np.broadcast_to((120 - np.arange(w)).astype(np.uint8)[None, :, None], (h, w, 1))], axis=2)
+    return _bitmap_text(x) if c == 3 else _tiff_text(np.ascontiguousarray(x[..., :c]))
+
+
 def src4(s, d):
-    """Every image written as a file, those of odd ids cut to 17 x 25, read back as images of one size, and summed up."""
+    """Every image written as a file (colour, cut, gray and wide, high with alpha), read back as images of one size, and summed up."""
     path = artifacts.scratch_path(s, "images")
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("image_id"), pa.array([_bitmap_text(x, *((17, 25) if i % 2 else (32, 32))) for i, x in zip(b.column("image_id").to_pylist(), b.column("pixels").to_pylist())], pa.string())], names=["image_id", "value"])
+            texts = [_file_text(i, x) for i, x in zip(b.column("image_id").to_pylist(), b.column("pixels").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("image_id"), pa.array(texts, pa.string())], names=["image_id", "value"])
 
     files = fx.images(s, d).select("image_id", "pixels").mapInArrow(run, "image_id long, value string")
     files.write.partitionBy("image_id").text(path)
@@ -460,23 +526,27 @@ def src4(s, d):
 
 
 def _taps_sql(size: int) -> str:
-    """(o, j, w): how much source place j counts for place o of 32, by a triangle of the larger of both spacings."""
-    near = f"abs(j + 0.5 - (o + 0.5) * {size / 32}) / {max(size / 32, 1.0)}"
-    return f"SELECT o, j, w / sum(w) OVER (PARTITION BY o) AS w FROM (SELECT o, j, (1 - {near})::DOUBLE AS w FROM range(0, 32) AS a(o), range(0, {size}) AS b(j) WHERE {near} < 1)"
+    """(o, j, a): how much source place j counts for place o of 32, by a triangle of the larger of both spacings."""
+    return f"SELECT * FROM (SELECT o, j, 2 * greatest({size}, 32) - abs(32 * (2 * j + 1) - {size} * (2 * o + 1)) AS a FROM range(0, 32) AS a(o), range(0, {size}) AS b(j)) WHERE a > 0"
 
 
 SRC4_SQL = with_fixtures(
     "fx_px",
-    more=f"""px AS (SELECT image_id, i // 96 AS y, (i // 3) % 32 AS x, i % 3 AS c, v // 2 AS v FROM fx_px), tx AS ({_taps_sql(25)}), ty AS ({_taps_sql(17)}),
-ax AS (SELECT image_id, y, tx.o AS x, c, floor(sum(v * w) + 0.5) AS v FROM px JOIN tx ON px.x = tx.j WHERE image_id % 2 = 1 AND y < 17 GROUP BY ALL),
-ay AS (SELECT image_id, ty.o AS y, x, c, floor(sum(v * w) + 0.5) AS v FROM ax JOIN ty ON ax.y = ty.j GROUP BY ALL),
-al AS (SELECT image_id, y, x, c, v FROM ay UNION ALL SELECT image_id, y, x, c, v FROM px WHERE image_id % 2 = 0)""",
-    then="SELECT image_id, 32::INT AS height, 32::INT AS width, 3::INT AS channels, sum(v)::BIGINT AS total, sum(v * ((y * 32 + x) * 3 + c + 1))::BIGINT AS weighted FROM al GROUP BY image_id",
+    more="sh AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {h}, {w}, {c})" for k, (h, w, c) in enumerate(_SHAPES)) + ") AS t(k, h, w, planes)), "
+    + "tp AS (" + " UNION ALL ".join(f"SELECT {n} AS size, o, j, a AS part FROM ({_taps_sql(n)})" for n in sorted({n for h, w, _ in _SHAPES for n in (h, w)})) + """),
+px AS (SELECT image_id, h, w, y + 32 * a.i AS y, x + 32 * b.i AS x, ch.c, v // 2 AS v FROM fx_px JOIN sh ON image_id % 4 = k, range(0, 2) AS a(i), range(0, 2) AS b(i), range(0, 3) AS ch(c) WHERE y + 32 * a.i < h AND x + 32 * b.i < w AND fx_px.c = CASE WHEN planes = 1 THEN 0 ELSE ch.c END),
+ax AS (SELECT image_id, h, y, o AS x, c, (2 * sum(v * part) + sum(part)) // (2 * sum(part)) AS v FROM px JOIN tp ON size = w AND j = x GROUP BY ALL),
+ay AS (SELECT image_id, o AS y, x, c, (2 * sum(v * part) + sum(part)) // (2 * sum(part)) AS v FROM ax JOIN tp ON size = h AND j = y GROUP BY ALL)""",
+    then="SELECT image_id, 32::INT AS height, 32::INT AS width, 3::INT AS channels, sum(v)::BIGINT AS total, sum(v * ((y * 32 + x) * 3 + c + 1))::BIGINT AS weighted FROM ay GROUP BY image_id",
 )
 
 
 def snk2(s, d):
-    return artifacts.predictions(fx.logits(s, d)).select("image_id", "label", "prediction", F.size("scores").alias("n_scores"))
+    """Predictions written and read back, those of odd images without an id."""
+    path = artifacts.scratch_path(s, "predictions")
+    rows = fx.logits(s, d).withColumn("image_id", F.when(F.col("image_id") % 2 == 0, F.col("image_id")))
+    artifacts.write_predictions(rows, path)
+    return s.read.parquet(path).select("image_id", "label", "prediction", F.size("scores").alias("n_scores"), F.round(F.element_at("scores", F.col("prediction") + 1), 6).alias("best"))
 
 
 def snk1(s, d):
@@ -508,16 +578,18 @@ def snk4(s, d):
 
 
 def src7(s, d):
-    """Metric records as JSON texts, read with the schema of the runs' reader."""
+    """Metric records, a file each, by the runs' reader."""
+    path = artifacts.scratch_path(s, "runs")
     r = fx.runs(s, d)
-    texts = r.select(F.to_json(F.struct("run", "feature", "model", "seed", F.struct(F.col("n_test").alias("test")).alias("samples"), F.struct("accuracy", "macro_f1").alias("test"))).alias("value"))
-    return texts.select(F.from_json("value", artifacts.RUN_RECORD).alias("r")).select("r.run", "r.feature", "r.model", F.col("r.samples.test").alias("n_test"), F.round("r.test.accuracy", 6).alias("accuracy"))
+    record = F.to_json(F.struct("run", "feature", "model", "seed", F.struct(F.col("n_test").alias("test")).alias("samples"), F.struct("accuracy", "macro_f1").alias("test")))
+    r.select(F.col("run").alias("folder"), record.alias("value")).write.partitionBy("folder").text(path)
+    return artifacts.read_runs(s, path).select("run", "feature", "model", F.col("samples.test").alias("n_test"), F.round("test.accuracy", 6).alias("accuracy"))
 
 
 ENTRIES = {
     "src1_planar_to_hwc": (src1, with_fixtures("fx_px", then=_sums_sql(_PX, "i", "fx_px"))),
     "src7_read_runs": (src7, with_fixtures("fx_runs", then="SELECT run, feature, model, n_test, round(accuracy, 6) AS accuracy FROM fx_runs")),
-    "snk2_predictions": (snk2, with_fixtures("fx_logits", then="SELECT image_id, label, prediction, 10 AS n_scores FROM fx_logits")),
+    "snk2_predictions": (snk2, with_fixtures("fx_logits", then="SELECT CASE WHEN image_id % 2 = 0 THEN image_id ELSE -1 END AS image_id, label, prediction, 10 AS n_scores, round(list_max(scores), 6) AS best FROM fx_logits")),
     "pre1_to_float": (pre1, with_fixtures("fx_px", then=_sums_sql(_PX, "i", "fx_px"))),
     "pre2_gray": (pre2, PRE2_SQL),
     "pre3_pixel_features": (pre3, with_fixtures("fx_px", then=_sums_sql(_PX, "i", "fx_px", keys="image_id, label"))),
@@ -551,6 +623,8 @@ ENTRIES = {
     "rf2_tree_predict": (rf2, with_fixtures("fx_features", then="SELECT image_id, CASE WHEN f[2] <= 0 THEN 4 ELSE 0 END AS prediction FROM fx_features")),
     "rf3_forest_predict": (rf3, RF3_SQL),
     "inf1_predict_images": (inf1, INF1_SQL),
+    "inf1_hog_bundle": (inf1_hog, INF1_HOG_SQL),
+    "inf1_forest_bundle": (inf1_forest, INF1_FOREST_SQL),
     "inf1_trained_bundle": (inf1_trained, None),
     "src4_read_images": (src4, SRC4_SQL),
 }

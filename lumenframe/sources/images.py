@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.vectors import binaries, bytes_matrix
 from ..operators.preprocess import planar_to_hwc  # noqa: F401  the planar source's second half
 
 MANIFEST = "images map<string, struct<label: int, class_name: string, test_index: long>>"
@@ -39,44 +40,60 @@ def with_class_name(df: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def resize_weights(size: int, target: int) -> np.ndarray:
-    """(target, size) weights of a triangle filter, widened when shrinking."""
-    scale = size / target
-    reach = max(scale, 1.0)
-    centre = (np.arange(target) + 0.5) * scale
-    w = np.maximum(0, 1 - np.abs((np.arange(size)[None, :] + 0.5 - centre[:, None]) / reach))
-    # only samples whose distance rounds into the support count
-    lo = np.maximum(np.floor(centre - reach + 0.5), 0)[:, None]
-    hi = np.minimum(np.floor(centre + reach + 0.5), size)[:, None]
-    at = np.arange(size)[None, :]
-    w = np.where((at >= lo) & (at < hi), w, 0)
-    return w / w.sum(axis=1, keepdims=True)
-
-
-def resize(image: np.ndarray, size: int) -> np.ndarray:
-    """(size, size, channels) bytes: across first, then down, rounded to bytes after each."""
-    to_byte = lambda x: np.clip(np.floor(x + 0.5), 0, 255)
-    across = to_byte(np.einsum("xj,ijc->ixc", resize_weights(image.shape[1], size), image.astype(np.float64)))
-    return to_byte(np.einsum("yi,ixc->yxc", resize_weights(image.shape[0], size), across)).astype(np.uint8)
+    """(target, size) weights of a triangle filter, widened when shrinking, as whole numbers: 2 max(size, target) less the
+    distance of both middles, counted in halves of 1 / (size * target) of the whole."""
+    middle = np.arange(max(size, target)) * 2 + 1
+    away = np.abs(target * middle[None, :size] - size * middle[:target, None])
+    return np.maximum(0, 2 * max(size, target) - away)
+
+
+#: Numbers that a resize holds at once.
+RESIZE_AT_ONCE = 1 << 22
+
+
+def resize(images: np.ndarray, size: int) -> np.ndarray:
+    """(n, size, size, channels) bytes of n images of one shape: across first, then down, rounded to bytes after each, halves
+    up. Sums are of whole numbers, so results don't depend on the order of adding."""
+    n, h, w, channels = images.shape
+    across, down = (resize_weights(k, size).astype(np.float64) for k in (w, h))
+    # floor((2 s + t) / 2 t) is s / t rounded
+    to_byte = lambda s, weights: np.floor((2 * s + weights.sum(axis=1)[:, None]) / (2 * weights.sum(axis=1)[:, None]))
+    out = np.empty((n, size, size, channels), np.uint8)
+    step = max(1, RESIZE_AT_ONCE // (h * w * channels))
+    for at in range(0, n, step):
+        some = images[at : at + step].astype(np.float64)
+        rows = to_byte(np.matmul(across, some), across)
+        done = to_byte(np.matmul(down, rows.reshape(len(some), h, -1)), down)
+        out[at : at + step] = done.reshape(len(some), size, size, channels)
+    return out
 
 
 def read_images(spark: SparkSession, path: str, size: int = 32) -> DataFrame:
-    """path, height, width, channels, pixels: image files as RGB of size x size. A file that is no image is left out."""
+    """path, height, width, channels, pixels: image files as RGB of size x size. Gray becomes three equal channels, alpha is
+    left out, and so is a file that is no image. Images of one shape in a batch are resized together."""
     raw = spark.read.format("image").option("dropInvalid", True).load(path)
     raw = raw.select(F.col("image.origin").alias("path"), F.col("image.height").alias("h"), F.col("image.width").alias("w"), F.col("image.nChannels").alias("c"), F.col("image.data").alias("data"))
 
     def run(batches):
         for b in batches:
-            pixels = []
-            for h, w, c, data in zip(*(b.column(k).to_pylist() for k in ("h", "w", "c", "data"))):
-                x = np.frombuffer(data, np.uint8).reshape(h, w, c)
-                x = np.repeat(x, 3, axis=2) if c == 1 else x[:, :, 2::-1]
-                pixels.append(resize(x, size).tobytes())
-            n = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column("path"), *[pa.array([v] * n, pa.int32()) for v in (size, size, 3)], pa.array(pixels, pa.binary())], names=["path", "height", "width", "channels", "pixels"])
+            n, shapes = b.num_rows, {}
+            for i, shape in enumerate(zip(*(b.column(k).to_pylist() for k in ("h", "w", "c")))):
+                shapes.setdefault(shape, []).append(i)
+            pixels = np.empty((n, size * size * 3), np.uint8)
+            for (h, w, c), at in shapes.items():
+                x = bytes_matrix(b.column("data").take(pa.array(at))).reshape(-1, h, w, c)
+                x = np.repeat(x, 3, axis=3) if c == 1 else x[..., 2::-1]
+                pixels[at] = resize(x, size).reshape(len(at), -1)
+            yield pa.RecordBatch.from_arrays([b.column("path"), *[pa.array([v] * n, pa.int32()) for v in (size, size, 3)], binaries(pixels)], names=["path", "height", "width", "channels", "pixels"])
 
     return raw.mapInArrow(run, "path string, height int, width int, channels int, pixels binary")
 
 
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, content of every file under path."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+
+
 def checksums(files: DataFrame, expected: DataFrame) -> DataFrame:
     """(path, md5, ok) of files (path, content) against expected (path, md5); no expectation is not ok."""
     own = files.select("path", F.md5("content").alias("md5"))
@@ -86,7 +103,7 @@ def checksums(files: DataFrame, expected: DataFrame) -> DataFrame:
 
 def verify_checksums(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:
     """checksums of the files under path; any that fails is an error."""
-    found = checksums(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content"), expected)
+    found = checksums(read_files(spark, path), expected)
     if not found.where(~F.col("ok")).isEmpty():
         raise ValueError("a file does not have its checksum")
     return found

@@ -2,6 +2,8 @@
 
 import struct
 import zlib
+from fractions import Fraction
+from math import floor
 
 import numpy as np
 import pytest
@@ -191,3 +193,33 @@ def test_runs_refuse(spark):
     assert runs.require_compatible(a, ["seed"]).count() == 2
     with pytest.raises(ValueError):
         inference.check_counts([1], [])
+
+
+def test_resize_equals_plain_loops(monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(images, "RESIZE_AT_ONCE", 3000)  # two images of 19 x 41 at once
+
+    def line(values, size):
+        step = Fraction(len(values), size)
+        out = []
+        for o in range(size):
+            near = [(max(Fraction(0), 1 - abs((j + Fraction(1, 2) - (o + Fraction(1, 2)) * step) / max(step, Fraction(1)))), int(v)) for j, v in enumerate(values)]
+            out.append(floor(sum(w * v for w, v in near) / sum(w for w, _ in near) + Fraction(1, 2)))
+        return out
+
+    for h, w, c in ((19, 41, 1), (37, 23, 3), (32, 32, 3), (1, 5, 3)):
+        x = rng.integers(0, 256, (3, h, w, c), dtype=np.uint8)
+        got = images.resize(x, 32)
+        for n in range(3):
+            for k in range(c):
+                across = np.array([line(row, 32) for row in x[n, :, :, k]])
+                want = np.array([line(column, 32) for column in across.T]).T
+                assert np.array_equal(got[n, :, :, k], want)
+
+
+def test_forest_bundles_score_images(spark):
+    rows = [(i, int(i >= 10), bytearray([0 if i < 10 else 255] * 3072)) for i in range(20)]
+    df = spark.createDataFrame(rows, "image_id long, label int, pixels binary")
+    bundle = jobs.train_forest(jobs.extract(df.withColumn("split", F.lit("train")), "pixel"), ["dark", "bright"], "pixel", num_trees=4, max_depth=2)
+    got = inference.predict_images(df, bundle, 2)
+    assert got.where("label = prediction AND scores IS NULL").count() == 20
