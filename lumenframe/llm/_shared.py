@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 from contextvars import ContextVar
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ from pyspark.sql.types import StructField, StructType
 
 #: Spark's own limit (spark.sql.sources.bucketing.maxBuckets).
 MOST_BUCKETS = 100_000
+#: Rows of an Arrow batch where whole texts go to Python: JVM and worker each hold a batch of them.
+TEXT_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,6 +65,39 @@ def forget(spark: SparkSession) -> int:
     return n
 
 
+#: Settings that writes of this library hold just now: how many writes, and the values before the first one.
+_HELD: dict[str, list] = {}
+_HOLDING = Lock()
+
+
+@contextmanager
+def _setting(spark: SparkSession, key: str, value):
+    """The session's setting while a table is written, the former one afterwards; writes of other threads share it."""
+    with _HOLDING:
+        held = _HELD.setdefault(key, [0, spark.conf.get(key, None)])
+        held[0] += 1
+        spark.conf.set(key, str(value))
+    try:
+        yield
+    finally:
+        with _HOLDING:
+            held[0] -= 1
+            if not held[0]:
+                del _HELD[key]
+                if held[1] is None:
+                    spark.conf.unset(key)
+                else:
+                    spark.conf.set(key, held[1])
+
+
+def stash_texts(df: DataFrame) -> DataFrame:
+    """stash of what Python makes of whole texts: they go to it by TEXT_ROWS rows at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key))
+    with _setting(df.sparkSession, key, min(now, TEXT_ROWS) if now > 0 else TEXT_ROWS):
+        return stash(df)
+
+
 def stash(df: DataFrame, replaces: DataFrame | None = None, by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later stages start from files, not from lineage.
 
@@ -96,8 +133,10 @@ def placed(df: DataFrame) -> DataFrame:
 
     One file a task, bucketed by _part: what is found out about rows later comes to them (answered), so that their texts
     are not shuffled. Numbers are stored, so that they don't change if a task runs again. Equal rows have numbers of their own.
+    All rows of a task are of one bucket: with a writer open for it, Spark doesn't sort whole texts by bucket first.
     """
-    return stash(df.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), by="_part")
+    with _setting(df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", 1):
+        return stash(df.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), by="_part")
 
 
 def answered(rows: DataFrame, answers: DataFrame, column: str) -> DataFrame:

@@ -50,7 +50,7 @@ def powers(n: int, base: np.uint64 = BASE) -> np.ndarray:
     return _powers(max(10, int(n).bit_length()), int(base))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in runs of rows with some ``limit`` bytes of text: work arrays grow with a run, not with a batch."""
     ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) + 8)
     at = 0

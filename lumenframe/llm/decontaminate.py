@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import answered, aside, clear, own_tables, placed, restored, skew_join, stash, table
+from ._shared import answered, aside, clear, own_tables, placed, restored, skew_join, stash, stash_texts, table
 from ._text import ALNUM_WORD, U64, Words, grams, release, slices, within
 
 WINDOW = 10
@@ -106,6 +106,7 @@ def _lengths(window: int):
         for b in (part for batch in batches for part in slices(batch)):
             n = np.diff(_words(b.column("text")).first)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(n[n > 0], window), pa.int32())], names=["n"])
+        release()
 
     return run
 
@@ -129,10 +130,10 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     items = stash(items.select(F.xxhash64("item_id", F.col("text").isNull(), "text").alias("_item"), "item_id", "text"))
     lengths = sorted(r["n"] for r in items.mapInArrow(_lengths(window), "n int").distinct().collect())  # at most ``window`` values
-    right = stash(items.select("_item", "text").mapInArrow(_prints("_item", lengths, window, k, True), "_item long, gram long"))
+    right = stash_texts(items.select("_item", "text").mapInArrow(_prints("_item", lengths, window, k, True), "_item long, gram long"))
     left = docs.select("_at", "text").mapInArrow(_prints("_at", lengths, window, k, False), "_at long, gram long")
     # fingerprints of a small benchmark go to every task if Spark's limit for that allows it; else both sides are shuffled
-    met = stash(left.join(right, "gram").select("_at", "_item").distinct())
+    met = stash_texts(left.join(right, "gram").select("_at", "_item").distinct())
     runs = met.groupBy("_at").agg(F.ceil(F.count("*") / ITEMS_AT_ONCE).alias("runs"))
     own = met.join(runs, "_at").join(items, "_item").groupBy("_at", F.pmod(F.xxhash64("_item"), "runs").alias("run")).agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
 
@@ -145,13 +146,14 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                 found = sorted({asked[j]["item_id"] for j in set(item.tolist())})
                 if found:
                     yield pa.RecordBatch.from_arrays([b.column("_at").slice(i, 1), pa.array([spans], pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))), pa.array([found], pa.list_(pa.string()))], names=["_at", "spans", "items"])
+        release()
 
     texts = answered(docs.select("_part", "_at", "text"), runs, "runs").where("runs IS NOT NULL").select("_at", "text")
     spans = skew_join(own.select("_at", "items"), texts, "_at", "inner").select("_at", "text", "items").mapInArrow(compare, "_at long, spans array<struct<a: long, z: long>>, items array<string>")
     merged = spans.groupBy("_at").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("hit"))
     covered = F.aggregate("spans", start, lambda s, x: F.struct(F.greatest(s["end"], x["z"]).alias("end"), (s["hit"] + F.greatest(x["z"] - F.greatest(s["end"], x["a"]), F.lit(0))).alias("hit")))
-    out = stash(merged.select("_at", covered["hit"].alias("n_hit"), "items"))
+    out = stash_texts(merged.select("_at", covered["hit"].alias("n_hit"), "items"))
     clear(docs.sparkSession, mark, out)
     return out
 

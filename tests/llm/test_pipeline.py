@@ -57,6 +57,32 @@ def test_run_leaves_only_what_its_result_reads(spark):
     assert len(_shared._WRITTEN) <= 3  # the fourth stage's result and the mix's counts
 
 
+def last_plan(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return next(p for p in (runs.apply(i).physicalPlanDescription() for i in reversed(range(runs.size()))) if "InsertInto" in p)
+
+
+def test_whole_texts_are_not_sorted_into_buckets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(3)
+    rows = _shared.placed(docs.select("doc_id", "text"))
+    plan = last_plan(spark)
+    assert "WriteFiles" in plan and "Sort" not in plan
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    said = _shared.answered(rows, rows.select("_at", (rows.doc_id * 2).alias("twice")), "twice")
+    assert said.where("twice = doc_id * 2").count() == docs.count() and len(rows.inputFiles()) == 3
+
+
+def test_texts_go_to_python_some_at_a_time(spark):
+    import pyarrow as pa
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    count = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches)
+    before = spark.conf.get(key)
+    sizes = [r.n for r in _shared.stash_texts(spark.range(9000, numPartitions=1).mapInArrow(count, "n long")).collect()]
+    assert sum(sizes) == 9000 and max(sizes) <= _shared.TEXT_ROWS and spark.conf.get(key) == before
+
+
 def test_queries_in_two_threads_keep_their_tables(spark):
     from threading import Barrier, Thread
 
