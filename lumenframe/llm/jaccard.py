@@ -135,10 +135,10 @@ def marked_sets(blocks: DataFrame, k: int, percent: int) -> DataFrame:
 
 def _slices(entries: DataFrame, asked: DataFrame, by: str) -> DataFrame:
     """entries of the tokens of ``asked`` (token, n), with cell: up to SLICE of a token have one cell, others one for each pair of slices."""
-    n = F.ceil(F.col("n") / SLICE).cast("long")
+    n = F.ceil(F.col("n") / SLICE).cast("long")  # few tokens are broadcast within Spark's limit
     own = F.pmod(F.xxhash64(by), n)
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda j: F.least(j, own) * n + F.greatest(j, own))
-    return skew_join(entries, asked.select("token", "n"), "token", "inner").withColumn("cell", F.explode(pairs)).drop("n")
+    return entries.join(asked.select("token", "n"), "token").withColumn("cell", F.explode(pairs)).drop("n")
 
 
 def _by_token(group: pa.Table, *order: str) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray]:
@@ -231,15 +231,19 @@ def unjoined(cells: DataFrame, percent: int, nearest: bool) -> DataFrame:
 def similar(pairs: DataFrame, nodes: DataFrame, blocks: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (u, v) of nodes that are similar enough: first by sizes and parities, then by their sets, made from the texts.
 
+    pairs and what is left of them are written first: few of them are then broadcast within Spark's limit, and nodes aren't shuffled.
     A set element that only one of two sets has turns one parity, so differing parities are at most as many as such elements.
     """
     side = lambda name: nodes.select(F.col("node").alias(name), F.col("size").alias(f"{name}_size"), F.col("parity").alias(f"{name}_parity"))
-    both = skew_join(skew_join(pairs, side("u"), "u", "inner"), side("v"), "v", "inner")
+    first = stash(pairs.select("u", "v").join(side("u"), "u"))
+    both = first.join(side("v"), "v")
     total = F.col("u_size") + F.col("v_size")
     need = F.ceil(F.lit(percent) * total / F.lit(100 + percent))
     differ = F.aggregate(F.zip_with("u_parity", "v_parity", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
     left = stash(both.where((100 * F.least("u_size", "v_size") >= percent * F.greatest("u_size", "v_size")) & (differ <= total - 2 * need)).select("u", "v"))
     wanted = left.select(F.col("u").alias("node")).union(left.select(F.col("v").alias("node"))).distinct()
+    if left.isEmpty():
+        return left
     places = wanted.join(nodes.select("node", "block_id", "place"), "node").groupBy("block_id").agg(F.collect_list(F.struct("place", "node")).alias("own"))  # some of a block's rows
 
     def sets(batches):
@@ -255,7 +259,7 @@ def similar(pairs: DataFrame, nodes: DataFrame, blocks: DataFrame, k: int, perce
 
     made = stash(blocks.join(places.hint("merge"), "block_id").select("payload", "own").mapInArrow(sets, "node long, own array<long>"))
     named = lambda name, as_: made.select(F.col("node").alias(name), F.col("own").alias(as_))
-    held = skew_join(skew_join(left, named("u", "x"), "u", "inner"), named("v", "y"), "v", "inner")
+    held = left.join(named("u", "x"), "u").join(named("v", "y"), "v")
     shared = F.size(F.array_intersect("x", "y"))
     return held.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("u", "v")
 
@@ -289,16 +293,19 @@ def jaccard_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     named = lambda name, as_: first.select(F.col("group").alias(name), F.col("first").alias(as_))
     across = neighbours(cells, percent).join(named("a", "u"), "a").join(named("b", "v"), "b").select("u", "v")
     inside = skew_join(nodes.select("node", "group"), first.where("n > 1"), "group", "inner").where("node != first").select(F.col("first").alias("u"), F.col("node").alias("v"))
-    near = stash(similar(across.union(inside), nodes, blocks, k, percent))
-    roots = stash(components(near))
+    roots = stash(components(similar(stash(across.union(inside)), nodes, blocks, k, percent)))
 
     for nearest in (True, True, False):
-        rooted = stash(skew_join(nodes.select("node", "group"), roots, "node").select("node", "group", F.coalesce("root", "node").alias("root")))
+        rooted = stash(nodes.select("node", "group").join(roots, "node", "left").select("node", "group", F.coalesce("root", "node").alias("root")))
         members = stash(skew_join(entries, rooted, "group", "inner").select("token", "node", "root", "size", "at"))
-        open_ = members.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a != b")
-        rest = unjoined(skew_join(_slices(members, open_, "node"), nodes.select("node", "parity"), "node", "inner"), percent, nearest)
-        more = similar(rest, nodes, blocks, k, percent)
-        roots = stash(components(roots.where("node != root").select(F.col("node").alias("u"), F.col("root").alias("v")).union(more)))
+        open_ = stash(members.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a != b"))
+        if open_.isEmpty():  # all that share a token are joined
+            break
+        met = stash(_slices(members, open_, "node"))
+        rest = stash(unjoined(met.join(nodes.select("node", "parity"), "node"), percent, nearest))
+        more = stash(similar(rest, nodes, blocks, k, percent))
+        if not more.isEmpty():
+            roots = stash(components(roots.where("node != root").select(F.col("node").alias("u"), F.col("root").alias("v")).union(more)))
     ids = stash(skew_join(nodes.select("node", "lead"), roots, "node").select("node", "lead", F.coalesce("root", "node").alias("root")))
     low = ids.groupBy("root").agg(F.min("lead").alias("component_id"))
     by_node = skew_join(ids.select("node", "root"), low, "root").select("node", "component_id")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import answered, aside, clear, own_tables, placed, quoted, restored, salted_join, skew_join, stash, table, with_fields
+from ._shared import answered, aside, clear, own_tables, placed, quoted, restored, skew_join, stash, stash_texts, table, with_fields
 from ._text import U64, Words, grams, mix, release, slices, within
 
 SEED = 42
@@ -18,6 +18,8 @@ SEED = 42
 VARIANTS_AT_ONCE = 1 << 21
 #: Shingles whose bits a task counts at once.
 BITS_AT_ONCE = 1 << 15
+#: Edges that a task joins at once.
+EDGES_AT_ONCE = 1 << 16
 #: Variants are dealt by their first bits: so many at least, and so many that a part gets about PART_ROWS fingerprints.
 PREFIX = 6
 PART_ROWS = 1 << 22
@@ -156,32 +158,64 @@ def _meet(x: np.ndarray, node: np.ndarray, prefix: int, b: int, bits: int, half:
         yield np.unique(pairs, axis=0)
 
 
+def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root): the stars of what these edges connect, each node with the smallest that it reaches; without roots' own rows."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, root = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while (differ := root[a] != root[b]).any():
+        x, y = root[a[differ]], root[b[differ]]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while ((up := root[root]) != root).any():
+            root = up
+    some = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[some], nodes[root[some]]
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b), b smaller, that connect the same nodes: each task gives the stars of its own, EDGES_AT_ONCE at a time."""
+
+    def run(batches):
+        held, n = [np.zeros((2, 0), np.int64)], 0
+        for batch in batches:
+            held.append(np.stack([batch.column(c).to_numpy() for c in ("a", "b")]))
+            n += batch.num_rows
+            if n > EDGES_AT_ONCE:
+                held = [np.stack(_forest(*np.concatenate(held, axis=1)))]
+                n = held[0].shape[1]
+                if 2 * n > EDGES_AT_ONCE:  # most of them are needed
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["a", "b"])
+                    held, n = [np.zeros((2, 0), np.int64)], 0
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _forest(*np.concatenate(held, axis=1))], names=["a", "b"])
+        release()
+
+    return edges.mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node that each node of ``edges`` (u, v) can reach.
+    """(node, root): the smallest node that each node of ``edges`` (u, v; no nulls) can reach.
 
-    Large-star and small-star rounds: every round hangs neighbours on the smallest neighbour, by map-side minima and
-    salted joins, until the edges are stars. Each round starts from files in the shared folder, and the
-    last round's go.
+    Each task first joins what its own edges connect. What is left goes to tasks of EDGES_AT_ONCE edges, which join theirs; one such
+    task's stars are the result, however few tasks there were before. With more edges, large-star and small-star rounds: every round hangs neighbours on
+    the smallest neighbour, by map-side minima and joins, until the edges are stars: every node is hung on one other at
+    most, and none on one that is hung itself. Each round starts from files in the shared folder, and the last round's go.
+    Minima of few nodes are broadcast within Spark's limit; else Spark deals the rows of a hot node over tasks.
     """
-    e = stash(edges.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).where("a != b").distinct())
-
-    def sign(df):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first()
-
-    before = sign(e)
-    while before[0]:
-        both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = salted_join(both.where("b > a"), low, "a", "b", how="inner").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = salted_join(large, low, "a", "b", how="inner")
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        e = stash(small.where("a != b").distinct(), replaces=e)
-        after = sign(e)
-        if after == before:
-            break
-        before = after
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    e = stash(_contracted(edges.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).where("a != b")))
+    while True:
+        tasks = max(1, -(-e.count() // EDGES_AT_ONCE))
+        e = stash(_contracted(e.coalesce(tasks)), replaces=e)
+        if tasks == 1:
+            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        ends = e.select(F.col("a").alias("node"), "b", F.lit(False).alias("top")).union(e.select(F.col("b"), F.lit(None).cast("long"), F.lit(True)))
+        stars = stash(ends.groupBy("node").agg(F.min("b").alias("low"), F.max("b").alias("high"), F.max("top").alias("top")))
+        if stars.where("low != high OR low IS NOT NULL AND top").isEmpty():
+            return stars.select("node", F.coalesce("low", "node").alias("root"))
+        low = stars.select(F.col("node").alias("a"), F.least("node", "low").alias("m"))
+        both = e.union(e.select(F.col("b"), F.col("a")))
+        large = stash(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct())
+        low = stash(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+        e = stash(_contracted(small.where("a != b").distinct()), replaces=e)
 
 
 def near_duplicate_groups(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
@@ -191,7 +225,7 @@ def near_duplicate_groups(docs: DataFrame, k: int = 4, radius: int = 4) -> DataF
     smallest id that is not null (null if there is none). Repeated rows: one fingerprint, a row each. Very long texts are
     read whole. Empty table: no rows. Other columns are not read.
     """
-    marked = stash(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), k, ("doc_id",)))
+    marked = stash_texts(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), k, ("doc_id",)))
     fps = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("lead")))
     roots = components(links(fps.select(F.lit(0).alias("tab"), "fp", F.col("fp").alias("node")), radius))
     rooted = stash(skew_join(fps, roots.withColumnRenamed("node", "fp"), "fp").select("fp", "lead", F.coalesce("root", "fp").alias("root")))
@@ -272,7 +306,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float, k: int
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h.view(np.int64)))], names=["node", "own"])
         release()
 
-    sets = stash(texts.select("node", "text").mapInArrow(run, "node long, own array<long>"))
+    sets = stash_texts(texts.select("node", "text").mapInArrow(run, "node long, own array<long>"))
     both = skew_join(skew_join(pairs, sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u", "inner"), sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v", "inner")
     shared = F.size(F.array_intersect("a", "b"))
     return both.where(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("u", "v")
@@ -295,7 +329,7 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall
     mark = own_tables()
     bits, tables = plan_tables(keyed.count(), similarity, recall, radius)
     ties = keyed.select("_id", F.xxhash64("_id", F.coalesce("text", F.lit(""))).alias("_row"), F.xxhash64(F.to_json("_others")).alias("_tie"), "_at", "text")
-    marked = stash(sketches(ties, bits, tables, ("_id", "_row", "_tie", "_at")))
+    marked = stash_texts(sketches(ties, bits, tables, ("_id", "_row", "_tie", "_at")))
     nodes = stash(marked.groupBy("node").agg(F.min(F.struct("_id", "_row", "_tie", "_at")).alias("best"), F.any_value("sketch").alias("sketch")))
     fps = nodes.where("node != 0").select("node", F.posexplode("sketch").alias("tab", "fp"))
     found = links(fps, radius, bits, tables)

@@ -495,6 +495,29 @@ def test_components_of_a_long_chain(spark):
     assert {r.node: r.root for r in simhash.components(edges).collect()} == dict.fromkeys(range(201), 0) | {1000: 1000, 1001: 1000}
 
 
+def test_components_of_random_graphs(spark, monkeypatch):
+    rng = random.Random(8)
+    for n, m, at_once in ((400, 300, 1 << 20), (400, 380, 40), (50, 200, 8), (400, 300, 300)):
+        monkeypatch.setattr(simhash, "EDGES_AT_ONCE", at_once)
+        names = [rng.getrandbits(63) - 2**62 for _ in range(n)]
+        edges = [(names[rng.randrange(n)], names[rng.randrange(n)]) for _ in range(m)]
+        up = {x: x for e in edges for x in e}
+        for _ in range(n):
+            for u, v in edges:
+                up[u] = up[v] = min(up[u], up[v])
+        got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "u long, v long").repartition(5)).collect()}
+        loops = {u for u, v in edges if u == v} - {x for u, v in edges if u != v for x in (u, v)}
+        assert got == {x: y for x, y in up.items() if x not in loops}
+
+
+def test_few_edges_need_no_round(spark, monkeypatch):
+    wrote = []
+    monkeypatch.setattr(simhash, "stash", lambda df, **more: wrote.append(1) or stash(df, **more))
+    edges = spark.createDataFrame([(i, 7 * (i % 3)) for i in range(30, 90)] + [(100 + i, 101 + i) for i in range(40)], "u long, v long").repartition(7)
+    assert {r.root for r in simhash.components(edges).collect()} == {0, 7, 14, 100}
+    assert len(wrote) == 2
+
+
 # -- 8 -----------------------------------------------------------------------------------------------------------------
 def test_decontamination(spark, docs, rows, empty):
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

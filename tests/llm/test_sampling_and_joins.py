@@ -163,6 +163,17 @@ def test_jaccard(spark, docs, rows, empty, monkeypatch, slice_):
     assert jaccard.jaccard_groups(empty).count() == 0
 
 
+def test_jaccard_ends_when_all_that_meet_are_joined(spark, monkeypatch):
+    asked = []
+    plain = jaccard.unjoined
+    monkeypatch.setattr(jaccard, "unjoined", lambda *args: asked.append(1) or plain(*args))
+    texts = [" ".join(f"w{10 * i + j}" for j in range(30)) for i in range(0, 40, 4)]
+    rows = [(10 * i + j, t + (" more" if j == 2 else "")) for i, t in enumerate(texts) for j in range(3)]
+    got = jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {(r.doc_id, r.component_id) for r in got.collect()} == {(n, n - n % 10) for n, _ in rows}
+    assert not asked
+
+
 def test_prefix_length():
     for percent in (60, 85, 100):
         for n in range(1, 200):
