@@ -17,7 +17,7 @@ from pyspark.sql.types import StructField, StructType
 #: Spark's own limit (spark.sql.sources.bucketing.maxBuckets).
 MOST_BUCKETS = 100_000
 #: Rows of an Arrow batch where whole texts go to Python: JVM and worker each hold a batch of them.
-TEXT_ROWS = 2000
+TEXT_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -98,6 +98,14 @@ def stash_texts(df: DataFrame) -> DataFrame:
         return stash(df)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session sends Python TEXT_ROWS rows at most: for results of Python that the caller writes, when
+    stash_texts can't hold the setting. A lower one stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
 def stash(df: DataFrame, replaces: DataFrame | None = None, by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later stages start from files, not from lineage.
 

@@ -128,8 +128,8 @@ class Words:
         lens = self.end - self.start
         pw = powers(int(lens.max()) + 1) if len(lens) else None
         a, n = 0, len(lens)
-        while a < n:  # a megabyte at a time: the 64-bit work arrays stay small
-            b = max(a + 1, int(np.searchsorted(self.start, self.start[a] + (1 << 20))))
+        while a < n:  # a quarter of a megabyte at a time: the 64-bit work arrays stay small
+            b = max(a + 1, int(np.searchsorted(self.start, self.start[a] + (1 << 18))))
             lo, hi = self.start[a], self.end[b - 1]
             chars = self.data[lo:hi][inside[lo:hi]]
             own = lens[a:b]

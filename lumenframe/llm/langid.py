@@ -7,13 +7,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import aside, quoted, restored, table, with_fields
+from ._shared import aside, quoted, restored, small_batches, table, with_fields
 from ._text import release, slices, string_bytes
 
 HIDDEN = 8
 #: Positions that the network runs over at once; texts are cut into so long pieces, every position belongs to one.
 SPAN = 128
-PIECES = 2048
+PIECES = 512
 #: The fit sees at most so many texts a language, so many in all (one a language at least), and so many characters of each,
 #: from a place drawn by its hash.
 SAMPLE_TEXTS = 400
@@ -195,7 +195,8 @@ def sample(docs: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS
     if not rows:
         return usable.select("lang", draw.alias("draw"), "doc_id", F.col("text").alias("piece"))
     texts = max(1, min(texts, total // len(rows)))
-    known = docs.sparkSession.createDataFrame([(r["lang"], r["rows"]) for r in rows], "lang string, rows long")
+    # from Arrow: rows of Python would start Python workers of another kind in every executor
+    known = docs.sparkSession.createDataFrame(pa.table({"lang": pa.array([r["lang"] for r in rows], pa.string()), "rows": pa.array([r["rows"] for r in rows], pa.int64())}))
     at = F.lit(1) + F.pmod(draw, F.greatest(F.char_length("text") - chars, F.lit(1))).cast("int")
     order = Window.partitionBy("lang").orderBy("draw", "doc_id", "piece")
     # a language with many usable rows is thinned by the same hash first, so that few of its rows are shuffled
@@ -260,8 +261,10 @@ def reject_unknown_language(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """docs without rows whose language is unknown (null or without a letter) or whose score is below ``least``.
 
     Other columns come along whatever their names; nulls in them don't matter. Repeated rows share their fate. Without
-    any labelled row all rows are unknown. Empty table: no rows.
+    any labelled row all rows are unknown. Empty table: no rows. The session's Arrow batches stay small from here on:
+    whole rows go through Python when the caller reads the result.
     """
+    small_batches(docs.sparkSession)
     kept = identify(aside(docs).withColumn("lang", F.col("_others.lang")), ("text", "_others")).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     return restored(kept, docs.columns)
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import answered, aside, clear, own_tables, placed, restored, skew_join, stash, table
+from ._shared import answered, aside, clear, own_tables, placed, restored, skew_join, stash, stash_texts, table
 from ._text import BASE, STEP, U64, Words, mix, powers, release, slices
 
 #: Lines one word edit apart are repeats if that is at most a fifth of the longer one's words, so if it has 5 or more.
@@ -164,7 +164,7 @@ def near_earlier(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     leads = skew_join(_sharing(halves), distinct.select("w", "lead"), "w", "inner")
     wanted = leads.groupBy("lead._at").agg(F.collect_set("lead.number").alias("wanted"))  # of one document
     own = answered(docs.select("_part", "_at", "_doc", "text"), wanted, "wanted").where("wanted IS NOT NULL").select("_doc", "text", "wanted")
-    lines = stash(own.mapInArrow(_candidate_lines, "w long, _doc long, number long, line string").dropDuplicates(["w"]))
+    lines = stash_texts(own.mapInArrow(_candidate_lines, "w long, _doc long, number long, line string").dropDuplicates(["w"]))
     close = _sharing(lines.mapInArrow(_quarters, "w long, end long"))
     entries = stash(lines.join(close.hint("merge"), "w", "left_semi").mapInArrow(_variants, "key long, place int, _doc long, number long, w long"))
     first = stash(entries.groupBy("key", "place").agg(F.min(F.struct("_doc", "number", "w")).alias("first"), F.count("*").alias("lines")))
@@ -180,7 +180,7 @@ def _dedup(docs: DataFrame) -> DataFrame:
     """docs (_doc, text and others) with gone: the numbers of the lines to remove, or null."""
     spark, docs = docs.sparkSession, placed(docs)  # so that texts are not shuffled
     mark = own_tables()
-    lines = stash(docs.select("_at", "_doc", "text").mapInArrow(_lines, "_at long, _doc long, number long, w long, h0 long, h1 long, h2 long, h3 long"))
+    lines = stash_texts(docs.select("_at", "_doc", "text").mapInArrow(_lines, "_at long, _doc long, number long, w long, h0 long, h1 long, h2 long, h3 long"))
     distinct = lines.groupBy("w").agg(F.min(F.struct("_doc", "number", "_at")).alias("lead"), F.count("*").alias("times"), *[F.any_value(f"h{i}").alias(f"h{i}") for i in range(4)])
     distinct = stash(distinct)
     near = near_earlier(distinct, docs).withColumn("near", F.lit(True))

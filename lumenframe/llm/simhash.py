@@ -15,7 +15,7 @@ from ._text import U64, Words, grams, mix, release, slices, within
 
 SEED = 42
 #: Variants that a task holds at once.
-VARIANTS_AT_ONCE = 1 << 21
+VARIANTS_AT_ONCE = 1 << 19
 #: Shingles whose bits a task counts at once.
 BITS_AT_ONCE = 1 << 15
 #: Edges that a task joins at once.

@@ -106,3 +106,39 @@ def test_queries_in_two_threads_keep_their_tables(spark):
     with pytest.raises(Exception):
         seen["a"].count()
     assert forget(spark) >= 1
+
+
+def test_language_id_sends_python_few_rows(spark, monkeypatch):
+    import pyarrow as pa
+
+    def predict(docs, model, carry):
+        def run(batches):
+            for b in batches:
+                few = "en" if b.num_rows <= _shared.TEXT_ROWS else "und"
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carry], pa.array([few] * b.num_rows), pa.array([1.0] * b.num_rows)], names=[*carry, "lang_pred", "score"])
+
+        return docs.select(*carry).mapInArrow(run, _shared.with_fields("", docs, carry, "lang_pred string, score double"))
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    monkeypatch.setattr(langid, "predict", predict)
+    monkeypatch.setattr(langid, "fit", lambda docs: None)
+    try:
+        docs = spark.range(9000, numPartitions=1).selectExpr("id AS doc_id", "'a b' AS text", "'en' AS lang")
+        assert langid.reject_unknown_language(docs).count() == 9000  # read after the call, as by the pipeline's next stage
+        spark.conf.set(key, "7")
+        langid.reject_unknown_language(docs)
+        assert spark.conf.get(key) == "7"
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_sample_starts_no_python_workers(spark):
+    docs = spark.range(20).selectExpr("id AS doc_id", "'some text' AS text", "'en' AS lang")
+    rdds = [langid.sample(docs)._jdf.queryExecution().toRdd()]
+    names = []
+    while rdds:
+        rdd = rdds.pop()
+        names.append(rdd.getClass().getSimpleName())
+        rdds += [rdd.dependencies().apply(i).rdd() for i in range(rdd.dependencies().size())]
+    assert names and "PythonRDD" not in names
