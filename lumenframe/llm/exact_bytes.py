@@ -21,8 +21,9 @@ LENGTH = 200
 ANCHOR = 100
 #: An anchor with so many segments in all blocks together is split: its windows are dealt one by one.
 CROWD = 1 << 14
-#: Whole groups of one anchor make a shard, up to so many bytes of text; a larger group is a shard of its own.
-SHARD = 1 << 20
+#: Whole groups of one anchor make a shard, up to so many bytes of text; a larger group is a shard of its own. Half of what
+#: Scratch holds in memory: a shard ends once it is over, so at twice that nearly every one went through files.
+SHARD = 1 << 19
 _INVERSE = U64(pow(int(BASE), -1, 1 << 64))
 _STRIDE = 1 << 19
 
@@ -60,10 +61,11 @@ class Segments:
         count = hi - lo
         best = (np.minimum(right[:count], left[w - 1 : w - 1 + count]) & place).astype(np.int64)
         # windows inside one text only
-        s = np.arange(lo, hi)
-        row = np.searchsorted(offsets, s, side="right") - 1
-        ok = s + length <= offsets[row + 1]
-        s, best = s[ok] - lo, best[ok]
+        texts = slice(int(np.searchsorted(offsets, lo, side="right")) - 1, int(np.searchsorted(offsets, hi)))
+        a, z = np.maximum(offsets[:-1][texts] - lo, 0), np.minimum(offsets[1:][texts] - length + 1 - lo, count)
+        n_own = np.maximum(z - a, 0)
+        s = np.repeat(a, n_own) + _ramp(n_own)
+        best = best[s]
         new = np.ones(len(s), dtype=bool)
         new[1:] = (best[1:] != best[:-1]) | (s[1:] != s[:-1] + 1)
         first = np.flatnonzero(new)

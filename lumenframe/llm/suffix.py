@@ -48,10 +48,13 @@ class Scratch:
 
 
 class TupleQueue:
-    """A priority queue of tuples of integers, by their first two: sorted runs on disk, popped in order, a slice at a time."""
+    """A priority queue of tuples of integers, by their first two: sorted runs on disk, popped in order, a slice at a time.
 
-    def __init__(self, scratch: Scratch):
-        self.scratch, self.held, self.n_held, self.runs = scratch, [], 0, []
+    ordered: equal tuples keep the order in which they were pushed; sorting is faster where that doesn't matter.
+    """
+
+    def __init__(self, scratch: Scratch, ordered: bool = True):
+        self.scratch, self.kind, self.held, self.n_held, self.runs = scratch, "stable" if ordered else None, [], 0, []
 
     def push(self, *columns: np.ndarray) -> None:
         if not len(columns[0]):
@@ -61,10 +64,9 @@ class TupleQueue:
         if self.n_held >= self.scratch.limit:
             self._write()
 
-    @staticmethod
-    def _sorted(columns: list[np.ndarray]) -> list[np.ndarray]:
+    def _sorted(self, columns: list[np.ndarray]) -> list[np.ndarray]:
         first, second = columns[:2]
-        by = np.lexsort((second, first)) if second.any() else np.argsort(first, kind="stable")
+        by = np.lexsort((second, first)) if second.any() else np.argsort(first, kind=self.kind)
         return [c[by] for c in columns]
 
     def _write(self) -> None:
@@ -83,7 +85,7 @@ class TupleQueue:
         return lo + int(np.searchsorted(run[1][lo:hi], mark[1], side))
 
     def pop(self) -> Iterator[list[np.ndarray]]:
-        """All tuples in order, as columns of slices; equal ones in the order in which they were pushed."""
+        """All tuples in order, as columns of slices; equal ones in the order in which they were pushed, if ordered."""
         if self.held:
             if not self.runs:  # never went to disk
                 yield self._sorted([np.concatenate(c) for c in zip(*self.held)])
@@ -140,13 +142,14 @@ class _Parts:
         self.bits = (top + 3).bit_length()
         self.q = max(1, 62 // self.bits)
         self.full = (1 << (self.bits * self.q)) - 1
-        self.word = scratch.array(n + 1)  # one more: the end alone
+        self.word, self.end = scratch.array(n + 1), scratch.array(n + 1)  # one more: the end alone
         pad = (1 << self.bits) - 1
         for a, b in scratch.slices(n + 1):
             chars = np.zeros(b - a + self.q, np.int64)
             inner = np.asarray(t[a : min(n, b + self.q)]) + 1
             chars[: len(inner)] = inner
             at, end, own = np.arange(a, b), self.ends(a, b)[1], np.zeros(b - a, np.int64)
+            self.end[a:b] = end
             for j in range(self.q):
                 own <<= self.bits
                 own |= np.where(at + j <= end, chars[j : j + b - a], pad)
@@ -155,24 +158,22 @@ class _Parts:
 
     def ends(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
         """Of the positions a .. b: the number of the next S* position, and where it is (the end where there is none)."""
-        n, m = len(self.t), len(self.stars)
-        index = np.searchsorted(self.stars, np.arange(a, b), side="right")
-        end = np.full(b - a, n, np.int64)
-        some = index < m
-        end[some] = self.stars[index[some]]
-        return index, end
+        index = self._next_star(a, b)
+        return index, np.append(np.asarray(self.stars[index[0] : index[-1] + 1]), len(self.t))[index - index[0]] if b > a else index
+
+    def _next_star(self, a: int, b: int) -> np.ndarray:
+        lo, hi = (int(x) for x in np.searchsorted(self.stars, (a, b)))
+        met = np.zeros(b - a, np.int64)
+        met[np.asarray(self.stars[lo:hi]) - a] = 1
+        return lo + np.cumsum(met)
 
     def end_of(self, at: np.ndarray) -> np.ndarray:
-        index = np.searchsorted(self.stars, at, side="right")
-        out = np.full(len(at), len(self.t), np.int64)
-        some = index < len(self.stars)
-        out[some] = self.stars[index[some]]
-        return out
+        return np.asarray(self.end[at])
 
     def _name(self) -> None:
         n, scratch = len(self.t), self.scratch
         self.name, tied = scratch.array(n), scratch.array(n, np.uint8)
-        queue = TupleQueue(scratch)
+        queue = TupleQueue(scratch, ordered=False)
         for a, b in scratch.slices(n):
             queue.push(self.word[a:b], np.zeros(b - a, np.int64), np.arange(a, b))
         self._take(queue, tied, lambda start, columns: start)
@@ -180,7 +181,7 @@ class _Parts:
         members, k = None, 1
         longer = scratch.array(n, np.uint8)
         while True:
-            queue, found = TupleQueue(scratch), 0
+            queue, found = TupleQueue(scratch, ordered=False), 0
             for at in self._pieces(members, n):
                 at = at[np.asarray(tied[at]) > 0]
                 more = self.end_of(at) - at + 1 > k * self.q
@@ -326,7 +327,7 @@ def suffix_order(t: np.ndarray, limit: int, scratch: Scratch | None = None) -> t
     rank, shared = scratch.array(m + 1), scratch.array(m + 1)  # of S* suffixes (the end's is 0); shared with the one before
     if m:
         _induce(parts, limit, rank, shared)
-    queue = TupleQueue(scratch)
+    queue = TupleQueue(scratch, ordered=False)
     for a, b in scratch.slices(n):
         queue.push(parts.name[a:b] * (m + 1) + rank[parts.ends(a, b)[0]], np.zeros(b - a, np.int64), np.arange(a, b), parts.word[a:b])
     order, common, done, table = scratch.array(n), scratch.array(n), 0, _Table(shared, scratch)
@@ -354,7 +355,7 @@ def _induce(parts: _Parts, limit: int, rank: np.ndarray, shared: np.ndarray) ->
     """Ranks and common prefixes of the S* suffixes, from the order of the string of their parts' names."""
     t, stars, scratch = parts.t, parts.stars, parts.scratch
     n, m = len(t), len(stars)
-    names, queue, kinds = scratch.array(m), TupleQueue(scratch), 0
+    names, queue, kinds = scratch.array(m), TupleQueue(scratch, ordered=False), 0
     for a, b in scratch.slices(m):
         queue.push(parts.name[np.asarray(stars[a:b])], np.zeros(b - a, np.int64), np.arange(a, b))
     for columns, start, own in _starts(queue.pop()):

@@ -724,3 +724,13 @@ def test_packing():
     col = np.arange(100, dtype=np.uint16)
     k, (c,) = _blocks.unpack(_blocks.pack(keys, [col]), ["u2"])
     assert (k == keys).all() and (c == col).all()
+
+
+def test_shards_of_small_groups_need_no_files():
+    from lumenframe.llm.exact_bytes import _shards
+    from lumenframe.llm.suffix import IN_MEMORY
+
+    sizes, group = [1000] * 3000, np.arange(3000) // 2
+    shards = list(_shards(np.arange(3000), group, sizes))
+    assert sorted(sum(shards, [])) == list(range(3000)) and all(a % 2 == 0 for a, *_ in shards)
+    assert max(sum(sizes[i] + 1 for i in some) for some in shards) <= IN_MEMORY
