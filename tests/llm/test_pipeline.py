@@ -133,12 +133,18 @@ def test_language_id_sends_python_few_rows(spark, monkeypatch):
         spark.conf.set(key, before)
 
 
-def test_sample_starts_no_python_workers(spark):
-    docs = spark.range(20).selectExpr("id AS doc_id", "'some text' AS text", "'en' AS lang")
-    rdds = [langid.sample(docs)._jdf.queryExecution().toRdd()]
-    names = []
-    while rdds:
-        rdd = rdds.pop()
-        names.append(rdd.getClass().getSimpleName())
-        rdds += [rdd.dependencies().apply(i).rdd() for i in range(rdd.dependencies().size())]
-    assert names and "PythonRDD" not in names
+def test_sample_starts_no_python_workers(spark, monkeypatch):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    monkeypatch.setattr(langid, "MOST_BROADCAST", 0)  # what is broadcast is not in the lineage
+    spark.conf.set(key, "-1")
+    try:
+        docs = spark.range(20).selectExpr("id AS doc_id", "'some text' AS text", "'en' AS lang")
+        rdds, names = [langid.sample(docs)._jdf.queryExecution().toRdd()], []
+        while rdds:
+            rdd = rdds.pop()
+            names.append(rdd.getClass().getSimpleName())
+            rdds += [rdd.dependencies().apply(i).rdd() for i in range(rdd.dependencies().size())]
+    finally:
+        spark.conf.set(key, before)
+    assert len(names) > 3 and "PythonRDD" not in names
