@@ -92,10 +92,11 @@ def kmeans_fit(df: DataFrame, k: int = 128, max_iter: int = 50, tol: float = 1e-
     return _as_rows(df.sparkSession, c)
 
 
-def bovw_fit(keypoints: DataFrame, k: int = 128, max_descriptors: int = 50_000, seed: int = 42, **kmeans) -> DataFrame:
-    """A codebook from the descriptors of training images: a draw of max_descriptors where there are more."""
+def bovw_fit(keypoints: DataFrame, k: int = 128, max_descriptors: int | None = 50_000, seed: int = 42, **kmeans) -> DataFrame:
+    """A codebook from the descriptors of training images: of all for None, else a draw of max_descriptors where there are more."""
     keyed = keypoints.select(F.concat_ws("/", "image_id", "rank").alias("image_id"), "descriptor")
-    pool = first_by_key(keyed, "image_id", f"{seed}:pool", max_descriptors).persist()
+    pool = keyed if max_descriptors is None else first_by_key(keyed, "image_id", f"{seed}:pool", max_descriptors)
+    pool = pool.persist()
     try:
         if pool.isEmpty():
             raise ValueError("there are no descriptors")
