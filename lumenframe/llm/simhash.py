@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from math import acos, ceil, comb, log, pi
 
 import numpy as np
@@ -20,6 +21,10 @@ VARIANTS_AT_ONCE = 1 << 19
 BITS_AT_ONCE = 1 << 15
 #: Edges that a task joins at once.
 EDGES_AT_ONCE = 1 << 16
+#: Pairs that a task makes at once.
+PAIRS_AT_ONCE = 1 << 16
+#: Of so many texts that share a variant all pairs are compared at once; of more, chains first, then what these leave apart.
+FEW = 32
 #: Variants are dealt by their first bits: so many at least, and so many that a part gets about PART_ROWS fingerprints.
 PREFIX = 6
 PART_ROWS = 1 << 22
@@ -88,15 +93,14 @@ def _prefix_bits(fps: DataFrame, n: int, bits: int, half: int) -> int:
     return b
 
 
-def links(fps: DataFrame, radius: int = 4, bits: int = 64, tables: int = 1) -> DataFrame:
-    """(u, v): pairs of nodes whose fingerprints differ in ``radius`` or fewer of ``bits`` bits, enough to connect all such pairs.
-
-    fps: tab (0 .. tables - 1), fp, node; only fingerprints of one tab meet. Every fingerprint's variants within half the
-    radius meet: two fingerprints within the radius share one. Variants are dealt by their first bits, so the shuffle
-    carries a fingerprint once for each way to flip up to half the radius of those (22 ways of 6 bits, 254 of 22), and
-    the part that owns a run of variants makes them there, some at a time. With more data, more bits deal: a part gets
-    some PART_ROWS fingerprints at every size. Those that share a variant are within the radius of each other, hence
-    chains stand for all their pairs: each is paired with the one before it and with the first.
+def _dealt(fps: DataFrame, radius: int, bits: int, tables: int, meet: Callable[..., Iterator[tuple[np.ndarray, np.ndarray]]], *more: str) -> DataFrame:
+    """The distinct pairs (u, v) that meet(x, node, *more, prefix, b, bits, half) makes of the fingerprints of a part.
+
+    fps: tab (0 .. tables - 1), fp, node and ``more`` (longs); only fingerprints of one tab meet. Every fingerprint's variants
+    within half the radius meet: two fingerprints within the radius share one. Variants are dealt by their first bits, so the
+    shuffle carries a fingerprint once for each way to flip up to half the radius of those (22 ways of 6 bits, 254 of 22),
+    and the part that owns a run of variants makes them there, some at a time. With more data, more bits deal: a part gets
+    some PART_ROWS fingerprints at every size.
     """
     if radius % 2:
         raise ValueError("radius must be even: variants are taken within half of it")
@@ -107,55 +111,160 @@ def links(fps: DataFrame, radius: int = 4, bits: int = 64, tables: int = 1) -> D
     own = own.bitwiseAND((1 << b) - 1)
     part = F.explode(F.transform(ways, lambda m: F.col("tab").cast("long") * (1 << b) + own.bitwiseXOR(m)))
 
-    def meet(group: pa.Table) -> pa.Table:
-        x, node = (np.asarray(group[c].combine_chunks()) for c in ("fp", "node"))
-        found = list(_meet(x.view(np.uint64), node, group["part"][0].as_py() & ((1 << b) - 1), b, bits, half))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(list(batches))
+        x, *rest = (group[c].to_numpy() for c in ("fp", "node", *more))
+        for u, v in meet(x.view(np.uint64), *rest, group["part"][0].as_py() & ((1 << b) - 1), b, bits, half):
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
         release()
-        return pa.table({"u": np.ascontiguousarray(pairs[:, 0]), "v": np.ascontiguousarray(pairs[:, 1])})
 
     slots = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = fps.select(part.alias("part"), "fp", "node").withColumn("slot", F.pmod("part", F.lit(slots)).cast("int"))  # parts in turn, so evenly
-    return dealt.repartitionById(slots, F.col("slot")).groupBy("slot", "part").applyInArrow(meet, "u long, v long").distinct()
+    dealt = fps.select(part.alias("part"), "fp", "node", *more).withColumn("slot", F.pmod("part", F.lit(slots)).cast("int"))  # parts in turn, so evenly
+    return dealt.repartitionById(slots, F.col("slot")).groupBy("slot", "part").applyInArrow(run, "u long, v long").distinct()
 
 
-def _meet(x: np.ndarray, node: np.ndarray, prefix: int, b: int, bits: int, half: int):
-    """Pairs of nodes that meet in a variant with these first ``b`` bits; x: the fingerprints that have such variants."""
-    flips = np.bitwise_count((x >> U64(bits - b)) ^ U64(prefix)) if b else np.zeros(len(x), np.uint8)
-    rest = [_flips(bits - b, half - j) for j in range(half + 1)]
-    if len(x) < 2:
+def links(fps: DataFrame, radius: int = 4, bits: int = 64, tables: int = 1) -> DataFrame:
+    """(u, v): pairs of nodes whose fingerprints (as in _dealt) differ in ``radius`` or fewer of ``bits`` bits, enough to connect
+    all such pairs. Those that share a variant are within the radius of each other, hence chains stand for all their pairs."""
+    return _dealt(fps, radius, bits, tables, _chained)
+
+
+def candidates(fps: DataFrame, radius: int, bits: int, tables: int) -> DataFrame:
+    """(u, v), u < v: all pairs of nodes whose fingerprints (as in _dealt) differ in ``radius`` or fewer bits, but in a crowd: where
+    more than FEW share a variant, only its chains, and (u, u) for each of them, for crossing() to go on."""
+    return _dealt(fps, radius, bits, tables, _paired)
+
+
+def crossing(fps: DataFrame, radius: int, bits: int, tables: int) -> DataFrame:
+    """(u, v), u < v: all pairs of nodes of different ``root`` (a column of fps) whose fingerprints (as in _dealt) differ in
+    ``radius`` or fewer bits, however many meet. Where all are different this is quadratic; a task makes PAIRS_AT_ONCE at once."""
+    return _dealt(fps, radius, bits, tables, _crossed, "root")
+
+
+def _meetings(x: np.ndarray, at: np.ndarray, prefix: int, b: int, bits: int, half: int):
+    """(z, at): variants with these first ``b`` bits, in order, each as often as fingerprints share it (two at least), and their
+    places in x; some at a time. at: the places of fingerprints that have such variants."""
+    if len(at) < 2:
         return
+    own = x[at]
+    flips = np.bitwise_count((own >> U64(bits - b)) ^ U64(prefix)) if b else np.zeros(len(own), np.uint8)
+    rest = [_flips(bits - b, half - j) for j in range(half + 1)]
     if sum(int((flips == j).sum()) * len(rest[j]) for j in range(half + 1)) > VARIANTS_AT_ONCE and b < bits:
         for q in range(1 << min(2, bits - b)):
             wider = b + min(2, bits - b)
             longer = (prefix << (wider - b)) | q
-            some = np.bitwise_count((x >> U64(bits - wider)) ^ U64(longer)) <= half
-            yield from _meet(x[some], node[some], longer, wider, bits, half)
+            some = np.bitwise_count((own >> U64(bits - wider)) ^ U64(longer)) <= half
+            yield from _meetings(x, at[some], longer, wider, bits, half)
         return
     low = U64((1 << (bits - b)) - 1)
     z, y = [], []
     for j in range(half + 1):
         mine = flips == j
-        z.append(((x[mine] & low)[:, None] ^ rest[j][None, :]).reshape(-1))
-        y.append(np.repeat(node[mine], len(rest[j])))
+        z.append(((own[mine] & low)[:, None] ^ rest[j][None, :]).reshape(-1))
+        y.append(np.repeat(at[mine], len(rest[j])))
     z, y = np.concatenate(z), np.concatenate(y)
     by = np.argsort(z, kind="stable")
     z = z[by]
     same = np.zeros(len(z) + 1, dtype=bool)
     same[1:-1] = z[1:] == z[:-1]
     met = np.flatnonzero(same[:-1] | same[1:])
-    if not len(met):
-        return
-    order = met[np.lexsort((y[by[met]], z[met]))]
-    z, y = z[order], y[by[order]]
+    if len(met):
+        yield z[met] | U64(prefix << (bits - b)), y[by[met]]
+
+
+def _chains(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of the nodes y that share a variant z, each with the one before it and with the first, as rows, each pair once."""
+    order = np.lexsort((y, z))
+    z, y = z[order], y[order]
     new = np.ones(len(z), dtype=bool)
     new[1:] = z[1:] != z[:-1]
     lead = y[np.flatnonzero(new)][np.cumsum(new) - 1]
     at = np.flatnonzero(~new)
     pairs = np.concatenate([np.stack([y[at - 1], y[at]], axis=1), np.stack([lead[at], y[at]], axis=1)])
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    if len(pairs):
-        yield np.unique(pairs, axis=0)
+    return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+
+
+def _chained(x: np.ndarray, node: np.ndarray, *part):
+    """Chains of the nodes that meet in the part's variants, each pair once."""
+    found = [_chains(z, node[at]) for z, at in _meetings(x, np.arange(len(x)), *part)]
+    if found:
+        pairs = np.unique(np.concatenate(found), axis=0)
+        yield np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])
+
+
+def _owns(z: np.ndarray, x: np.ndarray, y: np.ndarray, half: int) -> np.ndarray:
+    """Whether z is the one of the variants that x and y share where the two are paired: the smaller of both, with the lower
+    half of the bits flipped in which they differ."""
+    differ = x ^ y
+    n, flipped = np.bitwise_count(differ), np.minimum(x, y)
+    for j in range(1, half + 1):
+        low = differ & (~differ + U64(1))
+        flipped = np.where(n >= 2 * j, flipped ^ low, flipped)
+        differ = differ ^ low
+    return z == flipped
+
+
+def _owned(z: np.ndarray, x: np.ndarray, half: int):
+    """(i, j): places of the pairs of fingerprints x that are paired in the variant z (in order) that they share; some at a time."""
+    i = np.arange(len(z))
+    for k in range(1, len(z)):
+        i = i[: np.searchsorted(i, len(z) - k)]
+        i = i[z[i] == z[i + k]]
+        if not len(i):
+            return
+        mine = i[_owns(z[i], x[i], x[i + k], half)]
+        if len(mine):
+            yield mine, mine + k
+
+
+def _paired(x: np.ndarray, node: np.ndarray, prefix: int, b: int, bits: int, half: int):
+    """What candidates() makes of a part."""
+    for z, at in _meetings(x, np.arange(len(x)), prefix, b, bits, half):
+        first = np.flatnonzero(np.concatenate([[True], z[1:] != z[:-1]]))
+        size = np.diff(np.append(first, len(z)))
+        few = np.repeat(size <= FEW, size)
+        y, own = node[at[few]], x[at[few]]
+        for i, j in _owned(z[few], own, half):
+            yield np.minimum(y[i], y[j]), np.maximum(y[i], y[j])
+        if not few.all():
+            crowd = node[at[~few]]
+            pairs, each = _chains(z[~few], crowd), np.unique(crowd)
+            yield np.concatenate([pairs[:, 0], each]), np.concatenate([pairs[:, 1], each])
+
+
+def _products(a: np.ndarray, b: np.ndarray):
+    """(k, i, j): for each k all i below a[k] with all j below b[k]; PAIRS_AT_ONCE at a time."""
+    ends = np.cumsum(a * b)
+    for at in range(0, int(ends[-1]) if len(ends) else 0, PAIRS_AT_ONCE):
+        n = np.arange(at, min(at + PAIRS_AT_ONCE, int(ends[-1])))
+        k = np.searchsorted(ends, n, side="right")
+        n = n - (ends[k] - a[k] * b[k])
+        yield k, n // b[k], n % b[k]
+
+
+def _crossed(x: np.ndarray, node: np.ndarray, root: np.ndarray, prefix: int, b: int, bits: int, half: int):
+    """What crossing() makes of a part: nodes of one fingerprint and root are one unit, so pairs within a root are not made."""
+    by = np.lexsort((root, x))
+    x, node, root = x[by], node[by], root[by]
+    unit = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (root[1:] != root[:-1])]))
+    members, root, x = np.diff(np.append(unit, len(x))), root[unit], x[unit]
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    units, x = np.diff(np.append(first, len(x))), x[first]
+
+    def made(f, g):
+        for k, i, j in _products(units[f], units[g]):
+            p, q = first[f[k]] + i, first[g[k]] + j
+            apart = (root[p] != root[q]) & ((f[k] != g[k]) | (i < j))
+            p, q = p[apart], q[apart]
+            for k, i, j in _products(members[p], members[q]):
+                u, v = node[unit[p[k]] + i], node[unit[q[k]] + j]
+                yield np.minimum(u, v), np.maximum(u, v)
+
+    own = np.flatnonzero((x >> U64(bits - b) == U64(prefix)) & (units > 1)) if b else np.flatnonzero(units > 1)
+    yield from made(own, own)
+    for z, at in _meetings(x, np.arange(len(x)), prefix, b, bits, half):
+        for i, j in _owned(z, x[at], half):
+            yield from made(at[i], at[j])
 
 
 def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -316,7 +425,8 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall
     """docs with one row of each group of near duplicates: that of the smallest doc_id (nulls last), of equal rows one.
 
     Near duplicates: sets of five-word shingles with a Jaccard similarity of ``similarity`` or more, and what such pairs
-    connect. Candidates come from several fingerprints a text by ball hashing (plan_tables), and are then compared
+    connect. Candidates come from several fingerprints a text by ball hashing (plan_tables): all pairs within the radius in
+    one of them, but for those in a crowd that are joined already. They are compared
     exactly; a pair at the threshold is found with probability ``recall``, a closer one with more. Before that, pairs
     whose fingerprints together are 4 standard deviations beyond the threshold's go.
 
@@ -332,15 +442,24 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall
     marked = stash_texts(sketches(ties, bits, tables, ("_id", "_row", "_tie", "_at")))
     nodes = stash(marked.groupBy("node").agg(F.min(F.struct("_id", "_row", "_tie", "_at")).alias("best"), F.any_value("sketch").alias("sketch")))
     fps = nodes.where("node != 0").select("node", F.posexplode("sketch").alias("tab", "fp"))
-    found = links(fps, radius, bits, tables)
     side = lambda name: nodes.select(F.col("node").alias(name), F.col("sketch").alias(f"{name}_sketch"))
     differ = F.aggregate(F.zip_with("u_sketch", "v_sketch", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
     p = acos(2 * similarity / (1 + similarity)) / pi
     most = bits * tables * p + 4 * (bits * tables * p * (1 - p)) ** 0.5
-    pairs = stash(skew_join(skew_join(found, side("u"), "u", "inner"), side("v"), "v", "inner").where(differ <= most).select("u", "v"))
-    asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct().join(nodes, "node").select("node", "best._at")
-    texts = answered(keyed.select("_part", "_at", "text"), asked, "node").where("node IS NOT NULL")
-    roots = components(similar_pairs(pairs, texts, similarity))
+
+    def similar(found: DataFrame) -> DataFrame:
+        pairs = stash(skew_join(skew_join(found, side("u"), "u", "inner"), side("v"), "v", "inner").where(differ <= most).select("u", "v"))
+        asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct().join(nodes, "node").select("node", "best._at")
+        texts = answered(keyed.select("_part", "_at", "text"), asked, "node").where("node IS NOT NULL")
+        return similar_pairs(pairs, texts, similarity)
+
+    found = stash(candidates(fps, radius, bits, tables))
+    roots = components(similar(found.where("u != v")))
+    crowd = found.where("u = v").select(F.col("u").alias("node"))
+    if not crowd.isEmpty():  # pairs that chains left apart
+        crowd = skew_join(crowd, roots, "node").select("node", F.coalesce("root", "node").alias("root"))
+        left = crossing(stash(skew_join(fps, crowd, "node", "inner")), radius, bits, tables)
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(similar(left)))
     rooted = skew_join(nodes.select("node", "best"), roots, "node").select(F.coalesce("root", "node").alias("root"), "best")
     best = stash(rooted.groupBy("root").agg(F.min("best").alias("best")).select("best._at", F.lit(True).alias("_best")))
     clear(docs.sparkSession, mark, best)

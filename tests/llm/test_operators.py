@@ -459,6 +459,44 @@ def test_near_duplicates_recall(spark):
     assert want <= got and len(got - want) <= 0.1 * (600 - len(want)) and len(want) < 500
 
 
+@pytest.mark.parametrize("pairs", [12, 60])
+def test_all_that_share_a_variant_are_compared(spark, monkeypatch, pairs):
+    """Texts whose fingerprints all meet, in a small group and in a crowd: only pairs are similar, and every one is joined."""
+    rng, texts = random.Random(4), {}
+    for i in range(pairs):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+        texts[i], texts[pairs + i] = " ".join(w), " ".join([*w[:-1], "other"])
+    monkeypatch.setattr(simhash, "plan_tables", lambda *a: (4, 1))
+    got = simhash.drop_near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == list(range(pairs))
+
+
+def test_candidates_are_all_pairs_within_the_radius(monkeypatch):
+    """Parts of a run of variants each: pairs of a few that meet at once, of a crowd those of different roots afterwards."""
+    rng, bits, b = np.random.default_rng(6), 16, 6
+    x = np.concatenate([rng.integers(0, 2**bits, 300), np.repeat(rng.integers(0, 2**bits, 4), 40)]).astype(np.uint64)
+    node, root = np.arange(len(x)), rng.integers(0, 5, len(x))
+    monkeypatch.setattr(simhash, "VARIANTS_AT_ONCE", 1 << 8)
+    monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", 100)
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.bitwise_count(x[:, None] ^ x[None, :]) <= 4)) if i < j}
+
+    def met(make, *more):
+        out = []
+        for q in range(1 << b):
+            mine = np.bitwise_count((x >> np.uint64(bits - b)) ^ np.uint64(q)) <= 2
+            out += [p for u, v in make(x[mine], node[mine], *[m[mine] for m in more], q, b, bits, 2) for p in zip(u.tolist(), v.tolist())]
+        return out
+
+    found = met(simhash._paired)
+    crowd = {u for u, v in found if u == v}
+    assert 0 < len(crowd) < len(x) and {p for p in found if p[0] != p[1]} <= want
+    assert {p for p in want if not set(p) <= crowd} <= set(found)
+    apart = met(simhash._crossed, root)
+    assert sorted(apart) == sorted(p for p in want if root[p[0]] != root[p[1]])  # each once
+    monkeypatch.setattr(simhash, "FEW", len(x))
+    assert sorted(met(simhash._paired)) == sorted(want)
+
+
 def test_fingerprints_as_links_need():
     for n in (10, 10**5, 10**7, 10**10):
         bits, tables = simhash.plan_tables(n)
