@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import binaries, bytes_matrix
 from ..operators.preprocess import planar_to_hwc  # noqa: F401  the planar source's second half
+from .artifacts import scratch_path
 
 MANIFEST = "images map<string, struct<label: int, class_name: string, test_index: long>>"
 
@@ -68,10 +71,12 @@ def resize(images: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def read_images(spark: SparkSession, path: str, size: int = 32) -> DataFrame:
+def read_images(spark: SparkSession, path: str, size: int = 32, tasks: int | None = None) -> DataFrame:
     """path, height, width, channels, pixels: image files as RGB of size x size. Gray becomes three equal channels, alpha is
-    left out, and so is a file that is no image. Images of one shape in a batch are resized together."""
+    left out, and so is a file that is no image. Images of one shape in a batch are resized together. tasks: so many at most.
+    The driver holds a list of all files: read_image_folders is for more than it can hold."""
     raw = spark.read.format("image").option("dropInvalid", True).load(path)
+    raw = raw if tasks is None else raw.coalesce(tasks)
     raw = raw.select(F.col("image.origin").alias("path"), F.col("image.height").alias("h"), F.col("image.width").alias("w"), F.col("image.nChannels").alias("c"), F.col("image.data").alias("data"))
 
     def run(batches):
@@ -89,6 +94,36 @@ def read_images(spark: SparkSession, path: str, size: int = 32) -> DataFrame:
     return raw.mapInArrow(run, "path string, height int, width int, channels int, pixels binary")
 
 
+#: Files of a folder of images, about: Spark's driver lists a folder's files and holds the list while it is read.
+FILES_AT_ONCE = 5_000
+#: Tasks that read a folder, at most: by itself Spark gives a task as few files as if each had 4 MB.
+FOLDER_TASKS = 24
+
+
+def folders_for(n: int) -> int:
+    """Over how many folders n files are dealt."""
+    return max(1, -(-n // FILES_AT_ONCE))
+
+
+def read_image_folders(spark: SparkSession, folders: Iterable[str], make: Callable[[DataFrame], DataFrame], size: int = 32) -> DataFrame:
+    """make (a map job) of read_images of every folder, one after the other, so that the driver holds one folder's list at a
+    time; what is made of them is written to the shared folder. A folder is listed by few tasks, too: by itself Spark takes one
+    for each folder in it, and the driver keeps records of all."""
+    path, made = scratch_path(spark, "read-images"), None
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(FOLDER_TASKS))
+    try:
+        for folder in folders:
+            made = make(read_images(spark, folder, size, FOLDER_TASKS))
+            made.write.mode("append").parquet(path)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    if made is None:
+        raise ValueError("there are no folders")
+    return spark.read.schema(made.schema).parquet(path)
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """path, content of every file under path."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")

@@ -10,10 +10,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenframe.operators import evidence, forest, inference, metrics, runs, sampling, svm
-from lumenframe.plans import jobs
+from lumenframe.plans import catalog, jobs
 from lumenframe.sources import artifacts, images
 from lumenframe.streaming.scoring import score_stream
 
+from .compare import same
+
 
 def blobs(spark, n=30):
     rng = np.random.default_rng(1)
@@ -155,6 +157,21 @@ def test_images_bundle_and_inference(spark, tmp_path):
     assert found["summary"].first().num_errors == 0 and found["gallery"].count() == 2
 
 
+def test_image_files_are_listed_some_at_a_time(spark, sf_dir, monkeypatch):
+    read, seen = images.read_images, []
+
+    def noted(spark, path, *more, **named):
+        seen.append(len(spark.read.format("image").load(path).inputFiles()))
+        return read(spark, path, *more, **named)
+
+    monkeypatch.setattr(images, "FILES_AT_ONCE", 125, raising=False)
+    monkeypatch.setattr(images, "read_images", noted)
+    assert len(same(spark, sf_dir, catalog.queries()["src4_read_images"], catalog.oracle_sql()["src4_read_images"])) == 500
+    assert sum(seen) == 500 and max(seen) <= 150  # dealt by a hash
+    with pytest.raises(ValueError):
+        images.read_image_folders(spark, [], lambda df: df)
+
+
 def test_artifacts(spark, tmp_path):
     df = spark.createDataFrame([(1, "train", 0, [1.0]), (2, "test", 1, [2.0])], "image_id long, split string, label int, features array<float>")
     artifacts.write_features(df, str(tmp_path / "f"), {"feature": "hog", "parameters": {"cell_size": 4}, "seconds": 1.5})
